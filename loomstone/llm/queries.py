@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomstone.llm import simhash
+from loomstone.llm import fmindex, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +18,23 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op10_fmindex_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in benchmark windows, and the items that they come from."""
+    found = fmindex.contaminated_spans(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), ["doc_id"])
+    names = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
+    hit = fmindex.n_hit()
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
+        fmindex.is_contaminated(hit, F.col("n_words")).alias("contaminated"),
+    )
+
+
 QUERIES = {
+    "op10_fmindex_decontamination": op10_fmindex_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }
 
