@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import fmindex, simhash, substring
+from loomstone.llm import fmindex, langid, simhash, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned from the part that is not held out."""
+    docs = _read(spark, sf_dir, "documents")
+    found = langid.detect(docs, langid.fit(docs), ["doc_id"])
+    return found.select("doc_id", langid.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_fmindex_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in benchmark windows, and the items that they come from."""
     found = fmindex.contaminated_spans(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), ["doc_id"])
@@ -40,6 +47,7 @@ def op10_fmindex_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op7_language_id": op7_language_id,
     "op10_fmindex_decontamination": op10_fmindex_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }
