@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm.scratch import small_batches
 from loomstone.llm.textcore import ALNUM_WORDS, passes, scan, word_hashes
 
 WINDOW = 13
@@ -269,6 +270,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, carry: list[str],
     ``docs`` needs a column text. The benchmark's text is read on the driver, where it must fit: it is
     the held-out test set, not the corpus; its phrases go out in parts of a fixed size.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = [(r.item_id, r.text) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").toLocalIterator()]
     parts = phrases_of(items, window) or [Phrases(np.zeros(1, dtype=np.uint64), 1, [], np.zeros(0, dtype=np.int64))]

@@ -30,3 +30,8 @@ def fresh(name: str, *frames: DataFrame) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Keep Arrow batches small: rows hold whole texts, and JVM and Python both hold whole batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

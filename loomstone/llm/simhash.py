@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.components import components
-from loomstone.llm.scratch import cut
+from loomstone.llm.scratch import cut, small_batches
 from loomstone.llm.textcore import SPACE_WORDS, passes, scan
 
 SHINGLE_WORDS = 4
@@ -181,6 +181,7 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, tree_limit: int = TREE_
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE_WORDS, seed: int = 42, tree_limit: int = TREE_LIMIT) -> DataFrame:
     """Rows (doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
+    small_batches(docs.sparkSession)
     prints = cut(fingerprints(docs, shingle, seed), "simhash")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(least.select("fp"), radius, tree_limit), "simhash-links").withColumnsRenamed({"node": "fp"})

@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.scratch import cut
+from loomstone.llm.scratch import cut, small_batches
 from loomstone.llm.textcore import SPACE_WORDS, Words, combine, passes, run_hashes, scan, sliding_min, word_hashes
 
 WINDOW = 20
@@ -334,6 +334,7 @@ def _match_shards(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
 
 def covered_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` keyed by (doc, k), with its text and spans: list of (start, size), the words to remove."""
+    small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("doc_id", "text").alias("k"))
     shipped = keyed.select("text", "doc", "k").mapInArrow(lambda b: _cut_documents(b, window, anchor), SHIPPED)
     repeated = cut(shipped.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated_anchors, SHIPPED), "substring")
