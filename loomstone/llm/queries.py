@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import fmindex, langid, simhash, substring
+from loomstone.llm import fmindex, langid, simhash, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned from the labels that are not held out."""
+    docs = _read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")), ["doc_id"])
+    forms = [f"{f}_weight" for f in toxicity.FORMS]
+    return found.select("doc_id", langid.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *forms)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; learned from the part that is not held out."""
     docs = _read(spark, sf_dir, "documents")
@@ -47,6 +55,7 @@ def op10_fmindex_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_toxicity": op5_toxicity,
     "op7_language_id": op7_language_id,
     "op10_fmindex_decontamination": op10_fmindex_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
