@@ -13,7 +13,7 @@ threat are read (found by vectorised look-ups over all words of the whole text),
 the weights of its matched clauses, not by isolated words: a logistic model over the summed weights of the forms.
 
 The insult lexicon and the form weights are learned from labelled rows: at most ``per_class`` labelled
-documents of each class, those with the least hash of doc_id. Threat, negation, speech and target words are
+documents of each class, those with the least hash of doc_id, of which near copies count once. Threat, negation, speech and target words are
 fixed small lists, which only change the form of a match.
 
 Defined results: null, empty and wordless texts get the score of a text without matches; without labels
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.langid import held_out
 from loomstone.llm.scratch import cut, small_batches
-from loomstone.llm.textcore import ALNUM_WORDS, Words, passes, scan, string_bytes, word_hashes
+from loomstone.llm.textcore import ALNUM_WORDS, Words, combine, passes, run_hashes, scan, string_bytes, word_hashes
 
 #: Bound of the sample: labelled documents of each class.
 PER_CLASS = 4000
@@ -44,6 +44,8 @@ MAX_LEXICON = 20_000
 MIN_G = 30.0
 PREFIXES = (4, 5, 6)
 NEGATION_REACH = 3
+#: MinHash values by which near copies in the sample are told.
+SIGNATURES = 3
 
 # Form-changing words (lower case) in the languages at hand.
 NEGATIONS = frozenset("not never no n't nicht kein keine nie ne pas jamais nunca jamás".split())
@@ -239,7 +241,34 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = known.withColumn("rank", rank).where(F.col("rank") <= per_class).select("doc_id", "y")
     # 2 * per_class rows at most are broadcast.
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "y")
+    drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    signed = cut(drawn.select("doc_id", "text", "y").mapInArrow(_sign, f"doc_id long, text string, y int, {', '.join(f'm{i} long' for i in range(SIGNATURES))}"), "toxicity")
+    # Of near copies one counts: else every word of a much copied toxic text would look toxic.
+    for i in range(SIGNATURES):
+        one = Window.partitionBy(f"m{i}").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+        signed = signed.withColumn("rank", F.row_number().over(one)).where("rank = 1").drop("rank")
+    return signed.select("text", "y")
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MinHash values of each text over runs of five words (shorter texts: over their words)."""
+    for batch in batches:
+        for part in passes(batch, "text"):
+            words = scan(part.column("text"), ALNUM_WORDS, lower=True)
+            hashed, counts = word_hashes(words), words.counts
+            runs = run_hashes(np.append(hashed, np.zeros(4, dtype=np.uint64)), 5)
+            has = np.flatnonzero(counts)
+            mins = []
+            for i in range(SIGNATURES):
+                low = np.zeros(len(counts), dtype=np.uint64)
+                if len(has):
+                    # The last four runs reach into the next text; they are left out where there are others.
+                    value = combine(runs, np.full(len(runs), i, dtype=np.uint64))
+                    inside = np.arange(len(runs)) < np.repeat(np.where(counts > 4, words.first[1:] - 4, words.first[1:]), counts)
+                    value[~inside] = np.iinfo(np.uint64).max
+                    low[has] = np.minimum.reduceat(value, words.first[has])
+                mins.append(pa.array(low.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), part.column("y"), *mins], names=["doc_id", "text", "y", *(f"m{i}" for i in range(SIGNATURES))])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
