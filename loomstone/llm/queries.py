@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import fmindex, langid, simhash, substring, toxicity
+from loomstone.llm import fmindex, langid, secrets, simhash, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base secrets of every document and the spans that inferred formats add."""
+    docs = _read(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.fit(docs), ["doc_id"])
+    base = F.sha2(secrets.span_text("base").cast("binary"), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), secrets.span_text("spans").alias("spans"))
+
+
 def op10_fmindex_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in benchmark windows, and the items that they come from."""
     found = fmindex.contaminated_spans(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), ["doc_id"])
@@ -57,6 +65,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_secret_scan": op8_secret_scan,
     "op10_fmindex_decontamination": op10_fmindex_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }
