@@ -35,6 +35,7 @@ VALUE_LENGTH = 128
 MIN_RUN = 16
 MIN_BITS = 12.0
 ALPHA = 0.05
+CAPITALS_BITS = 3.0
 GRAMMAR = "grammar"
 
 # Fixed patterns: the base kinds, in this order.
@@ -171,7 +172,11 @@ class Model:
         best = max((a.log2(symbols) for a in self.automata.values()), default=-math.inf)
         if best == -math.inf:
             return False
-        return best - sum(self.ordinary[a][b] for a, b in zip("^" + symbols, symbols + "$", strict=True)) >= self.min_bits
+        # Words in capitals are ordinary, too: at a price, a run counts as its small-letter form.
+        return best - max(self.ordinary_bits(symbols), self.ordinary_bits(classes(run.lower())) - CAPITALS_BITS) >= self.min_bits
+
+    def ordinary_bits(self, symbols: str) -> float:
+        return sum(self.ordinary[a][b] for a, b in zip("^" + symbols, symbols + "$", strict=True))
 
 
 def base_in_run(run: str) -> list[tuple[int, int, int]]:
