@@ -57,6 +57,11 @@ def classes(value: str) -> str:
     return value.translate(_CLASS)
 
 
+def letters(symbols: str) -> str:
+    """All classes of letters as one."""
+    return symbols.replace("h", "l").replace("U", "l")
+
+
 @dataclass
 class Automaton:
     """States with log2 probabilities: arcs[state][symbol] = (next state, bits), ends[state] = bits."""
@@ -164,6 +169,7 @@ def background(values: list[str]) -> dict[str, dict[str, float]]:
 class Model:
     automata: dict[str, Automaton]
     ordinary: dict[str, dict[str, float]]
+    caseless: dict[str, dict[str, float]]
     min_bits: float
 
     def is_secret(self, run: str) -> bool:
@@ -172,11 +178,12 @@ class Model:
         best = max((a.log2(symbols) for a in self.automata.values()), default=-math.inf)
         if best == -math.inf:
             return False
-        # Words in capitals are ordinary, too: at a price, a run counts as its small-letter form.
-        return best - max(self.ordinary_bits(symbols), self.ordinary_bits(classes(run.lower())) - CAPITALS_BITS) >= self.min_bits
+        # Words in capitals are ordinary, too: at a price, a run counts by its letters whatever their case.
+        return best - max(self.bits(self.ordinary, symbols), self.bits(self.caseless, letters(symbols)) - CAPITALS_BITS) >= self.min_bits
 
-    def ordinary_bits(self, symbols: str) -> float:
-        return sum(self.ordinary[a][b] for a, b in zip("^" + symbols, symbols + "$", strict=True))
+    @staticmethod
+    def bits(table: dict[str, dict[str, float]], symbols: str) -> float:
+        return sum(table[a][b] for a, b in zip("^" + symbols, symbols + "$", strict=True))
 
 
 def base_in_run(run: str) -> list[tuple[int, int, int]]:
@@ -239,7 +246,7 @@ def fit(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, min_bits: flo
         few = found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(VALUES_PER_KIND * (1 if kind >= 0 else 10))
         per_kind[kind] = [classes(r.value) for r in few.collect()]
     automata = {KINDS[k]: infer(v) for k, v in per_kind.items() if k >= 0 and v}
-    return Model(automata, background(per_kind[-1]), min_bits)
+    return Model(automata, background(per_kind[-1]), background([letters(v) for v in per_kind[-1]]), min_bits)
 
 
 SPANS = "n_assign long, n_access long, n_hex long, base array<struct<kind:string,begin:int,finish:int>>, spans array<struct<kind:string,begin:int,finish:int>>"
