@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import fmindex, langid, secrets, simhash, substring, toxicity
+from loomstone.llm import fmindex, langid, mixing, secrets, simhash, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *forms)
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, with its source's size and target."""
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; learned from the part that is not held out."""
     docs = _read(spark, sf_dir, "documents")
@@ -64,6 +69,7 @@ def op10_fmindex_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_source_mixing": op6_source_mixing,
     "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op10_fmindex_decontamination": op10_fmindex_decontamination,
