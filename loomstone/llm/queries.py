@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import chat, fmindex, langid, mixing, secrets, simhash, substring, toxicity
+from loomstone.llm import chat, fmindex, langid, mixing, secrets, simhash, substring, toxicity, vectors
 from loomstone.llm.scratch import cut
 
 
@@ -24,6 +24,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and class of every vector."""
+    return vectors.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; learned from the labels that are not held out."""
     docs = _read(spark, sf_dir, "documents")
@@ -111,6 +116,7 @@ def op10_fmindex_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_vector_near_dedup": op4_vector_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_source_mixing": op6_source_mixing,
     "op7_language_id": op7_language_id,
