@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import chat, fmindex, langid, mixing, secrets, simhash, substring, toxicity, vectors
+from loomstone.llm import chat, fmindex, langid, mixing, secrets, simhash, substring, tokens, toxicity, vectors
 from loomstone.llm.scratch import cut
 
 
@@ -13,6 +13,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, count and checksum of every document's token ids, read back from the range-coded files."""
+    import public_tokenizers
+
+    return tokens.encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document, those that repeat an earlier passage, and a digest of the rest."""
     return substring.remove_repeats(_read(spark, sf_dir, "documents"), with_text=False)
@@ -115,6 +122,7 @@ def op10_fmindex_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_ids": op1_token_ids,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_vector_near_dedup": op4_vector_near_dedup,
     "op5_toxicity": op5_toxicity,
