@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loomstone.llm import chat, fmindex, langid, mixing, secrets, simhash, substring, tokens, toxicity, vectors
 from loomstone.llm.scratch import cut
 
@@ -121,6 +122,11 @@ def op10_fmindex_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_substring_dedup": op2_substring_dedup,
@@ -131,7 +137,10 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_fmindex_decontamination": op10_fmindex_decontamination,
+    "pipeline": pipeline,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {"op9_chat_format": OP9_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.components import components
 from loomstone.llm.scratch import cut, small_batches
-from loomstone.llm.textcore import SPACE_WORDS, passes, scan
+from loomstone.llm.textcore import SPACE_WORDS, combine, passes, run_hashes, scan, word_hashes
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -191,6 +191,142 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(by_print, "fp", "left").join(least, "fp").select("doc_id", "fp", F.coalesce("component_id", "least").alias("component_id"))
 
 
+# Documents of a given similarity: wider sketches decide what fingerprints of words propose.
+SIMILARITY = 0.8
+PROPOSALS = 3
+SKETCH_WORDS = 8
+
+
+def _majority_bits(hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHash (uint64) of the runs of ``hashes`` that begin at ``first``; all sizes are positive."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return np.packbits(2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def sketches_of(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """PROPOSALS fingerprints of each text's distinct words, and SKETCH_WORDS * 64 bits of its shingles."""
+    words = scan(texts, SPACE_WORDS, lower=True)
+    hashes, counts = word_hashes(words), words.counts
+    proposals, sketch = np.zeros((len(counts), PROPOSALS), dtype=np.uint64), np.zeros((len(counts), SKETCH_WORDS), dtype=np.uint64)
+    has = np.flatnonzero(counts)
+    if not len(has):
+        return proposals, sketch
+    doc = words.doc_of()
+    order = np.lexsort((hashes, doc))
+    h, d = hashes[order], doc[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    h, d = h[new], d[new]
+    first = np.searchsorted(d, has)
+    sizes = np.diff(np.append(first, len(d)))
+    for i in range(PROPOSALS):
+        proposals[has, i] = _majority_bits(combine(h, np.full(len(h), i, dtype=np.uint64)), first, sizes)
+    # Shingles: of a text with fewer words, all its words.
+    short = np.flatnonzero(counts[has] < shingle)
+    runs = run_hashes(np.append(hashes, np.zeros(shingle - 1, dtype=np.uint64)), shingle)
+    n = np.maximum(counts[has] - shingle + 1, 1)
+    first = np.cumsum(n) - n
+    at = np.repeat(words.first[has] - first, n) + np.arange(n.sum())
+    runs = runs[at]
+    for i in short.tolist():
+        own = hashes[words.first[has[i]] : words.first[has[i] + 1]]
+        runs[first[i]] = run_hashes(own, len(own))[0] ^ np.uint64(len(own))
+    for i in range(SKETCH_WORDS):
+        sketch[has, i] = _majority_bits(combine(runs, np.full(len(runs), 100 + i, dtype=np.uint64)), first, n)
+    return proposals, sketch
+
+
+def sketch_limit(similarity: float) -> int:
+    """Differing sketch bits at a Jaccard similarity: the angle between sets of like size, as a share of pi."""
+    return int(SKETCH_WORDS * 64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, radius: int = RADIUS, tree_limit: int = TREE_LIMIT) -> DataFrame:
+    """Rows (doc_id, component_id) for documents whose shingle sets are similar, as their sketches tell.
+
+    Each fingerprint of distinct words changes little by edits that leave the shingles ``similarity``; shard
+    BK-trees over each of them propose links within ``radius``, and a link holds if the 512-bit shingle
+    sketches differ in no more bits than ``sketch_limit``. Wordless texts are similar to each other only.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in passes(batch, "text", 1 << 20):
+                proposals, sketch = sketches_of(part.column("text"), shingle)
+                rows = pa.array([r.tobytes() for r in sketch], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(proposals.view(np.int64).tolist(), type=pa.list_(pa.int64())), rows], names=["doc_id", "fps", "sketch"])
+
+    sketched = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fps array<long>, sketch binary"), "sketches")
+    # Equal sketches are one node; written once, so that the numbers hold.
+    nodes = cut(sketched.groupBy("fps", "sketch").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
+    roots = components(_verified_links(nodes, sketch_limit(similarity), radius, tree_limit), "sketch-links")
+    named = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = nodes.join(roots.join(named, "root").select("node", "component_id"), "node", "left").select("fps", "sketch", F.coalesce("component_id", "least").alias("component_id"))
+    return sketched.join(classes, ["fps", "sketch"]).select("doc_id", "component_id")
+
+
+def _verified_links(nodes: DataFrame, limit: int, radius: int, tree_limit: int) -> DataFrame:
+    """Star edges (u, v) between nodes that a shard's BK-tree proposes and whose sketches agree."""
+    proposed = nodes.select("node", F.posexplode("fps").alias("number", "fp"))
+    keys = F.transform(shard_keys(F.col("fp"), radius), lambda k: k * PROPOSALS + F.col("number"))
+    keyed = proposed.select("node", "fp", F.explode(keys).alias("shard"))
+    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+    trees = F.ceil(F.col("n") / tree_limit).cast("int")
+    dealt = (
+        keyed.join(sizes, "shard")
+        .withColumn("own", F.pmod(F.xxhash64("node"), trees).cast("int"))
+        .select("node", "fp", "shard", "own", F.explode(F.sequence(F.lit(0), "own")).alias("tree"))
+        .join(nodes.select("node", "sketch"), "node")
+        .select("shard", "tree", "node", "fp", (F.col("own") == F.col("tree")).cast("int").alias("inside"), "sketch")
+    )
+
+    def match(members: list[tuple]) -> list[tuple[int, int]]:
+        tree, at, parent = BKTree(), {}, {}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for node, fp, inside, sketch in sorted(members, key=lambda m: (-m[2], m[0])):
+            parent[node] = mine = node
+            for near in tree.within(fp, radius):
+                for other, theirs in at[near]:
+                    root = find(other)
+                    if root != mine and (theirs ^ sketch).bit_count() <= limit:
+                        a, b = max(root, mine), min(root, mine)
+                        parent[a] = mine = b
+            if inside:
+                if fp not in at:
+                    tree.add(fp)
+                at.setdefault(fp, []).append((node, sketch))
+        return [(x, r) for x in parent if (r := find(x)) != x]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            shard, tree, node, fp, inside, sketch = (batch.column(i).to_pylist() for i in range(6))
+            for k in zip(shard, tree, node, fp, inside, sketch, strict=True):
+                if k[:2] != key:
+                    if len(members) > 1:
+                        out += match(members)
+                    key, members = k[:2], []
+                members.append((k[2], k[3] & 0xFFFFFFFFFFFFFFFF, k[4], int.from_bytes(k[5], "little")))
+            if out:
+                yield _edges(out)
+        if len(members) > 1 and (out := match(members)):
+            yield _edges(out)
+
+    return dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree").mapInArrow(run, "u long, v long").distinct()
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
+
+
 def hex_fingerprint(fp):
     """16 lowercase hex digits of a fingerprint column."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

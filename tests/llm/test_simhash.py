@@ -96,3 +96,31 @@ def test_chains_of_links_reach_across_shards(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []
+
+
+def test_similar_documents_by_five_word_shingles(spark):
+    import random
+
+    rng = random.Random(12)
+    fresh = lambda n: [rng.choice(["the", "of", "on", "in"]) if rng.random() < 0.4 else f"w{rng.randrange(4000)}" for _ in range(n)]
+    rows, want = [], {}
+    for g in range(40):
+        base = fresh(rng.choice([120, 400]))
+        first = len(rows)
+        rows.append((first, " ".join(base)))
+        for _ in range(rng.choice([0, 1, 3])):  # near copies: one word in a hundred edited
+            w = list(base)
+            for _ in range(len(w) // 100):
+                w[rng.randrange(len(w))] = "edited"
+            rows.append((len(rows), " ".join(w)))
+        want.update(dict.fromkeys(range(first, len(rows)), first))
+        w = [x if rng.random() < 0.9 else "other" for x in base]  # a tenth of all words: not similar
+        want[len(rows)] = len(rows)
+        rows.append((len(rows), " ".join(w)))
+    rows += [(5000, None), (5001, ""), (5002, rows[0][1].upper()), (None, rows[0][1]), (5003, "two words"), (5004, "words two"), (5004, "words two")]
+    want |= {5000: 5000, 5001: 5000, 5002: 0, None: 0, 5003: 5003, 5004: 5004}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sketch", F.lit("clash"))
+    for limit in (2048, 2):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, tree_limit=limit).collect()}
+        assert got == want
+    assert simhash.similar_documents(docs.limit(0)).collect() == []
