@@ -4,7 +4,7 @@ A file row is a group of consecutive documents in ascending doc_id order (null f
 ids and token counts, and one payload of ``rangecoder`` blocks, each block independently
 decodable and checksummed. Files are written by Spark, so a lost executor's task is simply repeated.
 
-The tokenizers library encodes every distinct piece of a task once: a text may be cut before each space
+The tokenizers library encodes every distinct piece of a worker once: a text may be cut before each space
 that a non-space follows, because the byte-level pattern always starts a new token there; a test holds
 this against whole texts. Pieces met for the first time are encoded together and told apart by their length in bytes.
 
@@ -14,7 +14,7 @@ doc_id are ordered by their text's hash; an empty table gives an empty folder of
 
 from __future__ import annotations
 
-import re
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -26,105 +26,136 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import rangecoder
 from loomstone.llm.scratch import scratch_dir, small_batches
-from loomstone.llm.textcore import passes
+from loomstone.llm.textcore import Words, passes, string_bytes, word_hashes
 
 END_ID = 2
-#: Pieces that a task remembers before it starts anew.
-MEMO = 400_000
-_SPLIT = re.compile(r" (?=\S)")
-_IRREGULAR = re.compile(r" (?:\s|$)")
+#: Pieces that a Python worker remembers before it starts anew, and bytes of pieces that are encoded in one text.
+MEMO = 1_000_000
+JOINED_BYTES = 20_000
+
+#: Bytes that are white space or may begin a character that is.
+_MAYBE_SPACE = np.zeros(256, dtype=bool)
+_MAYBE_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 FILE_SCHEMA = "part int, seq int, n_tokens long, doc_ids array<long>, counts array<int>, payload binary"
 
 
+@functools.cache
+def encoder_for(path: str) -> Encoder:
+    """One encoder for each tokenizer file in a Python worker: later tasks find its pieces known."""
+    return Encoder(load_tokenizer(path))
+
+
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-def pieces_of(text: str) -> list[str]:
-    """Cut before each space that a non-space follows."""
-    parts = text.split(" ") if not _IRREGULAR.search(text) else _SPLIT.split(text)
-    return [parts[0], *[f" {p}" for p in parts[1:]]]
+def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of all texts: each text, cut before every space that surely precedes a non-space."""
+    cut = np.zeros(len(raw), dtype=bool)
+    cut[:-1] = (raw[:-1] == 32) & ~_MAYBE_SPACE[raw[1:]]
+    cut[offsets[1:-1][offsets[1:-1] < len(raw)] - 1] = False  # what follows is another text
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Token ids of texts; remembers pieces."""
+    """Token ids of texts; remembers pieces by 128 bits of hashes."""
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        # Bytes of each token of a byte-level vocabulary: one character each.
+        self.token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.token_bytes[i] = len(token)
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.int32)
-        self.start = np.zeros(1 << 16, dtype=np.int64)
-        self.size = np.zeros(1 << 16, dtype=np.int64)
-        self.used = 0
-
-    def _grow(self, name: str, need: int) -> None:
-        array = getattr(self, name)
-        if need > len(array):
-            setattr(self, name, np.concatenate([array, np.zeros(max(need, 2 * len(array)) - len(array), dtype=array.dtype)]))
-
-    def _learn(self, fresh: list[str]) -> None:
-        encode = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        # A piece that starts with a space and a non-space starts a token behind any other piece: such pieces
-        # are encoded in one text, some thousand characters at a time. The others are encoded alone.
-        safe = [p for p in fresh if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() and "<|" not in p]
-        joined = set(safe)
-        alone = [p for p in fresh if p not in joined]
-        lists = dict(zip(alone, encode(alone), strict=True))
-        for at in range(0, len(safe), 20_000):
-            few = safe[at : at + 20_000]
-            ids = np.array(encode(["".join(few)])[0], dtype=np.int64)
-            ends = np.cumsum(self._token_bytes()[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in few]), side="left") + 1
-            flat, begin = ids.tolist(), 0
-            for p, to in zip(few, cuts.tolist(), strict=True):
-                lists[p] = flat[begin:to]
-                begin = to
-        first = len(self.number)
-        sizes = np.array([len(lists[p]) for p in fresh], dtype=np.int64)
-        total = int(sizes.sum())
-        self._grow("ids", self.used + total)
-        self._grow("start", first + len(fresh))
-        self._grow("size", first + len(fresh))
-        self.ids[self.used : self.used + total] = [i for p in fresh for i in lists[p]]
-        self.start[first : first + len(fresh)] = self.used + np.cumsum(sizes) - sizes
-        self.size[first : first + len(fresh)] = sizes
-        self.used += total
-        self.number.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-
-    def _token_bytes(self) -> np.ndarray:
-        """Bytes of each token of a byte-level vocabulary: one character each."""
-        if not hasattr(self, "_lengths"):
-            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-            self._lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
-            for token, i in vocabulary.items():
-                self._lengths[i] = len(token)
-        return self._lengths
-
-    def encode(self, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each followed by ``end_id``, and their counts."""
-        if len(self.number) > MEMO:
+        self.keys, self.checks = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.pool = np.zeros(0, dtype=np.int32)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray, key: np.ndarray, check: np.ndarray) -> None:
+        """Encode pieces that are not known; begin and end are their places in ``buf``."""
+        lens = end - begin
+        # A piece that starts with a space starts a token behind any other piece. Such pieces are encoded in
+        # one text of some thousand bytes and told apart by the bytes of their tokens; the others alone.
+        flat = buf[np.arange(lens.sum()) + np.repeat(begin - np.cumsum(lens) + lens, lens)]
+        ends = np.cumsum(lens)
+        special = np.add.reduceat(flat == ord("<"), ends - lens) > 0
+        alone = (buf[begin] != 32) | (lens < 2) | _MAYBE_SPACE[buf[np.minimum(begin + 1, len(buf) - 1)]] | _MAYBE_SPACE[buf[end - 1]] | special
+        sizes, chunks, order = np.zeros(len(begin), dtype=np.int64), [], []
+        data = buf.tobytes()
+        lonely = np.flatnonzero(alone)
+        for i, ids in zip(lonely.tolist(), self._encode([data[begin[i] : end[i]].decode() for i in lonely.tolist()]), strict=True):
+            sizes[i] = len(ids)
+            chunks.append(ids)
+        order.append(lonely)
+        safe = np.flatnonzero(~alone)
+        if len(safe):
+            total = np.cumsum(lens[safe])
+            groups = np.flatnonzero(np.diff(total // JOINED_BYTES, prepend=-1))
+            edges = np.append(groups, len(safe))
+            joined = flat[np.repeat(~alone, lens)].tobytes()
+            at = np.append(0, total)[edges]
+            texts = [joined[a:b].decode() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+            ids = np.concatenate(self._encode(texts))
+            cuts = np.searchsorted(np.cumsum(self.token_bytes[ids]), total, side="left") + 1
+            sizes[safe] = np.diff(cuts, prepend=0)
+            chunks.append(ids)
+            order.append(safe)
+        order = np.concatenate(order)
+        start = np.zeros(len(begin), dtype=np.int64)
+        start[order] = len(self.pool) + np.cumsum(sizes[order]) - sizes[order]
+        self.pool = np.concatenate([self.pool, *chunks])
+        # Keep the table in order of keys.
+        keys = np.concatenate([self.keys, key])
+        by = np.argsort(keys, kind="stable")
+        self.keys, self.checks = keys[by], np.concatenate([self.checks, check])[by]
+        self.start, self.size = np.concatenate([self.start, start])[by], np.concatenate([self.size, sizes.astype(np.int32)])[by]
+
+    def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), each followed by ``end_id``, and their counts."""
+        raw, offsets = string_bytes(texts)
+        n = len(offsets) - 1
+        starts = piece_starts(raw, offsets) if len(raw) else np.zeros(0, dtype=np.int64)
+        buf = np.zeros(len(raw) + 8, dtype=np.uint8)
+        buf[: len(raw)] = raw
+        ends = np.append(starts[1:], len(raw))[: len(starts)]
+        spans = Words(buf, np.zeros(0, dtype=bool), starts, ends, np.zeros(1, dtype=np.int64))
+        hashes = word_hashes(spans)
+        key, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        # The other 64 bits, of the bytes turned over: pieces with equal keys but unequal checks are told apart below.
+        buf[: len(raw)] = ~raw
+        check = word_hashes(Words(buf, spans.inside, starts[first], ends[first], spans.first))
+        buf[: len(raw)] = raw
+        if len(self.keys) + len(key) > MEMO:
             self._forget()
-        cut = [pieces_of(t) if t else [] for t in texts]
-        flat = [p for own in cut for p in own]
-        fresh = list(dict.fromkeys(p for p in flat if p not in self.number))
-        if fresh:
-            self._learn(fresh)
-        number = np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat))
-        sizes = self.size[number]
-        n_pieces = np.array([len(own) for own in cut], dtype=np.int64)
-        edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n_pieces)])]
+        place = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        known = (self.keys[place] == key) & (self.checks[place] == check) if len(self.keys) else np.zeros(len(key), dtype=bool)
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            if len(self.keys) and (self.keys[place[fresh]] == key[fresh]).any():
+                self._forget()  # two pieces with one key: start anew with this batch's
+                fresh = np.arange(len(key))
+            self._learn(buf, starts[first[fresh]], ends[first[fresh]], key[fresh], check[fresh])
+            place = np.searchsorted(self.keys, key)
+        which = place[inverse] if len(inverse) else np.zeros(0, dtype=np.int64)
+        sizes = self.size[which].astype(np.int64)
+        edges = np.append(0, np.cumsum(sizes))[np.searchsorted(starts, offsets)]
         counts = np.diff(edges) + 1
         out = np.full(int(counts.sum()), end_id, dtype=np.int32)
         body = np.ones(len(out), dtype=bool)
         body[np.cumsum(counts) - 1] = False
         total = int(sizes.sum())
-        out[body] = self.ids[np.arange(total) + np.repeat(self.start[number] - np.cumsum(sizes) + sizes, sizes)]
+        out[body] = self.pool[np.arange(total) + np.repeat(self.start[which] - np.cumsum(sizes) + sizes, sizes)]
+        assert len(counts) == n
         return out, counts
 
 
@@ -133,7 +164,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(load_tokenizer(tokenizer_path)), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_for(tokenizer_path), TaskContext.get().partitionId(), 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -145,7 +176,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
         size = 0
         for batch in batches:
             for some in passes(batch, "text"):
-                ids, counts = encoder.encode(some.column("text").to_pylist(), end_id)
+                ids, counts = encoder.encode(some.column("text"), end_id)
                 names, at, row = some.column("doc_id").to_pylist(), 0, 0
                 for to, end in enumerate(np.cumsum(counts).tolist(), 1):
                     # A group ends with the document that fills it; a longer document is a group of its own.
