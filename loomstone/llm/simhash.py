@@ -241,8 +241,8 @@ def sketch_limit(similarity: float) -> int:
     return int(SKETCH_WORDS * 64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, radius: int = RADIUS, tree_limit: int = TREE_LIMIT) -> DataFrame:
-    """Rows (doc_id, component_id) for documents whose shingle sets are similar, as their sketches tell.
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, radius: int = RADIUS, tree_limit: int = TREE_LIMIT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, ``carry``, component_id) for documents whose shingle sets are similar, as their sketches tell.
 
     Each fingerprint of distinct words changes little by edits that leave the shingles ``similarity``; shard
     BK-trees over each of them propose links within ``radius``, and a link holds if the 512-bit shingle
@@ -255,15 +255,16 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
             for part in passes(batch, "text", 1 << 20):
                 proposals, sketch = sketches_of(part.column("text"), shingle)
                 rows = pa.array([r.tobytes() for r in sketch], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(proposals.view(np.int64).tolist(), type=pa.list_(pa.int64())), rows], names=["doc_id", "fps", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("carried"), pa.array(proposals.view(np.int64).tolist(), type=pa.list_(pa.int64())), rows], names=["doc_id", "carried", "fps", "sketch"])
 
-    sketched = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fps array<long>, sketch binary"), "sketches")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.struct(*carry) if carry else F.lit(0)).alias("carried"))
+    sketched = cut(source.mapInArrow(run, f"doc_id long, carried {source.schema['carried'].dataType.simpleString()}, fps array<long>, sketch binary"), "sketches")
     # Equal sketches are one node; written once, so that the numbers hold.
     nodes = cut(sketched.groupBy("fps", "sketch").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
     roots = components(_verified_links(nodes, sketch_limit(similarity), radius, tree_limit), "sketch-links")
     named = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     classes = nodes.join(roots.join(named, "root").select("node", "component_id"), "node", "left").select("fps", "sketch", F.coalesce("component_id", "least").alias("component_id"))
-    return sketched.join(classes, ["fps", "sketch"]).select("doc_id", "component_id")
+    return sketched.join(classes, ["fps", "sketch"]).select("doc_id", *(["carried.*"] if carry else []), "component_id")
 
 
 def _verified_links(nodes: DataFrame, limit: int, radius: int, tree_limit: int) -> DataFrame:
