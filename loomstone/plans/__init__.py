@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("pages",)
+FAMILIES = ("pages", "graphs", "catalogs")
 
 
 def load() -> None:
