@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.scratch import small_batches
-from loomstone.llm.textcore import ALNUM_WORDS, passes, scan, word_hashes
+from loomstone.llm.textcore import ALNUM_WORDS, passes, release, scan, word_hashes
 
 WINDOW = 13
 #: Symbols of one FM-index: bounds the memory of a task (one longer document is a shard of its own).
-SHARD_SYMBOLS = 1 << 21
+SHARD_SYMBOLS = 1 << 20
 SAMPLE = 16
 #: Distinct windows in one broadcast part: at most 13 * 4 bytes each, some 50 MB.
 PHRASES_PER_PART = 1 << 20
@@ -293,6 +293,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, carry: list[str],
                     if shard.size and shard.size + part.nbytes // 8 > SHARD_SYMBOLS:
                         yield from finish(shard)
                         shard = Shard(phrases.value)
+                        release()
                     shard.add(part)
             if shard.columns:
                 yield from finish(shard)

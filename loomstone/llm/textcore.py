@@ -5,12 +5,18 @@ Texts stay UTF-8 bytes; all work per byte or word is done by numpy on whole batc
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library than glibc
+    _TRIM = None
+
 U64 = np.uint64
 #: Bytes of text that one numpy pass handles (a longer text is a pass of its own).
 PASS_BYTES = 4 << 20
@@ -100,6 +106,13 @@ def scan(column: pa.Array, table: np.ndarray = SPACE_WORDS, lower: bool = False)
     return Words(buf, inside, starts, np.flatnonzero(finish) + 1, np.searchsorted(starts, offsets))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers of one executor stay alive side by side."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def passes(batch: pa.RecordBatch, column: str, limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with at most ``limit`` bytes of text each (or one row)."""
     _, offsets = string_bytes(batch.column(column))
@@ -108,6 +121,7 @@ def passes(batch: pa.RecordBatch, column: str, limit: int = PASS_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:

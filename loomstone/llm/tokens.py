@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import rangecoder
 from loomstone.llm.scratch import scratch_dir, small_batches
-from loomstone.llm.textcore import Words, passes, string_bytes, word_hashes
+from loomstone.llm.textcore import Words, passes, release, string_bytes, word_hashes
 
 END_ID = 2
 #: Pieces that a Python worker remembers before it starts anew, and bytes of pieces that are encoded in one text.
@@ -187,6 +187,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
                         if size >= group:
                             yield flush()
                             held, size, seq = [], 0, seq + 1
+                            release()
         if held:
             yield flush()
 
