@@ -20,9 +20,9 @@ import zlib
 import numpy as np
 
 MAGIC = b"LRC1"
-BLOCK = 4096
+BLOCK = 2048
 #: Ids of one group at most: bounds memory, and gives a thousand blocks side by side.
-GROUP = 1 << 22
+GROUP = 1 << 21
 _BASE_BITS, _CHOICE_BITS = 16, 12
 _BASE, _CHOICE = 1 << _BASE_BITS, 1 << _CHOICE_BITS
 _SLOTS1, _SLOTS2 = 1 << 10, 1 << 11
