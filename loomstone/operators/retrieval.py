@@ -101,13 +101,15 @@ def cosine(a, b):
     return dot / (safe(norm(a)) * safe(norm(b)))
 
 
-def meaning_matches(vectors: DataFrame, queries: DataFrame, z: float = MEANING_Z, spread: float = MEANING_SPREAD, most: int = MEANING_MAX) -> DataFrame:
+def meaning_matches(vectors: DataFrame, queries: DataFrame, z: float = MEANING_Z, spread: float = MEANING_SPREAD, most: int = MEANING_MAX, skip_equal: bool = False) -> DataFrame:
     """For each query and page: elements whose best cosine stands out from the page's (population z-score).
 
     vectors(page_id, element_id, vector), queries(query_id, vector): the queries are the small side.
+    ``skip_equal``: an element is not compared with the query of its own id.
     """
     asked = queries.select("query_id", F.col("vector").alias("wanted"))
-    scored = vectors.join(F.broadcast(asked) if queries.count() <= 1000 else asked).select("query_id", "page_id", "element_id", cosine(F.col("wanted"), F.col("vector")).alias("s"))
+    pairs = vectors.join(F.broadcast(asked) if queries.count() <= 1000 else asked)
+    scored = (pairs.where("query_id <> element_id") if skip_equal else pairs).select("query_id", "page_id", "element_id", cosine(F.col("wanted"), F.col("vector")).alias("s"))
     best = scored.groupBy("query_id", "page_id", "element_id").agg(F.max("s").alias("score"))
     page = Window.partitionBy("query_id", "page_id")
     sd = F.stddev_pop("score").over(page)
