@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 # Documents of a given similarity: wider sketches decide what fingerprints of words propose.
 SIMILARITY = 0.8
-PROPOSALS = 3
+PROPOSALS = 5
+PROPOSAL_RADIUS = 3
 SKETCH_WORDS = 8
 
 
@@ -241,7 +242,7 @@ def sketch_limit(similarity: float) -> int:
     return int(SKETCH_WORDS * 64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, radius: int = RADIUS, tree_limit: int = TREE_LIMIT, carry: tuple[str, ...] = ()) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, radius: int = PROPOSAL_RADIUS, tree_limit: int = TREE_LIMIT, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, ``carry``, component_id) for documents whose shingle sets are similar, as their sketches tell.
 
     Each fingerprint of distinct words changes little by edits that leave the shingles ``similarity``; shard
