@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("pages", "graphs", "catalogs", "web", "texts")
+FAMILIES = ("pages", "graphs", "catalogs", "web", "texts", "logs")
 
 
 def load() -> None:

@@ -97,10 +97,10 @@ def content_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(inner, ["doc_id", "line"]).select("doc_id", "line", "total", F.col("nth").cast("long").alias("nth"), "seg")
 
 
-@query("name_search", "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), '7') OR contains(lower(p_type), '7')")
+@query("name_search", "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'e') OR contains(lower(p_type), 'e')")
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("kind"))
-    return segments.search_names(rows, "7").select("p_partkey", F.col("name").alias("p_name"), F.col("kind").alias("p_type"))
+    return segments.search_names(rows, "E").select("p_partkey", F.col("name").alias("p_name"), F.col("kind").alias("p_type"))
 
 
 @query("source_spans", """
