@@ -63,7 +63,7 @@ def undo_until_conflict(changes: DataFrame, most: int = 10) -> DataFrame:
 
 def blockers(ops: DataFrame) -> DataFrame:
     """``blocked_by``: later structural operations on the same path; undo takes the last first."""
-    later = Window.partitionBy("path").orderBy("op_id").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("path").orderBy(F.desc("op_id")).rowsBetween(Window.unboundedPreceding, -1)
     return ops.withColumn("blocked_by", F.coalesce(F.sum(F.col("structural").cast("long")).over(later), F.lit(0)))
 
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.sources.tables import spread
+
 
 @dataclass
 class Fact:
@@ -90,7 +92,7 @@ def extract_facts(files: DataFrame) -> DataFrame:
             types = [pa.int64(), *[pa.string()] * 3, pa.int32(), pa.int32(), *[pa.string()] * 3, pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True)], names=_NAMES)
 
-    return files.select(F.col("file_id").cast("long").alias("file_id"), "language", "content").mapInArrow(run, FACTS)
+    return spread(files.select(F.col("file_id").cast("long").alias("file_id"), "language", "content")).mapInArrow(run, FACTS)
 
 
 def line_at(text: str, offset: int) -> int:

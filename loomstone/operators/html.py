@@ -12,6 +12,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomstone.sources.tables import spread
+
 # Element kinds, tags that are not walked, tags that only hold others in full texts.
 KINDS = {
     **{f"h{i}": "heading" for i in range(1, 7)}, "a": "link", "button": "button", "img": "image", "video": "video", "audio": "audio", "nav": "navigation", "header": "header", "footer": "footer",
@@ -225,4 +227,4 @@ def page_elements(pages: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return pages.selectExpr("cast(page_id as long) as page_id", "html").mapInArrow(run, ELEMENTS)
+    return spread(pages.selectExpr("cast(page_id as long) as page_id", "html")).mapInArrow(run, ELEMENTS)

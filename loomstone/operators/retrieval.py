@@ -25,7 +25,9 @@ def with_structure(elements: DataFrame) -> DataFrame:
     least of the next positions of each depth up to the own: one window for each, no self join.
     """
     page = Window.partitionBy("page_id").orderBy("ord")
-    behind, ahead = page.rowsBetween(Window.unboundedPreceding, -1), page.rowsBetween(1, Window.unboundedFollowing)
+    behind = page.rowsBetween(Window.unboundedPreceding, -1)
+    # Frames that grow are computed in one pass; so what follows is looked at from the end of the page.
+    ahead = Window.partitionBy("page_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
     nexts = [F.min(F.when(F.col("depth") == d, F.col("ord"))).over(ahead) for d in range(17)]
     lasts = [F.max(F.when(F.col("depth") == d, F.col("ord"))).over(behind) for d in range(17)]
     stop = F.least(*(F.when(F.col("depth") >= d, n) for d, n in enumerate(nexts)), F.lit(1 << 30))

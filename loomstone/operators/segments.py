@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.sources.tables import spread
+
 # Plain text, with built-in functions only.
 _MD, _NUMBERED = r"^#{1,6}\s+(.+)", r"^[\d.]+\s+(.+)"
 
@@ -530,7 +532,7 @@ def file_segments(files: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "language", "content").mapInArrow(run, SEGMENTS)
+    return spread(files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "language", "content")).mapInArrow(run, SEGMENTS)
 
 
 #: Language hints of code snippets, and commands that tell a shell line.

@@ -19,3 +19,12 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register tables as temporary views for SQL."""
     for name in names or TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before heavy per-row work, where its files give fewer partitions than there are cores.
+
+    Large tables have more partitions than that and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
