@@ -183,18 +183,28 @@ def language_registry(spark) -> DataFrame:
 
 
 def read_tree(spark, path: str, text_only: bool = True) -> DataFrame:
-    """(path, size, modified, content) of all files below a folder; paths relative to it."""
+    """(path, size, modified, content) of all files below a folder; paths relative to it.
+
+    The binary reader leaves empty files out; they are added from the listing that the driver makes anyway.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = system.makeQualified(hadoop).toUri().getPath().rstrip("/")
+    listing, empty = system.listFiles(hadoop, True), []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0:
+            empty.append((status.getPath().toUri().getPath()[len(root) + 1 :],))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    relative = F.regexp_replace(F.expr("url_decode(replace(path, '+', '%2B'))"), r"^file:/*", "/")
-    root = path.removeprefix("file://").rstrip("/")
-    rows = files.select(F.regexp_replace(relative, f"^{_quoted(root)}/", "").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    # The reader gives URIs: without scheme and host, decoded, and relative to the root.
+    plain = F.expr("url_decode(replace(regexp_replace(path, '^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?', ''), '+', '%2B'))")
+    rows = files.select(F.substring(plain, len(root) + 2, 1 << 20).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    if empty:
+        blank = spark.createDataFrame(empty, "path string").select("path", F.lit(0).cast("long"), F.lit(None).cast("timestamp"), F.lit("").cast("binary"))
+        rows = rows.union(blank)
     return rows.withColumn("content", F.try_validate_utf8(F.col("content").cast("string"))) if text_only else rows
 
 
-def _quoted(text: str) -> str:
-    return "".join(f"\\{c}" if not c.isalnum() and c not in "/_" else c for c in text)
-
-
 #: Commands that the guard refuses, by pattern.
 BLOCKED_COMMANDS = (r"\brm\s+-[a-z]*r[a-z]*f?\b", r"\bmkfs\b", r"\bdd\s+.*of=/dev/", r"\bsed\s+-i\b", r">\s*/dev/sd", r"\bshutdown\b|\breboot\b", r"\bchmod\s+-R\s+777\b", r"\btee\b", r"\bgit\s+push\s+.*--force\b")
 
