@@ -31,7 +31,7 @@ BLOCK_WORDS = 256
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
 #: Parts of a source by hash, slots of a chunk, cells of the unit interval.
-PARTS, CHUNK, CELLS = 1024, 1 << 16, 1024
+PARTS, CHUNK, CELLS = 1024, 1 << 11, 1024
 
 
 def word_count(text):
