@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.langid import held_out
+from loomstone.llm.langid import held_out, least_hashed
 from loomstone.llm.scratch import cut, small_batches
 from loomstone.llm.textcore import ALNUM_WORDS, Words, combine, passes, run_hashes, scan, string_bytes, word_hashes
 
@@ -238,8 +238,7 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     """Text and label (y) of the documents that may be learned from, per class those of least hash."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y")).where(~held_out(F.col("doc_id"), 5, 0))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("rank", rank).where(F.col("rank") <= per_class).select("doc_id", "y")
+    chosen = least_hashed(known, "y", known.groupBy("y").count(), per_class).select("doc_id", "y")
     # 2 * per_class rows at most are broadcast.
     drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
     signed = cut(drawn.select("doc_id", "text", "y").mapInArrow(_sign, f"doc_id long, text string, y int, {', '.join(f'm{i} long' for i in range(SIGNATURES))}"), "toxicity")
