@@ -106,7 +106,8 @@ def topology_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t["files"].agg(F.count("*").alias("total_files")).join(nodes).join(edges)
 
 
-_STARTS = "file_id % 500 = 77"
+#: The files that are asked about, as a user would name them.
+_STARTS = "address IN ('a.77', 'a.577', 'a.1077', 'a.1577')"
 _BFS = f"""WITH RECURSIVE {GRAPH_SQL},
 edge AS (SELECT DISTINCT file_id AS src, resolved_file_id AS dst FROM imports WHERE NOT is_external AND resolved_file_id IN (SELECT file_id FROM files)),
 """
@@ -190,8 +191,10 @@ def validation_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("common_ancestor", """
-SELECT c_nationkey AS grp, CASE WHEN count(DISTINCT c_mktsegment) = 1 THEN '/r/n' || c_nationkey || '/' || min(c_mktsegment)
-  ELSE '/r/n' || c_nationkey END AS ancestor FROM customer WHERE c_acctbal > 9800 GROUP BY c_nationkey""")
+SELECT c_custkey // 3 AS grp, CASE WHEN count(DISTINCT c_nationkey) > 1 THEN '/r' WHEN count(DISTINCT c_mktsegment) > 1 THEN '/r/n' || min(c_nationkey)
+  ELSE '/r/n' || min(c_nationkey) || '/' || min(c_mktsegment) END AS ancestor FROM customer GROUP BY 1""")
 def common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = table(spark, sf_dir, "customer").where("c_acctbal > 9800").select(F.col("c_nationkey").alias("grp"), F.concat(F.lit("/r/n"), "c_nationkey", F.lit("/"), "c_mktsegment", F.lit("/"), "c_custkey").alias("path"))
+    """Common folders of every three files."""
+    key = F.col("c_custkey")
+    paths = table(spark, sf_dir, "customer").select(F.floor(key / 3).cast("long").alias("grp"), F.concat(F.lit("/r/n"), "c_nationkey", F.lit("/"), "c_mktsegment", F.lit("/"), key).alias("path"))
     return g.common_ancestor(paths, "grp")

@@ -104,9 +104,9 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("source_spans", """
-SELECT doc_id, 2 AS line_start, 4 AS line_end, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS source FROM documents WHERE doc_id % 3 = 0""")
+SELECT doc_id, 2 AS line_start, 4 AS line_end, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS source FROM documents""")
 def source_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
+    docs = table(spark, sf_dir, "documents")
     return segments.source_span(docs, docs.select("doc_id", F.lit(2).alias("line_start"), F.lit(4).alias("line_end")))
 
 
@@ -189,21 +189,21 @@ def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("load_edges", """
-SELECT DISTINCT a.p_partkey AS from_file_id, b.p_partkey AS to_file_id, 'load' AS edge_kind FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey % 100 = 0 AND b.p_partkey % 2 = 0 AND a.p_partkey <> b.p_partkey""")
+SELECT DISTINCT a.p_partkey AS from_file_id, b.p_partkey AS to_file_id, 'load' AS edge_kind FROM part a JOIN part b ON a.p_partkey // 20 = b.p_partkey // 20 AND b.p_partkey % 2 = 0 AND a.p_partkey <> b.p_partkey""")
 def load_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, folder = F.col("p_partkey"), F.concat(F.lit("/p/"), F.col("p_size"))
+    k, folder = F.col("p_partkey"), F.concat(F.lit("/p/"), F.floor(F.col("p_partkey") / 20))
     rows = table(spark, sf_dir, "part")
     files = rows.select(k.alias("file_id"), F.concat(folder, F.lit("/f"), k, F.when(k % 2 == 0, ".js").otherwise(".css")).alias("path"))
-    return facts.load_edges(rows.where("p_partkey % 100 = 0").select(k.alias("file_id"), folder.alias("folder"), F.lit(".js").alias("suffix")), files)
+    return facts.load_edges(rows.select(k.alias("file_id"), folder.alias("folder"), F.lit(".js").alias("suffix")), files)
 
 
 @query("listener_clients", """
-WITH a AS (SELECT s_suppkey AS f, s_nationkey AS p FROM supplier), b AS (SELECT c_custkey AS f, c_nationkey AS p FROM customer WHERE c_custkey % 20 = 0)
+WITH a AS (SELECT s_suppkey AS f, s_nationkey AS p FROM supplier), b AS (SELECT c_custkey AS f, c_nationkey AS p FROM customer)
 SELECT DISTINCT ':' || a.p AS locator, a.f AS listener_file, b.f AS client_file FROM a JOIN b USING (p) WHERE a.f <> b.f""")
 def listener_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda c: F.concat(F.lit(":"), c).alias("locator")
     listeners = table(spark, sf_dir, "supplier").select(F.lit("port").alias("kind"), at("s_nationkey"), F.col("s_suppkey").alias("file_id"))
-    clients = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.lit("port").alias("kind"), at("c_nationkey"), F.col("c_custkey").alias("file_id"))
+    clients = table(spark, sf_dir, "customer").select(F.lit("port").alias("kind"), at("c_nationkey"), F.col("c_custkey").alias("file_id"))
     return facts.shared_endpoints(listeners, clients)
 
 
