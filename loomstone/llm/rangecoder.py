@@ -5,8 +5,9 @@ decoded alone with the group's head. For each id, three predictions are mixed in
 64-bit range coder (total 2^28):
 
 * order 2 and order 1: the id that last followed the same two ids, or the same id, in this block. Each has
-  a confidence that rises with hits, and the block learns how often a prediction of each confidence
-  comes true; where both orders predict the same id their shares join, otherwise order 1 has its part of what order 2 leaves;
+  a confidence that rises with hits and falls with misses, and its share of the interval is what
+  predictions of that confidence deserve; where both orders predict the same id their shares join,
+  otherwise order 1 has its part of what order 2 leaves;
 * order 0: the rest is shared by the frequencies of the group's ids (kept in its head).
 
 Blocks are coded side by side: one numpy step handles the i-th id of every block.
@@ -20,8 +21,8 @@ import zlib
 import numpy as np
 
 MAGIC = b"LRC1"
-BLOCK = 2048
-#: Ids of one group at most: bounds memory, and gives a thousand blocks side by side.
+BLOCK = 1024
+#: Ids of one group at most: bounds memory, and gives two thousand blocks side by side.
 GROUP = 1 << 21
 _BASE_BITS, _CHOICE_BITS = 16, 12
 _BASE, _CHOICE = 1 << _BASE_BITS, 1 << _CHOICE_BITS
@@ -29,7 +30,26 @@ _SLOTS1, _SLOTS2 = 1 << 10, 1 << 11
 _TOP = np.uint64(1 << 32)
 _LOW32 = np.uint64((1 << 32) - 1)
 _U = np.uint64
-_CONF = 4  # confidence levels 0 (no prediction) to 3
+_SHIFT, _32 = _U(_BASE_BITS + _CHOICE_BITS), _U(32)
+
+# Shares of 4096 by confidence 0 (no prediction) to 7.
+_SHARE2 = np.array([1, 232, 2000, 3400, 3650, 3650, 3650, 3900], dtype=np.int64)
+_SHARE1 = np.array([1, 180, 810, 1650, 1900, 2000, 2150, 2930], dtype=np.int64)
+
+
+def _share_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By confidence of order 2 * 16 + confidence of order 1 * 2 + same: ends of the intervals of order 2 and order 1
+    (times 2^16), and what is left for order 0."""
+    q2, q1, same = (x.ravel() for x in np.meshgrid(np.arange(8), np.arange(8), np.arange(2), indexing="ij"))
+    own = _SHARE2[q2]
+    other = np.maximum(_SHARE1[q1] * (_CHOICE - 2 - own) >> _CHOICE_BITS, 1)
+    two = np.where(same, np.minimum(own + other, _CHOICE - 8), own)
+    both = np.where(same, two, np.minimum(own + other, _CHOICE - 8))
+    return two << _BASE_BITS, both << _BASE_BITS, _CHOICE - both
+
+
+_TWO, _BOTH, _REST = _share_tables()
+_STEP_UP = np.array([1] * 7 + [0], dtype=np.int32)
 
 
 class CorruptBlock(ValueError):
@@ -38,7 +58,9 @@ class CorruptBlock(ValueError):
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and frequencies that sum to 2^16, none of them zero."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     if len(symbols) > _BASE // 2:
         raise ValueError("more than 32768 distinct ids in a group")
     freq = 1 + counts * (_BASE - len(symbols)) // counts.sum()
@@ -46,49 +68,45 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return symbols.astype(np.uint32), freq.astype(np.uint32)
 
 
+def _slot1(p1: np.ndarray) -> np.ndarray:
+    return (p1 * 40503 >> 3) & (_SLOTS1 - 1)
+
+
+def _slot2(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+    return ((p1 * 40503 ^ p2 * 60493) >> 4) & (_SLOTS2 - 1)
+
+
 class _Model:
-    """State of all blocks: predictions by hashed context, and how often each confidence holds."""
+    """Predictions of all blocks by hashed context; an entry is id * 8 + confidence."""
 
     def __init__(self, lanes: int) -> None:
         self.at1 = np.arange(lanes, dtype=np.int64) * _SLOTS1
         self.at2 = np.arange(lanes, dtype=np.int64) * _SLOTS2
-        self.conf_at = np.arange(lanes, dtype=np.int64) * _CONF
-        # An entry is id * 4 + confidence.
         self.table1 = np.zeros(lanes * _SLOTS1, dtype=np.int32)
         self.table2 = np.zeros(lanes * _SLOTS2, dtype=np.int32)
-        start = np.array([1, 1100, 2000, 3000], dtype=np.int32)
-        self.hit1, self.hit2 = np.tile(start, lanes), np.tile(start, lanes)
-        self.prev1 = np.zeros(lanes, dtype=np.int32)
-        self.prev2 = np.zeros(lanes, dtype=np.int32)
-
-    def predict(self, n: int):
-        """Of the first n lanes: ids of order 2 and 1, their shares of the choice, and what update needs."""
-        p1, p2 = self.prev1[:n], self.prev2[:n]
-        i1 = self.at1[:n] + ((p1 * 40503) >> 3 & (_SLOTS1 - 1))
-        i2 = self.at2[:n] + ((p1 * 40503 ^ p2 * 60493) >> 4 & (_SLOTS2 - 1))
-        e1, e2 = self.table1[i1], self.table2[i2]
-        q1, q2 = self.conf_at[:n] + (e1 & 3), self.conf_at[:n] + (e2 & 3)
-        h1, h2 = self.hit1[q1], self.hit2[q2]
-        c1, c2 = e1 >> 2, e2 >> 2
-        left = _CHOICE - 2 - h2
-        s1 = (h1 * left) >> _CHOICE_BITS
-        same = c1 == c2
-        # Equal predictions join; a share of zero means that order 1 has no interval of its own.
-        s2 = h2 + s1 * same
-        s1 = s1 * ~same
-        return c2, c1, s2, s1, (i1, i2, e1, e2, q1, q2, h1, h2)
-
-    def update(self, n: int, ids: np.ndarray, kept) -> None:
-        i1, i2, e1, e2, q1, q2, h1, h2 = kept
-        for table, hits, i, e, q, h in ((self.table1, self.hit1, i1, e1, q1, h1), (self.table2, self.hit2, i2, e2, q2, h2)):
-            conf = e & 3
-            hit = (e >> 2) == ids
-            # A hit raises the confidence; a miss lowers it, and replaces an entry of confidence 1 or none.
-            table[i] = np.where(hit, e + (conf < 3), np.where(conf > 1, e - 1, ids * 4 + 1))
-            known = h + np.where(hit, (_CHOICE - 64 - h) >> 5, -(h >> 5))
-            hits[q] = np.where(conf > 0, known, h)
-        self.prev2[:n] = self.prev1[:n]
-        self.prev1[:n] = ids
+
+    def look(self, i1: np.ndarray, i2: np.ndarray):
+        e1, e2 = self.table1.take(i1), self.table2.take(i2)
+        c1, c2 = e1 >> 3, e2 >> 3
+        q1, q2 = e1 & 7, e2 & 7
+        key = (q2 << 4) + (q1 << 1) + (c1 == c2)
+        return e1, e2, c1, c2, q1, q2, _TWO.take(key), _BOTH.take(key), _REST.take(key)
+
+    def learn(self, i1, i2, e1, e2, q1, q2, hit1, hit2, entry) -> None:
+        """A hit raises the confidence; a miss lowers it, and replaces an entry of confidence 1 or none."""
+        self.table1[i1] = np.where(hit1, e1 + _STEP_UP.take(q1), np.where(q1 > 1, e1 - 1, entry))
+        self.table2[i2] = np.where(hit2, e2 + _STEP_UP.take(q2), np.where(q2 > 1, e2 - 1, entry))
+
+
+def _settle(lo: np.ndarray, r: np.ndarray, go: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low ends and ranges of the lanes ``go`` whose range fell below 2^32: cut at a carry, if one could come."""
+    low, rng = lo[go], r[go]
+    carry = (low ^ (low + rng)) >= _TOP
+    if carry.any():
+        rng = np.where(carry, (~low + _U(1)) & _LOW32, rng)
+    lo[go] = low << _32
+    r[go] = rng << _32
+    return low, rng
 
 
 def _spans(n: int, block: int) -> tuple[int, int]:
@@ -97,7 +115,7 @@ def _spans(n: int, block: int) -> tuple[int, int]:
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """Head, block table and words of a group of ids (each below 2^29)."""
+    """Head, block table and words of a group of ids (each below 2^28; a table of the largest is made)."""
     n = len(ids)
     head = [MAGIC, struct.pack("<IIQ", 1, block, n)]
     if not n:
@@ -108,50 +126,45 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     padded = np.zeros(lanes * block, dtype=np.int32)
     padded[:n] = ids
     columns = np.ascontiguousarray(padded.reshape(lanes, block).T)
-    place = np.zeros(lanes * block, dtype=np.int32)
-    place[:n] = np.searchsorted(symbols, ids)
-    places = np.ascontiguousarray(place.reshape(lanes, block).T)
+    del padded
+    rank = np.zeros(int(symbols[-1]) + 1, dtype=np.int32)
+    rank[symbols] = np.arange(len(symbols))
+    places = rank.take(columns, mode="clip")
     cum = np.zeros(len(symbols) + 1, dtype=np.int64)
     np.cumsum(freq, out=cum[1:])
-    freq64, cum64 = freq.astype(np.int64), cum
+    freq = freq.astype(np.int64)
     low, rng = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-    out, at = np.zeros((lanes, block + 8), dtype=np.uint32), np.zeros(lanes, dtype=np.int64)
-    model = _Model(lanes)
+    width = block + 8
+    out, at = np.zeros(lanes * width, dtype=np.uint32), np.arange(lanes, dtype=np.int64) * width
+    model, zero = _Model(lanes), np.zeros(lanes, dtype=np.int32)
     for step in range(block):
         m = lanes if step < tail else lanes - 1
         if not m:
             break
         x, y = columns[step, :m], places[step, :m]
-        c2, c1, s2, s1, kept = model.predict(m)
-        is2 = c2 == x
-        is1 = (c1 == x) & (s1 > 0) & ~is2
-        # Intervals of the choice: order 2, order 1, rest. Confidence 0 has a share of one and id 0.
-        rest = (_CHOICE - s2 - s1).astype(np.int64)
-        begin = np.where(is2, 0, np.where(is1, s2.astype(np.int64) << _BASE_BITS, ((s2 + s1).astype(np.int64) << _BASE_BITS) + rest * cum64[y]))
-        size = np.where(is2, s2.astype(np.int64) << _BASE_BITS, np.where(is1, s1.astype(np.int64) << _BASE_BITS, rest * freq64[y]))
-        model.update(m, x, kept)
-        lo, r = low[:m], rng[:m] >> _U(_BASE_BITS + _CHOICE_BITS)
-        lo = lo + r * begin.view(np.uint64)
-        r = r * size.view(np.uint64)
-        while True:
-            settled = (lo ^ (lo + r)) < _TOP
-            small = (r < _TOP) & ~settled
-            if small.any():
-                r = np.where(small, (~lo + _U(1)) & _LOW32, r)
-                settled |= small
-            go = np.flatnonzero(settled)
-            if not len(go):
-                break
-            out[go, at[go]] = lo[go] >> _U(32)
-            at[go] += 1
-            lo[go] <<= _U(32)
-            r[go] <<= _U(32)
-        low[:m], rng[:m] = lo, r
+        p1 = columns[step - 1, :m] if step else zero[:m]
+        p2 = columns[step - 2, :m] if step > 1 else zero[:m]
+        i1, i2 = _slot1(p1) + model.at1[:m], _slot2(p1, p2) + model.at2[:m]
+        e1, e2, c1, c2, q1, q2, two, both, rest = model.look(i1, i2)
+        hit1, hit2 = c1 == x, c2 == x
+        begin = np.where(hit2, 0, np.where(hit1, two, both + rest * cum.take(y)))
+        size = np.where(hit2, two, np.where(hit1, both - two, rest * freq.take(y)))
+        model.learn(i1, i2, e1, e2, q1, q2, hit1, hit2, (x << 3) + 1)
+        lo, r = low[:m], rng[:m] >> _SHIFT
+        lo += r * begin.view(np.uint64)
+        r *= size.view(np.uint64)
+        go = np.flatnonzero(r < _TOP)
+        if len(go):
+            settled, _ = _settle(lo, r, go)
+            spot = at[go]
+            out[spot] = settled >> _32
+            at[go] = spot + 1
+        rng[:m] = r
     for _ in range(2):
-        out[np.arange(lanes), at] = low >> _U(32)
+        out[at] = low >> _32
         at += 1
-        low <<= _U(32)
-    words = [out[i, : at[i]].tobytes() for i in range(lanes)]
+        low <<= _32
+    words = [out[i * width : to].tobytes() for i, to in enumerate(at.tolist())]
     table = np.array([(len(w) // 4, zlib.crc32(w)) for w in words], dtype="<u4")
     body = b"".join([*head, struct.pack("<I", len(symbols)), symbols.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), table.tobytes()])
     return b"".join([body, struct.pack("<I", zlib.crc32(body)), *words])
@@ -185,38 +198,34 @@ def decode(data: bytes) -> np.ndarray:
     low, rng = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     code = words[:, 0] << _U(32) | words[:, 1]
     at, columns, model = np.full(lanes, 2, dtype=np.int64), np.zeros((block, lanes), dtype=np.int32), _Model(lanes)
+    flat, width = words.reshape(-1), words.shape[1]
+    base, last = np.arange(lanes, dtype=np.int64) * width, width - 1
+    p1 = p2 = np.zeros(lanes, dtype=np.int32)
     for step in range(block):
         m = lanes if step < tail else lanes - 1
         if not m:
             break
-        c2, c1, s2, s1, kept = model.predict(m)
-        lo, r, co = low[:m], rng[:m] >> _U(_BASE_BITS + _CHOICE_BITS), code[:m]
+        p1, p2 = p1[:m], p2[:m]
+        i1, i2 = _slot1(p1) + model.at1[:m], _slot2(p1, p2) + model.at2[:m]
+        e1, e2, c1, c2, q1, q2, two, both, rest = model.look(i1, i2)
+        lo, r, co = low[:m], rng[:m] >> _SHIFT, code[:m]
         v = np.minimum((co - lo) // r, _U((1 << (_BASE_BITS + _CHOICE_BITS)) - 1)).view(np.int64)
-        choice = (v >> _BASE_BITS).astype(np.int32)
-        is2 = choice < s2
-        is1 = ~is2 & (choice < s2 + s1)
-        rest = (_CHOICE - s2 - s1).astype(np.int64)
-        start = (s2 + s1).astype(np.int64) << _BASE_BITS
-        y = which[np.where(is2 | is1, 0, (v - start) // rest)]
-        x = np.where(is2, c2, np.where(is1, c1, symbols[y]))
-        begin = np.where(is2, 0, np.where(is1, s2.astype(np.int64) << _BASE_BITS, start + rest * cum[y]))
-        size = np.where(is2, s2.astype(np.int64) << _BASE_BITS, np.where(is1, s1.astype(np.int64) << _BASE_BITS, rest * freq[y]))
-        model.update(m, x, kept)
+        in2, in1 = v < two, v < both
+        # Both numbers are below 2^28, so the quotient of doubles is cut to the right integer.
+        y = which.take(np.where(in1, 0, (v - both) / rest).astype(np.int64))
+        x = np.where(in2, c2, np.where(in1, c1, symbols.take(y)))
+        begin = np.where(in2, 0, np.where(in1, two, both + rest * cum.take(y)))
+        size = np.where(in2, two, np.where(in1, both - two, rest * freq.take(y)))
+        model.learn(i1, i2, e1, e2, q1, q2, c1 == x, c2 == x, (x << 3) + 1)
         columns[step, :m] = x
-        lo = lo + r * begin.view(np.uint64)
-        r = r * size.view(np.uint64)
-        while True:
-            settled = (lo ^ (lo + r)) < _TOP
-            small = (r < _TOP) & ~settled
-            if small.any():
-                r = np.where(small, (~lo + _U(1)) & _LOW32, r)
-                settled |= small
-            go = np.flatnonzero(settled)
-            if not len(go):
-                break
-            lo[go] <<= _U(32)
-            r[go] <<= _U(32)
-            co[go] = co[go] << _U(32) | words[go, np.minimum(at[go], words.shape[1] - 1)]
-            at[go] += 1
-        low[:m], rng[:m], code[:m] = lo, r, co
+        p1, p2 = x, p1
+        lo += r * begin.view(np.uint64)
+        r *= size.view(np.uint64)
+        go = np.flatnonzero(r < _TOP)
+        if len(go):
+            _settle(lo, r, go)
+            spot = at[go]
+            code[go] = code[go] << _32 | flat.take(base[go] + np.minimum(spot, last))
+            at[go] = spot + 1
+        rng[:m] = r
     return columns.T.reshape(-1)[:n]

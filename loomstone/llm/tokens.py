@@ -30,7 +30,7 @@ from loomstone.llm.textcore import Words, passes, release, string_bytes, word_ha
 
 END_ID = 2
 #: Pieces that a Python worker remembers before it starts anew, and bytes of pieces that are encoded in one text.
-MEMO = 500_000
+MEMO = 1_500_000
 JOINED_BYTES = 20_000
 
 #: Bytes that are white space or may begin a character that is.
@@ -175,7 +175,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
 
         size = 0
         for batch in batches:
-            for some in passes(batch, "text", 1 << 20):
+            for some in passes(batch, "text", 2 << 20):
                 ids, counts = encoder.encode(some.column("text"), end_id)
                 names, at, row = some.column("doc_id").to_pylist(), 0, 0
                 for to, end in enumerate(np.cumsum(counts).tolist(), 1):
