@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 READ_VERBS = ("SELECT", "WITH", "PRAGMA", "EXPLAIN", "ANALYZE")
 WRITE_VERBS = ("INSERT", "UPDATE", "DELETE", "REPLACE", "CREATE", "ALTER", "DROP", "TRUNCATE", "MERGE", "UPSERT")
 LEADING_COMMENTS = r"^(?:\s|--[^\n]*\n|/\*(?s:.*?)\*/)*"
-#: Endings dropped to get a word's root, longest first.
+#: Fixed pattern: endings dropped to get a word's root.
 ROOT_ENDINGS = r"(ations?|ments?|ings?|ed|es|s|ly)$"
 BYTES_PER_TOKEN = 3.7
 

@@ -131,6 +131,12 @@ def scan_estimate(files: DataFrame) -> DataFrame:
     return files.groupBy("language", "category").agg(F.count("*").alias("n_files"), F.sum(ms).cast("long").alias("est_ms"))
 
 
+def scan_summary(files: DataFrame) -> DataFrame:
+    """Counters of one scan: files by parse status (parsed, skipped, failed), and those that are absent."""
+    n = lambda s: F.count_if(F.col("parse_status") == s).alias(s)
+    return files.agg(F.count("*").alias("files"), n("parsed"), n("skipped"), n("failed"), F.count_if(~F.col("present")).alias("absent"))
+
+
 def scan_warning(n):
     """none, busy (1,000 files or more) or huge (5,000 or more)."""
     return F.when(n >= HUGE_FILES, "huge").when(n >= BUSY_FILES, "busy").otherwise("none")

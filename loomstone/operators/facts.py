@@ -12,7 +12,7 @@ MODEL_SUFFIXES = ("gguf", "safetensors", "onnx", "ggml", "pt", "pth")
 BINARIES = ("llama-server", "llama-cli", "llama.cpp", "ollama", "ffmpeg", "sqlite3", "pg_dump", "redis-server", "mongod", "python3", "node")
 SQL_TYPES = ("sqlite", "duckdb", "postgres", "mysql")
 
-# (order, kind, pattern, group): in the order of detection; of equal endpoints the first counts.
+# Fixed patterns (order, kind, pattern, group), in the order of detection; of equal endpoints the first counts.
 _DETECTORS = (
     (0, "server", r"https?://([a-zA-Z0-9._-]+:\d{2,5})\b", 1),
     (1, "server", r"\b((?:\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}|localhost):\d{2,5})\b", 1),

@@ -556,3 +556,22 @@ def snippet_language(text: Column, hint: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(hint)), F.when(ratio >= 0.5, "shell"), out)
 
 
+SNIPPET_PARTS = "page_id long, element_id string, language string, address string, kind string, name string, start_line int, end_line int"
+
+
+def snippet_parts(elements: DataFrame) -> DataFrame:
+    """Addressed parts (e12.3.1) of code snippets: elements(page_id, element_id, text, hint)."""
+    rows = elements.select(F.col("page_id").cast("long").alias("page_id"), "element_id", "text", snippet_language(F.col("text"), F.col("hint")).alias("language"))
+    types = [pa.int64(), *[pa.string()] * 5, pa.int32(), pa.int32()]
+    names = [c.split()[0] for c in SNIPPET_PARTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page, element, text, language in zip(*(batch.column(c).to_pylist() for c in ("page_id", "element_id", "text", "language")), strict=True):
+                parts = segment_rows(page, f"snippet.{language}", text or "", language) if text else []
+                out += [(page, element, language, f"{element}.{r[5]}", r[6], r[7], r[10], r[11]) for r in parts if r[5]]
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return rows.mapInArrow(run, SNIPPET_PARTS)

@@ -66,6 +66,12 @@ def scan_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.scan_estimate(files(spark, sf_dir)).withColumn("warning", c.scan_warning(F.col("n_files")))
 
 
+@query("scan_summary", "SELECT count(*) AS files, count(*) FILTER (o_orderstatus = 'O') AS parsed, count(*) FILTER (o_orderstatus = 'F') AS skipped, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS failed, count(*) FILTER (o_orderkey % 9 = 0) AS absent FROM orders")
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "O", "parsed").when(F.col("o_orderstatus") == "F", "skipped").otherwise("failed")
+    return c.scan_summary(table(spark, sf_dir, "orders").select(status.alias("parse_status"), (F.col("o_orderkey") % 9 != 0).alias("present")))
+
+
 @query("folder_overview", f"WITH {FILES_SQL} SELECT split_part(rel_path, '/', 1) AS folder, count(*) AS n_files FROM files GROUP BY 1")
 def folder_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.folder_overview(files(spark, sf_dir))

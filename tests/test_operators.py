@@ -219,6 +219,14 @@ def test_sql_findings(spark):
     assert validate.bind_placeholders("a = %s AND b = '%s' AND c = $1", "postgres") == "a = NULL AND b = '%s' AND c = NULL"
 
 
+def test_schemas_and_touched_tables(spark):
+    spark.createDataFrame([(1, "x")], "a int, b string").createOrReplaceTempView("touched_t")
+    assert [tuple(r) for r in validate.schema_table(spark, ["touched_t"]).orderBy("ord").collect()] == [("touched_t", 0, "a", "int"), ("touched_t", 1, "b", "string")]
+    assert len(validate.tables_touched(spark, "SELECT x.a FROM touched_t x JOIN touched_t y ON x.a = y.a")) == 2
+    found = validate.dispatch([(1, "redis", "GET a"), (2, "lmdb", "names"), (3, "lmdb", "gone")], {"lmdb": validate.NamedSetAdapter("lmdb", {"names"})})
+    assert [(i, f.ok, f.kind) for i, _, f in found] == [(1, True, "not_checked"), (2, True, ""), (3, False, "unknown_table")]
+
+
 def test_streams_agree_with_batches(spark, tmp_path):
     from loomstone.streaming import streams
 

@@ -75,3 +75,10 @@ def test_windows_gaps_and_snippets(spark):
     assert sorted((r.doc_id, r.start_line, r.end_line) for r in s.fill_lines(spans, totals).collect()) == [(1, 1, 2), (1, 10, 11), (1, 13, 14), (2, 1, 3)]
     code = spark.createDataFrame([("x", "PY"), ("$ ls\ncd a\nfoo", None), ("def f(a):\n  pass", None), ("plain words", None)], "t string, h string")
     assert [r[0] for r in code.select(s.snippet_language(F.col("t"), F.col("h"))).collect()] == ["python", "shell", "python", "plaintext"]
+
+
+def test_snippet_parts(spark):
+    code = "import a\n\nclass C:\n    def m(self): ...\n\ndef f(): pass\n"
+    rows = spark.createDataFrame([(1, "e12", code, "py"), (1, "e13", None, None)], "page_id long, element_id string, text string, hint string")
+    got = {(r.address, r.kind, r.name) for r in s.snippet_parts(rows).collect()}
+    assert got == {("e12.1", "import", "import a"), ("e12.2", "class", "C"), ("e12.2.1", "function", "m"), ("e12.3", "function", "f")}
