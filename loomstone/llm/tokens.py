@@ -15,6 +15,7 @@ doc_id are ordered by their text's hash; an empty table gives an empty folder of
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -49,6 +50,8 @@ def encoder_for(path: str) -> Encoder:
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    # A task has one core: the library's own threads would wait for each other on it.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Tokenizer.from_file(path)
 
 
