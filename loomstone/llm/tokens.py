@@ -117,11 +117,10 @@ class Encoder:
         start = np.zeros(len(begin), dtype=np.int64)
         start[order] = len(self.pool) + np.cumsum(sizes[order]) - sizes[order]
         self.pool = np.concatenate([self.pool, *chunks])
-        # Keep the table in order of keys.
-        keys = np.concatenate([self.keys, key])
-        by = np.argsort(keys, kind="stable")
-        self.keys, self.checks = keys[by], np.concatenate([self.checks, check])[by]
-        self.start, self.size = np.concatenate([self.start, start])[by], np.concatenate([self.size, sizes.astype(np.int32)])[by]
+        # The table stays in order of keys; the new ones are in order, too.
+        spot = np.searchsorted(self.keys, key)
+        self.keys, self.checks = np.insert(self.keys, spot, key), np.insert(self.checks, spot, check)
+        self.start, self.size = np.insert(self.start, spot, start), np.insert(self.size, spot, sizes.astype(np.int32))
 
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty), each followed by ``end_id``, and their counts."""
@@ -133,7 +132,13 @@ class Encoder:
         ends = np.append(starts[1:], len(raw))[: len(starts)]
         spans = Words(buf, np.zeros(0, dtype=bool), starts, ends, np.zeros(1, dtype=np.int64))
         hashes = word_hashes(spans)
-        key, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        new = np.ones(len(ordered), dtype=bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        key, first = ordered[new], order[new]
+        inverse = np.empty(len(order), dtype=np.int64)
+        inverse[order] = np.cumsum(new) - 1
         # The other 64 bits, of the bytes turned over: pieces with equal keys but unequal checks are told apart below.
         buf[: len(raw)] = ~raw
         check = word_hashes(Words(buf, spans.inside, starts[first], ends[first], spans.first))
