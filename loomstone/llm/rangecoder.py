@@ -22,11 +22,11 @@ import numpy as np
 
 MAGIC = b"LRC1"
 BLOCK = 1024
-#: Ids of one group at most: bounds memory, and gives two thousand blocks side by side.
-GROUP = 1 << 21
+#: Ids of one group at most: bounds memory, and gives three thousand blocks side by side.
+GROUP = 3 << 20
 _BASE_BITS, _CHOICE_BITS = 16, 12
 _BASE, _CHOICE = 1 << _BASE_BITS, 1 << _CHOICE_BITS
-_SLOTS1, _SLOTS2 = 1 << 10, 1 << 11
+_SLOTS1, _SLOTS2 = 1 << 9, 1 << 10
 _TOP = np.uint64(1 << 32)
 _LOW32 = np.uint64((1 << 32) - 1)
 _U = np.uint64

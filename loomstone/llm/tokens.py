@@ -199,8 +199,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
         if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # Rows of one doc_id meet in one partition; their order comes from the texts' hashes, taken behind the shuffle.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
+    ordered = rows.sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(run, FILE_SCHEMA).write.option("compression", "none").parquet(path)
 
 
