@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.components import components
 from loomstone.llm.scratch import cut, small_batches
-from loomstone.llm.textcore import SPACE_WORDS, combine, passes, run_hashes, scan, word_hashes
+from loomstone.llm.textcore import SPACE_WORDS, passes, run_hashes, scan, word_hashes
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -191,11 +191,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(by_print, "fp", "left").join(least, "fp").select("doc_id", "fp", F.coalesce("component_id", "least").alias("component_id"))
 
 
-# Documents of a given similarity: wider sketches decide what fingerprints of words propose.
+# Documents of a given similarity: fingerprints and shared shingles propose, the exact shingle sets decide.
 SIMILARITY = 0.8
-PROPOSALS = 5
 PROPOSAL_RADIUS = 3
-SKETCH_WORDS = 8
+#: Members of a shingle's list that are compared with each other at a time; results do not depend on it.
+LIST_BLOCK = 1024
+#: One text in so many is counted to tell frequent shingles; it orders the shingles, and results do not depend on it.
+COUNTED = 16
+#: Bits of a node number that tell it in a bitmap.
+_BITMAP = 24
+_SLACK = 1e-6
 
 
 def _majority_bits(hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -204,129 +209,240 @@ def _majority_bits(hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) ->
     return np.packbits(2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def sketches_of(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """PROPOSALS fingerprints of each text's distinct words, and SKETCH_WORDS * 64 bits of its shingles."""
-    words = scan(texts, SPACE_WORDS, lower=True)
-    hashes, counts = word_hashes(words), words.counts
-    proposals, sketch = np.zeros((len(counts), PROPOSALS), dtype=np.uint64), np.zeros((len(counts), SKETCH_WORDS), dtype=np.uint64)
-    has = np.flatnonzero(counts)
-    if not len(has):
-        return proposals, sketch
-    doc = words.doc_of()
+def _distinct(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (hash, doc), sorted by doc and hash."""
     order = np.lexsort((hashes, doc))
     h, d = hashes[order], doc[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    h, d = h[new], d[new]
+    return h[new], d[new]
+
+
+def shingle_sets_of(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's SimHash of distinct words; all texts' distinct shingle hashes, sorted in each text; n + 1 offsets of the texts in them."""
+    words = scan(texts, SPACE_WORDS, lower=True)
+    hashes, counts = word_hashes(words), words.counts
+    prints, offsets = np.zeros(len(counts), dtype=np.uint64), np.zeros(len(counts) + 1, dtype=np.int64)
+    has = np.flatnonzero(counts)
+    if not len(has):
+        return prints, np.zeros(0, dtype=np.uint64), offsets
+    h, d = _distinct(hashes, words.doc_of())
     first = np.searchsorted(d, has)
-    sizes = np.diff(np.append(first, len(d)))
-    for i in range(PROPOSALS):
-        proposals[has, i] = _majority_bits(combine(h, np.full(len(h), i, dtype=np.uint64)), first, sizes)
+    prints[has] = _majority_bits(h, first, np.diff(np.append(first, len(d))))
     # Shingles: of a text with fewer words, all its words.
-    short = np.flatnonzero(counts[has] < shingle)
     runs = run_hashes(np.append(hashes, np.zeros(shingle - 1, dtype=np.uint64)), shingle)
     n = np.maximum(counts[has] - shingle + 1, 1)
     first = np.cumsum(n) - n
-    at = np.repeat(words.first[has] - first, n) + np.arange(n.sum())
-    runs = runs[at]
-    for i in short.tolist():
+    runs = runs[np.repeat(words.first[has] - first, n) + np.arange(n.sum())]
+    for i in np.flatnonzero(counts[has] < shingle).tolist():
         own = hashes[words.first[has[i]] : words.first[has[i] + 1]]
         runs[first[i]] = run_hashes(own, len(own))[0] ^ np.uint64(len(own))
-    for i in range(SKETCH_WORDS):
-        sketch[has, i] = _majority_bits(combine(runs, np.full(len(runs), 100 + i, dtype=np.uint64)), first, n)
-    return proposals, sketch
-
-
-def sketch_limit(similarity: float) -> int:
-    """Differing sketch bits at a Jaccard similarity: the angle between sets of like size, as a share of pi."""
-    return int(SKETCH_WORDS * 64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    runs, d = _distinct(runs, np.repeat(has, n))
+    return prints, runs, np.searchsorted(d, np.arange(len(counts) + 1))
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, radius: int = PROPOSAL_RADIUS, tree_limit: int = TREE_LIMIT, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (doc_id, ``carry``, component_id) for documents whose shingle sets are similar, as their sketches tell.
+    """Rows (doc_id, ``carry``, component_id, class_id): classes of documents linked by shingle sets of Jaccard ``similarity`` or more.
 
-    Each fingerprint of distinct words changes little by edits that leave the shingles ``similarity``; shard
-    BK-trees over each of them propose links within ``radius``, and a link holds if the 512-bit shingle
-    sketches differ in no more bits than ``sketch_limit``. Wordless texts are similar to each other only.
+    A link is decided by the two exact sets of distinct shingles (64-bit hashes). SimHash fingerprints of the distinct words
+    within ``radius``, by the BK-trees of shards, and neighbours in shingle lists propose first, which joins most of
+    a large class with few comparisons. The lists then propose all that is left: sets of that similarity share one
+    of their n - ceil(similarity * n) + 1 rarest shingles, so no link is missed. Wordless texts are similar to
+    each other only. component_id is the smallest doc_id of a class; class_id tells classes apart.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in passes(batch, "text", 1 << 20):
-                proposals, sketch = sketches_of(part.column("text"), shingle)
-                rows = pa.array([r.tobytes() for r in sketch], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("carried"), pa.array(proposals.view(np.int64).tolist(), type=pa.list_(pa.int64())), rows], names=["doc_id", "carried", "fps", "sketch"])
+                prints, node, _ = _nodes_of(part.column("text"), shingle)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("carried"), pa.array(node), pa.array(prints.view(np.int64))], names=["doc_id", "carried", "node", "fp"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.struct(*carry) if carry else F.lit(0)).alias("carried"))
-    sketched = cut(source.mapInArrow(run, f"doc_id long, carried {source.schema['carried'].dataType.simpleString()}, fps array<long>, sketch binary"), "sketches")
-    # Equal sketches are one node; written once, so that the numbers hold.
-    nodes = cut(sketched.groupBy("fps", "sketch").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
-    roots = components(_verified_links(nodes, sketch_limit(similarity), radius, tree_limit), "sketch-links")
-    named = nodes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = nodes.join(roots.join(named, "root").select("node", "component_id"), "node", "left").select("fps", "sketch", F.coalesce("component_id", "least").alias("component_id"))
-    return sketched.join(classes, ["fps", "sketch"]).select("doc_id", *(["carried.*"] if carry else []), "component_id")
-
-
-def _verified_links(nodes: DataFrame, limit: int, radius: int, tree_limit: int) -> DataFrame:
-    """Star edges (u, v) between nodes that a shard's BK-tree proposes and whose sketches agree."""
-    proposed = nodes.select("node", F.posexplode("fps").alias("number", "fp"))
-    keys = F.transform(shard_keys(F.col("fp"), radius), lambda k: k * PROPOSALS + F.col("number"))
-    keyed = proposed.select("node", "fp", F.explode(keys).alias("shard"))
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    trees = F.ceil(F.col("n") / tree_limit).cast("int")
-    dealt = (
-        keyed.join(sizes, "shard")
-        .withColumn("own", F.pmod(F.xxhash64("node"), trees).cast("int"))
-        .select("node", "fp", "shard", "own", F.explode(F.sequence(F.lit(0), "own")).alias("tree"))
-        .join(nodes.select("node", "sketch"), "node")
-        .select("shard", "tree", "node", "fp", (F.col("own") == F.col("tree")).cast("int").alias("inside"), "sketch")
-    )
-
-    def match(members: list[tuple]) -> list[tuple[int, int]]:
-        tree, at, parent = BKTree(), {}, {}
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        for node, fp, inside, sketch in sorted(members, key=lambda m: (-m[2], m[0])):
-            parent[node] = mine = node
-            for near in tree.within(fp, radius):
-                for other, theirs in at[near]:
-                    root = find(other)
-                    if root != mine and (theirs ^ sketch).bit_count() <= limit:
-                        a, b = max(root, mine), min(root, mine)
-                        parent[a] = mine = b
-            if inside:
-                if fp not in at:
-                    tree.add(fp)
-                at.setdefault(fp, []).append((node, sketch))
-        return [(x, r) for x in parent if (r := find(x)) != x]
+    # Equal sets are one node.
+    rows = cut(source.mapInArrow(run, f"doc_id long, carried {source.schema['carried'].dataType.simpleString()}, node long, fp long"), "shingle-nodes")
+    # Sets are as large as the texts: each pass takes them from the texts again instead of writing them.
+    lists = cut(_shared_shingles(docs, shingle, similarity), "shingle-lists")
+    near = _print_pairs(rows.select("node", "fp").distinct(), radius, tree_limit).union(_list_pairs(lists, similarity))
+    early = cut(_verified(near, docs, shingle, similarity), "early-links")
+    roots = components(early, "early-links")
+    # Lists whose members are not all of one class yet: every pair of different classes.
+    rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 2 AND a <> b")
+    late = _verified(_list_pairs(rooted.join(mixed.select("shingle"), "shingle", "left_semi"), similarity), docs, shingle, similarity)
+    roots = components(early.union(late), "set-links")
+    labelled = rows.select("doc_id", "carried", "node").join(roots, "node", "left").withColumn("class_id", F.coalesce("root", "node"))
+    named = labelled.groupBy("class_id").agg(F.min("doc_id").alias("component_id"))
+    return labelled.join(named, "class_id").select("doc_id", *(["carried.*"] if carry else []), "component_id", "class_id")
+
+
+def _nodes_of(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Fingerprints, nodes (hashes of the sets) and shingle sets of texts."""
+    prints, runs, offsets = shingle_sets_of(texts, shingle)
+    data, ends = runs.tobytes(), (8 * offsets).tolist()
+    sets = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    return prints, np.array([xxhash.xxh64_intdigest(s) for s in sets], dtype=np.uint64).view(np.int64), sets
+
+
+def _sets(docs: DataFrame, shingle: int, wanted=None) -> DataFrame:
+    """Rows (node, shingles) of the texts; ``wanted``: a broadcast bitmap of node numbers, by which others are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members = None, []
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            shard, tree, node, fp, inside, sketch = (batch.column(i).to_pylist() for i in range(6))
-            for k in zip(shard, tree, node, fp, inside, sketch, strict=True):
-                if k[:2] != key:
-                    if len(members) > 1:
-                        out += match(members)
-                    key, members = k[:2], []
-                members.append((k[2], k[3] & 0xFFFFFFFFFFFFFFFF, k[4], int.from_bytes(k[5], "little")))
-            if out:
-                yield _edges(out)
-        if len(members) > 1 and (out := match(members)):
-            yield _edges(out)
+            for part in passes(batch, "text", 1 << 20):
+                _, node, sets = _nodes_of(part.column("text"), shingle)
+                out = pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, type=pa.binary())], names=["node", "shingles"])
+                if wanted is not None:
+                    bit = (node & ((1 << _BITMAP) - 1)).view(np.uint64)
+                    out = out.filter(pa.array((wanted.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)) == 1))
+                yield out
+
+    return docs.select("text").mapInArrow(run, "node long, shingles binary")
+
+
+def _print_pairs(nodes: DataFrame, radius: int, tree_limit: int) -> DataFrame:
+    """Pairs (u, v) of nodes with equal fingerprints or in one star of ``links``."""
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    same = nodes.join(least, "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    ends = links(least.select("fp"), radius, tree_limit)
+    for end in ("u", "v"):
+        ends = ends.join(least.withColumnsRenamed({"fp": end, "least": f"node_{end}"}), end)
+    return same.union(ends.select("node_u", "node_v"))
 
-    return dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree").mapInArrow(run, "u long, v long").distinct()
 
+def _shared_shingles(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Rows (shingle, node, size, pos) of the rarest shingles of each node that another node has among its own."""
+    spark = docs.sparkSession
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    ends = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), dtype=np.int64))], names=["shingle"])
+
+    counts = _sets(docs.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0), shingle).select("shingles").mapInArrow(spread, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    counts = cut(counts.where("n > 1"), "shingle-counts")
+    # At most about a million frequent shingles go out.
+    least = max(4, (counts.agg(F.sum("n")).first()[0] or 0) >> 20)
+    found = counts.where(F.col("n") >= least).toArrow()
+    keys, times = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    frequent = spark.sparkContext.broadcast((keys[order], times[order]))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (known, times), seen = frequent.value, set()
+        for batch in batches:
+            nodes, texts = batch.column("node").to_pylist(), batch.column("shingles").to_pylist()
+            taken = [i for i, n in enumerate(nodes) if not (n in seen or seen.add(n)) and texts[i]]
+            if not taken:
+                continue
+            sizes = np.array([len(texts[i]) // 8 for i in taken])
+            shingles = np.frombuffer(b"".join([texts[i] for i in taken]), dtype=np.uint64)
+            doc, count = np.repeat(np.arange(len(taken)), sizes), np.zeros(len(shingles), dtype=np.int64)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+                count = np.where(known[place] == shingles, times[place], 0)
+            order = np.lexsort((shingles, count, doc))
+            pos = np.arange(len(shingles)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            lead = sizes - np.ceil(similarity * sizes - _SLACK).astype(np.int64) + 1
+            keep = pos < lead[doc]
+            own = np.array([nodes[i] for i in taken], dtype=np.int64)
+            yield _table(shingle=shingles[order][keep].view(np.int64), node=own[doc[keep]], size=sizes[doc[keep]], pos=pos[keep])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingle, node, size, pos in _whole_lists(batches):
+            new = np.ones(len(node), dtype=bool)  # a node comes once from each task that has a copy
+            new[1:] = (node[1:] != node[:-1]) | (shingle[1:] != shingle[:-1])
+            shingle, node, size, pos = (c[new] for c in (shingle, node, size, pos))
+            same = np.concatenate([[False], shingle[1:] == shingle[:-1], [False]])
+            keep = same[1:] | same[:-1]
+            if keep.any():
+                yield _table(shingle=shingle[keep], node=node[keep], size=size[keep], pos=pos[keep])
+
+    lists = "shingle long, node long, size long, pos long"
+    return _in_lists(_sets(docs, shingle).mapInArrow(rarest, lists)).mapInArrow(shared, lists)
+
+
+def _in_lists(rows: DataFrame) -> DataFrame:
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "size", "node")
+
+
+def _table(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns.values()], names=list(columns))
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of the batches, cut only where the first column changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        begin = int(np.searchsorted(columns[0], columns[0][-1]))
+        if begin or (held and held[-1][0][-1] != columns[0][0]):
+            yield [np.concatenate(c) for c in zip(*held, [c[:begin] for c in columns], strict=True)]
+            held = []
+        held.append([c[begin:] for c in columns])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _list_pairs(lists: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of nodes in a list whose sizes and places allow ``similarity``.
+
+    With a column root: all pairs of different roots; without: neighbours in the list only. A pair's first common
+    shingle stands in both their lists, and no shingle before it is common: that bounds what they share.
+    """
+    whole = "root" in lists.columns
+
+    def may(size, pos, i, j) -> np.ndarray:  # size[i] <= size[j]
+        least = similarity / (1 + similarity) * (size[i] + size[j])
+        return (size[i] >= similarity * size[j] - _SLACK) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= least - _SLACK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingle, node, size, pos, *root in _whole_lists(batches):
+            if not whole:
+                i = np.flatnonzero(shingle[1:] == shingle[:-1])
+                i = i[may(size, pos, i, i + 1)]
+                yield _table(u=node[i], v=node[i + 1])
+                continue
+            edges = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1], [True]])).tolist()
+            for begin, end in zip(edges, edges[1:], strict=False):
+                for a in range(begin, end, LIST_BLOCK):
+                    i = np.arange(a, min(a + LIST_BLOCK, end))[:, None]
+                    for b in range(a, end, LIST_BLOCK):
+                        if size[i[-1, 0]] < similarity * size[b] - _SLACK:
+                            break
+                        j = np.arange(b, min(b + LIST_BLOCK, end))[None, :]
+                        x, y = np.nonzero((i < j) & (root[0][i] != root[0][j]) & may(size, pos, i, j))
+                        if len(x):
+                            yield _table(u=node[i[x, 0]], v=node[j[0, y]])
+
+    columns = ["shingle", "node", "size", "pos", *(["root"] if whole else [])]
+    return _in_lists(lists.select(*columns)).mapInArrow(run, "u long, v long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The distinct pairs (u, v) whose shingle sets have a Jaccard similarity of at least ``similarity``."""
+    pairs = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "proposed")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    places = wanted.select(F.pmod("node", F.lit(1 << _BITMAP)).alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("m")).toArrow()
+    bitmap = np.zeros(1 << (_BITMAP - 6), dtype=np.uint64)
+    bitmap[places.column("w").to_numpy()] = places.column("m").to_numpy().view(np.uint64)
+    sets = _sets(docs, shingle, docs.sparkSession.sparkContext.broadcast(bitmap))
+    some = cut(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "proposed-sets")
+    for end in ("u", "v"):
+        pairs = pairs.join(some.withColumnsRenamed({"node": end, "shingles": f"set_{end}"}), end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, dtype=bool)
+            for row, (a, b) in enumerate(zip(batch.column("set_u").to_pylist(), batch.column("set_v").to_pylist(), strict=True)):
+                both = np.sort(np.concatenate([np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)]), kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                kept[row] = common >= similarity * (len(both) - common) - _SLACK
+            yield _table(u=batch.column("u").to_numpy()[kept], v=batch.column("v").to_numpy()[kept])
+
+    return pairs.select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
 
 
 def hex_fingerprint(fp):

@@ -124,3 +124,56 @@ def test_similar_documents_by_five_word_shingles(spark):
         got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, tree_limit=limit).collect()}
         assert got == want
     assert simhash.similar_documents(docs.limit(0)).collect() == []
+
+
+def brute_similar(rows, similarity=0.8, shingle=5):
+    """rows: (doc_id, text) -> list of classes as sets of row numbers, by exact Jaccard of shingle sets."""
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (not a and not sets[j]) or (a and sets[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j])):
+                parent[find(i)] = find(j)
+    classes = {}
+    for i in range(len(rows)):
+        classes.setdefault(find(i), set()).add(i)
+    return sorted(map(sorted, classes.values()))
+
+
+def classes_of(df):
+    classes = {}
+    for r in df.collect():
+        classes.setdefault(r.class_id, set()).add(r.doc_id)
+    return sorted(map(sorted, classes.values()))
+
+
+def test_similar_documents_finds_all_links_at_the_threshold_and_no_others(spark, monkeypatch):
+    import random
+
+    rng, rows = random.Random(31), []
+    for g in range(40):  # similarities from 0.6 to 1, by scattered edits, and by cut or appended words
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([30, 104, 204]))] + ["a", "footer", "line", "in", "all", "texts", "here"]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(6):
+            w = list(base)
+            for _ in range(int(len(w) * rng.uniform(0, 0.05))):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(9999)}"
+            rows.append((len(rows), " ".join(w)))
+            rows.append((len(rows), " ".join(base + [f"y{rng.randrange(9999)}" for _ in range(int(len(base) * rng.uniform(0, 0.35)))])))
+    rows.append((len(rows), " ".join(f"w{i}" for i in range(104))))  # 100 shingles, and exactly 80 of them
+    rows.append((len(rows), " ".join(f"w{i}" for i in range(84))))
+    want = brute_similar(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert classes_of(simhash.similar_documents(docs)) == want
+    # Also where fingerprints propose next to nothing and lists are compared in pieces.
+    monkeypatch.setattr(simhash, "LIST_BLOCK", 2)
+    assert classes_of(simhash.similar_documents(docs, radius=0)) == want
