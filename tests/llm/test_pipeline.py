@@ -76,3 +76,12 @@ def test_null_rows_and_empty_tables_pass_every_stage(spark):
     for docs in (odd, real.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, DIR).count() <= max(5, docs.count() * 2)
+
+
+def test_near_dedup_keeps_one_row_of_each_class_where_texts_share_a_doc_id(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
+    schema = spark.read.parquet(f"{DIR}/documents.parquet").schema
+    rows = [{"doc_id": i, "text": t, "lang": "en", "source": "s", "n_chars": len(t)} for i, t in ((2, one), (2, two), (7, two), (2, one), (9, one + " more"))]
+    docs = spark.createDataFrame([tuple(r[f.name] for f in schema) for r in rows], schema)
+    kept = corpus_pipeline.near_dedup(spark, docs, DIR).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(2, one), (2, two)]
