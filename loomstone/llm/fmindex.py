@@ -7,24 +7,25 @@ backwards through wavelet ranks, all windows at once; occurrences are located by
 suffix, and the words that they cover are merged into removal spans.
 
 The phrases travel to the executors in parts of at most ``PHRASES_PER_PART``; with several parts, the
-spans of a document are merged after a shuffle of spans alone.
+spans of a row are merged after a shuffle of spans alone, by the row's place in a written table.
 
 Defined results: a null or wordless document has no hits; a wordless benchmark item has no window; items
-with equal windows all count; null item_ids are ignored; repeated rows each give a row (with several
-parts, rows equal in all carried columns give one). Only doc_id, text and item_id, text are read besides the columns to carry.
+with equal windows all count; null item_ids are ignored; repeated rows each give a row.
+Only text and item_id, text are read besides the columns to carry.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.scratch import small_batches
+from loomstone.llm.scratch import cut, fresh, small_batches
 from loomstone.llm.textcore import ALNUM_WORDS, passes, release, scan, word_hashes
 
 WINDOW = 13
@@ -276,9 +277,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, carry: list[str],
     parts = phrases_of(items, window) or [Phrases(np.zeros(1, dtype=np.uint64), 1, [], np.zeros(0, dtype=np.int64))]
     kept = list(dict.fromkeys([*carry, "text"]))
     source = docs.select(*kept)
-    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carry), SPANS])
 
-    def search(phrases) -> DataFrame:
+    def search(phrases, source: DataFrame, carry: list[str]) -> DataFrame:
+        schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carry), SPANS])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def finish(shard: Shard) -> Iterator[pa.RecordBatch]:
                 for part, counts, runs, own in shard.spans():
@@ -300,16 +302,17 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, carry: list[str],
 
         return source.mapInArrow(run, schema)
 
-    out = search(spark.sparkContext.broadcast(parts[0]))
     if len(parts) == 1:
-        return out
-    # Several parts: gather each row's spans by a number that is fixed for one reading of the table.
-    raise_on = F.struct(*carry)
-    every = out
-    for part in parts[1:]:
-        every = every.union(search(spark.sparkContext.broadcast(part)))
+        return search(spark.sparkContext.broadcast(parts[0]), source, carry)
+    # Several parts: each row's spans are gathered by its file and row in a written table.
+    place = [fresh("file_key", source), fresh("row_key", source)]
+    placed = cut(source, "placed").select("*", F.xxhash64("_metadata.file_path").alias(place[0]), F.col("_metadata.row_index").alias(place[1]))
+    every = [search(spark.sparkContext.broadcast(part), placed.select(*place, "text"), place) for part in parts]
     merged = F.expr("aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<array<int>>), (a, x) -> if(size(a) > 0 and element_at(a, -1)[1] >= x[0], concat(slice(a, 1, size(a) - 1), array(array(element_at(a, -1)[0], greatest(element_at(a, -1)[1], x[1])))), concat(a, array(x))))")
-    return every.groupBy(raise_on.alias("carried")).agg(F.first("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")).select("carried.*", "n_words", "spans", "item_ids")
+    found = reduce(DataFrame.union, every).groupBy(*place).agg(F.first("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    gathered = found.select(*place, *(F.col(c).alias(fresh(c, source)) for c in ("n_words", "spans", "item_ids")))
+    rows = placed.select(*dict.fromkeys(carry), *place).join(gathered, place)
+    return rows.select(*carry, *(F.col(fresh(c, source)).alias(c) for c in ("n_words", "spans", "item_ids")))
 
 
 def n_hit(spans="spans"):

@@ -84,3 +84,13 @@ def test_small_shards_and_empty_tables(spark, monkeypatch):
     assert fmindex.contaminated_spans(empty, none, ["doc_id"]).count() == 0
     full = spark.createDataFrame(docs, "doc_id long, text string")
     assert fmindex.contaminated_spans(full, none, ["doc_id"]).where(F.size("spans") > 0).count() == 0
+
+
+def test_several_parts_keep_every_row_and_its_own_spans(spark, monkeypatch):
+    docs, items = corpus()
+    docs += [(7, items[2][1] + " x1 q"), (7, "no words of it"), (None, "nor here " * 9), (None, items[9][1]), (203, items[5][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit("clash")).repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(fmindex, "PHRASES_PER_PART", 40)
+    got = fmindex.contaminated_spans(d, b, ["doc_id"]).select("doc_id", "n_words", fmindex.n_hit().alias("h"), "item_ids").collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(((i, *brute(t, items)) for i, t in docs), key=str)
