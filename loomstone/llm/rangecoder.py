@@ -8,7 +8,8 @@ decoded alone with the group's head. For each id, three predictions are mixed in
   a confidence that rises with hits and falls with misses, and its share of the interval is what
   predictions of that confidence deserve; where both orders predict the same id their shares join,
   otherwise order 1 has its part of what order 2 leaves;
-* order 0: the rest is shared by the frequencies of the group's ids (kept in its head).
+* order 0: the rest is shared by the frequencies of the group's ids (kept in its head). A head has at most
+  2^16 distinct ids; a group with more is cut into halves until each fits.
 
 Blocks are coded side by side: one numpy step handles the i-th id of every block.
 """
@@ -21,6 +22,8 @@ import zlib
 import numpy as np
 
 MAGIC = b"LRC1"
+#: Two halves, each coded with a head of its own: a group of more than 2^16 distinct ids.
+HALVES = b"LRC2"
 BLOCK = 1024
 #: Ids of one group at most: bounds memory, and gives three thousand blocks side by side.
 GROUP = 3 << 20
@@ -61,8 +64,8 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts = np.bincount(ids)
     symbols = np.flatnonzero(counts)
     counts = counts[symbols]
-    if len(symbols) > _BASE // 2:
-        raise ValueError("more than 32768 distinct ids in a group")
+    if len(symbols) > _BASE:
+        raise ValueError("more than 65536 distinct ids in one head")
     freq = 1 + counts * (_BASE - len(symbols)) // counts.sum()
     freq[np.argmax(freq)] += _BASE - freq.sum()
     return symbols.astype(np.uint32), freq.astype(np.uint32)
@@ -117,6 +120,10 @@ def _spans(n: int, block: int) -> tuple[int, int]:
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """Head, block table and words of a group of ids (each below 2^28; a table of the largest is made)."""
     n = len(ids)
+    if n > _BASE and np.count_nonzero(np.bincount(ids)) > _BASE:
+        halves = [encode(ids[: n // 2], block), encode(ids[n // 2 :], block)]
+        head = HALVES + struct.pack("<QQ", *map(len, halves))
+        return b"".join([head, struct.pack("<I", zlib.crc32(head)), *halves])
     head = [MAGIC, struct.pack("<IIQ", 1, block, n)]
     if not n:
         body = b"".join([*head, struct.pack("<I", 0)])
@@ -172,6 +179,11 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
 
 def decode(data: bytes) -> np.ndarray:
     """All ids of a group; raises CorruptBlock where a checksum fails."""
+    if data[:4] == HALVES:
+        if len(data) < 24 or zlib.crc32(data[:20]) != struct.unpack_from("<I", data, 20)[0]:
+            raise CorruptBlock("halves")
+        to = 24 + struct.unpack_from("<Q", data, 4)[0]
+        return np.concatenate([decode(data[24:to]), decode(data[to:])])
     if data[:4] != MAGIC:
         raise CorruptBlock("not a group of coded ids")
     _, block, n = struct.unpack_from("<IIQ", data, 4)

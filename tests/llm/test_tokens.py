@@ -72,3 +72,15 @@ def test_files_give_every_document_back(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.encode_documents(docs, PATH).collect() == []
+
+
+def test_groups_with_more_distinct_ids_than_a_head_holds():
+    rng = np.random.default_rng(8)
+    for n in (32_769, 50_256, 65_536, 65_537, 200_000):  # 50,256: all ids of byte_bpe_50k
+        ids = np.append(rng.permutation(n), rng.integers(0, n, 5000)).astype(np.int32)
+        data = rangecoder.encode(ids)
+        assert (rangecoder.decode(data) == ids).all()
+    assert data[:4] == rangecoder.HALVES
+    for at in [4, 13, 21, 30, len(data) - 5, *rng.integers(0, len(data), 3).tolist()]:
+        with pytest.raises(rangecoder.CorruptBlock):
+            rangecoder.decode(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
