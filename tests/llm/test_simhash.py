@@ -177,3 +177,11 @@ def test_similar_documents_finds_all_links_at_the_threshold_and_no_others(spark,
     # Also where fingerprints propose next to nothing and lists are compared in pieces.
     monkeypatch.setattr(simhash, "LIST_BLOCK", 2)
     assert classes_of(simhash.similar_documents(docs, radius=0)) == want
+
+
+def test_shingle_sets_do_not_tell_how_often_a_line_repeats():
+    words = " ".join(f"w{i}" for i in range(100))
+    line = "\n" + " ".join(f"l{i}" for i in range(10))
+    prints, hashes, offsets = simhash.shingle_sets_of(pa.array([words + line * 3, None, words + line * 30]), 5)
+    a, none, b = (hashes[x:y].tolist() for x, y in zip(offsets, offsets[1:], strict=False))
+    assert a == b and len(a) == 96 + 10 + 4 and none == [] and prints[0] == prints[2]
