@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.sources.scratch import LOCAL_SCRATCH
+from loomstone.sources.scratch import cut, scratch_dir
 
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
@@ -43,7 +41,29 @@ def salted_join(large: DataFrame, small: DataFrame, keys: list[str], salts: int)
 def round_trip(rows: DataFrame, file_format: str) -> DataFrame:
     """Rows written to the shared folder in a format, and read back with their schema."""
     spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    path = f"{base.rstrip('/')}/{file_format}-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, file_format)
     rows.write.format(file_format).save(path)
     return spark.read.format(file_format).schema(rows.schema).load(path)
+
+
+def running(rows: DataFrame, order: list, sums: dict[str, str] | None = None, place: str = "place") -> DataFrame:
+    """``rows`` with their ``place`` (from 1) in a global order, and for each of ``sums`` (name -> column) the total of all rows before.
+
+    The rows are dealt by ranges of the order; places and sums inside a range start from the totals of the ranges
+    before it, of which there is one row for each range. No task holds more than a range. ``order`` should tell rows apart.
+    """
+    sums = sums or {}
+    taken = {c.lower() for c in rows.columns}
+    part = "part"
+    while part in taken:
+        part = f"_{part}"
+    # Written, so that the ranges hold.
+    ranged = cut(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    names = [place, *sums]
+    totals = ranged.groupBy(part).agg(F.count("*").alias(f"{place}{part}"), *(F.sum(c).alias(f"{n}{part}") for n, c in sums.items()))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(part, *(F.coalesce(F.sum(f"{n}{part}").over(earlier), F.lit(0)).alias(f"{n}{part}") for n in names))
+    inside = Window.partitionBy(part).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.withColumns({place: F.row_number().over(inside), **{n: F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in sums.items()}})
+    return found.join(F.broadcast(bases), part).select(*rows.columns, *((F.col(n) + F.col(f"{n}{part}")).alias(n) for n in names))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions.text import natural_key
 from loomstone.operators import catalog as c
+from loomstone.operators.relational import running
 from loomstone.registry import query
 from loomstone.sources.tables import table
 
@@ -180,7 +181,8 @@ SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS place F
 def natural_address_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses a.<nation>.<supplier> in natural order: numbers by value, not by text."""
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("a."), "s_nationkey", F.lit("."), "s_suppkey").alias("address"))
-    return rows.select("s_suppkey", F.row_number().over(Window.orderBy(natural_key(F.col("address")))).cast("long").alias("place"))
+    keyed = rows.select("s_suppkey", natural_key(F.col("address")).alias("key"))
+    return running(keyed, ["key"]).select("s_suppkey", "place")
 
 
 @query("tree_order", f"""WITH {FILES_SQL}
@@ -189,13 +191,14 @@ def tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files in tree order: folders (with all below) before the files of their parent."""
     parts = F.split("rel_path", "/")
     key = F.transform(parts, lambda p, i: F.struct((i == F.size(parts) - 1).alias("file"), p.alias("name")))
-    return files(spark, sf_dir).select("file_id", F.row_number().over(Window.orderBy(key)).cast("long").alias("place"))
+    return running(files(spark, sf_dir).select("file_id", key.alias("key")), ["key"]).select("file_id", "place")
 
 
 @query("recent_first", "SELECT s_suppkey, row_number() OVER (ORDER BY last_scan DESC NULLS LAST, s_suppkey) AS place FROM (SELECT s_suppkey, CASE WHEN s_nationkey % 4 = 0 THEN NULL ELSE s_nationkey END AS last_scan FROM supplier)")
 def recent_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan = F.when(F.col("s_nationkey") % 4 != 0, F.col("s_nationkey"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(scan.desc_nulls_last(), "s_suppkey")).cast("long").alias("place"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", scan.alias("last_scan"))
+    return running(rows, [F.col("last_scan").desc_nulls_last(), F.col("s_suppkey")]).select("s_suppkey", "place")
 
 
 @query("queue_positions", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS position FROM documents")

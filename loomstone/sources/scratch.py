@@ -1,19 +1,46 @@
-"""Cutting lineage through the shared folder that the session names in spark.checkpoint.dir."""
+"""Written tables that cut lineage, in the shared folder that the session names in spark.checkpoint.dir."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder (single-machine tests).
+#: Used only where the session names no checkpoint folder and runs on one machine (tests).
 LOCAL_SCRATCH = "file:///tmp/checkpoints/loomstone"
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new, unique folder path that the driver and all executors share; it goes when the driver's JVM ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SCRATCH
+    root = f"{base.rstrip('/')}/loomstone-{spark.sparkContext.applicationId}"
+    files, path = _files(spark, root)
+    files.deleteOnExit(path)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back, so that loops survive lost executors."""
+    """Write ``df`` to the shared folder and read it back: later stages and loops survive lost executors."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that no plan will read again."""
+    for table in tables:
+        files, path = _files(table.sparkSession, table._scratch_path)
+        files.delete(path, True)
