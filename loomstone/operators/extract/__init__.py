@@ -61,7 +61,7 @@ def analyze(text: str | None, language: str | None) -> Analysis:
         return Analysis()
     try:
         return f(text)
-    except RecursionError as problem:
+    except (RecursionError, MemoryError) as problem:
         return Analysis(error=f"{type(problem).__name__}: nested too deeply")
 
 

@@ -29,14 +29,50 @@ def mask(text: str) -> str:
     return _TOKENS.sub(lambda m: blank(m[0]) if m[0][0] == "/" else m[0][0] + blank(m[0][1:-1]) + m[0][-1], text)
 
 
-def closing(masked: str, at: int) -> int:
-    """Offset behind the brace or parenthesis that closes the one at ``at`` (end of text if none does)."""
-    depth, pairs = 0, {"{": 1, "(": 1, "[": 1, "}": -1, ")": -1, "]": -1}
-    for i in range(at, len(masked)):
-        depth += pairs.get(masked[i], 0)
-        if depth == 0:
-            return i + 1
-    return len(masked)
+class Brackets:
+    """The brackets of a masked text: where each closes, and what encloses a place. One pass over the text."""
+
+    def __init__(self, masked: str) -> None:
+        self.masked, self.close, self.spans, open_ = masked, {}, [], []
+        for m in re.finditer(r"[{}()\[\]]", masked):
+            if m[0] in "{([":
+                open_.append(m.start())
+            elif open_:
+                self.close[open_.pop()] = m.start() + 1
+        braces = sorted((a, b) for a, b in self.close.items() if masked[a] == "{")
+        self.opened, depth_end = [a for a, _ in braces], []
+        # For each brace the one around it: the last that is still open there.
+        self.around: list[int] = []
+        for a, _ in braces:
+            while depth_end and self.close[depth_end[-1]] <= a:
+                depth_end.pop()
+            self.around.append(depth_end[-1] if depth_end else -1)
+            depth_end.append(a)
+        self.outer = [a for a, around in zip(self.opened, self.around, strict=True) if around < 0]
+        self.inner: dict[int, list[int]] = {}
+        for a, around in zip(self.opened, self.around, strict=True):
+            self.inner.setdefault(around, []).append(a)
+
+    def end(self, at: int) -> int:
+        """Offset behind the bracket that closes the one at ``at``; the end of the text if none does."""
+        return self.close.get(at, len(self.masked))
+
+    def scope_end(self, at: int) -> int:
+        """The end of the innermost braces around a place."""
+        i = bisect_right(self.opened, at) - 1
+        brace = self.opened[i] if i >= 0 else -1
+        while brace >= 0 and self.close[brace] <= at:
+            brace = self.around[bisect_right(self.opened, brace) - 1]
+        return self.close[brace] if brace >= 0 else len(self.masked)
+
+    def surface(self, brace: int = -1) -> str:
+        """The masked text with everything inside braces blanked; of one block, or of the whole text."""
+        start, stop = (brace + 1, self.end(brace) - 1) if brace >= 0 else (0, len(self.masked))
+        out, at = [re.sub(r"[^\n]", " ", self.masked[:start])], start
+        for a in self.inner.get(brace, []):
+            out += [self.masked[at : a + 1], re.sub(r"[^\n]", " ", self.masked[a + 1 : self.close[a] - 1])]
+            at = self.close[a] - 1
+        return "".join([*out, self.masked[at:stop]])
 
 
 class _Lines:
@@ -47,18 +83,6 @@ class _Lines:
         return bisect_right(self.starts, offset)
 
 
-def _top_level(masked: str) -> str:
-    """The masked text with everything inside braces blanked."""
-    out, depth = [], 0
-    for c in masked:
-        if c == "}":
-            depth = max(0, depth - 1)
-        out.append(c if depth == 0 or c == "\n" else " ")
-        if c == "{":
-            depth += 1
-    return "".join(out)
-
-
 _DECLARED = re.compile(r"^[ \t]*(export\s+(?:default\s+)?)?(?:(?:abstract\s+)?(class)\s+(\w+)|(?:async\s+)?(function)\s*\*?\s*(\w+)|(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=\n]+)?(=>)|(interface|enum|type)\s+(\w+))", re.M)
 _MEMBER = re.compile(r"^[ \t]*((?:(?:public|private|protected|readonly|override|async|get|set|abstract)\s+)*)(static\s+)?((?:async|get|set)\s+)?\*?\s*(#?\w+)\s*(?:<[^>\n]*>)?\s*(\(|=|;|:)", re.M)
 _KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "function", "else", "new", "do"}
@@ -74,25 +98,26 @@ def _string_at(text: str, at: int) -> str | None:
 @extractor("javascript", "typescript")
 def javascript_facts(text: str) -> Analysis:
     out, masked, line = Analysis(), mask(text), _Lines(text)
-    top = _top_level(masked)
-    for m in _DECLARED.finditer(top):
+    brackets = Brackets(masked)
+    closing = brackets.end
+    for m in _DECLARED.finditer(brackets.surface()):
         name = m[3] or m[5] or m[6] or m[9]
         kind = "class" if m[2] else "function" if m[4] else "arrow_function" if m[7] else m[8]
         start = m.start() + len(m[0]) - len(m[0].lstrip())
         brace = masked.find("{", m.end() - 1)
         arrow_body = kind != "arrow_function" or re.match(r"\s*\{", masked[m.end() :])
-        end = closing(masked, brace) if brace >= 0 and arrow_body and kind != "type" else (masked.find("\n", m.end()) + 1 or len(text))
+        end = closing(brace) if brace >= 0 and arrow_body and kind != "type" else (masked.find("\n", m.end()) + 1 or len(text))
         out.add("module", name, kind, line(start), line(max(start, end - 1)), detail="exported" if m[1] else None)
         if kind == "class" and brace >= 0:
-            body = _top_level(" " * (brace + 1) + masked[brace + 1 : end - 1])
+            body = brackets.surface(brace)
             for member in _MEMBER.finditer(body):
-                if member[4] in _KEYWORDS or member.start() < brace:
+                if member[4] in _KEYWORDS or member.start(4) < brace:
                     continue
                 is_call = member[5] == "("
-                if is_call and not re.match(r"[^{};]*\{", masked[closing(masked, member.end() - 1) :]):
+                if is_call and not re.match(r"[^{};]*\{", masked[closing(member.end() - 1) : closing(member.end() - 1) + 4096]):
                     continue
                 at = member.start(4)
-                stop = closing(masked, masked.find("{", closing(masked, member.end() - 1))) if is_call else (masked.find("\n", at) if masked.find("\n", at) >= 0 else len(text))
+                stop = closing(masked.find("{", closing(member.end() - 1))) if is_call else (masked.find("\n", at) if masked.find("\n", at) >= 0 else len(text))
                 kind = ("static_method" if member[2] else "method") if is_call else "field"
                 out.add("method", member[4], kind, line(at), line(max(at, stop - 1)), parent=name)
     for m in _IMPORTS.finditer(masked):
@@ -101,7 +126,7 @@ def javascript_facts(text: str) -> Analysis:
         if value:
             out.add("import", value, ("import", "export", "require")[quote - 1], line(m.start()), line(m.start()))
     for m in re.finditer(r"\breaddir(?:Sync)?\s*\(\s*([^,)]+)", masked):
-        window = text[m.start() : m.start() + 600]
+        window = text[m.start() : brackets.scope_end(m.start())]
         ext = re.search(r"\.endsWith\(\s*[\"'](\.\w+)[\"']\s*\)|/\\\.(\w+)\$/", window)
         if ext and re.search(r"\b(import|require)\s*\(", window):
             out.add("load", text[m.start(1) : m.end(1)].strip(), ext[1] or f".{ext[2]}", line(m.start()), line(m.start()))
@@ -112,8 +137,10 @@ def javascript_facts(text: str) -> Analysis:
             out.add("listener", port, "port", line(m.start()), line(m.start()), detail=f"env:{m[2]}" if m[2] else None)
     for pattern, kind in DATABASES:
         for m in pattern.finditer(masked):
-            handle = re.search(r"(?:(?:const|let|var)\s+|this\.)?(\w+)\s*(?::[^=\n]+)?=\s*(?:await\s+)?$", masked[max(0, m.start() - 80) : m.start()])
-            stop = closing(masked, masked.rfind("(", 0, m.end()))
+            # What the statement assigns to.
+            statement = max(masked.rfind(c, 0, m.start()) for c in ";{}") + 1
+            handle = re.search(r"(?:(?:const|let|var)\s+|this\.)?(\w+)\s*(?::[^=\n]+)?=\s*(?:await\s+)?$", masked[statement : m.start()])
+            stop = closing(masked.rfind("(", 0, m.end()))
             call = text[m.end() : stop - 1]
             path = _string_at(text, m.end())
             if kind in ("postgres", "mysql"):

@@ -14,6 +14,8 @@ SAMPLES = {
     "blocks": ("/etc/nginx/n.conf", "user a;\nhttp { # c\n  server { listen 80; }\n  x y;\n}\n", None),
     "braces": ("/etc/logrotate.d/x", "weekly\n/var/log/a {\n  rotate 4\n}\n", None),
     "tags": ("/etc/apache2/a", "Listen 80\n<VirtualHost *:80>\n  <Directory /a>\n    X y\n  </Directory>\n</VirtualHost>\n", None),
+    "js": ("a.js", "import x from 'y';\n\n// about f\nfunction f() {\n  return { a: 1 };\n}\n\nclass C {\n  x = 1;\n  /* m */\n  m() {\n    f();\n  }\n}\nconst g = () => {\n};\n", "javascript"),
+    "java": ("A.java", "package a;\n\npublic class A {\n  // runs\n  public void run() {\n  }\n}\n\ninterface B {\n}\n", "java"),
     "python": ("a.py", "import a\nimport b\n\n# about f\n@x\ndef f():\n    pass\n\nclass C:\n    y = 1\n    # m\n    def m(self): ...\nz = 1; w = 2\n", "python"),
 }
 
@@ -28,7 +30,7 @@ def shown(found):
 
 def test_every_flavour_covers_its_text_and_names_its_parts():
     for flavor, (path, text, language) in SAMPLES.items():
-        if flavor != "python":
+        if flavor not in ("python", "js", "java"):
             assert s.config_flavor(path, text, language) == flavor
         assert leaves(s.scan_segments(text, path, language), text) == text
     tree = lambda k: shown(s.scan_segments(SAMPLES[k][1], SAMPLES[k][0], SAMPLES[k][2]))
@@ -38,11 +40,15 @@ def test_every_flavour_covers_its_text_and_names_its_parts():
     assert tree("json") == [("mapping", "a"), ("mapping", "b"), ("mapping", "d")]
     assert tree("blocks") == [("directive", "user a"), ("block", "http", [("block", "server", [("directive", "listen 80")]), ("directive", "x y")])]
     assert tree("python") == [("import", "import a"), ("import", "import b"), ("function", "f"), ("class", "C", [("statement", "y = 1"), ("function", "m")]), ("statement", "z = 1; w = 2")]
+    assert tree("lines") == [("group", "Disks", [("entry", "/mnt (/dev/a)"), ("entry", "B")]), ("entry", "C")]
+    assert tree("yaml") == [("document", "---"), ("mapping", "a"), ("mapping", "b", [("mapping", "b.c"), ("mapping", "b.d", [("item", "b.d.- e")])]), ("mapping", "f")]
+    assert tree("js") == [("function", "f"), ("class", "C", [("field", "x"), ("method", "m")]), ("arrow_function", "g")]
+    assert tree("java") == [("class", "A", [("method", "A.run")]), ("interface", "B")]
     assert s.config_flavor("x.conf", "a {\n b;\n}\n") == "blocks" and s.config_flavor("x.conf", "[a]\nb=1\n") == "ini" and s.config_flavor("notes.txt", "x") is None
 
 
 @settings(max_examples=120, deadline=None)
-@given(st.sampled_from(sorted(SAMPLES)), st.lists(st.sampled_from(["a: 1", "# c", "", "[x]", "}", "{", "b {", "k=v", "<A b>", "</A>", "  y: 2", "FROM q", '"', "def f(): pass", "x;", "\\", "Host h", "- i"]), max_size=14))
+@given(st.sampled_from(sorted(SAMPLES)), st.lists(st.sampled_from(["a: 1", "# c", "", "[x]", "}", "{", "b {", "k=v", "<A b>", "</A>", "  y: 2", "FROM q", '"', "def f(): pass", "x;", "\\", "Host h", "- i", "function f() {", "class A {", "// c"]), max_size=14))
 def test_any_text_is_covered(flavor, lines):
     path, _, language = SAMPLES[flavor]
     text = "\n".join(lines)
