@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ipaddress
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,17 +34,27 @@ def url_allowed(url: Column, public_only: bool = False) -> Column:
     return known & ((scheme == "https") | is_private_host(host))
 
 
+#: Address blocks that are private, reserved, multicast or for documentation (registries of special addresses).
+SPECIAL_BLOCKS_4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24",
+    "203.0.113.0/24", "224.0.0.0/3",
+)
+SPECIAL_BLOCKS_6 = ("::/128", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8")
+
+
 def is_private_ip(ip: Column) -> Column:
-    """Addresses that are private, reserved, multicast or for documentation (IPv4, mapped IPv4, IPv6)."""
+    """Whether an address (IPv4, mapped IPv4, IPv6) lies in a special block: its number against the blocks' ranges."""
     low = F.lower(ip)
-    v4 = F.regexp_replace(low, r"^::ffff:", "")
-    octet = lambda i: F.regexp_extract(v4, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("int")
-    a, b, c = octet(1), octet(2), octet(3)
-    private4 = (
-        a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
-        | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
-    )
-    return F.when(a.isNotNull(), private4).otherwise(low.isin("::", "::1") | low.rlike("^(f[cd]|fe[89ab]|ff)"))
+    parts = F.split(F.regexp_extract(F.regexp_replace(low, r"^(::ffff:)+", ""), r"^\d{1,3}(\.\d{1,3}){3}$", 0), r"\.")
+    number = F.when(F.size(parts) == 4, F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n * 256 + p.cast("int")))
+    blocks = [ipaddress.ip_network(b) for b in SPECIAL_BLOCKS_4]
+    special4 = reduce(or_, (number.between(int(b.network_address), int(b.broadcast_address)) for b in blocks))
+    # Of IPv6 the first group decides, and the two addresses that have no other.
+    first = F.conv(F.regexp_extract(low, "^([0-9a-f]{3,4}):", 1), 16, 10).cast("long")
+    wide = [ipaddress.ip_network(b) for b in SPECIAL_BLOCKS_6]
+    groups = [(int(b.network_address) >> 112, int(b.broadcast_address) >> 112) for b in wide if b.prefixlen < 128]
+    special6 = low.isin(*(str(b.network_address) for b in wide if b.prefixlen == 128)) | F.coalesce(reduce(or_, (first.between(*g) for g in groups)), F.lit(False))
+    return F.when(number.isNotNull(), special4).otherwise(special6)
 
 
 def viewport(text: Column, default: str = "1920x1080", low: int = 200, high: int = 8000) -> Column:

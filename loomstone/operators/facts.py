@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,83 +136,176 @@ def shared_endpoints(listeners: DataFrame, upstreams: DataFrame) -> DataFrame:
     return a.join(upstreams.select("kind", "locator", F.col("file_id").alias("client_file")), ["kind", "locator"]).where("listener_file <> client_file").select("locator", "listener_file", "client_file").distinct()
 
 
-#: Names of folders that are not scanned, with patterns, and files that mark one.
-IGNORED_FOLDERS = ("node_modules", ".git", ".hg", ".svn", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", "dist", "build", ".next", ".cache", "target", ".idea", ".vscode")
-IGNORED_PATTERN = r"^(\.env.*|.*\.egg-info|venv-.*|\.venv-.*)$"
+#: Names of folders that are not scanned, with patterns, files that mark one, and files that are not scanned.
+IGNORED_FOLDERS = (
+    ".git", "node_modules", "__pycache__", ".pytest_cache", "dist", "build", "out", "target", ".next", ".nuxt", ".cache", "venv", ".venv", "env", ".env", "virtualenv", ".idea", ".vscode", ".vs",
+    "coverage", ".nyc_output", ".tox", "vendor", "bower_components", ".gradle", ".mvn", "site-packages", ".eggs", "*.egg-info",
+)
+IGNORED_PATTERNS = (r"^\.venv.*$", r"^venv[-_].*$", r"^\.env-.*$", r"^env[-_].*$", r".*\.egg-info$")
 MARKERS = ("pyvenv.cfg",)
-LANGUAGES = {
-    ".py": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".java": "java", ".rs": "rust", ".c": "c", ".h": "c",
-    ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".cs": "csharp", ".kt": "kotlin", ".kts": "kotlin", ".swift": "swift", ".php": "php", ".rb": "ruby", ".sh": "shell", ".bash": "shell", ".m": "objc", ".mm": "objc", ".sql": "sql", ".nginx": "nginx",
+IGNORED_FILES = (".DS_Store", "Thumbs.db", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "Cargo.lock", "Gemfile.lock", "poetry.lock", "Pipfile.lock")
+#: Folders of a virtual environment's own files where the scanned folder is one, and what they must hold (none: nothing).
+VENV_FOLDERS = {("bin", "Scripts"): r"^(activate|activate\.bat|Activate\.ps1)$", ("lib", "lib64", "Lib"): r"^python\d|^site-packages$", ("include", "Include", "share", "local"): ""}
+
+#: Languages by category, with their suffixes.
+REGISTRY = {
+    "supported": {
+        "javascript": ".js .mjs .cjs .jsx", "python": ".py .pyw", "typescript": ".ts .tsx", "go": ".go", "rust": ".rs", "java": ".java", "kotlin": ".kt .kts", "swift": ".swift", "ruby": ".rb", "php": ".php",
+        "c": ".c .h .m", "cpp": ".cpp .hpp .cu .cuh .hip .metal .mm", "csharp": ".cs", "shell": ".sh", "sql": ".sql", "nginx": ".conf .nginx",
+    },
+    "coming_soon": {"lua": ".lua", "protobuf": ".proto"},
+    "opaque_text": {"image": ".svg", "markdown": ".md", "restructuredtext": ".rst", "text": ".txt", "json": ".json", "yaml": ".yaml .yml", "toml": ".toml", "xml": ".xml", "html": ".html", "css": ".css"},
+    "opaque_binary": {
+        "shared_library": ".so .dll .dylib", "webassembly": ".wasm", "object_file": ".o", "static_library": ".a", "java_archive": ".jar", "java_bytecode": ".class", "python_bytecode": ".pyc",
+        "python_extension": ".pyd", "image": ".png .jpg .jpeg .gif .webp", "document": ".pdf", "sqlite_db": ".sqlite .sqlite3 .db",
+    },
 }
-COMING_SOON = {".scala": "scala", ".lua": "lua"}
-OPAQUE_TEXT = {".md": "markdown", ".txt": "plaintext", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".ini": "ini", ".cfg": "ini", ".conf": "ini", ".css": "css", ".html": "html", ".xml": "xml", ".csv": "csv", ".env": "env"}
-OPAQUE_BINARY = {".png": "image", ".jpg": "image", ".gif": "image", ".pdf": "pdf", ".zip": "archive", ".gz": "archive", ".so": "library", ".bin": "binary", ".gguf": "model", ".onnx": "model", ".db": "database"}
+
+#: Standard headers of C++, and constructs that only C++ has. Only so many characters of a header are read.
+HEADER_CHARACTERS = 256 * 1024
+CPP_HEADERS = (
+    "algorithm any array atomic bitset cassert cctype cerrno cfloat chrono cinttypes climits cmath codecvt complex concepts condition_variable csignal cstdarg cstddef cstdint cstdio cstdlib cstring "
+    "ctime deque exception filesystem forward_list fstream functional future initializer_list iomanip ios iosfwd iostream istream iterator limits list locale map memory mutex new numeric optional "
+    "ostream queue random ranges ratio regex set shared_mutex span sstream stack stdexcept streambuf string string_view system_error thread tuple type_traits typeindex typeinfo unordered_map "
+    "unordered_set utility valarray variant vector"
+)
+CPP_CONSTRUCTS = (
+    r"\bnamespace\s+[A-Za-z_][\w:]*\s*\{", r"\bnamespace\s*\{", r"\btemplate\s*<", r"\bclass\s+[A-Za-z_]\w*\s*(final\s*)?(:[^:;{]*)?\{", r"\bstruct\s+[A-Za-z_]\w*\s*(final\s*)?:[^:;{]*\{",
+    r"\bclass\s+[A-Za-z_]\w*\s*;", r"^\s*(public|private|protected)\s*:", r"\bstd::", r"\busing\s+namespace\b", r"\busing\s+[A-Za-z_]\w*\s*=", r"\bnoexcept\b", r"\bvirtual\s+[\w~]",
+    r"\boperator\s*(\(\)|\[\]|[-+*/%^&|~!=<>]+|new\b|delete\b)\s*\(", r"\b(static|reinterpret|dynamic)_cast\s*<",
+)
+
+
+def _without_cplusplus(text: Column) -> Column:
+    """Lines of a header outside the branches that only C++ compilers read, without the conditionals.
+
+    State of the fold: for each open conditional 0 (not about __cplusplus), 1 (its branch for C) or 2 (its branch for C++), and the text.
+    """
+    top = lambda s: F.try_element_at(s["open"], F.lit(-1))
+    below = lambda s: F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0)))
+
+    def read(s: Column, line: Column) -> Column:
+        negated = line.rlike(r"^\s*#\s*ifndef\b") | line.rlike(r"!\s*(defined\s*\(?\s*)?__cplusplus\b")
+        opened = F.when(~line.rlike(r"\b__cplusplus\b"), 0).when(negated, 1).otherwise(2)
+        state = lambda stack, out: F.struct(stack.alias("open"), out.alias("text"))
+        turned = F.when(top(s) > 0, F.concat(below(s), F.array(3 - top(s)))).otherwise(s["open"])
+        kept = F.when(F.array_contains(s["open"], 2), s["text"]).otherwise(F.concat(s["text"], line, F.lit("\n")))
+        return (
+            F.when(line.rlike(r"^\s*#\s*if"), state(F.concat(s["open"], F.array(opened)), s["text"])).when(line.rlike(r"^\s*#\s*(else|elif)\b"), state(turned, s["text"]))
+            .when(line.rlike(r"^\s*#\s*endif\b"), state(below(s), s["text"])).otherwise(state(s["open"], kept))
+        )
+
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.lit("").alias("text"))
+    return F.aggregate(F.split(text, "\n", -1), start, read, lambda s: s["text"])
 
 
 def cpp_header(content: Column) -> Column:
-    """Whether a header's text, comments and strings aside, shows C++."""
-    bare = F.regexp_replace(F.regexp_replace(content, r"//[^\n]*|(?s)/\*.*?\*/", " "), r'"(?:\\.|[^"\\\n])*"', '""')
-    return bare.rlike(r"(?m)\bnamespace\s+\w+|\bclass\s+\w+\s*[:{]|\btemplate\s*<|^\s*(public|private|protected)\s*:|\w+::\w+|\busing\s+\w+\s*=|\b(constexpr|noexcept|nullptr|virtual)\b")
+    """Whether a header shows C++: a construct or standard header of C++ outside comments, literals and __cplusplus branches."""
+    # Literals are kept while comments go, in one pass from left to right; then they are emptied.
+    bare = F.regexp_replace(F.substring(content, 1, HEADER_CHARACTERS), r"(\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|/\*[\s\S]*?(?:\*/|\z)|//[^\n]*", "$1 ")
+    bare = _without_cplusplus(F.regexp_replace(bare, r"([\"'])(?:\\.|(?!\1)[^\\\n])*\1", "$1$1"))
+    return bare.rlike("(?m)" + "|".join([rf"^\s*#\s*include\s*<({'|'.join(CPP_HEADERS.split())})>", *CPP_CONSTRUCTS]))
+
+
+def _by_suffix(category: str) -> Column:
+    """A map of suffixes to languages."""
+    return F.create_map(*[F.lit(x) for language, suffixes in REGISTRY[category].items() for s in suffixes.split() for x in (s, language)])
 
 
 def classify_files(files: DataFrame) -> DataFrame:
     """language and category of files(path, content): supported, coming_soon, opaque or unrecognized; nginx by folder first."""
     from loomstone.functions.text import extension
 
-    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
     suffix = extension(F.col("path"))
     nginx = (basename(F.col("path")) == "nginx.conf") | F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).isin("sites-enabled", "sites-available", "conf.d")
-    known, soon, text, binary = (F.try_element_at(table(d), suffix) for d in (LANGUAGES, COMING_SOON, OPAQUE_TEXT, OPAQUE_BINARY))
     header = (suffix == ".h") & F.coalesce(cpp_header(F.col("content")), F.lit(False))
-    language = F.when(nginx, "nginx").when(header, "cpp").otherwise(F.coalesce(known, soon, text, binary))
-    category = F.when(nginx | known.isNotNull(), "supported").when(soon.isNotNull(), "coming_soon").when(text.isNotNull(), "opaque_text").when(binary.isNotNull(), "opaque_binary").otherwise("unrecognized")
+    found = {category: F.try_element_at(_by_suffix(category), suffix) for category in REGISTRY}
+    language = F.when(nginx, "nginx").when(header, "cpp").otherwise(F.coalesce(*found.values()))
+    category = F.when(nginx, "supported").otherwise(F.coalesce(*(F.when(known.isNotNull(), name) for name, known in found.items()), F.lit("unrecognized")))
     return files.select("*", language.alias("language"), category.alias("category"))
 
 
 def scanned_paths(files: DataFrame) -> DataFrame:
-    """files(path) outside ignored folders: by name, by pattern, and below a folder that holds a marker file."""
-    folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
-    bad = F.exists(folders, lambda f: f.isin(*IGNORED_FOLDERS) | f.rlike(IGNORED_PATTERN))
-    marked = files.where(basename(F.col("path")).isin(*MARKERS)).select(dirname(F.col("path")).alias("folder")).distinct()
-    kept = files.where(~bad)
-    above = kept.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/"))).alias("folder"))
-    return kept.join(above.join(marked, "folder", "left_semi").select("path").distinct(), "path", "left_anti")
+    """files(path) that a scan reads: not ignored by name, not below a folder ignored by name, pattern or marker file.
+
+    Where the scanned folder itself is a virtual environment, the environment's own folders go, told by what they hold.
+    """
+    parts = F.split("path", "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    bad = F.exists(folders, lambda f: f.isin(*IGNORED_FOLDERS) | f.rlike("|".join(IGNORED_PATTERNS)))
+    marks = files.where(basename(F.col("path")).isin(*MARKERS)).select(F.when(F.col("path").contains("/"), dirname(F.col("path"))).otherwise("").alias("folder")).distinct()
+    kept = files.where(~bad & ~basename(F.col("path")).isin(*IGNORED_FILES))
+    # Folders above each file, and the top folder where the whole tree is an environment: at most one row.
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    above = kept.select("path", F.explode(prefixes).alias("folder"))
+    below_mark = above.join(marks.where("folder <> ''"), "folder", "left_semi").select("path").distinct()
+    first, second = parts[0], F.try_element_at(parts, F.lit(2))
+    own = reduce(or_, (first.isin(*names) & (second.rlike(holds) if holds else second.isNotNull()) for names, holds in VENV_FOLDERS.items()))
+    environment = files.where(own).select(first.alias("top")).distinct().join(F.broadcast(marks.where("folder = ''").limit(1)), how="cross").select("top")
+    tops = kept.withColumn("top", F.when(F.col("path").contains("/"), first))
+    return tops.join(environment, "top", "left_anti").select(*files.columns).join(below_mark, "path", "left_anti").select(*files.columns)
 
 
 def language_registry(spark) -> DataFrame:
     """Languages with category and suffixes."""
-    rows = [(language, category, suffix) for category, d in (("supported", LANGUAGES), ("coming_soon", COMING_SOON), ("opaque_text", OPAQUE_TEXT), ("opaque_binary", OPAQUE_BINARY)) for suffix, language in d.items()]
-    listed = spark.createDataFrame(rows, "language string, category string, suffix string")
-    return listed.groupBy("category", "language").agg(F.array_join(F.array_sort(F.collect_list("suffix")), " ").alias("suffixes"))
+    rows = [(language, category, " ".join(sorted(suffixes.split()))) for category, languages in REGISTRY.items() for language, suffixes in languages.items()]
+    return spark.createDataFrame(rows, "language string, category string, suffixes string")
+
+
+def _empty_files(spark, path: str) -> tuple[str, list[str]]:
+    """The path of a folder, and the URIs of the empty files below it: one listing a folder, taken as text."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    open_, empty = [top], []
+    while open_:
+        listed = jvm.org.apache.commons.lang3.ArrayUtils.toString(system.listStatus(open_.pop()))
+        for uri, folder, length in re.findall(r"path=(.*?); isDirectory=(true|false)(?:; length=(\d+))?", listed):
+            if folder == "true":
+                open_.append(jvm.org.apache.hadoop.fs.Path(uri))
+            elif length == "0":
+                empty.append(uri)
+    return system.makeQualified(top).toUri().getPath().rstrip("/"), empty
 
 
 def read_tree(spark, path: str, text_only: bool = True) -> DataFrame:
     """(path, size, modified, content) of all files below a folder; paths relative to it.
 
-    The binary reader leaves empty files out; they are added from the listing that the driver makes anyway.
+    Spark lists and reads the files. Its reader leaves empty ones out; these are added from a listing of the folders.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    root = system.makeQualified(hadoop).toUri().getPath().rstrip("/")
-    listing, empty = system.listFiles(hadoop, True), []
-    while listing.hasNext():
-        status = listing.next()
-        if status.getLen() == 0:
-            empty.append((status.getPath().toUri().getPath()[len(root) + 1 :],))
+    root, empty = _empty_files(spark, path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    # The reader gives URIs: without scheme and host, decoded, and relative to the root.
-    plain = F.expr("url_decode(replace(regexp_replace(path, '^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?', ''), '+', '%2B'))")
-    rows = files.select(F.substring(plain, len(root) + 2, 1 << 20).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    # URIs without scheme and host, relative to the root; the reader's are encoded.
+    relative = lambda c: F.substring(F.expr(f"regexp_replace({c}, '^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?', '')"), len(root) + 2, 1 << 20)
+    decoded = files.withColumn("path", F.expr("url_decode(replace(path, '+', '%2B'))"))
+    rows = decoded.select(relative("path").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     if empty:
-        blank = spark.createDataFrame(empty, "path string").select("path", F.lit(0).cast("long"), F.lit(None).cast("timestamp"), F.lit("").cast("binary"))
+        blank = spark.createDataFrame([(x,) for x in empty], "path string").select(relative("path"), F.lit(0).cast("long"), F.lit(None).cast("timestamp"), F.lit("").cast("binary"))
         rows = rows.union(blank)
     return rows.withColumn("content", F.try_validate_utf8(F.col("content").cast("string"))) if text_only else rows
 
 
-#: Commands that the guard refuses, by pattern.
-BLOCKED_COMMANDS = (r"\brm\s+-[a-z]*r[a-z]*f?\b", r"\bmkfs\b", r"\bdd\s+.*of=/dev/", r"\bsed\s+-i\b", r">\s*/dev/sd", r"\bshutdown\b|\breboot\b", r"\bchmod\s+-R\s+777\b", r"\btee\b", r"\bgit\s+push\s+.*--force\b")
+#: Commands that read files, commands that edit files, and other ways of either, by pattern.
+READING = "cat head tail tac less more bat batcat strings"
+EDITING = "sed awk perl tee truncate patch"
+EDITING_PATTERNS = (
+    r"\b(echo|printf)\b.*[^>]>[^>]", r"\bpython3?\s+-c\s+.*open\s*\(", r"\bpython3?\s+.*<<", r"\bpython3?\s+-c\s+.*(read|write|\.readlines|\.writelines)",
+    r"\bnode\s+-e\s+.*(readFile|writeFile|appendFile|createWriteStream|createReadStream)", r"\b(bash|sh|source)\s+\S+\.(sh|bash|py|js|pl|rb)\b",
+)
+#: Subcommands of the token-saving wrapper that read files.
+READING_SUBCOMMANDS = "read smart"
+
 
+def command_guard(command: Column, wrapped: bool = False) -> Column:
+    """``read`` or ``edit`` if a command reads or edits files past the tools for that; null if it may run.
 
-def command_guard(command: Column) -> Column:
-    """Number of the first pattern that refuses a command; null if it may run."""
-    return F.coalesce(*(F.when(command.rlike(p), i) for i, p in enumerate(BLOCKED_COMMANDS)))
+    The command's first word counts without its folder, and so does the first word behind ``bash -c``. ``wrapped``: arguments of
+    the wrapper, of which some subcommands read.
+    """
+    text = F.trim(command)
+    starts = lambda words, before="^": text.rlike(rf"{before}(?:[^\s|;&]*/)?(?:{'|'.join(words.split())})(?:[\s|;&]|$)")
+    inner = r"\b(?:bash|sh)\s+-c\s+['\"]?"
+    rules = [(starts(READING), "read"), (starts(EDITING), "edit"), (text.rlike("|".join(EDITING_PATTERNS)), "edit"), (starts(READING, inner), "read"), (starts(EDITING, inner), "edit")]
+    if wrapped:
+        rules.insert(0, (F.split(text, r"\s+")[0].isin(*READING_SUBCOMMANDS.split()), "read"))
+    return F.coalesce(*(F.when(rule, outcome) for rule, outcome in rules))

@@ -61,22 +61,24 @@ def detect_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("merged_endpoints", """
-SELECT p_partkey % 50 AS doc_id, 'server' AS kind, 'h' || (p_partkey % 9) AS locator, 0 AS source, min(p_size) FILTER (p_partkey % 2 = 0) AS line FROM part GROUP BY 1, 3 HAVING count(*) FILTER (p_partkey % 2 = 0) > 0
-UNION ALL SELECT p_partkey % 50, 'server', 'h' || (p_partkey % 9), 2, min(p_size) FROM part GROUP BY 1, 3 HAVING count(*) FILTER (p_partkey % 2 = 0) = 0""")
+WITH e AS (SELECT p_partkey % 50 AS doc_id, 'server' AS kind, 'h' || (p_partkey % 9) AS locator, p_partkey % 7 % 3 AS source, p_size AS line FROM part)
+SELECT doc_id, kind, locator, source, min(line) AS line FROM e GROUP BY doc_id, kind, locator, source QUALIFY source = min(source) OVER (PARTITION BY doc_id, kind, locator)""")
 def merged_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoints of a parser, of listeners, and of detection."""
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select((k % 50).alias("doc_id"), F.lit("server").alias("kind"), F.concat(F.lit("h"), k % 9).alias("locator"), F.col("p_size").alias("line"), (k % 2).alias("odd"))
-    return facts.merge_endpoints(rows.where("odd = 0"), rows.where("false"), rows.where("odd = 1"))
+    rows = table(spark, sf_dir, "part").select((k % 50).alias("doc_id"), F.lit("server").alias("kind"), F.concat(F.lit("h"), k % 9).alias("locator"), F.col("p_size").alias("line"), (k % 7 % 3).alias("from"))
+    return facts.merge_endpoints(*(rows.where(F.col("from") == i) for i in range(3)))
 
 
 @query("private_addresses", """
-WITH a AS (SELECT doc_id, regexp_extract(text, '(\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3})', 1) AS ip FROM documents),
-o AS (SELECT doc_id, ip, CAST(split_part(ip, '.', 1) AS INT) AS a, CAST(split_part(ip, '.', 2) AS INT) AS b, CAST(split_part(ip, '.', 3) AS INT) AS c FROM a WHERE ip <> '')
+WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}')) AS ip FROM documents),
+o AS (SELECT DISTINCT doc_id, ip, CAST(split_part(ip, '.', 1) AS INT) AS a, CAST(split_part(ip, '.', 2) AS INT) AS b, CAST(split_part(ip, '.', 3) AS INT) AS c FROM a)
 SELECT doc_id, ip, a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168)
   OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) AS private FROM o""")
 def private_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ip = F.regexp_extract("text", r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", ip.alias("ip")).where("ip <> ''").select("*", net.is_private_ip(F.col("ip")).alias("private"))
+    """Every address of every text, and whether it is of a special block."""
+    every = F.regexp_extract_all("text", F.lit(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(every)).alias("ip")).select("*", net.is_private_ip(F.col("ip")).alias("private"))
 
 
 @query("content_search", """
@@ -235,10 +237,20 @@ def statement_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.leading_verb(sql).alias("verb"), text.verb_class(sql, F.col("l_returnflag") == "R").alias("class"), text.looks_like_sql(sql).alias("sniffed"))
 
 
-@query("command_guard", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 0 WHEN 2 THEN 3 END AS refused FROM orders")
+#: Commands, and what the guard makes of them.
+_COMMANDS = (
+    ("ls -la f", None), ("cat f", "read"), ("/bin/cat f", "read"), ("  tail -n 3 f | wc", "read"), ("sed -i s/a/b/ f", "edit"), ("awk 1 f", "edit"), ("echo x > f", "edit"), ("echo x >> f", None),
+    ("python3 -c \"open(1)\"", "edit"), ("python3 run.py", None), ("node -e \"fs.readFile(1)\"", "edit"), ("bash run.sh", "edit"), ("bash -c \"head f\"", "read"), ("sh -c \"perl -e 1\"", "edit"), ("grep cat f", None), ("git log; cat f", None),
+)
+
+
+@query("command_guard", f"""
+WITH c AS (SELECT * FROM (VALUES {", ".join(f"({i}, " + (f"'{outcome}'" if outcome else "NULL") + ")" for i, (_, outcome) in enumerate(_COMMANDS))}) t(i, refused))
+SELECT o_orderkey, refused FROM orders JOIN c ON o_orderkey % {len(_COMMANDS)} = i""")
 def command_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    command = F.when(k % 4 == 1, F.concat(F.lit("rm -rf /tmp/"), k)).when(k % 4 == 2, F.concat(F.lit("sed -i s/a/b/ f"), k)).otherwise(F.concat(F.lit("ls "), k))
+    """What the guard makes of commands that orders stand for."""
+    listed = F.array(*(F.lit(c) for c, _ in _COMMANDS))
+    command = F.element_at(listed, (F.col("o_orderkey") % len(_COMMANDS) + 1).cast("int"))
     return table(spark, sf_dir, "orders").select("o_orderkey", facts.command_guard(command).alias("refused"))
 
 
@@ -249,21 +261,38 @@ def viewport_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", net.viewport(asked)["width"].alias("width"))
 
 
-@query("classified_files", """
-SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'nginx' WHEN 2 THEN 'cpp' WHEN 3 THEN 'c' WHEN 4 THEN 'markdown' END AS language,
-  CASE c_custkey % 6 WHEN 4 THEN 'opaque_text' WHEN 5 THEN 'unrecognized' ELSE 'supported' END AS category FROM customer WHERE c_custkey % 7 <> 0""")
+#: Headers, and the language that they show.
+_HEADERS = (
+    ("class A { public: };", "cpp"), ("int f(void); // class X {", "c"), ("bool ok = nullptr; constexpr int n = 1;", "c"), ("#ifdef __cplusplus\nnamespace n {\n#endif\nint f(void);", "c"), ("#ifndef __cplusplus\nint f(void);\n#else\nclass A { };\n#endif", "c"),
+    ("#if 1\nnamespace n {\n#endif", "cpp"), ("#include <vector>", "cpp"), ("#include <stdint.h>", "c"), ("char *s = \"// template <\"; int virtual_x;", "c"), ("/* \" */ using T = int;", "cpp"), ("struct A { int x; };", "c"), ("struct A : B {", "cpp"),
+)
+
+
+@query("classified_files", f"""
+WITH h AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{language}')" for i, (_, language) in enumerate(_HEADERS))}) t(i, shown))
+SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'nginx' WHEN 4 THEN 'protobuf' WHEN 5 THEN NULL ELSE shown END AS language,
+  CASE c_custkey % 6 WHEN 4 THEN 'coming_soon' WHEN 5 THEN 'unrecognized' ELSE 'supported' END AS category FROM customer JOIN h ON c_custkey % {len(_HEADERS)} = i WHERE c_custkey % 7 > 1""")
 def classified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files outside ignored folders, by suffix, folder and header text."""
     k = F.col("c_custkey")
-    folder = F.when(k % 7 == 0, F.when(k % 2 == 0, "a/node_modules/").otherwise("env9/lib/")).when(k % 6 == 1, "etc/conf.d/").otherwise("src/")
-    name = F.concat(F.lit("f"), k, F.when(k % 6 == 0, ".py").when(k % 6 == 1, ".conf").when((k % 6).isin(2, 3), ".h").when(k % 6 == 4, ".md").otherwise(".zzz"))
-    content = F.when(k % 6 == 2, "class A { public: };\nnamespace n {").otherwise("int f(void); // class X {")
+    inside = F.element_at(F.array(*map(F.lit, ("a/node_modules/", "env9/lib/", "b.egg-info/", "vendor/x/", ".venv3/"))), (k % 5 + 1).cast("int"))
+    folder = F.when(k % 7 == 0, inside).when(k % 6 == 1, "etc/conf.d/").otherwise("src/")
+    suffix = F.when(k % 6 == 0, ".pyw").when(k % 6 == 1, "").when((k % 6).isin(2, 3), ".h").when(k % 6 == 4, ".proto").otherwise(".scala")
+    name = F.when(k % 7 == 1, "yarn.lock").otherwise(F.concat(F.lit("f"), k, suffix))
+    content = F.element_at(F.array(*(F.lit(c) for c, _ in _HEADERS)), (k % len(_HEADERS) + 1).cast("int"))
     rows = table(spark, sf_dir, "customer").select(k.alias("k"), F.concat(folder, name).alias("path"), content.alias("content"))
     marker = spark.sql("SELECT -1L AS k, 'env9/pyvenv.cfg' AS path, '' AS content")
     return facts.classify_files(facts.scanned_paths(rows.union(marker))).select("k", "language", "category")
 
 
-@query("language_registry")
+@query("language_registry", """
+SELECT * FROM (VALUES ('c', 'supported', '.c .h .m'), ('cpp', 'supported', '.cpp .cu .cuh .hip .hpp .metal .mm'), ('csharp', 'supported', '.cs'), ('go', 'supported', '.go'), ('java', 'supported', '.java'),
+  ('javascript', 'supported', '.cjs .js .jsx .mjs'), ('kotlin', 'supported', '.kt .kts'), ('nginx', 'supported', '.conf .nginx'), ('php', 'supported', '.php'), ('python', 'supported', '.py .pyw'), ('ruby', 'supported', '.rb'),
+  ('rust', 'supported', '.rs'), ('shell', 'supported', '.sh'), ('sql', 'supported', '.sql'), ('swift', 'supported', '.swift'), ('typescript', 'supported', '.ts .tsx'), ('lua', 'coming_soon', '.lua'), ('protobuf', 'coming_soon', '.proto'),
+  ('css', 'opaque_text', '.css'), ('html', 'opaque_text', '.html'), ('image', 'opaque_text', '.svg'), ('json', 'opaque_text', '.json'), ('markdown', 'opaque_text', '.md'), ('restructuredtext', 'opaque_text', '.rst'), ('text', 'opaque_text', '.txt'),
+  ('toml', 'opaque_text', '.toml'), ('xml', 'opaque_text', '.xml'), ('yaml', 'opaque_text', '.yaml .yml'), ('document', 'opaque_binary', '.pdf'), ('image', 'opaque_binary', '.gif .jpeg .jpg .png .webp'), ('java_archive', 'opaque_binary', '.jar'),
+  ('java_bytecode', 'opaque_binary', '.class'), ('object_file', 'opaque_binary', '.o'), ('python_bytecode', 'opaque_binary', '.pyc'), ('python_extension', 'opaque_binary', '.pyd'), ('shared_library', 'opaque_binary', '.dll .dylib .so'),
+  ('sqlite_db', 'opaque_binary', '.db .sqlite .sqlite3'), ('static_library', 'opaque_binary', '.a'), ('webassembly', 'opaque_binary', '.wasm')) t(language, category, suffixes)""")
 def language_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.language_registry(spark)
 
