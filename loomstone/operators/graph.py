@@ -104,7 +104,8 @@ def trace(files: DataFrame, imports: DataFrame, starts: DataFrame, max_hops: int
         inner = F.col("resolved_file_id").isNotNull() & ~F.col("is_external")
         seen = known.select("start_id", F.col("file_id").alias("resolved_file_id"), F.lit(True).alias("seen"))
         met = met.join(seen, ["start_id", "resolved_file_id"], "left")
-        first = F.min("next").over(Window.partitionBy("start_id", "resolved_file_id"))
+        # Edges that lead to no file are partitions of their own.
+        first = F.min("next").over(Window.partitionBy("start_id", "resolved_file_id", F.when(~inner, F.col("import_id"))))
         met = met.withColumn("first", F.when(inner, first))
         terminus = (
             F.when(F.col("import_id").isNull(), "leaf").when(F.col("is_external"), "external").when(F.col("resolved_file_id").isNull(), "unresolved")

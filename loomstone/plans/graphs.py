@@ -106,19 +106,17 @@ def topology_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t["files"].agg(F.count("*").alias("total_files")).join(nodes).join(edges)
 
 
-#: The files that are asked about, as a user would name them.
-_STARTS = "address IN ('a.77', 'a.577', 'a.1077', 'a.1577')"
 _BFS = f"""WITH RECURSIVE {GRAPH_SQL},
 edge AS (SELECT DISTINCT file_id AS src, resolved_file_id AS dst FROM imports WHERE NOT is_external AND resolved_file_id IN (SELECT file_id FROM files)),
 """
 
 
 @query("trace_hops", f"""{_BFS}
-walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files WHERE {_STARTS}
-  UNION SELECT start_id, dst, depth + 1 FROM walk JOIN edge ON src = node WHERE depth < 8)
+walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files
+  UNION SELECT start_id, dst, depth + 1 FROM walk JOIN edge ON src = node WHERE depth < 25)
 , best AS (SELECT start_id, node, min(depth) AS depth FROM walk GROUP BY 1, 2)
-, e AS (SELECT start_id, depth + 1 AS hop, i.* FROM best JOIN imports i ON i.file_id = node WHERE depth < 8)
-, leaf AS (SELECT start_id, depth + 1 AS hop, count(*) AS n FROM best WHERE depth < 8 AND node NOT IN (SELECT file_id FROM imports) GROUP BY 1, 2)
+, e AS (SELECT start_id, depth + 1 AS hop, i.* FROM best JOIN imports i ON i.file_id = node WHERE depth < 25)
+, leaf AS (SELECT start_id, depth + 1 AS hop, count(*) AS n FROM best WHERE depth < 25 AND node NOT IN (SELECT file_id FROM imports) GROUP BY 1, 2)
 , f AS (SELECT start_id, depth AS hop, count(*) AS n FROM best WHERE depth > 0 GROUP BY 1, 2)
 SELECT start_id, hop, 'external' AS terminus, count(*) AS n FROM e WHERE is_external GROUP BY 1, 2
 UNION ALL SELECT start_id, hop, 'unresolved', count(*) FROM e WHERE NOT is_external AND resolved_file_id IS NULL GROUP BY 1, 2
@@ -127,29 +125,29 @@ UNION ALL SELECT start_id, hop, 'follow', n FROM f
 UNION ALL SELECT e.start_id, e.hop, 'cycle', count(*) - coalesce(any_value(f.n), 0) FROM e LEFT JOIN f USING (start_id, hop)
   WHERE NOT is_external AND resolved_file_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > coalesce(any_value(f.n), 0)""")
 def trace_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges by hop and terminus of the traces from several files."""
+    """Edges by hop and terminus of the traces from every file."""
     t = graph(spark, sf_dir)
-    starts = t["files"].where(_STARTS).select(F.col("file_id").alias("start_id"))
-    return g.trace(t["files"], t["imports"], starts, 8).groupBy("start_id", "hop", "terminus").agg(F.count("*").alias("n"))
+    starts = t["files"].select(F.col("file_id").alias("start_id"))
+    return g.trace(t["files"], t["imports"], starts).groupBy("start_id", "hop", "terminus").agg(F.count("*").alias("n"))
 
 
 @query("discover_files", f"""{_BFS}
-walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files WHERE {_STARTS}
+walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files
   UNION SELECT start_id, dst, depth + 1 FROM walk JOIN edge ON src = node WHERE depth < 5)
 SELECT start_id, node, min(depth) AS depth FROM walk GROUP BY 1, 2""")
 def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = graph(spark, sf_dir)
-    return g.discover(t["imports"], t["files"].where(_STARTS).select(F.col("file_id").alias("start_id")), 5)
+    return g.discover(t["imports"], t["files"].select(F.col("file_id").alias("start_id")))
 
 
 @query("crawl_neighbours", f"""{_BFS}
 both_ways AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge),
-walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files WHERE {_STARTS}
-  UNION SELECT start_id, dst, depth + 1 FROM walk JOIN both_ways ON src = node WHERE depth < 3)
+walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files
+  UNION SELECT start_id, dst, depth + 1 FROM walk JOIN both_ways ON src = node WHERE depth < 6)
 SELECT start_id, node, min(depth) AS depth FROM walk GROUP BY 1, 2""")
 def crawl_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = graph(spark, sf_dir)
-    return g.crawl(t["imports"], t["files"].where(_STARTS).select(F.col("file_id").alias("start_id")), 3)
+    return g.crawl(t["imports"], t["files"].select(F.col("file_id").alias("start_id")))
 
 
 @query("file_placement", """
