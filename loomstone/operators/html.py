@@ -29,6 +29,7 @@ CLOSED_BY = {
     "p": {"p", "div", "ul", "ol", "li", "dl", "table", "section", "article", "main", "aside", "nav", "header", "footer", "blockquote", "figure", "pre", "form", "h1", "h2", "h3", "h4", "h5", "h6", "hr"},
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"},
 }
+INLINE = {"a", "abbr", "b", "big", "code", "del", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "tt", "u", "var"}
 LABEL_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "a", "button", "summary", "li", "th", "td", "dt"}
 MAX_DEPTH = 15
 
@@ -68,6 +69,12 @@ class _Tree(HTMLParser):
         node = self.at
         while node.tag in CLOSED_BY and tag in CLOSED_BY[node.tag]:
             node = node.parent
+        if tag in CLOSED_BY["p"]:  # an open paragraph ends, inline tags below it, too
+            up = node
+            while up.tag in INLINE:
+                up = up.parent
+            if up.tag == "p":
+                node = up.parent
         if tag in ("li", "dt", "dd", "tr", "td", "th"):  # close an open sibling below inline tags
             up = self.at
             while up.parent and up.tag not in ("ul", "ol", "dl", "table", "body", "div", "section"):
@@ -151,33 +158,31 @@ def full_text(node: Node) -> str:
     if node.tag == "table":
         return table_text(node)
     lines: list[str] = []
-
-    def walk(n: Node) -> None:
-        for child in n.children:
-            if isinstance(child, str):
-                if child.strip():
-                    lines.append(child.strip())
-            elif child.tag in NEVER_TEXT:
-                continue
-            elif child.tag == "table":
-                lines.append(table_text(child))
-            elif child.tag in ("pre", "code"):
-                lines.append(child.text().strip())
-            elif child.tag in WRAPPERS:
-                walk(child)
-            elif text := child.text().strip():
-                if re.fullmatch(r"h[1-6]", child.tag):
-                    lines.append(f"## {text}")
-                elif child.tag == "li":
-                    lines.append(f"- {text}")
-                elif child.tag == "a":
-                    lines.append(f"[{text}]({child.attrs.get('href', '')})")
-                elif child.tag == "tr":
-                    lines.append(" | ".join(c for c in (_clean(x.text()) for x in child.find("th", "td")) if c))
-                else:
-                    lines.append(text)
-
-    walk(node)
+    stack = list(reversed(node.children))
+    while stack:
+        child = stack.pop()
+        if isinstance(child, str):
+            if child.strip():
+                lines.append(child.strip())
+        elif child.tag in NEVER_TEXT:
+            continue
+        elif child.tag == "table":
+            lines.append(table_text(child))
+        elif child.tag in ("pre", "code"):
+            lines.append(child.text().strip())
+        elif child.tag in WRAPPERS:
+            stack += reversed(child.children)
+        elif text := child.text().strip():
+            if re.fullmatch(r"h[1-6]", child.tag):
+                lines.append(f"## {text}")
+            elif child.tag == "li":
+                lines.append(f"- {text}")
+            elif child.tag == "a":
+                lines.append(f"[{text}]({child.attrs.get('href', '')})")
+            elif child.tag == "tr":
+                lines.append(" | ".join(c for c in (_clean(x.text()) for x in child.find("th", "td")) if c))
+            else:
+                lines.append(text)
     return "\n".join(x for x in lines if x)
 
 
@@ -188,9 +193,11 @@ def elements_of(html: str | None) -> tuple[str, list[tuple]]:
     root, out = parse(html), []
     title = next((_clean(n.text()) for n in root.find("title")), "")
 
-    def walk(node: Node, depth: int) -> None:
+    stack = [(n, 0) for n in [*root.find("body"), root][:1]]
+    while stack:
+        node, depth = stack.pop()
         if node.tag in SKIPPED or depth > MAX_DEPTH:
-            return
+            continue
         role, name = node.attrs.get("role", ""), node.attrs.get("id", "")
         region = node.tag == "div" and ((role and role not in ("presentation", "none")) or (name and not name[0].isdigit()))
         kind = KINDS.get(node.tag) or ("region" if region else None)
@@ -200,13 +207,8 @@ def elements_of(html: str | None) -> tuple[str, list[tuple]]:
             first = next((x for x in (_clean(t) for t in text.split("\n")) if x), "")
             out.append((len(out), f"e{len(out) + 1}", kind, depth, _label(node), "" if node.tag == "pre" else _short(first, 120), click, _destination(node) if click else None, text))
             if kind == "code":
-                return
-        for child in node.children:
-            if isinstance(child, Node):
-                walk(child, depth + (1 if kind else 0))
-
-    for body in ([n for n in root.find("body")] or [root])[:1]:
-        walk(body, 0)
+                continue
+        stack += [(child, depth + (1 if kind else 0)) for child in reversed(node.children) if isinstance(child, Node)]
     return title, out
 
 

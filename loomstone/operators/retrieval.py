@@ -18,28 +18,74 @@ OUTLINE_KINDS = ("main", "navigation", "nav", "sidebar", "aside", "region", "hea
 
 
 # Structure.
+STRUCTURE = "has_children boolean, end_ord int, parent_ord int, heading string, items_below int, links_below int"
+
+
+def _structure_of(depth: list[int], kind: list[str], label: list[str | None], link: list[bool]) -> list[list]:
+    """The columns of STRUCTURE for the elements of one page in order: one pass with the elements that are open."""
+    n = len(depth)
+    end, parent, heading = [n - 1] * n, [None] * n, [None] * n
+    items, links, open_, last = [0], [0], [], None
+    for i in range(n):
+        while open_ and depth[open_[-1]] >= depth[i]:
+            end[open_.pop()] = i - 1
+        parent[i], heading[i] = open_[-1] if open_ else None, last
+        open_.append(i)
+        last = label[i] if kind[i] == "heading" and label[i] is not None else last
+        items.append(items[-1] + (kind[i] == "item"))
+        links.append(links[-1] + link[i])
+    below = lambda sums: [sums[e + 1] - sums[i + 1] for i, e in enumerate(end)]
+    return [[e > i for i, e in enumerate(end)], end, parent, heading, below(items), below(links)]
+
+
 def with_structure(elements: DataFrame) -> DataFrame:
-    """Adds has_children, end_ord (last element of the subtree), parent_ord and heading to elements.
+    """Adds to elements (ord from 0 on each page): has_children, end_ord (last element of the subtree), parent_ord, heading (the
+    last one before), and how many items and links lie below. One shuffle by page; a page is held at a time."""
+    names = elements.columns
+    added = [c.split() for c in STRUCTURE.split(", ")]
+    types = {"boolean": pa.bool_(), "int": pa.int32(), "string": pa.string()}
+    sample = elements.select("*", *(F.lit(None).cast(t).alias(c) for c, t in added))
 
-    The end of a subtree is the next element of its own depth or less. Depth is at most 16, so it is the
-    least of the next positions of each depth up to the own: one window for each, no self join.
-    """
-    page = Window.partitionBy("page_id").orderBy("ord")
-    behind = page.rowsBetween(Window.unboundedPreceding, -1)
-    # Frames that grow are computed in one pass; so what follows is looked at from the end of the page.
-    ahead = Window.partitionBy("page_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
-    nexts = [F.min(F.when(F.col("depth") == d, F.col("ord"))).over(ahead) for d in range(17)]
-    lasts = [F.max(F.when(F.col("depth") == d, F.col("ord"))).over(behind) for d in range(17)]
-    stop = F.least(*(F.when(F.col("depth") >= d, n) for d, n in enumerate(nexts)), F.lit(1 << 30))
-    above = F.greatest(*(F.when(F.col("depth") > d, n) for d, n in enumerate(lasts)), F.lit(-1))
-    total = F.max("ord").over(Window.partitionBy("page_id"))
-    heading = F.last(F.when(F.col("kind") == "heading", F.col("label")), ignorenulls=True).over(behind)
-    return (
-        elements.withColumn("has_children", F.coalesce(F.lead("depth").over(page) > F.col("depth"), F.lit(False)))
-        .withColumn("end_ord", F.least(stop - 1, total))
-        .withColumn("parent_ord", F.when(above >= 0, above))
-        .withColumn("heading", heading)
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            col = lambda c: table.column(c).to_pylist()
+            page, depth, kind, label = (col(c) for c in ("page_id", "depth", "kind", "label"))
+            link = [k == "link" or (c and d is not None) for k, c, d in zip(kind, col("clickable"), col("dest"), strict=True)]
+            columns: list[list] = [[] for _ in added]
+            edges = [0, *(i for i in range(1, len(page)) if page[i] != page[i - 1]), len(page)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                for column, found in zip(columns, _structure_of(depth[a:b], kind[a:b], label[a:b], link[a:b]), strict=True):
+                    column += found
+            arrays = [pa.array(c, type=types[t]) for c, (_, t) in zip(columns, added, strict=True)]
+            yield from pa.Table.from_arrays([*table.columns, *arrays], names=[*names, *(c for c, _ in added)]).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            page = batch.column("page_id").to_pylist()
+            # Rows of the last page wait for those that may follow.
+            last = next((i + 1 for i in range(len(page) - 2, -1, -1) if page[i] != page[-1]), 0)
+            if last or (held and held[-1].column("page_id")[-1].as_py() != page[0]):
+                held.append(batch.slice(0, last))
+                yield from finish()
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from finish()
+
+    return elements.repartition("page_id").sortWithinPartitions("page_id", "ord").mapInArrow(run, sample.schema)
+
+
+#: Rows of a stated query set that go to every executor.
+STATED_ROWS = 10_000
+
+
+def stated(queries: DataFrame) -> DataFrame:
+    """A stated query set, that is compared with all rows: broadcast up to STATED_ROWS, otherwise met block by block."""
+    return F.broadcast(queries) if queries.limit(STATED_ROWS + 1).count() <= STATED_ROWS else queries
 
 
 # Words.
@@ -58,7 +104,7 @@ def search_ladder(elements: DataFrame, queries: DataFrame, meaning: DataFrame |
     own = F.when(F.col("has_children"), F.lower(F.concat_ws(" ", blank("label"), blank("summary")))).otherwise(full)
     rows = elements.select("page_id", "ord", "element_id", "depth", "end_ord", full.alias("full"), own.alias("own"))
     # The stated queries against all elements: the queries are the small side.
-    pairs = rows.join(F.broadcast(asked) if queries.count() <= 1000 else asked)
+    pairs = rows.join(stated(asked))
     several, phrase = F.size("words") >= 2, F.col("q").contains(" ")
     hits = [
         phrase & F.col("full").contains(F.col("q")),
@@ -110,7 +156,7 @@ def meaning_matches(vectors: DataFrame, queries: DataFrame, z: float = MEANING_Z
     ``skip_equal``: an element is not compared with the query of its own id.
     """
     asked = queries.select("query_id", F.col("vector").alias("wanted"))
-    pairs = vectors.join(F.broadcast(asked) if queries.count() <= 1000 else asked)
+    pairs = vectors.join(stated(asked))
     scored = (pairs.where("query_id <> element_id") if skip_equal else pairs).select("query_id", "page_id", "element_id", cosine(F.col("wanted"), F.col("vector")).alias("s"))
     best = scored.groupBy("query_id", "page_id", "element_id").agg(F.max("s").alias("score"))
     page = Window.partitionBy("query_id", "page_id")
@@ -196,11 +242,7 @@ def skeleton_lines(elements: DataFrame) -> DataFrame:
     rows = elements.withColumn("fold", F.when(type_.isNotNull() & (below >= 3), type_).when(F.col("kind") == "code", "code"))
     covered = F.max(F.when(F.col("fold").isNotNull(), F.col("end_ord"))).over(page.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("hidden", F.coalesce(covered >= F.col("ord"), F.lit(False)))
-    # Folds that are hidden themselves cover nothing that the outer one does not.
-    inside = rows.where("NOT hidden AND fold IS NOT NULL").select("page_id", F.col("ord").alias("fold_ord"), "end_ord")
-    parts = elements.select("page_id", F.col("ord").alias("part"), (F.col("kind") == "item").cast("int").alias("item"), ((F.col("kind") == "link") | (F.col("clickable") & F.col("dest").isNotNull())).cast("int").alias("link"))
-    counts = inside.join(parts, "page_id").where("part > fold_ord AND part <= end_ord").groupBy("page_id", F.col("fold_ord").alias("ord")).agg(F.sum("item").alias("items"), F.sum("link").alias("links"))
-    shown = rows.where("NOT hidden").join(counts, ["page_id", "ord"], "left").fillna(0, ["items", "links"])
+    shown = rows.where("NOT hidden").withColumnsRenamed({"items_below": "items", "links_below": "links"})
     first = lambda a, b: F.when(F.col(a) > 0, F.col(a)).otherwise(F.col(b))
     count = F.when(F.col("fold") == "dropdown", first("items", "links")).when(F.col("fold") == "code", F.size(F.split("text", "\n")).cast("long")).otherwise(first("links", "items"))
     unit = F.when(F.col("fold") == "code", "lines").when(F.col("fold") == "dropdown", "items").otherwise("links")

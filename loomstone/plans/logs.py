@@ -204,18 +204,54 @@ def wait_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(gaps, ["key", "t"]).select("event_id", "gap")
 
 
-@query("scan_locks")
+#: Folds as recursive SQL: the i-th event of every key follows the state behind the one before.
+def _fold_sql(columns: str, key: str, first: str, following: str) -> str:
+    """columns: of an event, by name; first and following: the further columns (outcome and state) of a key's first event and of
+    the later ones, from the event e and the row w before it."""
+    names = [c.rsplit(" AS ", 1)[1] for c in columns.split("; ")]
+    own = ", ".join(f"e.{n}" for n in names)
+    rest = ", ".join(["t", *(n for n in names if n not in (key, "t"))])
+    return f"""WITH RECURSIVE s AS (SELECT {columns.replace("; ", ", ")} FROM (SELECT *, {_SECONDS} AS t FROM events)),
+e AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {rest}) AS i FROM s),
+w AS (SELECT {own}, i, {first} FROM e WHERE i = 1 UNION ALL SELECT {own}, e.i, {following} FROM w JOIN e ON e.{key} = w.{key} AND e.i = w.i + 1)"""
+
+
+_LOCKS = _fold_sql(
+    "user_id AS user_id; t AS t; t + 5000 * (event_id % 3) AS ended; event_id AS event_id", "user_id",
+    f"'STARTED' AS outcome, least(e.ended, e.t + {acc.LOCK_SECONDS}) AS until",
+    f"CASE WHEN e.t < until THEN 'BLOCKED' ELSE 'STARTED' END, CASE WHEN e.t < until THEN until ELSE least(e.ended, e.t + {acc.LOCK_SECONDS}) END",
+)
+_RECENT = "list_filter(recent, lambda x: x > e.t - 50000)"
+_RATES = _fold_sql(
+    "user_id AS key; t AS t; event_id AS event_id", "key", "'admitted' AS outcome, [e.t] AS recent",
+    f"CASE WHEN len({_RECENT}) < 3 THEN 'admitted' ELSE 'refused' END, CASE WHEN len({_RECENT}) < 3 THEN list_append({_RECENT}, e.t) ELSE {_RECENT} END",
+)
+_BEGIN = "greatest(e.t, free[1], w.started)"
+_SLOTS = _fold_sql(
+    "event_type AS pool; t AS t; event_id % 900 + 600 AS seconds; event_id AS event_id", "pool", "e.t AS started, [-1, e.t + e.seconds] AS free",
+    f"{_BEGIN}, list_sort([{_BEGIN} + e.seconds, free[2]])",
+)
+_STORED = "list_filter(cache, lambda x: x.url = e.url)[1].at"
+_KEPT = f"CASE WHEN e.t - {_STORED} < 20000 THEN {_STORED} ELSE e.t END"
+_CACHED = f"list_append(list_filter(cache, lambda x: x.url <> e.url), {{'url': e.url, 'at': {_KEPT}}})"
+_CACHE = _fold_sql(
+    "user_id % 5 AS slot; t AS t; 'u' || (user_id % 30) AS url; event_id AS event_id", "slot", "'miss' AS outcome, [{'url': e.url, 'at': e.t}] AS cache",
+    f"CASE WHEN {_STORED} IS NULL THEN 'miss' WHEN e.t - {_STORED} < 20000 THEN 'hit' ELSE 'expired' END, list_slice({_CACHED}, greatest(1, len({_CACHED}) - 2), len({_CACHED}))",
+)
+
+
+@query("scan_locks", f"{_LOCKS} SELECT user_id, t, ended, event_id, outcome FROM w")
 def scan_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     return acc.scan_locks(e.select("user_id", "t", (F.col("t") + 5000 * (F.col("event_id") % 3)).alias("ended"), "event_id"))
 
 
-@query("rate_limited")
+@query("rate_limited", f"{_RATES} SELECT key, t, event_id, outcome FROM w")
 def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acc.rate_limit(_events(spark, sf_dir).select(F.col("user_id").alias("key"), "t", "event_id"), 3, 50_000)
 
 
-@query("slot_queue")
+@query("slot_queue", f"{_SLOTS} SELECT pool, t, seconds, event_id, started, started - t AS waited FROM w")
 def slot_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acc.slot_queue(_events(spark, sf_dir).select(F.col("event_type").alias("pool"), "t", (F.col("event_id") % 900 + 600).alias("seconds"), "event_id"), 2)
 
@@ -226,7 +262,7 @@ def routed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acc.route_requests(rows, [("big", 2, 1000), ("small", 1, 500)])
 
 
-@query("page_cache_replay")
+@query("page_cache_replay", f"{_CACHE} SELECT slot, t, url, event_id, outcome FROM w")
 def page_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select((F.col("user_id") % 5).alias("slot"), "t", F.concat(F.lit("u"), F.col("user_id") % 30).alias("url"), "event_id")
     return acc.page_cache(rows, 3, 20_000)

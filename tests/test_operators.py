@@ -256,3 +256,11 @@ def test_every_query_runs_on_the_smallest_tables(spark, name):
 def test_fixture_graph_has_all_termini(spark):
     t = fixture_graph(spark, "/root/testdata/sf0.001")
     assert t["imports"].where("is_external").count() and graph.missing_imports(t["imports"]).count()
+
+
+def test_deeply_nested_pages_and_open_paragraphs():
+    deep = "<body>" + "<div>" * 3000 + "<p>low</p><ul><li>x"
+    assert [e[2] for e in html.elements_of(deep)[1]] == ["text", "list", "item"]
+    many = "<body>" + "<section>" * 40 + "<p>too low</p>"
+    assert {e[3] for e in html.elements_of(many)[1]} == set(range(html.MAX_DEPTH + 1))
+    assert [(e[2], e[3]) for e in html.elements_of("<body><p><b>one<br><p>two</p><p><i>three<ul><li>four")[1]] == [("text", 0)] * 3 + [("list", 0), ("item", 1)]
