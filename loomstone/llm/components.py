@@ -5,37 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.scratch import cut
+from loomstone.llm.scratch import HOT_KEYS, cut, discard
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (columns u, v, both long); root: the smallest node reachable.
 
     Self links are ignored, repeated and reversed links count once; no edges give no rows. Each round
-    is written to the shared scratch space, group minima are partly aggregated before their shuffle, and the rows of a
-    hub are joined to one row of its minimum, a join that AQE splits where it is skewed.
+    is written to the shared scratch space and the round before it deleted. Group minima are partly aggregated before
+    their shuffle. Hubs, nodes with more than one in HOT_KEYS of all links' ends, of which there are fewer than HOT_KEYS, meet
+    their minimum by broadcast, so no task gets all links of a hub.
     """
-    def small(e: DataFrame) -> DataFrame:
+
+    def with_minimum(links: DataFrame, low: DataFrame, hubs: list[int]) -> DataFrame:
+        if not hubs:
+            return links.join(low, "u")
+        hub = F.col("u").isin(hubs)
+        return links.where(hub).join(F.broadcast(low.where(hub)), "u").union(links.where(~hub).join(low.where(~hub), "u"))
+
+    def small(e: DataFrame, hubs: list[int]) -> DataFrame:
         # e: u > v. The smallest neighbour m of u below it; links (v, m) and (u, m).
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        moved = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = with_minimum(e, low, hubs).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
-    def large(e: DataFrame) -> DataFrame:
+    def large(both: DataFrame, hubs: list[int]) -> DataFrame:
         # For every u: its larger neighbours link to the smallest of u and its neighbours.
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        moved = with_minimum(both.where("v > u"), low, hubs)
+        return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), label)
-    before = None
-    while True:
-        e = cut(small(large(e)), label)
-        # The links form stars around the roots when no node is both an end and a root.
-        after = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before is not None and (after["n"], after["h"]) == before:
-            break
-        before = (after["n"], after["h"])
-        if after["n"] == 0:
+    before = state(e)
+    while before[0]:
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        often = both.groupBy("u").count().where(F.col("count") * HOT_KEYS > 2 * before[0])
+        hubs = [r.u for r in often.collect()]  # fewer than HOT_KEYS
+        near = cut(small(large(both, hubs), hubs), label)
+        discard(e)
+        e, after = near, state(near)
+        # The links form stars around the roots when a round changes nothing.
+        if after == before:
             break
+        before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

@@ -1,27 +1,41 @@
-"""Shared scratch space: every table that cuts lineage is written below ``spark.checkpoint.dir``."""
+"""What the operators share: written tables, joins of frequent keys, free column names."""
 
 from __future__ import annotations
 
-import uuid
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder (single-machine tests).
-LOCAL_SCRATCH = "file:///tmp/checkpoints/loomstone"
+from loomstone.sources.scratch import cut, discard, scratch_dir
 
+__all__ = ["cut", "discard", "fresh", "join_hot", "numbered", "renamed", "scratch_dir", "small_batches", "sweep"]
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new, unique folder path that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    return f"{base.rstrip('/')}/loomstone-{label}-{uuid.uuid4().hex}"
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs, which it does once their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch space and read it back: later stages survive lost executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+#: Keys with more than one in so many of all rows are joined by broadcast: there are fewer than so many.
+HOT_KEYS = 500
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, times: str) -> DataFrame:
+    """``rows`` joined to ``keyed``, a written table with one row for each key (column ``times``: how many rows have it).
+
+    Keys with more than one in HOT_KEYS of all rows, of which there are fewer than HOT_KEYS, are broadcast, so that no
+    task gets all rows of a frequent key; the others are shuffled.
+    """
+    most = keyed.agg(F.sum(times), F.max(times)).first()
+    total = most[0] or 0
+    if (most[1] or 0) * HOT_KEYS <= total:
+        return rows.join(keyed.drop(times), key)
+    hot = keyed.where(F.col(times) * HOT_KEYS > total).drop(times)
+    rare = keyed.where(F.col(times) * HOT_KEYS <= total).drop(times)
+    frequent = rows.join(F.broadcast(hot), key)
+    return frequent.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rare, key))
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
@@ -32,6 +46,20 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def numbered(docs: DataFrame, *plain: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but ``plain`` called column0, column1, ..., and the names by column.
+
+    Operators may then add columns of any other name; ``renamed`` gives the columns back.
+    """
+    names = {c: c if c in plain else f"column{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def renamed(rows: DataFrame, names: dict[str, str], columns: list[str]) -> DataFrame:
+    """The ``columns`` of the table that was ``numbered``, by their names."""
+    return rows.select(*(F.col(names[c]).alias(c) for c in columns))
+
+
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Keep Arrow batches small: rows hold whole texts, and JVM and Python both hold whole batches."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
