@@ -1,16 +1,18 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-A group of ids is cut into blocks of ``block`` ids. Every block starts from the same empty state and can be
-decoded alone with the group's head. For each id, three predictions are mixed into one interval of a
-64-bit range coder (total 2^28):
-
-* order 2 and order 1: the id that last followed the same two ids, or the same id, in this block. Each has
-  a confidence that rises with hits and falls with misses, and its share of the interval is what
-  predictions of that confidence deserve; where both orders predict the same id their shares join,
-  otherwise order 1 has its part of what order 2 leaves;
-* order 0: the rest is shared by the frequencies of the group's ids (kept in its head). A head has at most
-  2^16 distinct ids; a group with more is cut into halves until each fits.
-
+A group of ids is cut into blocks of ``block`` ids. Every block starts from the same fixed state, learns from
+its own ids alone and can be decoded alone (``decode_block``): the group's head holds only lengths and
+checksums. For each id, predictions of three orders are mixed into one code interval:
+
+* order 2 and order 1: the id that last followed the same two ids, or the same id, in this block, each with
+  a confidence that rises with hits and falls with misses. The weight that an order gets in the mix is
+  learned in the block, too: how often it was right so far at this pair of confidences;
+* order 0: what the two leave is shared by how often ids came that the two did not predict, in this block so far: by
+  the low 10 bits of the id, and in them by the next 8 bits, of which those seen last have nearly all. The
+  cumulative frequencies are summed anew at steps 8, 16, 32 and so on. Bits above the 18th are coded with
+  equal shares.
+
+An id of a higher order is one step of a 64-bit range coder; one of order 0 takes a second step.
 Blocks are coded side by side: one numpy step handles the i-th id of every block.
 """
 
@@ -21,56 +23,33 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"LRC1"
-#: Two halves, each coded with a head of its own: a group of more than 2^16 distinct ids.
-HALVES = b"LRC2"
+MAGIC = b"LRC3"
 BLOCK = 1024
-#: Ids of one group at most: bounds memory, and gives three thousand blocks side by side.
-GROUP = 3 << 20
-_BASE_BITS, _CHOICE_BITS = 16, 12
-_BASE, _CHOICE = 1 << _BASE_BITS, 1 << _CHOICE_BITS
-_SLOTS1, _SLOTS2 = 1 << 9, 1 << 10
+#: Ids of one group at most: bounds memory, and gives one and a half thousand blocks side by side.
+GROUP = 3 << 19
+#: Ids are below 2^MAX_BITS.
+MAX_BITS = 28
+_SLOTS1, _SLOTS2 = 1 << 10, 1 << 11
 _TOP = np.uint64(1 << 32)
 _LOW32 = np.uint64((1 << 32) - 1)
 _U = np.uint64
-_SHIFT, _32 = _U(_BASE_BITS + _CHOICE_BITS), _U(32)
+_32 = _U(32)
 
-# Shares of 4096 by confidence 0 (no prediction) to 7.
-_SHARE2 = np.array([1, 232, 2000, 3400, 3650, 3650, 3650, 3900], dtype=np.int64)
-_SHARE1 = np.array([1, 180, 810, 1650, 1900, 2000, 2150, 2930], dtype=np.int64)
+#: Shares of the interval are in 4096ths, learned weights in 65536ths; a weight moves by a 16th of what it missed.
+_SHARE_BITS, _WEIGHT_BITS, _WEIGHT_RATE = 12, 16, 4
+_SHARES, _WEIGHTS = 1 << _SHARE_BITS, 1 << _WEIGHT_BITS
 
-
-def _share_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By confidence of order 2 * 16 + confidence of order 1 * 2 + same: ends of the intervals of order 2 and order 1
-    (times 2^16), and what is left for order 0."""
-    q2, q1, same = (x.ravel() for x in np.meshgrid(np.arange(8), np.arange(8), np.arange(2), indexing="ij"))
-    own = _SHARE2[q2]
-    other = np.maximum(_SHARE1[q1] * (_CHOICE - 2 - own) >> _CHOICE_BITS, 1)
-    two = np.where(same, np.minimum(own + other, _CHOICE - 8), own)
-    both = np.where(same, two, np.minimum(own + other, _CHOICE - 8))
-    return two << _BASE_BITS, both << _BASE_BITS, _CHOICE - both
-
-
-_TWO, _BOTH, _REST = _share_tables()
-_STEP_UP = np.array([1] * 7 + [0], dtype=np.int32)
+#: Order 0: ids share slots by their low bits; what an id adds to its slot's frequency, which starts at 1.
+_LOW_BITS, _COUNT = 10, 28
+_LOWS = 1 << _LOW_BITS
+#: Bits of the id above the slot's that order 0 knows, and shares of a slot for each of their values.
+_MID_BITS, _MID_SHARES = 8, 8
 
 
 class CorruptBlock(ValueError):
     """A block or head whose checksum does not match."""
 
 
-def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and frequencies that sum to 2^16, none of them zero."""
-    counts = np.bincount(ids)
-    symbols = np.flatnonzero(counts)
-    counts = counts[symbols]
-    if len(symbols) > _BASE:
-        raise ValueError("more than 65536 distinct ids in one head")
-    freq = 1 + counts * (_BASE - len(symbols)) // counts.sum()
-    freq[np.argmax(freq)] += _BASE - freq.sum()
-    return symbols.astype(np.uint32), freq.astype(np.uint32)
-
-
 def _slot1(p1: np.ndarray) -> np.ndarray:
     return (p1 * 40503 >> 3) & (_SLOTS1 - 1)
 
@@ -79,165 +58,319 @@ def _slot2(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
     return ((p1 * 40503 ^ p2 * 60493) >> 4) & (_SLOTS2 - 1)
 
 
-class _Model:
-    """Predictions of all blocks by hashed context; an entry is id * 8 + confidence."""
+_STEP_UP = np.array([1] * 7 + [0], dtype=np.int32)
+
+
+def _first_weights() -> tuple[np.ndarray, np.ndarray]:
+    """Weights of a block's start by key (confidence of order 2 * 16 + of order 1 * 2 + same): q / (q + 1) of
+    what is there to share, nothing without a prediction; two orders that agree are trusted more."""
+    q2, q1, same = (x.ravel() for x in np.meshgrid(np.arange(8), np.arange(8), np.arange(2), indexing="ij"))
+    rate = lambda q: q / (q + 1.0)
+    two = np.where(same, 1 - (1 - rate(q2)) * (1 - rate(q1)), rate(q2))
+    one = np.where(same, 0.0, rate(q1) / 2)
+    return tuple((np.clip(w, 0.0, 0.97) * _WEIGHTS).astype(np.int32) for w in (two, one))
+
+
+_TWO0, _ONE0 = _first_weights()
+
+
+class _Orders:
+    """Predictions of order 2 and order 1 of all blocks by hashed context; an entry is id * 8 + confidence."""
 
     def __init__(self, lanes: int) -> None:
         self.at1 = np.arange(lanes, dtype=np.int64) * _SLOTS1
         self.at2 = np.arange(lanes, dtype=np.int64) * _SLOTS2
+        self.at = np.arange(lanes, dtype=np.int64) * len(_TWO0)
         self.table1 = np.zeros(lanes * _SLOTS1, dtype=np.int32)
         self.table2 = np.zeros(lanes * _SLOTS2, dtype=np.int32)
+        self.two, self.one = np.tile(_TWO0, lanes), np.tile(_ONE0, lanes)
+
+    def look(self, p1: np.ndarray, p2: np.ndarray) -> None:
+        """Predicted ids c2 and c1, and the ends of their intervals, of 4096."""
+        m = len(p1)
+        self.i1, self.i2 = _slot1(p1) + self.at1[:m], _slot2(p1, p2) + self.at2[:m]
+        self.e1, self.e2 = self.table1.take(self.i1), self.table2.take(self.i2)
+        self.c1, self.c2 = self.e1 >> 3, self.e2 >> 3
+        self.q1, self.q2 = self.e1 & 7, self.e2 & 7
+        self.same = self.c1 == self.c2
+        self.key = self.at[:m] + ((self.q2 << 4) + (self.q1 << 1) + self.same)
+        self.w2, self.w1 = self.two.take(self.key), self.one.take(self.key)
+        # Each order and what is left have at least one of the 4096 shares.
+        self.end2 = (self.w2 * (_SHARES - 3) >> _WEIGHT_BITS) + 1
+        self.end1 = self.end2 + (self.w1 * (_SHARES - 2 - self.end2) >> _WEIGHT_BITS) + 1
+
+    def learn(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+        """A hit raises the confidence; a miss lowers it, and replaces an entry of confidence 1 or none.
+
+        Weights move towards what would have been right: order 1's only where order 2 missed.
+        """
+        entry = (x << 3) + 1
+        self.table1[self.i1] = np.where(hit1, self.e1 + _STEP_UP.take(self.q1), np.where(self.q1 > 1, self.e1 - 1, entry))
+        self.table2[self.i2] = np.where(hit2, self.e2 + _STEP_UP.take(self.q2), np.where(self.q2 > 1, self.e2 - 1, entry))
+        self.two[self.key] = self.w2 + ((hit2 * np.int32(_WEIGHTS - 1) - self.w2) >> _WEIGHT_RATE)
+        self.one[self.key] = np.where(hit2, self.w1, self.w1 + ((hit1 * np.int32(_WEIGHTS - 1) - self.w1) >> _WEIGHT_RATE))
+
+
+class _Order0:
+    """Adaptive frequencies of ids of each block, with the id that each slot saw last."""
+
+    def __init__(self, lanes: int, block: int, mid_bits: int) -> None:
+        kind = np.int16 if _LOWS + _COUNT * block < 1 << 15 else np.int32
+        self.counts = np.ones((lanes, _LOWS), dtype=kind)
+        # Ends of the slots' intervals, and of runs of 32 slots.
+        self.ends = np.tile(np.arange(1, _LOWS + 1, dtype=kind), (lanes, 1))
+        self.runs = np.ascontiguousarray(self.ends[:, 31::32])
+        self.last = np.full(lanes * _LOWS, -1, dtype=np.int16)
+        self.flat_counts, self.flat, self.by_run = self.counts.reshape(-1), self.ends.reshape(-1), self.ends.reshape(-1, 32)
+        # Shares of a slot: one for each value of the middle bits, the rest for the last one seen.
+        self.shares = _MID_SHARES << mid_bits
+        self.extra = self.shares - (1 << mid_bits)
+
+    def refresh(self, step: int) -> None:
+        """Sum up at steps 8, 16, 32 and so on."""
+        if step >= 8 and step & (step - 1) == 0:
+            np.cumsum(self.counts, axis=1, dtype=self.counts.dtype, out=self.ends)
+            self.runs = np.ascontiguousarray(self.ends[:, 31::32])
+
+    def totals(self, lane: np.ndarray) -> np.ndarray:
+        return self.runs[lane, -1].astype(np.int64) * self.shares
+
+    def _slot(self, lane: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Place, begin and size of slots, and the middle bits seen last."""
+        at = lane * _LOWS + low
+        begin = np.where(low, self.flat.take(at - 1), 0).astype(np.int64)
+        return at, begin, self.flat.take(at) - begin, self.last.take(at).astype(np.int64)
+
+    def _share(self, at: np.ndarray, begin: np.ndarray, size: np.ndarray, last: np.ndarray, mid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the ids with these middle bits; learns them."""
+        inside = np.where(last < 0, mid * _MID_SHARES, mid + self.extra * (mid > last))
+        wide = np.where(last < 0, _MID_SHARES, 1 + self.extra * (mid == last))
+        self.flat_counts[at] += _COUNT
+        self.last[at] = mid
+        return begin * self.shares + size * inside, size * wide
+
+    def interval(self, lane: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of ids (their low and middle bits), of ``totals``; learns them."""
+        return self._share(*self._slot(lane, x & (_LOWS - 1)), x >> _LOW_BITS)
+
+    def find(self, lane: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids in whose intervals ``v`` lies, with begin and size; learns them."""
+        v0 = (v // self.shares).astype(self.ends.dtype)[:, None]
+        run = (self.runs.take(lane, axis=0) > v0).argmax(axis=1)
+        low = (run << 5) + (self.by_run.take(lane * (_LOWS >> 5) + run, axis=0) > v0).argmax(axis=1)
+        at, begin, size, last = self._slot(lane, low)
+        u = (v - begin * self.shares) // size
+        mid = np.where(last < 0, u // _MID_SHARES, np.where(u < last, u, np.where(u <= last + self.extra, last, u - self.extra)))
+        return low | mid << _LOW_BITS, *self._share(at, begin, size, last, mid)
+
+
+class _Coder:
+    """Low ends and ranges of all blocks; words leave or enter where a range falls below 2^32."""
 
-    def look(self, i1: np.ndarray, i2: np.ndarray):
-        e1, e2 = self.table1.take(i1), self.table2.take(i2)
-        c1, c2 = e1 >> 3, e2 >> 3
-        q1, q2 = e1 & 7, e2 & 7
-        key = (q2 << 4) + (q1 << 1) + (c1 == c2)
-        return e1, e2, c1, c2, q1, q2, _TWO.take(key), _BOTH.take(key), _REST.take(key)
+    def __init__(self, lanes: int) -> None:
+        self.low, self.range = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
+
+    def settle(self, lane: np.ndarray) -> np.ndarray:
+        """Shift the lanes out: cut at a carry, if one could come. Their low ends before."""
+        low, rng = self.low[lane], self.range[lane]
+        carry = (low ^ (low + rng)) >= _TOP
+        if carry.any():
+            rng = np.where(carry, (~low + _U(1)) & _LOW32, rng)
+        self.low[lane] = low << _32
+        self.range[lane] = rng << _32
+        return low
+
+
+class _Writer(_Coder):
+    def __init__(self, lanes: int, block: int) -> None:
+        super().__init__(lanes)
+        self.width = 2 * block + 8
+        self.out, self.at = np.zeros(lanes * self.width, dtype=np.uint32), np.arange(lanes, dtype=np.int64) * self.width
+
+    def _send(self, lane: np.ndarray) -> None:
+        if len(lane):
+            settled = self.settle(lane)
+            spot = self.at[lane]
+            self.out[spot] = settled >> _32
+            self.at[lane] = spot + 1
+
+    def all(self, m: int, begin: np.ndarray, size: np.ndarray) -> None:
+        """Narrow the first m lanes to shares of 4096."""
+        low, r = self.low[:m], self.range[:m]
+        r >>= _U(_SHARE_BITS)
+        low += r * begin.view(np.uint64)
+        r *= size.view(np.uint64)
+        self._send(np.flatnonzero(r < _TOP))
 
-    def learn(self, i1, i2, e1, e2, q1, q2, hit1, hit2, entry) -> None:
-        """A hit raises the confidence; a miss lowers it, and replaces an entry of confidence 1 or none."""
-        self.table1[i1] = np.where(hit1, e1 + _STEP_UP.take(q1), np.where(q1 > 1, e1 - 1, entry))
-        self.table2[i2] = np.where(hit2, e2 + _STEP_UP.take(q2), np.where(q2 > 1, e2 - 1, entry))
+    def some(self, lane: np.ndarray, begin: np.ndarray, size: np.ndarray, total) -> None:
+        r = self.range[lane] // total.view(np.uint64)
+        self.low[lane] += r * begin.view(np.uint64)
+        r *= size.view(np.uint64)
+        self.range[lane] = r
+        self._send(lane[r < _TOP])
+
+    def words(self) -> list[bytes]:
+        for _ in range(2):
+            self.out[self.at] = self.low >> _32
+            self.at += 1
+            self.low <<= _32
+        return [self.out[i * self.width : to].tobytes() for i, to in enumerate(self.at.tolist())]
+
+
+class _Reader(_Coder):
+    def __init__(self, words: np.ndarray) -> None:
+        super().__init__(len(words))
+        self.code = words[:, 0] << _32 | words[:, 1]
+        self.flat, self.last = words.reshape(-1), words.shape[1] - 1
+        self.base, self.at = np.arange(len(words), dtype=np.int64) * words.shape[1], np.full(len(words), 2, dtype=np.int64)
+
+    def _receive(self, lane: np.ndarray) -> None:
+        if len(lane):
+            self.settle(lane)
+            spot = self.at[lane]
+            self.code[lane] = self.code[lane] << _32 | self.flat.take(self.base[lane] + np.minimum(spot, self.last))
+            self.at[lane] = spot + 1
+
+    def see_all(self, m: int) -> np.ndarray:
+        r = self.range[:m]
+        r >>= _U(_SHARE_BITS)
+        return np.minimum((self.code[:m] - self.low[:m]) // r, _U(_SHARES - 1)).view(np.int64)
+
+    def all(self, m: int, begin: np.ndarray, size: np.ndarray) -> None:
+        low, r = self.low[:m], self.range[:m]
+        low += r * begin.view(np.uint64)
+        r *= size.view(np.uint64)
+        self._receive(np.flatnonzero(r < _TOP))
 
+    def see(self, lane: np.ndarray, total: np.ndarray) -> np.ndarray:
+        total = total.view(np.uint64)
+        self.r = self.range[lane] // total
+        return np.minimum((self.code[lane] - self.low[lane]) // self.r, total - _U(1)).view(np.int64)
 
-def _settle(lo: np.ndarray, r: np.ndarray, go: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Low ends and ranges of the lanes ``go`` whose range fell below 2^32: cut at a carry, if one could come."""
-    low, rng = lo[go], r[go]
-    carry = (low ^ (low + rng)) >= _TOP
-    if carry.any():
-        rng = np.where(carry, (~low + _U(1)) & _LOW32, rng)
-    lo[go] = low << _32
-    r[go] = rng << _32
-    return low, rng
+    def some(self, lane: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        r = self.r
+        self.low[lane] += r * begin.view(np.uint64)
+        r *= size.view(np.uint64)
+        self.range[lane] = r
+        self._receive(lane[r < _TOP])
 
 
-def _spans(n: int, block: int) -> tuple[int, int]:
-    lanes = -(-n // block)
-    return lanes, n - (lanes - 1) * block
+def _parts(bits: int) -> tuple[int, int]:
+    """Of ids of so many bits: middle and high bits."""
+    mid = min(max(bits - _LOW_BITS, 0), _MID_BITS)
+    return mid, max(bits - _LOW_BITS - mid, 0)
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """Head, block table and words of a group of ids (each below 2^28; a table of the largest is made)."""
-    n = len(ids)
-    if n > _BASE and np.count_nonzero(np.bincount(ids)) > _BASE:
-        halves = [encode(ids[: n // 2], block), encode(ids[n // 2 :], block)]
-        head = HALVES + struct.pack("<QQ", *map(len, halves))
-        return b"".join([head, struct.pack("<I", zlib.crc32(head)), *halves])
-    head = [MAGIC, struct.pack("<IIQ", 1, block, n)]
-    if not n:
-        body = b"".join([*head, struct.pack("<I", 0)])
-        return body + struct.pack("<I", zlib.crc32(body))
-    symbols, freq = frequencies(ids)
-    lanes, tail = _spans(n, block)
+def _lengths(n: int, block: int) -> np.ndarray:
+    """Ids of each block: all full but the last."""
+    return np.minimum(np.arange(n, 0, -block), block) if n else np.zeros(0, dtype=np.int64)
+
+
+def _encode_blocks(ids: np.ndarray, block: int, bits: int) -> list[bytes]:
+    lengths = _lengths(len(ids), block)
+    lanes, tail = len(lengths), int(lengths[-1])
     padded = np.zeros(lanes * block, dtype=np.int32)
-    padded[:n] = ids
+    padded[: len(ids)] = ids
     columns = np.ascontiguousarray(padded.reshape(lanes, block).T)
     del padded
-    rank = np.zeros(int(symbols[-1]) + 1, dtype=np.int32)
-    rank[symbols] = np.arange(len(symbols))
-    places = rank.take(columns, mode="clip")
-    cum = np.zeros(len(symbols) + 1, dtype=np.int64)
-    np.cumsum(freq, out=cum[1:])
-    freq = freq.astype(np.int64)
-    low, rng = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-    width = block + 8
-    out, at = np.zeros(lanes * width, dtype=np.uint32), np.arange(lanes, dtype=np.int64) * width
-    model, zero = _Model(lanes), np.zeros(lanes, dtype=np.int32)
-    for step in range(block):
+    (mid_bits, high_bits), zero = _parts(bits), np.zeros(lanes, dtype=np.int32)
+    orders, order0, coder = _Orders(lanes), _Order0(lanes, block, mid_bits), _Writer(lanes, block)
+    known, one = _LOW_BITS + mid_bits, np.ones(lanes, dtype=np.int64)
+    for step in range(min(block, int(lengths[0]))):
         m = lanes if step < tail else lanes - 1
-        if not m:
-            break
-        x, y = columns[step, :m], places[step, :m]
-        p1 = columns[step - 1, :m] if step else zero[:m]
-        p2 = columns[step - 2, :m] if step > 1 else zero[:m]
-        i1, i2 = _slot1(p1) + model.at1[:m], _slot2(p1, p2) + model.at2[:m]
-        e1, e2, c1, c2, q1, q2, two, both, rest = model.look(i1, i2)
-        hit1, hit2 = c1 == x, c2 == x
-        begin = np.where(hit2, 0, np.where(hit1, two, both + rest * cum.take(y)))
-        size = np.where(hit2, two, np.where(hit1, both - two, rest * freq.take(y)))
-        model.learn(i1, i2, e1, e2, q1, q2, hit1, hit2, (x << 3) + 1)
-        lo, r = low[:m], rng[:m] >> _SHIFT
-        lo += r * begin.view(np.uint64)
-        r *= size.view(np.uint64)
-        go = np.flatnonzero(r < _TOP)
-        if len(go):
-            settled, _ = _settle(lo, r, go)
-            spot = at[go]
-            out[spot] = settled >> _32
-            at[go] = spot + 1
-        rng[:m] = r
-    for _ in range(2):
-        out[at] = low >> _32
-        at += 1
-        low <<= _32
-    words = [out[i * width : to].tobytes() for i, to in enumerate(at.tolist())]
+        x = columns[step, :m]
+        orders.look(columns[step - 1, :m] if step else zero[:m], columns[step - 2, :m] if step > 1 else zero[:m])
+        hit1, hit2 = orders.c1 == x, orders.c2 == x
+        end2, end1 = orders.end2, orders.end1
+        begin = np.where(hit2, 0, np.where(hit1, end2, end1)).astype(np.int64)
+        coder.all(m, begin, np.where(hit2, end2, np.where(hit1, end1, _SHARES)) - begin)
+        orders.learn(x, hit1, hit2)
+        order0.refresh(step)
+        lane = np.flatnonzero(~(hit1 | hit2))
+        if len(lane):
+            rest, total = x[lane].astype(np.int64), order0.totals(lane)
+            coder.some(lane, *order0.interval(lane, rest & ((1 << known) - 1)), total)
+            if high_bits:
+                coder.some(lane, rest >> known, one[: len(lane)], one[: len(lane)] << high_bits)
+    return coder.words()
+
+
+def _decode_blocks(words: np.ndarray, lengths: np.ndarray, block: int, bits: int) -> np.ndarray:
+    """Ids of blocks, whose words are the rows of ``words``, one column each."""
+    lanes, steps, tail = len(lengths), int(lengths[0]), int(lengths[-1])
+    (mid_bits, high_bits), columns = _parts(bits), np.zeros((steps, lanes), dtype=np.int32)
+    orders, order0, coder = _Orders(lanes), _Order0(lanes, block, mid_bits), _Reader(words)
+    known, one = _LOW_BITS + mid_bits, np.ones(lanes, dtype=np.int64)
+    p1 = p2 = np.zeros(lanes, dtype=np.int32)
+    for step in range(steps):
+        m = lanes if step < tail else lanes - 1
+        orders.look(p1[:m], p2[:m])
+        v, end2, end1 = coder.see_all(m), orders.end2, orders.end1
+        in2, in1 = v < end2, v < end1
+        begin = np.where(in2, 0, np.where(in1, end2, end1)).astype(np.int64)
+        coder.all(m, begin, np.where(in2, end2, np.where(in1, end1, _SHARES)) - begin)
+        x = np.where(in2, orders.c2, orders.c1)
+        order0.refresh(step)
+        lane = np.flatnonzero(~in1)
+        if len(lane):
+            low, begin, size = order0.find(lane, coder.see(lane, order0.totals(lane)))
+            coder.some(lane, begin, size)
+            if high_bits:
+                high = coder.see(lane, one[: len(lane)] << high_bits)
+                coder.some(lane, high, one[: len(lane)])
+                low = low | high << known
+            x[lane] = low
+        orders.learn(x, orders.c1 == x, orders.c2 == x)
+        columns[step, :m] = x
+        p1, p2 = x, p1
+    return columns
+
+
+def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """Head (lengths and checksums of blocks) and words of a group of ids, each below 2^28."""
+    n = len(ids)
+    if n and (int(ids.min()) < 0 or int(ids.max()) >> MAX_BITS):
+        raise ValueError(f"ids are from 0 to 2^{MAX_BITS} - 1")
+    bits = int(ids.max()).bit_length() if n else 0
+    words = _encode_blocks(ids, block, bits) if n else []
     table = np.array([(len(w) // 4, zlib.crc32(w)) for w in words], dtype="<u4")
-    body = b"".join([*head, struct.pack("<I", len(symbols)), symbols.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), table.tobytes()])
-    return b"".join([body, struct.pack("<I", zlib.crc32(body)), *words])
+    head = b"".join([MAGIC, struct.pack("<IIQ", bits, block, n), table.tobytes()])
+    return b"".join([head, struct.pack("<I", zlib.crc32(head)), *words])
 
 
-def decode(data: bytes) -> np.ndarray:
-    """All ids of a group; raises CorruptBlock where a checksum fails."""
-    if data[:4] == HALVES:
-        if len(data) < 24 or zlib.crc32(data[:20]) != struct.unpack_from("<I", data, 20)[0]:
-            raise CorruptBlock("halves")
-        to = 24 + struct.unpack_from("<Q", data, 4)[0]
-        return np.concatenate([decode(data[24:to]), decode(data[to:])])
-    if data[:4] != MAGIC:
+def _head(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of an id, ids of a full block, and each block's ids, checksum and [from, to) in the data."""
+    if data[:4] != MAGIC or len(data) < 24:
         raise CorruptBlock("not a group of coded ids")
-    _, block, n = struct.unpack_from("<IIQ", data, 4)
-    (k,) = struct.unpack_from("<I", data, 20)
-    lanes, tail = _spans(n, block) if n else (0, 0)
-    body = 24 + 8 * k + 8 * lanes
-    if len(data) < body + 4 or zlib.crc32(data[:body]) != struct.unpack_from("<I", data, body)[0]:
+    bits, block, n = struct.unpack_from("<IIQ", data, 4)
+    end = 20 + 8 * -(-n // block) if block else 0
+    if len(data) < end + 4 or zlib.crc32(data[:end]) != struct.unpack_from("<I", data, end)[0]:
         raise CorruptBlock("head")
-    if not n:
-        return np.zeros(0, dtype=np.int32)
-    symbols = np.frombuffer(data, dtype="<u4", count=k, offset=24).astype(np.int32)
-    freq = np.frombuffer(data, dtype="<u4", count=k, offset=24 + 4 * k).astype(np.int64)
-    table = np.frombuffer(data, dtype="<u4", count=2 * lanes, offset=24 + 8 * k).reshape(-1, 2)
-    ends = body + 4 + 4 * np.cumsum(table[:, 0].astype(np.int64))
-    words = np.zeros((lanes, int(table[:, 0].max()) + 2), dtype=np.uint64)
-    for i in range(lanes):
-        own = data[ends[i] - 4 * int(table[i, 0]) : ends[i]]
-        if len(own) != 4 * int(table[i, 0]) or zlib.crc32(own) != table[i, 1]:
+    table = np.frombuffer(data, dtype="<u4", count=(end - 20) // 4, offset=20).reshape(-1, 2).astype(np.int64)
+    ends = end + 4 + 4 * np.cumsum(table[:, 0])
+    return bits, block, _lengths(n, block), table[:, 1], np.stack([ends - 4 * table[:, 0], ends], axis=1)
+
+
+def _words(data: bytes, checks: np.ndarray, places: np.ndarray) -> np.ndarray:
+    words = np.zeros((len(places), int((places[:, 1] - places[:, 0]).max()) // 4 + 2), dtype=np.uint64)
+    for i, ((a, b), check) in enumerate(zip(places.tolist(), checks.tolist(), strict=True)):
+        own = data[a:b]
+        if len(own) != b - a or zlib.crc32(own) != check:
             raise CorruptBlock(f"block {i}")
         words[i, : len(own) // 4] = np.frombuffer(own, dtype="<u4")
-    cum = np.zeros(k, dtype=np.int64)
-    np.cumsum(freq[:-1], out=cum[1:])
-    which = np.repeat(np.arange(k, dtype=np.int32), freq)
-    low, rng = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-    code = words[:, 0] << _U(32) | words[:, 1]
-    at, columns, model = np.full(lanes, 2, dtype=np.int64), np.zeros((block, lanes), dtype=np.int32), _Model(lanes)
-    flat, width = words.reshape(-1), words.shape[1]
-    base, last = np.arange(lanes, dtype=np.int64) * width, width - 1
-    p1 = p2 = np.zeros(lanes, dtype=np.int32)
-    for step in range(block):
-        m = lanes if step < tail else lanes - 1
-        if not m:
-            break
-        p1, p2 = p1[:m], p2[:m]
-        i1, i2 = _slot1(p1) + model.at1[:m], _slot2(p1, p2) + model.at2[:m]
-        e1, e2, c1, c2, q1, q2, two, both, rest = model.look(i1, i2)
-        lo, r, co = low[:m], rng[:m] >> _SHIFT, code[:m]
-        v = np.minimum((co - lo) // r, _U((1 << (_BASE_BITS + _CHOICE_BITS)) - 1)).view(np.int64)
-        in2, in1 = v < two, v < both
-        # Both numbers are below 2^28, so the quotient of doubles is cut to the right integer.
-        y = which.take(np.where(in1, 0, (v - both) / rest).astype(np.int64))
-        x = np.where(in2, c2, np.where(in1, c1, symbols.take(y)))
-        begin = np.where(in2, 0, np.where(in1, two, both + rest * cum.take(y)))
-        size = np.where(in2, two, np.where(in1, both - two, rest * freq.take(y)))
-        model.learn(i1, i2, e1, e2, q1, q2, c1 == x, c2 == x, (x << 3) + 1)
-        columns[step, :m] = x
-        p1, p2 = x, p1
-        lo += r * begin.view(np.uint64)
-        r *= size.view(np.uint64)
-        go = np.flatnonzero(r < _TOP)
-        if len(go):
-            _settle(lo, r, go)
-            spot = at[go]
-            code[go] = code[go] << _32 | flat.take(base[go] + np.minimum(spot, last))
-            at[go] = spot + 1
-        rng[:m] = r
-    return columns.T.reshape(-1)[:n]
+    return words
+
+
+def decode(data: bytes) -> np.ndarray:
+    """All ids of a group; raises CorruptBlock where a checksum fails."""
+    bits, block, lengths, checks, places = _head(data)
+    if not len(lengths):
+        return np.zeros(0, dtype=np.int32)
+    return _decode_blocks(_words(data, checks, places), lengths, block, bits).T.reshape(-1)[: lengths.sum()]
+
+
+def decode_block(data: bytes, number: int) -> np.ndarray:
+    """The ids of one block, from its own words alone."""
+    bits, block, lengths, checks, places = _head(data)
+    one = slice(number, number + 1)
+    return _decode_blocks(_words(data, checks[one], places[one]), lengths[one], block, bits)[:, 0]

@@ -133,13 +133,21 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
+def first_bytes(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The first eight bytes (fewer: all) behind each start, as a number; ``buf`` has eight spare bytes."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    eight = np.ndarray(shape=(len(buf) - 7,), dtype="<u8", buffer=buf.data, strides=(1,))
+    return eight[starts] & _MASKS[np.minimum(lens, 8)]
+
+
 def word_hashes(words: Words) -> np.ndarray:
     """64-bit hash of every word, eight bytes a step."""
     lens = words.ends - words.starts
     if not len(lens):
         return np.zeros(0, dtype=np.uint64)
     eight = np.ndarray(shape=(len(words.buf) - 7,), dtype="<u8", buffer=words.buf.data, strides=(1,))
-    h = combine(lens.astype(np.uint64), eight[words.starts] & _MASKS[np.minimum(lens, 8)])
+    h = combine(lens.astype(np.uint64), first_bytes(words.buf, words.starts, lens))
     rest, k = np.flatnonzero(lens > 8), 8
     while len(rest):
         h[rest] = combine(h[rest], eight[words.starts[rest] + k] & _MASKS[np.minimum(lens[rest] - k, 8)])
@@ -172,7 +180,3 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
         size *= 2
     return np.minimum(values[: len(values) - (w - size)], values[w - size :]) if w > size else values
 
-
-def hash_text(text: str) -> int:
-    """``word_hashes`` of a single word."""
-    return int(word_hashes(scan(pa.array([text]), np.ones(256, dtype=bool)))[0]) if text else 0

@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import rangecoder
 from loomstone.llm.scratch import scratch_dir, small_batches
-from loomstone.llm.textcore import Words, passes, release, string_bytes, word_hashes
+from loomstone.llm.textcore import Words, first_bytes, passes, release, string_bytes, word_hashes
 
 END_ID = 2
-#: Pieces that a Python worker remembers before it starts anew, and bytes of pieces that are encoded in one text.
-MEMO = 1_500_000
+#: Slots of the table of pieces, ids of pieces that a Python worker remembers before it starts anew, and bytes of
+#: pieces that are encoded in one text. Results do not depend on them.
+SLOTS = 1 << 20
+POOL_IDS = 4 << 20
 JOINED_BYTES = 20_000
+_U = np.uint64
 
 #: Bytes that are white space or may begin a character that is.
 _MAYBE_SPACE = np.zeros(256, dtype=bool)
@@ -65,7 +68,11 @@ def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Token ids of texts; remembers pieces by 128 bits of hashes."""
+    """Token ids of texts; remembers pieces in a table of one slot each, by hash.
+
+    A piece of up to eight bytes is told by these bytes and its length, a longer one by 128 bits of hashes and its length. A
+    piece whose slot another one has taken, or that a worker meets first, is encoded (again).
+    """
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
@@ -77,15 +84,21 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.checks = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-        self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
-        self.pool = np.zeros(0, dtype=np.int32)
+        self.keys, self.checks = np.zeros(SLOTS, dtype=np.uint64), np.zeros(SLOTS, dtype=np.uint64)
+        self.bytes, self.start, self.size = (np.zeros(SLOTS, dtype=np.int32) for _ in range(3))  # no piece has 0 bytes
+        self.pool, self.used = np.zeros(POOL_IDS, dtype=np.int32), 0
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray, key: np.ndarray, check: np.ndarray) -> None:
-        """Encode pieces that are not known; begin and end are their places in ``buf``."""
+    def _keep(self, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.append(self.pool[: self.used], np.zeros(self.used + len(ids), dtype=np.int32))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _learn(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode pieces; begin and end are their places in ``buf``. Start and size of their ids in the pool."""
         lens = end - begin
         # A piece that starts with a space starts a token behind any other piece. Such pieces are encoded in
         # one text of some thousand bytes and told apart by the bytes of their tokens; the others alone.
@@ -93,13 +106,11 @@ class Encoder:
         ends = np.cumsum(lens)
         special = np.add.reduceat(flat == ord("<"), ends - lens) > 0
         alone = (buf[begin] != 32) | (lens < 2) | _MAYBE_SPACE[buf[np.minimum(begin + 1, len(buf) - 1)]] | _MAYBE_SPACE[buf[end - 1]] | special
-        sizes, chunks, order = np.zeros(len(begin), dtype=np.int64), [], []
-        data = buf.tobytes()
+        sizes, start = np.zeros(len(begin), dtype=np.int64), np.zeros(len(begin), dtype=np.int64)
         lonely = np.flatnonzero(alone)
-        for i, ids in zip(lonely.tolist(), self._encode([data[begin[i] : end[i]].decode() for i in lonely.tolist()]), strict=True):
-            sizes[i] = len(ids)
-            chunks.append(ids)
-        order.append(lonely)
+        for i, ids in zip(lonely.tolist(), self._encode([buf[begin[i] : end[i]].tobytes().decode() for i in lonely.tolist()]), strict=True):
+            start[i], sizes[i] = self.used, len(ids)
+            self._keep(ids)
         safe = np.flatnonzero(~alone)
         if len(safe):
             total = np.cumsum(lens[safe])
@@ -111,62 +122,56 @@ class Encoder:
             ids = np.concatenate(self._encode(texts))
             cuts = np.searchsorted(np.cumsum(self.token_bytes[ids]), total, side="left") + 1
             sizes[safe] = np.diff(cuts, prepend=0)
-            chunks.append(ids)
-            order.append(safe)
-        order = np.concatenate(order)
-        start = np.zeros(len(begin), dtype=np.int64)
-        start[order] = len(self.pool) + np.cumsum(sizes[order]) - sizes[order]
-        self.pool = np.concatenate([self.pool, *chunks])
-        # The table stays in order of keys; the new ones are in order, too.
-        spot = np.searchsorted(self.keys, key)
-        self.keys, self.checks = np.insert(self.keys, spot, key), np.insert(self.checks, spot, check)
-        self.start, self.size = np.insert(self.start, spot, start), np.insert(self.size, spot, sizes.astype(np.int32))
+            start[safe] = self.used + cuts - sizes[safe]
+            self._keep(ids)
+        return start, sizes
 
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty), each followed by ``end_id``, and their counts."""
         raw, offsets = string_bytes(texts)
-        n = len(offsets) - 1
         starts = piece_starts(raw, offsets) if len(raw) else np.zeros(0, dtype=np.int64)
         buf = np.zeros(len(raw) + 8, dtype=np.uint8)
         buf[: len(raw)] = raw
         ends = np.append(starts[1:], len(raw))[: len(starts)]
-        spans = Words(buf, np.zeros(0, dtype=bool), starts, ends, np.zeros(1, dtype=np.int64))
-        hashes = word_hashes(spans)
-        order = np.argsort(hashes)
-        ordered = hashes[order]
-        new = np.ones(len(ordered), dtype=bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        key, first = ordered[new], order[new]
-        inverse = np.empty(len(order), dtype=np.int64)
-        inverse[order] = np.cumsum(new) - 1
-        # The other 64 bits, of the bytes turned over: pieces with equal keys but unequal checks are told apart below.
-        buf[: len(raw)] = ~raw
-        check = word_hashes(Words(buf, spans.inside, starts[first], ends[first], spans.first))
-        buf[: len(raw)] = raw
-        if len(self.keys) + len(key) > MEMO:
+        lens = ends - starts
+        key = word_hashes(_pieces(buf, starts, ends))
+        # The bytes themselves, or 64 bits more: a hash of the bytes turned over.
+        check = first_bytes(buf, starts, lens)
+        long = np.flatnonzero(lens > 8)
+        check[long] = word_hashes(_pieces(~buf, starts[long], ends[long]))
+        if 2 * self.used > POOL_IDS:  # a pass has far fewer ids than the other half; a longer text's pool grows
             self._forget()
-        place = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        known = (self.keys[place] == key) & (self.checks[place] == check) if len(self.keys) else np.zeros(len(key), dtype=bool)
-        fresh = np.flatnonzero(~known)
-        if len(fresh):
-            if len(self.keys) and (self.keys[place[fresh]] == key[fresh]).any():
-                self._forget()  # two pieces with one key: start anew with this batch's
-                fresh = np.arange(len(key))
-            self._learn(buf, starts[first[fresh]], ends[first[fresh]], key[fresh], check[fresh])
-            place = np.searchsorted(self.keys, key)
-        which = place[inverse] if len(inverse) else np.zeros(0, dtype=np.int64)
-        sizes = self.size[which].astype(np.int64)
-        edges = np.append(0, np.cumsum(sizes))[np.searchsorted(starts, offsets)]
+        slot = (key & _U(SLOTS - 1)).astype(np.int64)
+        known = (self.keys.take(slot) == key) & (self.checks.take(slot) == check) & (self.bytes.take(slot) == lens)
+        start, size = self.start.take(slot).astype(np.int64), self.size.take(slot).astype(np.int64)
+        missed = np.flatnonzero(~known)
+        if len(missed):
+            # Equal pieces are encoded once; of several pieces of a slot, it keeps one.
+            order = missed[np.lexsort((lens[missed], check[missed], key[missed]))]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (key[order[1:]] != key[order[:-1]]) | (check[order[1:]] != check[order[:-1]]) | (lens[order[1:]] != lens[order[:-1]])
+            first = order[new]
+            at, n = self._learn(buf, starts[first], ends[first])
+            which = np.cumsum(new) - 1
+            start[order], size[order] = at[which], n[which]
+            _, one = np.unique(slot[first], return_index=True)
+            spot, first = slot[first[one]], first[one]
+            self.keys[spot], self.checks[spot], self.bytes[spot] = key[first], check[first], lens[first]
+            self.start[spot], self.size[spot] = start[first], size[first]
+        edges = np.append(0, np.cumsum(size))[np.searchsorted(starts, offsets)]
         counts = np.diff(edges) + 1
         out = np.full(int(counts.sum()), end_id, dtype=np.int32)
         body = np.ones(len(out), dtype=bool)
         body[np.cumsum(counts) - 1] = False
-        total = int(sizes.sum())
-        out[body] = self.pool[np.arange(total) + np.repeat(self.start[which] - np.cumsum(sizes) + sizes, sizes)]
-        assert len(counts) == n
+        total = int(size.sum())
+        out[body] = self.pool.take(np.arange(total) + np.repeat(start - np.cumsum(size) + size, size))
         return out, counts
 
 
+def _pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Words:
+    return Words(buf, np.zeros(0, dtype=bool), starts, ends, np.zeros(1, dtype=np.int64))
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, group: int = rangecoder.GROUP, block: int = rangecoder.BLOCK) -> None:
     """Encode all texts and write the files below ``path``."""
     small_batches(docs.sparkSession)
@@ -183,7 +188,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
 
         size = 0
         for batch in batches:
-            for some in passes(batch, "text", 2 << 20):
+            for some in passes(batch, "text", 1 << 20):
                 ids, counts = encoder.encode(some.column("text"), end_id)
                 names, at, row = some.column("doc_id").to_pylist(), 0, 0
                 for to, end in enumerate(np.cumsum(counts).tolist(), 1):
@@ -199,10 +204,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
         if held:
             yield flush()
 
-    # Rows of one doc_id meet in one partition; their order comes from the texts' hashes, taken behind the shuffle.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
-    ordered = rows.sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, FILE_SCHEMA).write.option("compression", "none").parquet(path)
+    # Equal doc_ids are dealt by their texts' hashes, equal rows by their place in the input: no key is hot.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
+    ordered = keyed.repartitionByRange("doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "place")
+    ordered.select("doc_id", "text").mapInArrow(run, FILE_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
