@@ -6,8 +6,8 @@ order, its BWT in a wavelet matrix, and sampled suffix positions. Every benchmar
 backwards through wavelet ranks, all windows at once; occurrences are located by walking to a sampled
 suffix, and the words that they cover are merged into removal spans.
 
-The phrases travel to the executors in parts of at most ``PHRASES_PER_PART``; with several parts, the
-spans of a row are merged after a shuffle of spans alone, by the row's place in a written table.
+The phrases are dealt by hash into parts of about ``PHRASES_PER_PART`` that travel to the executors one by one; with several
+parts, the spans of a row are merged after a shuffle of spans alone, by the row's place in a written table.
 
 Defined results: a null or wordless document has no hits; a wordless benchmark item has no window; items
 with equal windows all count; null item_ids are ignored; repeated rows each give a row.
@@ -32,8 +32,8 @@ WINDOW = 13
 #: Symbols of one FM-index: bounds the memory of a task (one longer document is a shard of its own).
 SHARD_SYMBOLS = 1 << 20
 SAMPLE = 16
-#: Distinct windows in one broadcast part: at most 13 * 4 bytes each, some 50 MB.
-PHRASES_PER_PART = 1 << 20
+#: Windows of items in one broadcast part: at most 13 * 4 bytes each, some 30 MB.
+PHRASES_PER_PART = 1 << 19
 
 
 class BitRank:
@@ -161,33 +161,43 @@ class Phrases:
     items: np.ndarray  # item_ids by slot
 
 
-def phrases_of(items: list[tuple[int, str | None]], window: int = WINDOW) -> list[Phrases]:
-    """The benchmark's windows, in parts of at most PHRASES_PER_PART."""
-    ids = np.array([i for i, _ in items], dtype=np.int64)
-    words = scan(pa.array([t for _, t in items], type=pa.string()), ALNUM_WORDS, lower=True)
-    hashes, counts = word_hashes(words), words.counts
-    vocabulary = np.unique(hashes)
-    symbols = (np.searchsorted(vocabulary, hashes) + 1).astype(np.int32)
-    bits = max(1, int(len(vocabulary)).bit_length())
-    found: dict[int, dict[bytes, set[int]]] = {}
-    for d in np.flatnonzero(counts):
-        own = symbols[words.first[d] : words.first[d + 1]]
-        size = min(window, len(own))
-        for i in range(len(own) - size + 1):
-            found.setdefault(size, {}).setdefault(own[i : i + size].tobytes(), set()).add(int(ids[d]))
-    flat = [(size, pattern, owners) for size, by in sorted(found.items()) for pattern, owners in by.items()]
-    parts = []
-    for at in range(0, len(flat), PHRASES_PER_PART):
-        by_length, slots = [], []
-        part = flat[at : at + PHRASES_PER_PART]
-        for size in sorted({p[0] for p in part}):
-            own = [p for p in part if p[0] == size]
-            ends = len(slots) + np.cumsum([len(p[2]) for p in own])
-            slots += [i for p in own for i in sorted(p[2])]
-            patterns = np.frombuffer(b"".join(p[1] for p in own), dtype=np.int32).reshape(-1, size)
-            by_length.append((size, patterns, ends - [len(p[2]) for p in own], ends))
-        parts.append(Phrases(vocabulary, bits, by_length, np.array(slots, dtype=np.int64)))
-    return parts
+def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Distinct rows (pattern, item_id): the word hashes of each window of each item; a shorter item is one window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in passes(batch, "text"):
+                words = scan(part.column("text"), ALNUM_WORDS, lower=True)
+                data, counts = word_hashes(words).tobytes(), words.counts
+                n = np.where(counts > 0, np.maximum(counts - window + 1, 1), 0)
+                item = np.repeat(np.arange(len(counts)), n)
+                begin = words.first[item] + np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+                end = np.minimum(begin + window, words.first[item + 1])
+                patterns = [data[8 * a : 8 * b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(patterns, type=pa.binary()), part.column("item_id").take(pa.array(item))], names=["pattern", "item_id"])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
+    return items.mapInArrow(run, "pattern binary, item_id long").distinct()
+
+
+def phrases_of(windows: pa.Table) -> Phrases:
+    """One part of the benchmark's windows (pattern, item_id) for the search."""
+    found: dict[bytes, list[int]] = {}
+    for pattern, item in zip(windows.column("pattern").to_pylist(), windows.column("item_id").to_pylist(), strict=True):
+        found.setdefault(pattern, []).append(item)
+    ordered = sorted(found, key=lambda p: (len(p), p))
+    vocabulary = np.unique(np.frombuffer(b"".join(ordered), dtype=np.uint64))
+    by_length, slots = [], []
+    for size in sorted({len(p) for p in ordered}):
+        own = [p for p in ordered if len(p) == size]
+        n = np.array([len(found[p]) for p in own])
+        ends = len(slots) + np.cumsum(n)
+        slots += [i for p in own for i in sorted(found[p])]
+        patterns = (np.searchsorted(vocabulary, np.frombuffer(b"".join(own), dtype=np.uint64)) + 1).astype(np.int32)
+        by_length.append((size // 8, patterns.reshape(len(own), -1), ends - n, ends))
+    if not len(vocabulary):
+        vocabulary = np.zeros(1, dtype=np.uint64)
+    return Phrases(vocabulary, max(1, len(vocabulary).bit_length()), by_length, np.array(slots, dtype=np.int64))
 
 
 class Shard:
@@ -268,13 +278,14 @@ SPANS = "n_words long, spans array<array<int>>, item_ids array<long>"
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, carry: list[str], window: int = WINDOW) -> DataFrame:
     """``carry`` columns of every document, n_words, merged word spans [from, to) and sorted item_ids found.
 
-    ``docs`` needs a column text. The benchmark's text is read on the driver, where it must fit: it is
-    the held-out test set, not the corpus; its phrases go out in parts of a fixed size.
+    ``docs`` needs a column text. The benchmark's windows are found in tasks and dealt into parts of a bounded
+    size, so neither the driver nor a broadcast holds more than one part of them.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    items = [(r.item_id, r.text) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").toLocalIterator()]
-    parts = phrases_of(items, window) or [Phrases(np.zeros(1, dtype=np.uint64), 1, [], np.zeros(0, dtype=np.int64))]
+    windows = cut(windows_of(benchmark, window), "windows")
+    n_parts = max(1, -(-windows.count() // PHRASES_PER_PART))
+    part_of = F.pmod(F.xxhash64("pattern", "item_id"), F.lit(n_parts))
     kept = list(dict.fromkeys([*carry, "text"]))
     source = docs.select(*kept)
 
@@ -302,12 +313,15 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, carry: list[str],
 
         return source.mapInArrow(run, schema)
 
-    if len(parts) == 1:
-        return search(spark.sparkContext.broadcast(parts[0]), source, carry)
+    def part(number: int):
+        return spark.sparkContext.broadcast(phrases_of(windows.where(part_of == number).toArrow()))
+
+    if n_parts == 1:
+        return search(part(0), source, carry)
     # Several parts: each row's spans are gathered by its file and row in a written table.
     place = [fresh("file_key", source), fresh("row_key", source)]
     placed = cut(source, "placed").select("*", F.xxhash64("_metadata.file_path").alias(place[0]), F.col("_metadata.row_index").alias(place[1]))
-    every = [search(spark.sparkContext.broadcast(part), placed.select(*place, "text"), place) for part in parts]
+    every = [search(part(i), placed.select(*place, "text"), place) for i in range(n_parts)]
     merged = F.expr("aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<array<int>>), (a, x) -> if(size(a) > 0 and element_at(a, -1)[1] >= x[0], concat(slice(a, 1, size(a) - 1), array(array(element_at(a, -1)[0], greatest(element_at(a, -1)[1], x[1])))), concat(a, array(x))))")
     found = reduce(DataFrame.union, every).groupBy(*place).agg(F.first("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
     gathered = found.select(*place, *(F.col(c).alias(fresh(c, source)) for c in ("n_words", "spans", "item_ids")))
