@@ -7,13 +7,13 @@ of ``anchor`` words. Equal windows have equal anchors at equal offsets, so a max
 one anchor (a strand, ``window`` words and a few more) needs to be compared with strands of the same anchor only.
 
 1. Every document is cut into strands. A task sends one row for each distinct strand; an equal, later
-   strand of the same task is covered by it at once. Strands whose anchor occurs once are dropped.
+   strand of the same task is covered by it at once, one of another task where the two meet. Strands whose anchor
+   occurs once are dropped. The strands of an anchor are dealt into shards of a bounded number of words.
 2. The remaining distinct strands fetch their words from their documents.
-3. Shards of strands (all strands of an anchor are in one shard) build a generalised suffix automaton in
-   order of position, so each state knows the earliest place where its words end. Strands are streamed
-   through it; where the match is ``window`` words or longer and the earliest place is not the strand's
-   own, the window is removed. An anchor with more words than a shard may have is matched against several
-   automata in turn. Copies of a strand share its pass.
+3. Each shard builds a generalised suffix automaton in order of position, so each state knows the earliest
+   place where its words end. Strands are streamed through it; where the match is ``window`` words or
+   longer and the earliest place is not the strand's own, the window is removed. An anchor's strands also visit the
+   shards before their own, as tasks of their own: there the later of two equal windows is removed, whichever side it is on.
 4. Spans are merged for each document.
 
 Order of positions: doc_id (null first), then the text's hash, then the place in the text. Rows equal in
@@ -43,7 +43,24 @@ SHARD_WORDS = 60_000
 TASK_STRANDS = 1 << 20
 
 POSITION = "doc long, k long, start int, size int"
-SHIPPED = f"route long, anchor long, strand long, copy boolean, words binary, {POSITION}"
+STRANDS = f"route long, strand long, copy boolean, {POSITION}"
+SHARDED = f"anchor long, shard int, copy boolean, {POSITION}"
+WORDS = f"anchor long, shard int, words binary, {POSITION}"
+SPANS = POSITION
+
+
+def leftmost_least(runs: np.ndarray, width: int, piece: int = 1 << 22) -> np.ndarray:
+    """The place of the least of every ``width`` consecutive values by their upper 40 bits; of equal ones the leftmost.
+
+    The lower 24 bits hold the place while minima are taken, in pieces that overlap by width - 1 values.
+    """
+    out = np.empty(len(runs) - width + 1, dtype=np.int64)
+    for at in range(0, len(out), piece):
+        part = runs[at : at + piece + width - 1]
+        key = (part >> np.uint64(24) << np.uint64(24)) | np.arange(len(part), dtype=np.uint64)
+        least = sliding_min(key, width) & np.uint64((1 << 24) - 1)
+        out[at : at + len(least)] = least.astype(np.int64) + at
+    return out
 
 
 def strands_of(words: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -53,9 +70,7 @@ def strands_of(words: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]
     if len(hashes) < window:
         return empty
     runs = run_hashes(hashes, anchor)
-    # Order of runs: 40 bits of hash, then the place, so that the leftmost of equal runs is taken.
-    key = (runs >> np.uint64(24) << np.uint64(24)) | np.arange(len(runs), dtype=np.uint64)
-    place = (sliding_min(key, window - anchor + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
+    place = leftmost_least(runs, window - anchor + 1)
     doc = words.doc_of()
     whole = doc[: len(place)] == doc[window - 1 :][: len(place)]
     at = np.flatnonzero(whole)
@@ -87,17 +102,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _shipped(route, anchor, strand, copy, words, doc, k, start, size) -> pa.RecordBatch:
-    n = len(doc)
-    words = pa.nulls(n, pa.binary()) if words is None else pa.array(words, type=pa.binary())
-    arrays = [pa.array(np.asarray(x, dtype=np.int64)) for x in (route, anchor, strand)]
-    arrays += [pa.array(np.broadcast_to(copy, n).copy(), type=pa.bool_()), words, pa.array(np.asarray(doc, dtype=np.int64)), pa.array(np.asarray(k, dtype=np.int64))]
-    arrays += [pa.array(np.asarray(x, dtype=np.int32)) for x in (start, size)]
-    return pa.RecordBatch.from_arrays(arrays, names=["route", "anchor", "strand", "copy", "words", "doc", "k", "start", "size"])
+def _rows(**columns) -> pa.RecordBatch:
+    kinds = {"start": np.int32, "size": np.int32, "shard": np.int32, "copy": bool}
+    arrays = [x if isinstance(x, pa.Array) else pa.array(np.asarray(x, dtype=kinds.get(c, np.int64))) for c, x in columns.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
 def _cut_documents(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Distinct strands of a task, and its covered spans (anchor null is told by copy = true)."""
+    """Distinct strands of a task (route: the anchor), and its covered spans (copy)."""
     held: list[np.ndarray] = []
     count = 0
 
@@ -109,7 +121,7 @@ def _cut_documents(batches: Iterator[pa.RecordBatch], window: int, anchor: int)
         new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         covered = (doc != doc[lead]) | (k != k[lead]) | (start != start[lead])
-        yield _shipped(a[new], a[new], s[new], False, None, doc[new], k[new], start[new], size[new])
+        yield _rows(route=a[new], strand=s[new], copy=np.zeros(new.sum(), dtype=bool), doc=doc[new], k=k[new], start=start[new], size=size[new])
         d, kk, b, e = doc[covered], k[covered], start[covered], start[covered] + size[covered]
         order = np.lexsort((b, kk, d))
         d, kk, b, e = d[order], kk[order], b[order], e[order]
@@ -120,7 +132,7 @@ def _cut_documents(batches: Iterator[pa.RecordBatch], window: int, anchor: int)
             head = np.flatnonzero(~same)
             tail = np.maximum.reduceat(e, head)
             d, kk, b = d[head], kk[head], b[head]
-            yield _shipped(kk, kk, kk, True, None, d, kk, b, tail - b)
+            yield _rows(route=kk, strand=kk, copy=np.ones(len(d), dtype=bool), doc=d, k=kk, start=b, size=tail - b)
 
     for batch in batches:
         for part in passes(batch, "text"):
@@ -137,53 +149,60 @@ def _cut_documents(batches: Iterator[pa.RecordBatch], window: int, anchor: int)
         yield from flush()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Runs of whole groups of a sorted column: a table holds every row of each of its values."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = batch.column(column).to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(values, values[-1]))
-        if held and (last or held[-1].column(column)[-1].as_py() != values[0]):
-            head = int(np.searchsorted(values, held[-1].column(column)[-1].as_py(), side="right"))
-            yield pa.Table.from_batches([*held, batch.slice(0, head)])
-            held, rest = [], batch.slice(head)
-            values, last = values[head:], last - head
-        else:
-            rest = batch
-        if rest.num_rows:
-            if last > 0:
-                yield pa.Table.from_batches([*held, rest.slice(0, last)])
-                held, rest = [], rest.slice(last)
-            held.append(rest)
-    if held:
-        yield pa.Table.from_batches(held)
-
+def _repeated_anchors(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (copy, route, strand, doc, k, start): covered spans as they are; later copies of a strand as covered
+    spans; the first of equal strands where its anchor has another row, with the number of its shard.
 
-def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by route: covered spans as they are; strands of anchors with several strands or copies.
-
-    The first row of equal strands asks for words (copy false, words empty), the others are copies.
+    Holds one batch and the last row before it, however many rows an anchor has.
     """
-    for table in _groups(batches, "route"):
-        span = table.column("copy").to_numpy()
+    names = ("route", "strand", "doc", "k", "start", "size")
+    held: list[np.ndarray] | None = None  # the only row so far of the last anchor
+    open_anchor = None  # the last anchor, if rows of it are sent; with its last strand's hash, position, shard, and words so far
+    for batch in batches:
+        span = batch.column("copy").to_numpy(zero_copy_only=False)
         if span.any():
-            yield from table.filter(pa.array(span)).combine_chunks().to_batches()
-        rows = table.filter(pa.array(~span))
-        a, s, doc, k, start = (rows.column(c).to_numpy() for c in ("anchor", "strand", "doc", "k", "start"))
-        if len(a) < 2:
+            d, k, b, n = (batch.column(c).to_numpy()[span] for c in ("doc", "k", "start", "size"))
+            yield _rows(anchor=k, shard=np.zeros(len(d)), copy=np.ones(len(d), dtype=bool), doc=d, k=k, start=b, size=n)
+        columns = [batch.column(c).to_numpy()[~span].astype(np.int64) for c in names]
+        if not len(columns[0]):
             continue
-        order = np.lexsort((start, k, doc, s, a))
-        a, s = a[order], s[order]
-        near = a[1:] == a[:-1]
-        several = np.append(near, False) | np.append(False, near)
-        copy = np.append(False, near & (s[1:] == s[:-1]))
-        if several.any():
-            rows = rows.take(pa.array(order[several])).combine_chunks()
-            col = lambda c: rows.column(c).to_numpy()
-            marks = [b"" if c else None for c in copy[several]]
-            yield _shipped(col("route"), col("anchor"), col("strand"), False, marks, col("doc"), col("k"), col("start"), col("size"))
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        a, s, doc, k, start, size = columns
+        n = len(a)
+        goes_on = open_anchor is not None and a[0] == open_anchor[0]
+        new_anchor = np.append(not goes_on, a[1:] != a[:-1])
+        first = np.append(not (goes_on and s[0] == open_anchor[1]), new_anchor[1:] | (s[1:] != s[:-1]))
+        # Words of the distinct strands of the anchor before each strand, and its shard.
+        group = np.cumsum(new_anchor)
+        words = np.where(first, size, 0)
+        before = np.cumsum(words) - words
+        base = np.zeros(int(group[-1]) + 1, dtype=np.int64)
+        base[group[new_anchor]] = before[new_anchor]
+        if goes_on:
+            base[0] = -open_anchor[4]
+        inside = before - base[group]
+        lead = np.maximum.accumulate(np.where(first, np.arange(n), -1))
+        shard = inside[lead] // shard_words
+        ld, lk, ls = doc[lead], k[lead], start[lead]
+        if goes_on:  # rows that go on with the last strand
+            early = lead < 0
+            (ld[early], lk[early], ls[early]), shard[early] = open_anchor[2], open_anchor[3]
+        several = np.bincount(group, minlength=len(base)) > 1
+        if goes_on:
+            several[0] = True
+        send = several[group]
+        take = send & first
+        if take.any():
+            yield _rows(anchor=a[take], shard=shard[take], copy=np.zeros(take.sum(), dtype=bool), doc=doc[take], k=k[take], start=start[take], size=size[take])
+        # A copy in the same place (rows equal in doc_id and text) is its leader.
+        take = send & ~first & ((doc != ld) | (k != lk) | (start != ls))
+        if take.any():
+            yield _rows(anchor=a[take], shard=shard[take], copy=np.ones(take.sum(), dtype=bool), doc=doc[take], k=k[take], start=start[take], size=size[take])
+        if send[-1]:
+            held, open_anchor = None, (a[-1], s[-1], (ld[-1], lk[-1], ls[-1]), shard[-1], inside[-1] + words[-1])
+        else:
+            held, open_anchor = [c[-1:] for c in columns], None
 
 
 def _fetch_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,12 +214,11 @@ def _fetch_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked = part.column("asked")
             text = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False))
             flat = asked.flatten()
-            start, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "size"))
+            anchor, shard, start, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "shard", "start", "size"))
             begin = words.first[text] + start
-            content = [hashes[b : b + n].tobytes() for b, n in zip(begin.tolist(), size.tolist(), strict=True)]
-            a = flat.field("anchor").to_numpy(zero_copy_only=False)
+            content = pa.array([hashes[b : b + n].tobytes() for b, n in zip(begin.tolist(), size.tolist(), strict=True)], type=pa.binary())
             doc, k = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc", "k"))
-            yield _shipped(a, a, flat.field("strand"), False, content, doc, k, start, size)
+            yield _rows(anchor=anchor, shard=shard, words=content, doc=doc, k=k, start=start, size=size)
 
 
 class SuffixAutomaton:
@@ -257,8 +275,8 @@ class SuffixAutomaton:
         return clone
 
     def statistics(self, words: list, window: int) -> Iterator[tuple[int, int]]:
-        """(end, first place of the last ``window`` words) for every end where so long a match ends."""
-        nexts, link, length, first = self.next, self.link, self.length, self.first
+        """(end, state of the last ``window`` words) for every end where so long a match ends."""
+        nexts, link, length = self.next, self.link, self.length
         state, matched = 0, 0
         for end, word in enumerate(words, 1):
             while state and word not in nexts[state]:
@@ -270,79 +288,109 @@ class SuffixAutomaton:
                 while length[link[state]] >= window:
                     state = link[state]
                     matched = length[state]
-                yield end, first[state]
+                yield end, state
+
+
+class Shard:
+    """The automaton of some strands (position, words); later shards' strands visit it. A position is (doc, k, start)."""
+
+    def __init__(self, strings: list[tuple[tuple, list]], window: int) -> None:
+        self.strings, self.window, self.automaton = sorted(strings, key=lambda s: s[0]), window, SuffixAutomaton()
+        for number, (_, words) in enumerate(self.strings):
+            self.automaton.add(words, number)
+        self.visitors: dict[int, tuple] = {}  # the earliest visitor's place by state
+
+    def _place(self, state: int) -> tuple:
+        place = self.automaton.first[state]
+        (doc, k, start), _ = self.strings[place >> 32]
+        return doc, k, start + (place & 0xFFFFFFFF) - self.window
+
+    def visit(self, position: tuple, words: list) -> list[int]:
+        """Starts of windows of a visitor that the shard has earlier; the others are remembered."""
+        (doc, k, start), out = position, []
+        for end, state in self.automaton.statistics(words, self.window):
+            own = (doc, k, start + end - self.window)
+            if self._place(state) < own:
+                out.append(end - self.window)
+            elif own < self.visitors.get(state, (own[0] + 1,)):
+                self.visitors[state] = own
+        return out
+
+    def own(self) -> list[tuple[tuple, list[int]]]:
+        """For each of the shard's strands: starts of windows that it or a visitor has earlier."""
+        out = []
+        for (doc, k, start), words in self.strings:
+            covered = []
+            for end, state in self.automaton.statistics(words, self.window):
+                here = (doc, k, start + end - self.window)
+                if self._place(state) < here or self.visitors.get(state, here) < here:
+                    covered.append(end - self.window)
+            out.append(((doc, k, start), covered))
+        return out
 
 
-def covered_windows(strings: list[tuple[tuple, list]], window: int, shard_words: int = SHARD_WORDS) -> list[list[int]]:
-    """For each (position, words) in order of position: starts in it of windows that also start earlier.
+def _match_shards(batches: Iterator[pa.RecordBatch], window: int, shard_words: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (anchor, target, visitor): strands with words. Gives covered spans.
 
-    A position is (doc, k, start); a window of string i that starts at offset o is at start + o.
+    Shards without visitors are matched together, up to ``shard_words`` words; visitors are streamed.
     """
-    best: list[dict[int, tuple]] = [{} for _ in strings]
-    at = 0
-    while at < len(strings):
-        automaton, size, to = SuffixAutomaton(), 0, at
-        while to < len(strings) and (to == at or size + len(strings[to][1]) <= shard_words):
-            automaton.add(strings[to][1], to)
-            size += len(strings[to][1])
-            to += 1
-        for i in range(at, len(strings)):  # strings before the shard are earlier than all of it
-            known = best[i]
-            for end, place in automaton.statistics(strings[i][1], window):
-                (doc, k, start), o = strings[place >> 32][0], (place & 0xFFFFFFFF) - window
-                if end - window not in known:
-                    known[end - window] = (doc, k, start + o)
-        at = to
-    return [sorted(o for o, earliest in known.items() if earliest < (doc, k, start + o)) for known, ((doc, k, start), _) in zip(best, strings, strict=True)]
-
-
-def _match_shards(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: strands with words, and copies. Gives covered spans."""
-
-    def finish(groups: list[list]) -> list[tuple[int, int, int, int]]:
-        # groups: rows of one anchor each: (strand, words or None, doc, k, start, size)
-        strings, out = [], []
-        for rows in groups:
-            strings += [((r[2], r[3], r[4]), np.frombuffer(r[1], dtype=np.uint64).tolist(), r) for r in rows if r[1]]
-        strings.sort(key=lambda s: s[0])
-        for (_, _, r), starts in zip(strings, covered_windows([s[:2] for s in strings], window), strict=True):
-            out += [(r[2], r[3], r[4] + a, b - a) for a, b in merged([(o, o + window) for o in starts])]
-        for rows in groups:
-            own = {r[0]: (r[2], r[3], r[4]) for r in rows if r[1]}
-            out += [(r[2], r[3], r[4], r[5]) for r in rows if not r[1] and own[r[0]] < (r[2], r[3], r[4])]
-        return out
+    key, small, size, own, shard = None, [], 0, [], None
+    out: list[tuple[int, int, int, int]] = []
 
-    groups, held = [], 0
-    for table in _groups(batches, "anchor"):
-        columns = [table.column(c).to_pylist() for c in ("anchor", "strand", "words", "doc", "k", "start", "size")]
-        previous, out = None, []
-        for anchor, *row in zip(*columns, strict=True):
-            if anchor != previous:
-                if held >= SHARD_WORDS:
-                    out += finish(groups)
-                    groups, held = [], 0
-                groups.append([])
-                previous = anchor
-            groups[-1].append(row)
-            held += row[5] if row[1] else 0
-        out += finish(groups)
-        groups, held = [], 0
-        if out:
-            doc, k, start, size = (np.array(x) for x in zip(*out, strict=True))
-            yield _shipped(k, k, k, True, None, doc, k, start, size)
+    def found(position: tuple, starts: list[int]) -> None:
+        doc, k, start = position
+        out.extend((doc, k, start + a, b - a) for a, b in merged([(o, o + window) for o in starts]))
 
+    def settle(matcher: Shard) -> None:
+        for position, starts in matcher.own():
+            found(position, starts)
 
-def covered_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("anchor", "target", "visitor", "words", "doc", "k", "start")]
+        for anchor, target, visitor, words, *position in zip(*columns, strict=True):
+            if (anchor, target) != key:
+                if shard is not None:
+                    settle(shard)
+                    shard = None
+                small += own
+                size += sum(len(w) for _, w in own)
+                if size >= shard_words:
+                    settle(Shard(small, window))
+                    small, size = [], 0
+                key, own = (anchor, target), []
+            string = (tuple(position), np.frombuffer(words, dtype=np.uint64).tolist())
+            if not visitor:
+                own.append(string)
+                continue
+            if shard is None:
+                shard, own = Shard(own, window), []
+            found(string[0], shard.visit(*string))
+        if out:
+            doc, k, start, n = zip(*out, strict=True)
+            yield _rows(doc=doc, k=k, start=start, size=n)
+            out.clear()
+    if shard is not None:
+        settle(shard)
+    settle(Shard(small + own, window))
+    if out:
+        doc, k, start, n = zip(*out, strict=True)
+        yield _rows(doc=doc, k=k, start=start, size=n)
+
+
+def covered_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` keyed by (doc, k), with its text and spans: list of (start, size), the words to remove."""
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("doc_id", "text").alias("k"))
-    shipped = keyed.select("text", "doc", "k").mapInArrow(lambda b: _cut_documents(b, window, anchor), SHIPPED)
-    repeated = cut(shipped.repartition("route").sortWithinPartitions("route").mapInArrow(_repeated_anchors, SHIPPED), "substring")
-    strands = repeated.where("not copy")
-    asked = strands.where("words is null").groupBy("doc", "k").agg(F.collect_list(F.struct("anchor", "strand", "start", "size")).alias("asked"))
-    fetched = keyed.select("doc", "k", "text").join(asked, ["doc", "k"]).select("text", "doc", "k", "asked").mapInArrow(_fetch_words, SHIPPED)
-    matched = fetched.union(strands.where("words is not null")).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _match_shards(b, window), SHIPPED)
-    spans = matched.union(repeated.where("copy")).groupBy("doc", "k").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    shipped = keyed.select("text", "doc", "k").mapInArrow(lambda b: _cut_documents(b, window, anchor), STRANDS)
+    dealt = shipped.repartition("route").sortWithinPartitions("copy", "route", "strand", "doc", "k", "start")
+    repeated = cut(dealt.mapInArrow(lambda b: _repeated_anchors(b, shard_words), SHARDED), "substring")
+    asked = repeated.where("not copy").groupBy("doc", "k").agg(F.collect_list(F.struct("anchor", "shard", "start", "size")).alias("asked"))
+    fetched = keyed.select("doc", "k", "text").join(asked, ["doc", "k"]).select("text", "doc", "k", "asked").mapInArrow(_fetch_words, WORDS)
+    # A strand goes to its own shard, and visits the anchor's shards before it.
+    going = fetched.withColumn("target", F.explode(F.sequence(F.lit(0), "shard"))).select("anchor", "target", (F.col("target") < F.col("shard")).alias("visitor"), "words", "doc", "k", "start")
+    matched = going.repartition("anchor", "target").sortWithinPartitions("anchor", "target", "visitor").mapInArrow(lambda b: _match_shards(b, window, shard_words), SPANS)
+    covered = matched.union(repeated.where("copy").select("doc", "k", "start", "size"))
+    spans = covered.groupBy("doc", "k").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     return keyed.join(spans, ["doc", "k"], "left").select("doc_id", "doc", "k", "text", "spans")
 
 
@@ -376,8 +424,8 @@ def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (``with_text``) kept_text of every row of ``docs``."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    marked = covered_spans(docs, window, anchor).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
+    marked = covered_spans(docs, window, anchor, shard_words).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
     return marked.mapInArrow(lambda b: _kept(b, with_text), schema)

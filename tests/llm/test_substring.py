@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,8 +53,26 @@ def corpus(seed, n=120, vocabulary=400):
 def test_removed_words_match_brute_force(spark, seed, vocabulary):
     docs = corpus(seed, vocabulary=vocabulary)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("k", F.lit("clash")).withColumn("spans", F.lit(1)).repartition(5)
-    got = sorted(map(tuple, substring.remove_repeats(df).collect()), key=str)
-    assert got == sorted(brute(docs), key=str)
+    for shard_words in (substring.SHARD_WORDS, 100):
+        got = sorted(map(tuple, substring.remove_repeats(df, shard_words=shard_words).collect()), key=str)
+        assert got == sorted(brute(docs), key=str)
+
+
+def test_strands_of_an_anchor_come_in_any_batches():
+    rng = np.random.default_rng(4)
+    n = 400
+    rows = np.stack([rng.choice([3, 3, 3, 8, 9, *range(20, 60)], n), rng.integers(0, 6, n), rng.integers(0, 9, n), rng.integers(0, 2, n), rng.integers(0, 4, n), np.full(n, 20)])
+    rows = rows[:, np.lexsort(rows[::-1])]
+    names = ("route", "strand", "doc", "k", "start", "size")
+    outs = []
+    for step in (n, 37, 1):
+        batches = [substring._rows(**dict(zip(names, rows[:, i : i + step], strict=True)), copy=np.zeros(rows[:, i : i + step].shape[1], dtype=bool)) for i in range(0, n, step)]
+        outs.append([r for b in substring._repeated_anchors(iter(batches), 40) for r in b.to_pylist()])
+    key = lambda r: tuple(r.values())
+    assert all(sorted(o, key=key) == sorted(outs[0], key=key) for o in outs)
+    firsts = {(a, s): min(map(tuple, rows[2:5, (rows[0] == a) & (rows[1] == s)].T.tolist())) for a, s in rows[:2].T.tolist()}
+    alone = {a for a in rows[0].tolist() if (rows[0] == a).sum() == 1}
+    assert sorted((r["anchor"], r["doc"], r["k"], r["start"]) for r in outs[0] if not r["copy"]) == sorted((a, *p) for (a, _), p in firsts.items() if a not in alone)
 
 
 def test_small_shards_give_the_same(spark):
@@ -72,8 +91,25 @@ def test_small_shards_give_the_same(spark):
             if seen.setdefault(key, s + o) < s + o:
                 own.append(o)
         want.append(own)
-    for limit in (10_000, 20, 1):
-        assert substring.covered_windows(strings, 4, limit) == want
+    rng.shuffle(strings)  # shards need not be in order of position
+    for limit in (40, 7, 1):
+        found = {position: set() for position, _ in strings}
+        parts = [strings[i : i + limit] for i in range(0, len(strings), limit)]
+        for number, part in enumerate(parts):
+            shard = substring.Shard(part, 4)
+            for position, w in (s for later in parts[number + 1 :] for s in later):
+                found[position].update(shard.visit(position, w))
+            for position, own in shard.own():
+                found[position].update(own)
+        assert [sorted(found[position]) for position in sorted(found)] == want
+
+
+def test_places_in_pieces():
+    rng = np.random.default_rng(2)
+    runs = rng.integers(0, 50, 3000).astype(np.uint64) << np.uint64(30)
+    want = [i + int(np.argmin(runs[i : i + 13])) for i in range(3000 - 12)]
+    for piece in (1 << 22, 500, 13):
+        assert substring.leftmost_least(runs, 13, piece).tolist() == want
 
 
 def test_equal_rows_do_not_remove_each_other_and_empty_tables(spark):
