@@ -5,7 +5,8 @@ lives in the cell of its nearest pivot and visits each cell before its own that
 by the triangle inequality d(x, p) <= d(x, own) + 2r, and by the distance to the plane between the pivots
 (d(x, p)^2 - d(x, own)^2) / (2 d(p, own)) <= r. So each pair within r meets exactly once, and each cell is
 joined independently: blocks of its own vectors against its visitors, streamed. A cell with more than
-``block`` own vectors is split; vectors of a later block visit the earlier ones. Products are taken in
+``block`` own vectors is split; vectors of a later block visit the earlier ones. A block's visitors are dealt into
+runs of about ``VISITORS``, each of which meets a copy of the block in a task of its own. Products are taken in
 single precision; whatever they leave within their error of the threshold is decided in double precision.
 
 Equal vectors are one vector with a count, so a common vector is compared once. Counts of links and star
@@ -27,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.components import components
-from loomstone.llm.scratch import cut, small_batches
+from loomstone.llm.scratch import cut, discard, join_hot, small_batches
 
 COSINE = 0.9
 BLOCK = 8192
 #: Bounds of the pivots: the square root of the number of vectors over eight, at most MAX_PIVOTS.
 MAX_PIVOTS = 1024
 CHUNK = 1024
+#: Visitors of a block that one task streams; results do not depend on it.
+VISITORS = 1 << 16
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -65,7 +68,8 @@ def visits(u: np.ndarray, pivots: np.ndarray, r: float) -> tuple[np.ndarray, np.
 class Block:
     """One block of own vectors; others are matched against it chunk by chunk."""
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, raw: np.ndarray, cosine: float) -> None:
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, raw: np.ndarray, cosine: float, inner: bool = True) -> None:
+        """``inner``: whether links among the own vectors count here (in one of the block's copies they do)."""
         self.keys, self.weights, self.raw, self.cosine = keys, weights, raw, cosine
         self.single = unit(raw).astype(np.float32)
         self.margin = np.float32(1e-5 + 2e-7 * raw.shape[1])
@@ -73,7 +77,7 @@ class Block:
         self.root = np.arange(len(keys))
         self.edges: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
-        for at in range(0, len(keys), CHUNK):
+        for at in range(0, len(keys) if inner else 0, CHUNK):
             h, o = self._pairs(raw[at : at + CHUNK])
             np.add.at(self.links, h, self.weights[o + at])
             self._union(h, o)
@@ -132,16 +136,16 @@ class Block:
 
 
 def _match(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (dim, cell, block, visitor): each block's own vectors come before its visitors."""
+    """Rows sorted by (dim, cell, block, run, visitor): each block's own vectors come before a run of its visitors."""
     name, own, block = None, [], None
 
     def build() -> Block | None:
         if not own:
             return None
-        return Block(*(np.concatenate([x[i] for x in own]) for i in range(3)), cosine)
+        return Block(*(np.concatenate([x[i] for x in own]) for i in range(3)), cosine, name[3] == 0)
 
     for batch in batches:
-        group = np.stack([batch.column(c).to_numpy() for c in ("dim", "cell", "block")], axis=1)
+        group = np.stack([batch.column(c).to_numpy() for c in ("dim", "cell", "block", "run")], axis=1)
         visitor = batch.column("visitor").to_numpy(zero_copy_only=False)
         change = np.flatnonzero((group[1:] != group[:-1]).any(axis=1) | (visitor[1:] != visitor[:-1])) + 1
         edges = [0, *change.tolist(), batch.num_rows]
@@ -184,9 +188,9 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK) ->
     grouped = vectors.where(good).groupBy("embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     # Written once, so that the numbers hold.
     distinct = cut(grouped.select(F.monotonically_increasing_id().alias("key"), "weight", "least", F.size("embedding").alias("dim"), "embedding"), "vectors")
-    sizes = {x.dim: x.n for x in distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    lengths = {x.dim: x.n for x in distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     pivots = {}
-    for dim, n in sizes.items():
+    for dim, n in lengths.items():
         few = max(1, min(MAX_PIVOTS, math.isqrt(n) // 8))
         drawn = distinct.where(F.col("dim") == dim).orderBy(F.xxhash64("embedding"), "key").limit(few).select("embedding").collect()
         pivots[dim] = unit(np.array([x.embedding for x in drawn], dtype=np.float64))
@@ -203,7 +207,9 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK) ->
 
     columns = f"key long, weight long, dim int, embedding array<{kind}>"
     placed = cut(distinct.select("key", "weight", "dim", "embedding").mapInArrow(assign, f"{columns}, own int, visits array<int>"), "vector-cells")
-    blocks = placed.groupBy("dim", F.col("own").alias("cell")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # Rows of a cell: its own, and its visitors.
+    sizes = placed.select("dim", F.col("own").alias("cell"), F.lit(1).alias("own"), F.lit(0).alias("other")).union(placed.select("dim", F.explode("visits"), F.lit(0), F.lit(1)))
+    blocks = sizes.groupBy("dim", "cell").agg(F.greatest(F.ceil(F.sum("own") / block), F.lit(1)).cast("int").alias("blocks"), F.ceil(F.count("*") / VISITORS).cast("int").alias("runs"))
     at = F.struct(F.col("own").alias("cell"), F.lit(False).alias("visitor"))
     going = F.transform("visits", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("visitor")))
     dealt = placed.select("*", F.explode(F.concat(F.array(at), going)).alias("at")).select("key", "weight", "dim", "embedding", "at.*").join(blocks, ["dim", "cell"])
@@ -211,18 +217,24 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK) ->
     # Own rows: their block, and as visitors the blocks before it. Visitors of other cells: every block.
     last = F.when(F.col("visitor"), F.col("blocks") - 1).otherwise(mine)
     dealt = dealt.withColumn("mine", mine).withColumn("block", F.explode(F.sequence(F.lit(0), last))).withColumn("visitor", F.col("visitor") | (F.col("block") < F.col("mine")))
+    # A visitor belongs to one run of a block's visitors; a block's own rows to each.
+    one = F.pmod(F.xxhash64("key", F.lit(1)), F.col("runs")).cast("int")
+    dealt = dealt.withColumn("run", F.explode(F.when(F.col("visitor"), F.array(one)).otherwise(F.sequence(F.lit(0), F.col("runs") - 1))))
     matched = (
-        dealt.select("dim", "cell", "block", "visitor", "key", "weight", "embedding")
-        .repartition("dim", "cell", "block")
-        .sortWithinPartitions("dim", "cell", "block", "visitor")
+        dealt.select("dim", "cell", "block", "run", "visitor", "key", "weight", "embedding")
+        .repartition("dim", "cell", "block", "run")
+        .sortWithinPartitions("dim", "cell", "block", "run", "visitor")
         .mapInArrow(lambda b: _match(b, cosine), "u long, v long, n long")
     )
     matched = cut(matched, "vector-links")
     linked = matched.groupBy(F.col("u").alias("key")).agg((F.sum("n") - 1).alias("n_links"))
     roots = components(matched.where("u <> v").select("u", "v"), "vector-components").withColumnRenamed("node", "key")
-    least = distinct.select("key", "least")
-    named = roots.join(least, "key").groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = distinct.join(linked, "key").join(roots.join(named, "root").select("key", "component_id"), "key", "left").select("embedding", "n_links", F.coalesce("component_id", "least").alias("component_id"))
-    told = vectors.where(good).join(classes, "embedding").select("vec_id", "n_links", "component_id")
+    # Many vectors may be one class, and many rows one vector.
+    classed = distinct.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = cut(classed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "vector-classes")
+    known = join_hot(classed.select("key", "root"), named, "root", "n")
+    classes = cut(distinct.join(linked, "key").join(known, "key").select("embedding", "weight", "n_links", "component_id"), "vector-labels")
+    discard(named, matched, placed, distinct)
+    told = join_hot(vectors.where(good), classes, "embedding", "weight").select("vec_id", "n_links", "component_id")
     alone = vectors.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return told.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
