@@ -3,15 +3,18 @@
 1. Sizes are words; a source's target is its share by weight of ``budget`` times all words, at most
    ``repeats`` times its own words, the excess shared again by weight (closed form: sources in order of
    cap by weight; the first whose level lies below its cap sets the level of all that are not capped).
-2. Slot j of the mix takes the source in whose interval of cumulative target shares the point
-   frac(j * golden ratio) falls; slots are ranked within their source (counts of chunks of slots first,
-   then places inside a chunk, so that no task holds all slots of a source). A source whose target the
-   schedule leaves open gets its few missing slots behind the last.
+2. Slot j of the mix takes the source in whose interval of cumulative targets the point
+   (j * golden ratio) mod 1 falls, in whole numbers of 2^31 points; slots are ranked within their source (counts
+   of chunks of slots first, then places inside a chunk). A source whose target the schedule leaves open
+   gets its few missing slots behind the last.
 3. A source's documents, in hashed order, are one long sequence of words, repeated as often as needed and cut into
    blocks of ``block`` words; block r joins the source's slot of rank r. A document takes the words that its
    blocks' slots cover; the last slot stops at the target.
 
-Nothing is random: the order comes from hashes of doc_id, so reruns agree. Defined results: a null text
+Orders over all sources, chunks and documents are taken by ranges (``running``), so no task holds all sources, or
+all rows of a source, and no part grows with the data.
+
+Nothing is random: the order comes from hashes of doc_id and text, so reruns agree. Defined results: a null text
 has size 0 and takes nothing; the null source is a source, last in order; repeated rows and null doc_ids
 are documents of their own; an empty table gives no rows. Only doc_id, source and text are read; ``carry``
 columns may have any name.
@@ -22,16 +25,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.scratch import cut
+from loomstone.llm.scratch import cut, discard, join_hot
+from loomstone.operators.relational import running
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 REPEATS = 2
 BLOCK_WORDS = 256
 WORD = r"[^\x20\x09-\x0D]+"
-GOLDEN = 0.6180339887498949
-#: Parts of a source by hash, slots of a chunk, cells of the unit interval.
-PARTS, CHUNK, CELLS = 1024, 1 << 11, 1024
+#: Points of the schedule, the golden ratio among them (odd, so that 2^31 slots meet every point once), slots of a chunk.
+POINTS, GOLDEN, CHUNK = 1 << 31, 1327217885, 1 << 11
 
 
 def word_count(text):
@@ -40,49 +43,43 @@ def word_count(text):
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
-    """sizes: (source, source_size). Adds s (number in order of code points, null last) and target."""
-    # Windows over one row for each source.
-    number = F.row_number().over(Window.orderBy(F.isnull("source"), "source")) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("s") % len(weights) + 1).cast("int")).cast("double")
-    rows = sizes.withColumn("s", number.cast("long")).withColumn("weight", weight).withColumn("cap", F.lit(float(repeats)) * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "s")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = (
-        rows.withColumn("total", F.sum("source_size").over(every) * F.lit(float(budget)))
-        .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("left_weight", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("place", F.row_number().over(order))
-        .withColumn("level", (F.col("total") - F.col("capped")) / F.col("left_weight"))
-        .withColumn("fits", F.col("level") <= F.col("cap") / F.col("weight"))
-    )
-    level = F.min(F.when(F.col("fits"), F.struct("place", "level"))).over(every)["level"]
-    return rows.withColumn("final", level).select("s", "source", "source_size", F.least("cap", F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target"))
+    """sizes: one row for each source (source, source_size). Adds s (number in order of code points, null last), start (words of the sources before) and target."""
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("s") % len(weights) + 1).cast("int"))
+    rows = running(sizes, [F.isnull("source"), F.col("source")], {"start": "source_size"}).withColumn("s", F.col("place") - 1).drop("place")
+    rows = rows.withColumn("weight", weight).withColumn("cap", F.lit(repeats) * F.col("source_size"))
+    rows = running(rows, [F.col("cap") / F.col("weight"), F.col("s")], {"capped": "cap", "before": "weight"})
+    whole = rows.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(budget) * F.lit(whole["words"] or 0) - F.col("capped")) / (F.lit(whole["weight"] or 0) - F.col("before"))
+    # One row: the level of all sources that are not capped.
+    first = rows.withColumn("level", level).where(F.col("level") <= F.col("cap") / F.col("weight")).agg(F.min_by("level", "place")).first()[0]
+    shared = F.col("cap").cast("double") if first is None else F.least(F.col("cap").cast("double"), F.lit(first) * F.col("weight"))
+    return rows.select("s", "source", "source_size", "start", shared.alias("target"))
 
 
 def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """sources: (s, target, words). Rows (s, rank): the slots of the mix, ranked within their source."""
     spark = sources.sparkSession
-    ordered = Window.orderBy("s")
-    share = F.sum("target").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum("target").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    spaces = sources.where("target > 0").withColumn("upper", share / whole).withColumn("lower", F.coalesce(F.lag("upper").over(ordered), F.lit(0.0)))
-    total = spaces.agg(F.sum("words")).first()[0] or 0
-    slots = spark.range(0, -(-total // block), 1).select(F.col("id").alias("slot"), (F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))).alias("x"))
-    # The interval of a point: the sources are listed under every cell of the unit interval that they touch.
-    cell = lambda c: F.least(F.floor(c * CELLS), F.lit(CELLS - 1))
-    listed = spaces.select("s", "lower", "upper", F.explode(F.sequence(cell(F.col("lower")), cell(F.col("upper")))).alias("cell"))
-    last = F.col("upper") >= F.lit(1.0) - 1e-12
-    taken = slots.withColumn("cell", cell(F.col("x"))).join(listed, "cell").where((F.col("x") >= F.col("lower")) & ((F.col("x") < F.col("upper")) | last)).select("s", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"))
-    counts = taken.groupBy("s", "chunk").agg(F.count("*").alias("n"))
-    base = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("s", "chunk", "base")
+    spaces = running(sources.where("words > 0").select("s", "words"), ["s"], {"before": "words"})
+    sums = spaces.agg(F.sum("words").alias("words"), F.count("*").alias("n")).first()
+    total = sums["words"] or 0
+    point = lambda words: F.floor(words / F.lit(float(max(total, 1))) * POINTS)
+    spaces = spaces.withColumn("lower", point(F.col("before"))).withColumn("upper", point(F.col("before") + F.col("words")))
+    x = F.col("id").bitwiseAND(F.lit(POINTS - 1)) * F.lit(GOLDEN) % POINTS
+    slots = spark.range(0, -(-total // block), 1).select(F.col("id").alias("slot"), x.alias("x"))
+    # The interval of a point: the sources are listed under every cell of points that they touch, several cells for each source.
+    cell = max(1, POINTS >> max(10, (4 * sums["n"]).bit_length()))
+    listed = spaces.where("lower < upper").select("s", "lower", "upper", F.explode(F.sequence(F.floor(F.col("lower") / cell), F.floor((F.col("upper") - 1) / cell))).alias("cell"))
+    taken = slots.withColumn("cell", F.floor(F.col("x") / cell)).join(listed, "cell").where("x >= lower AND x < upper").select("s", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+    # Slots before a chunk, of its source: of all sources' chunks in order, less those of the sources before.
+    counts = running(taken.groupBy("s", "chunk").agg(F.count("*").alias("n")), ["s", "chunk"], {"before": "n"})
+    scheduled = cut(counts.groupBy("s").agg(F.sum("n").alias("scheduled"), F.min("before").alias("start"), F.count("*").alias("chunks")), "mixing-scheduled")
+    base = join_hot(counts, scheduled.select("s", "start", "chunks"), "s", "chunks").select("s", "chunk", (F.col("before") - F.col("start")).alias("base"))
     place = F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot")) - 1
     ranked = taken.withColumn("place", place).join(base, ["s", "chunk"]).select("s", (F.col("base") + F.col("place")).alias("rank"))
     needed = F.ceil(F.col("words") / block).cast("long")
-    scheduled = counts.groupBy("s").agg(F.sum("n").alias("n"))
     missing = (
         spaces.join(scheduled, "s", "left")
-        .withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+        .withColumn("n", F.coalesce("scheduled", F.lit(0).cast("long")))
         .where(needed > F.col("n"))
         .select("s", F.explode(F.sequence(F.col("n"), needed - 1)).alias("rank"))
     )
@@ -92,26 +89,23 @@ def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, block: int = BLOCK_WORDS) -> DataFrame:
     """``carry`` columns (doc_id), size, source_size, target and taken of every document."""
     carry = carry or ["doc_id"]
-    packed = F.struct(*carry).alias("carried")
-    h = F.xxhash64("doc_id")
-    sized = cut(docs.select(packed, "source", word_count(F.col("text")).alias("size"), F.col("doc_id").alias("doc"), h.alias("h")), "mixing")
-    # The target in whole words; with one row for each source.
-    known = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, repeats).withColumn("words", F.round("target").cast("long")), "mixing-sources")
-    placed = sized.join(F.broadcast(known) if known.count() <= 10_000 else known, sized["source"].eqNullSafe(known["source"])).select("carried", "s", "source_size", "target", "words", "size", "doc", "h")
-    # Place of a document in its source's sequence: sums of parts, then sums inside a part.
-    placed = placed.withColumn("part", F.pmod("h", F.lit(PARTS)))
-    parts = placed.groupBy("s", "part").agg(F.sum("size").alias("n"))
-    before = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("s", "part", "base")
-    inside = Window.partitionBy("s", "part").orderBy("h", "doc", "size")
-    upto = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = placed.withColumn("row", F.row_number().over(inside)).withColumn("upto", upto).join(before, ["s", "part"]).withColumn("begin", F.col("base") + F.col("upto"))
+    key = F.when(F.col("source").isNotNull(), F.concat(F.lit("="), "source")).otherwise("").alias("key")
+    sized = docs.select(F.struct(*carry).alias("carried"), "source", key, word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    sized = cut(sized, "mixing")  # row stays: it tells equal documents apart, whose order does not matter
+    sources = cut(sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n")), "mixing-sources")
+    # The target in whole words.
+    known = cut(targets(sources.select("source", "source_size"), weights, budget, repeats).withColumn("words", F.round("target").cast("long")).withColumn("key", key), "mixing-targets")
+    named = cut(known.select("key", "s", "source_size", "start", "target", "words").join(sources.select("key", "n"), "key"), "mixing-known")
+    placed = join_hot(sized.select("key", "carried", "size", "h", "row"), named, "key", "n").drop("key")
+    # Place of a document in its source's sequence: words before it of all documents by source, less those of the sources before.
+    at = running(placed, ["s", "h", "size", "row"], {"before": "size"})
+    at = at.withColumn("begin", F.col("before") - F.col("start"))
     # Blocks that a document meets in each repeat of the sequence, as far as the target goes.
-    rounds = F.when((F.col("size") > 0) & (F.col("begin") < F.col("words")), F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - F.col("begin") - 1) / F.col("source_size"))))
-    met = at.select("*", F.explode_outer(rounds).alias("round")).withColumn("a", F.col("begin") + F.col("round") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("words")))
-    met = met.select("*", F.explode_outer(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))).alias("rank"))
+    met = at.where("size > 0 AND begin < words").select("row", "s", "size", "source_size", "words", "begin", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - F.col("begin") - 1) / F.col("source_size")))).alias("round"))
+    met = met.withColumn("a", F.col("begin") + F.col("round") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("words")))
+    met = met.select("row", "s", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))).alias("rank"))
     covered = F.least(F.col("b"), (F.col("rank") + 1) * block) - F.greatest(F.col("a"), F.col("rank") * block)
-    slots = schedule(known, block).withColumn("has_slot", F.lit(True))
-    joined = met.withColumn("covered", covered).join(slots, ["s", "rank"], "left")
-    taken = F.coalesce(F.sum(F.when(F.col("has_slot"), F.col("covered"))), F.lit(0)).cast("long")
-    out = joined.groupBy("s", "part", "row").agg(F.first("carried").alias("carried"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), taken.alias("taken"))
-    return out.select("carried.*", "size", "source_size", "target", "taken")
+    words = met.withColumn("covered", covered).join(schedule(known, block), ["s", "rank"]).groupBy("row").agg(F.sum("covered").alias("taken"))
+    out = cut(at.select("row", "carried", "size", "source_size", "target").join(words, "row", "left"), "mixing-taken")
+    discard(sized, sources, known, named)
+    return out.select("carried.*", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
