@@ -1,24 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five transducers read a clause word by word, each rewriting the symbols that the one before gives out:
+Transducers read a clause token by token, each rewriting the symbols that the one before gives out:
 
-* insult: words become INSULT symbols, weighted by a lexicon of words and word beginnings;
-* threat: a threat verb becomes THREAT;
-* negation: an INSULT or THREAT within three words behind a negation becomes its negated form;
-* reported speech: behind a speech verb or inside quotation marks they become their reported form;
+* insult, threat: words become INSULT symbols, weighted by a lexicon of words and word beginnings, or THREAT symbols;
+* phrases: several words in a row ("according to", "by no means") become one symbol;
+* negation: an INSULT or THREAT within three words behind a negation (also "isn't", "n'est") becomes its negated form;
+* quotation, reported speech: inside quotation marks or behind a speech verb they become their reported form;
 * target: behind a person who is addressed they become their targeted form.
 
-Their composition is a machine whose states are tuples of the five states. Only clauses with an insult or
-threat are read (found by vectorised look-ups over all words of the whole text), and a text is scored by
-the weights of its matched clauses, not by isolated words: a logistic model over the summed weights of the forms.
+Their composition is one machine over a finite alphabet, whose table is filled in as its states are met. Clauses end at
+full stops, exclamation and question marks, semicolons and line ends; what is quoted goes on over them up
+to the closing mark or the line's end. Only clauses with an insult or threat are read (found by vectorised look-ups
+over all words of the whole text), and a text is scored by the weights of its matched clauses, not by isolated
+words: a logistic model over the summed weights of the forms.
 
 The insult lexicon and the form weights are learned from labelled rows: at most ``per_class`` labelled
-documents of each class, those with the least hash of doc_id, of which near copies count once. Threat, negation, speech and target words are
-fixed small lists, which only change the form of a match.
+rows of each class, those with the least hash of doc_id and text, of which near copies count once. Threat, phrase, negation,
+speech and target words are fixed small lists, which only change the form of a match. The lexicon keeps the
+``max_lexicon`` entries that tell the classes apart best, a documented bound of the model.
 
 Defined results: null, empty and wordless texts get the score of a text without matches; without labels
 of both classes the lexicon is empty and every score is 0; of repeated labels of a document the larger
-counts; null doc_ids carry no label; repeated rows each give a row.
+counts; null doc_ids carry no label; repeated rows each give a row, and equal rows count once in the sample.
 """
 
 from __future__ import annotations
@@ -47,16 +50,24 @@ NEGATION_REACH = 3
 #: MinHash values by which near copies in the sample are told.
 SIGNATURES = 3
 
-# Form-changing words (lower case) in the languages at hand.
-NEGATIONS = frozenset("not never no n't nicht kein keine nie ne pas jamais nunca jamás".split())
-SPEECH = frozenset("said says quoted reported wrote called sagte schrieb dit écrit dijo escribió".split())
+# Form-changing words and phrases (lower case) in the languages at hand.
+NEGATIONS = frozenset("not never no cannot nicht kein keine nie ne pas jamais nunca jamás".split())
+SPEECH = frozenset("said says quoted reported wrote called sagte schrieb laut dit écrit selon dijo escribió según".split())
 TARGETS = frozenset("you your yours du dich dir euch tu toi vous tú usted ustedes".split())
 THREATS = frozenset("kill hurt destroy beat attack töten verletzen tuer frapper matar golpear".split())
+PHRASES = {
+    ("according", "to"): "speech", ("in", "the", "words", "of"): "speech", ("d", "après"): "speech", ("by", "no", "means"): "negation", ("far", "from"): "negation",
+    ("anything", "but"): "negation", ("all", "of", "them"): "target", ("those", "people"): "target",
+}
 
 FORMS = ("plain", "negated", "reported", "targeted", "threat")
-_TOKEN = re.compile(r"[^\W_]+|[\"“”„«»]")
+#: Quotation marks, and which marks close what each of them opens.
+QUOTES = {'"': '"', "„": "“”", "“": "”", "”": "”", "«": "»", "»": "«"}
+_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”„«»]")
+_MARKS = re.compile("|".join(map(re.escape, [*QUOTES, "\n"])).encode())
 _CLAUSE_END = np.zeros(256, dtype=bool)
-_CLAUSE_END[[ord(c) for c in ".!?;:\n"]] = True
+_CLAUSE_END[[ord(c) for c in ".!?;\n"]] = True
+_ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 @dataclass
@@ -81,69 +92,113 @@ class Model:
     learned: bool
 
 
-# Transducers: (state, symbol) -> (state, symbol). A symbol is (kind, word, weight, form).
-def insult_step(lexicon_weight):
-    def step(state: int, token: str) -> tuple[int, tuple]:
-        if token in "\"“”„«»":
-            return state, ("quote", token, 0.0, "")
-        weight = lexicon_weight(token)
-        return state, ("insult" if weight else "word", token, weight, "plain" if weight else "")
-
-    return step
-
-
-def threat_step(state: int, s: tuple) -> tuple[int, tuple]:
-    return (state, ("threat", s[1], 1.0, "threat")) if s[0] == "word" and s[1] in THREATS else (state, s)
+# Transducers: (state, symbol) -> (state, symbol). A symbol is (kind, form); the kind of a word that phrases
+# have is (kind of its own, word).
+def symbol_of(token: str, weight: float) -> tuple:
+    """The symbol of a token: what the insult and threat transducers, which have one state each, make of it."""
+    if token in QUOTES:
+        return token, ""
+    word = token.lower().replace("’", "'")
+    kind = "insult" if weight else "word"
+    if word in NEGATIONS or word.endswith("n't") or word.startswith("n'"):
+        kind = "negation"
+    else:
+        for name, words in (("speech", SPEECH), ("target", TARGETS), ("threat", THREATS)):
+            if word in words:
+                kind = name
+    form = {"insult": "plain", "threat": "threat"}.get(kind, "")
+    return ((kind, word) if any(word in p for p in PHRASES) else kind), form
+
+
+def phrase_step(state: tuple, s: tuple) -> tuple[tuple, tuple]:
+    """State: the words of a phrase that came so far."""
+    if not isinstance(s[0], tuple):
+        return (), s
+    (kind, word), form = s
+    for so_far in ((*state, word), (word,)):
+        if so_far in PHRASES:
+            return (), (PHRASES[so_far], "")
+        if any(p[: len(so_far)] == so_far for p in PHRASES):
+            return so_far, (kind, form)
+    return (), (kind, form)
 
 
 def negation_step(state: int, s: tuple) -> tuple[int, tuple]:
     """State: words for which a negation still holds."""
-    if s[1] in NEGATIONS:
+    if s[0] == "negation":
         return NEGATION_REACH, s
-    if state and s[0] in ("insult", "threat"):
-        s = (*s[:3], "negated")
+    if s[0] in QUOTES:
+        return state, s
+    if state and s[1]:
+        s = (s[0], "negated")
     return max(0, state - 1), s
 
 
+def quoted_step(state: str, s: tuple) -> tuple[str, tuple]:
+    """State: the mark that opened a quotation, if one is open."""
+    if s[0] in QUOTES:
+        return ("" if s[0] in QUOTES[state] else state) if state else s[0], s
+    return state, ((s[0], "reported") if state and s[1] in ("plain", "threat") else s)
+
+
 def reported_step(state: int, s: tuple) -> tuple[int, tuple]:
-    """State: 0 own speech, 1 behind a speech verb, 2 inside quotation marks."""
-    if s[0] == "quote":
-        return (0 if state == 2 else 2), s
-    if s[0] == "word" and s[1] in SPEECH:
-        return max(state, 1), s
-    return state, ((*s[:3], "reported") if state and s[3] in ("plain", "threat") else s)
+    """State: 1 behind a speech verb."""
+    if s[0] == "speech":
+        return 1, s
+    return state, ((s[0], "reported") if state and s[1] in ("plain", "threat") else s)
 
 
 def target_step(state: int, s: tuple) -> tuple[int, tuple]:
     """State: 1 behind an addressed person."""
-    if s[0] == "word" and s[1] in TARGETS:
+    if s[0] == "target":
         return 1, s
-    return state, ((*s[:3], "targeted") if state and s[3] == "plain" else s)
+    return state, ((s[0], "targeted") if state and s[1] == "plain" else s)
 
 
-def compose(*steps):
-    """One transducer from several: each reads what the one before gives out."""
+class Machine:
+    """The composition of transducers: each reads what the one before gives out. Its table holds the pairs met so far."""
 
-    def step(states: tuple, symbol):
-        out = []
-        for state, one in zip(states, steps, strict=True):
-            state, symbol = one(state, symbol)
-            out.append(state)
-        return tuple(out), symbol
+    def __init__(self, *steps) -> None:
+        self.steps, self.table = steps, {}
 
-    return step
+    def step(self, states: tuple, symbol: tuple) -> tuple[tuple, str]:
+        """The next states, and the form that comes out."""
+        known = self.table.get((states, symbol))
+        if known is None:
+            after, s = [], symbol
+            for state, one in zip(states, self.steps, strict=True):
+                state, s = one(state, s)
+                after.append(state)
+            known = self.table[states, symbol] = (tuple(after), s[1])
+        return known
 
 
-def clause_weights(clause: str, lexicon_weight) -> dict[str, float]:
-    """Summed weights of the forms that the composed grammar finds in one clause."""
-    machine, states, found = compose(insult_step(lexicon_weight), threat_step, negation_step, reported_step, target_step), (0,) * 5, {}
-    for token in _TOKEN.findall(clause.lower()):
-        states, (_, _, weight, form) = machine(states, token)
+GRAMMAR = Machine(phrase_step, negation_step, quoted_step, reported_step, target_step)
+
+
+def clause_weights(clause: str, lexicon_weight, quote: str = "") -> dict[str, float]:
+    """Summed weights of the forms that the composed grammar finds in one clause; ``quote``: the mark open at its start."""
+    states, found, step = ((), 0, quote, 0, 0), {}, GRAMMAR.step
+    for token in _TOKEN.findall(clause):
+        weight = lexicon_weight(token)
+        states, form = step(states, symbol_of(token, weight))
         if form:
-            found[form] = found.get(form, 0.0) + weight
+            found[form] = found.get(form, 0.0) + (weight or 1.0)
     return found
 
 
+def open_quotes(text: bytes, at: list[int]) -> list[str]:
+    """The quotation mark that is open at each of the ascending places of a text; line ends close all."""
+    out, state, marks = [], "", _MARKS.finditer(text)
+    mark = next(marks, None)
+    for place in at:
+        while mark is not None and mark.start() < place:
+            state = "" if mark[0] == b"\n" else quoted_step(state, (mark[0].decode(), ""))[0]
+            mark = next(marks, None)
+        out.append(state)
+    return out
+
+
 def _lookup(table: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.array(sorted(table), dtype=np.uint64)
     return keys, np.array([table[int(k)] for k in keys])
@@ -164,7 +219,9 @@ def matched_words(words: Words, lexicon: Lexicon) -> np.ndarray:
         return keys[place] == values
 
     hashed = word_hashes(words)
-    keys = np.array(sorted({*lexicon.words, *_hash_words(THREATS)}), dtype=np.uint64)
+    # A scan lower-cases ASCII only: other letters of the threat words may be capitals.
+    threats = {v.translate(_ASCII_LOWER) for w in THREATS for v in (w, w.upper(), w.capitalize())}
+    keys = np.array(sorted({*lexicon.words, *_hash_words(threats)}), dtype=np.uint64)
     hit |= among(hashed, keys)
     for n, table in lexicon.prefixes.items():
         if table:
@@ -192,20 +249,27 @@ def text_features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     offsets = string_bytes(texts)[1]
     begin = np.maximum(np.where(lower > 0, ends[np.maximum(lower - 1, 0)] + 1 if len(ends) else 0, 0), offsets[text_of])
     finish = np.minimum(np.where(lower < len(ends), ends[np.minimum(lower, len(ends) - 1)] if len(ends) else len(data), len(data)), offsets[text_of + 1])
-    raw, cache = data.tobytes(), {}
+    raw, cache = string_bytes(texts)[0].tobytes(), {}
 
     def weight(token: str) -> float:
+        """The largest weight of a token's parts (of words with apostrophes), which are lower-cased as the scan does it."""
         if token not in cache:
-            # Words of the scan are lower-cased in ASCII only; the grammar's are, too, for the lexicon.
-            encoded = token.encode()
-            hashed = word_hashes(scan(pa.array([token]), ALNUM_WORDS, lower=True))
-            cache[token] = lexicon.weight(encoded, int(hashed[0])) if len(hashed) == 1 else 0.0
+            lower = token.translate(_ASCII_LOWER)
+            parts = scan(pa.array([lower]), ALNUM_WORDS)
+            spans = zip(parts.starts.tolist(), parts.ends.tolist(), word_hashes(parts).tolist(), strict=True)
+            encoded = lower.encode()
+            cache[token] = max((lexicon.weight(encoded[a:b], h) for a, b, h in spans), default=0.0)
         return cache[token]
 
     clauses = np.unique(np.stack([text_of, begin, finish], axis=1), axis=0)
-    for text, a, b in clauses.tolist():
-        for form, value in clause_weights(raw[a:b].decode(errors="replace"), weight).items():
-            out[text, FORMS.index(form)] += value
+    edges = np.flatnonzero(np.append(True, np.append(clauses[1:, 0] != clauses[:-1, 0], True)))
+    for first, last in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+        own = clauses[first:last].tolist()
+        origin = int(offsets[own[0][0]])
+        quotes = open_quotes(raw[origin : int(offsets[own[0][0] + 1])], [a - origin for _, a, _ in own])
+        for (text, a, b), quote in zip(own, quotes, strict=True):
+            for form, value in clause_weights(raw[a:b].decode(errors="replace"), weight, quote).items():
+                out[text, FORMS.index(form)] += value
     return out
 
 
@@ -236,12 +300,13 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """Text and label (y) of the documents that may be learned from, per class those of least hash."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y")).where(~held_out(F.col("doc_id"), 5, 0))
-    chosen = least_hashed(known, "y", known.groupBy("y").count(), per_class).select("doc_id", "y")
-    # 2 * per_class rows at most are broadcast.
+    """Text and label (y) of the rows that may be learned from, per class those of least hash."""
+    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y")).where(~held_out(F.col("doc_id"), 5, 0))
+    # At most 2 * per_class ids are broadcast; rows that share an id are ranked again.
+    chosen = cut(least_hashed(known, "y", per_class, "doc_id"), "toxicity-labels")
     drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    signed = cut(drawn.select("doc_id", "text", "y").mapInArrow(_sign, f"doc_id long, text string, y int, {', '.join(f'm{i} long' for i in range(SIGNATURES))}"), "toxicity")
+    few = least_hashed(drawn, "y", per_class, "doc_id", "text")
+    signed = cut(few.select("doc_id", "text", "y").mapInArrow(_sign, f"doc_id long, text string, y int, {', '.join(f'm{i} long' for i in range(SIGNATURES))}"), "toxicity")
     # Of near copies one counts: else every word of a much copied toxic text would look toxic.
     for i in range(SIGNATURES):
         one = Window.partitionBy(f"m{i}").orderBy(F.xxhash64("doc_id"), "doc_id", "text")

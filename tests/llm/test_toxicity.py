@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from loomstone.llm import langid, toxicity
@@ -21,9 +23,11 @@ def make(n, seed=3):
     return rows, labels
 
 
+def forms(text, quote=""):
+    return toxicity.clause_weights(text, lambda w: {"idiot": 2.0, "l'idiot": 2.0}.get(w, 0.0), quote)
+
+
 def test_grammar_forms():
-    weight = {"idiot": 2.0}.get
-    forms = lambda text: toxicity.clause_weights(text, lambda w: weight(w, 0.0))
     assert forms("what an idiot this is") == {"plain": 2.0}
     assert forms("he is not an idiot") == {"negated": 2.0}
     assert forms("not one word of it was from that idiot") == {"plain": 2.0}
@@ -32,6 +36,57 @@ def test_grammar_forms():
     assert forms("you idiot") == {"targeted": 2.0}
     assert forms("I will kill it") == {"threat": 1.0}
     assert forms("") == {}
+    assert forms("she said: that idiot") == {"reported": 2.0}
+    assert forms("he isn't an idiot") == forms("he isn’t an idiot") == forms("il n'est idiot") == {"negated": 2.0}
+    assert forms("according to them an idiot") == forms("laut ihm idiot") == {"reported": 2.0}
+    assert forms("according idiot to") == {"plain": 2.0} and forms("by no means an idiot") == forms("by by no means idiot") == {"negated": 2.0}
+    assert forms("l'idiot") == {"plain": 2.0}
+    assert forms("„an idiot“ idiot") == forms("“idiot” idiot") == forms("«idiot» idiot") == {"reported": 2.0, "plain": 2.0}
+    assert forms("„an “ idiot ” idiot") == {"plain": 2.0, "reported": 2.0}  # the second mark closes, the third opens
+    assert forms("more idiot” idiot", "„") == {"reported": 2.0, "plain": 2.0}
+
+
+def plain_features(text, weight):
+    """Clause by clause, mark by mark."""
+    out, clause, quote, start = dict.fromkeys(toxicity.FORMS, 0.0), "", "", ""
+    for c in [*(text or ""), None]:
+        if c is None or c in ".!?;\n":
+            for form, value in toxicity.clause_weights(clause, weight, start).items():
+                out[form] += value
+            clause = ""
+            quote = "" if c == "\n" else quote
+            start = quote
+            continue
+        clause += c
+        if c in toxicity.QUOTES:
+            quote = ("" if c in toxicity.QUOTES[quote] else quote) if quote else c
+    return [out[f] for f in toxicity.FORMS]
+
+
+def test_features_match_a_plain_version():
+    rng = random.Random(9)
+    lexicon = toxicity.Lexicon({}, {4: {int.from_bytes(b"vorb", "little"): 1.5}})
+    lexicon.words.update(dict(zip(toxicity._hash_words(["snark", "éidi", "Éidi"]), [2.0, 2.0, 2.0], strict=True)))
+
+    def weight(token):
+        parts = token.translate(toxicity._ASCII_LOWER).replace("’", "'").split("'")
+        return max((1.5 if p.startswith("vorb") else 2.0 if p in ("snark", "éidi", "Éidi") else 0.0 for p in parts), default=0.0)
+
+    bits = ["snark", "Vorbel", "vor", "ÉIDI", "éidi", "you", "not", "isn't", "said", "kill", "TÖTEN", "according", "to", "by", "no", "means", "word", '"', "„", "“", "”", "«", "»", ".", "!", ":", ";", "\n", "l'vorb", "日本"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 6, 60]))) for _ in range(400)] + [None, "", "snark" * 3, '"' * 9 + "snark", "snark. " * 4000]
+    got = toxicity.text_features(pa.array(texts, type=pa.string()), lexicon)
+    for text, row in zip(texts, got.tolist(), strict=True):
+        assert row == pytest.approx(plain_features(text, weight)), text
+
+
+def test_repeated_rows_count_once_in_the_sample(spark):
+    rows, labels = make(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    own = next(i for i, y in labels if i % 5 and y)
+    copies = spark.createDataFrame([rows[own]] * 300 + [(own, f"other text {i}") for i in range(50)], docs.schema)
+    few = toxicity._sample(docs.union(copies), marks, 20).groupBy("y").count().collect()
+    assert all(r["count"] <= 20 for r in few) and len(few) == 2
 
 
 def test_held_out_documents_are_told_apart(spark):
