@@ -15,6 +15,7 @@ columns may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.components import components
-from loomstone.llm.scratch import cut, small_batches
+from loomstone.llm.scratch import cut, discard, join_hot, small_batches, sweep
 from loomstone.llm.textcore import SPACE_WORDS, passes, run_hashes, scan, word_hashes
 
 SHINGLE_WORDS = 4
@@ -183,23 +184,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """Rows (doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
     small_batches(docs.sparkSession)
     prints = cut(fingerprints(docs, shingle, seed), "simhash")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     roots = components(links(least.select("fp"), radius, tree_limit), "simhash-links").withColumnsRenamed({"node": "fp"})
-    linked = least.join(roots, "fp")
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = linked.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp", "left").join(least, "fp").select("doc_id", "fp", F.coalesce("component_id", "least").alias("component_id"))
+    linked = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = cut(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "simhash-classes")
+    # One row for each fingerprint, whose class and whose own rows may both be large.
+    classes = cut(join_hot(linked.withColumnRenamed("n", "rows"), named, "root", "n").select("fp", "component_id", "rows"), "simhash-named")
+    discard(least, named)
+    return join_hot(prints, classes, "fp", "rows").select("doc_id", "fp", "component_id")
 
 
 # Documents of a given similarity: fingerprints and shared shingles propose, the exact shingle sets decide.
 SIMILARITY = 0.8
 PROPOSAL_RADIUS = 3
 #: Members of a shingle's list that are compared with each other at a time; results do not depend on it.
-LIST_BLOCK = 1024
+LIST_BLOCK = 256
+#: Proposals before all pairs are compared: pairs of each node, and how far in a list; results do not depend on them.
+PROPOSALS, REACH = 4, 32
+#: Bits of a set's sketch.
+SKETCH_BITS = 512
 #: One text in so many is counted to tell frequent shingles; it orders the shingles, and results do not depend on it.
 COUNTED = 16
-#: Bits of a node number that tell it in a bitmap.
-_BITMAP = 24
 _SLACK = 1e-6
 
 
@@ -244,11 +249,13 @@ def shingle_sets_of(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarr
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, radius: int = PROPOSAL_RADIUS, tree_limit: int = TREE_LIMIT, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, ``carry``, component_id, class_id): classes of documents linked by shingle sets of Jaccard ``similarity`` or more.
 
-    A link is decided by the two exact sets of distinct shingles (64-bit hashes). SimHash fingerprints of the distinct words
-    within ``radius``, by the BK-trees of shards, and neighbours in shingle lists propose first, which joins most of
-    a large class with few comparisons. The lists then propose all that is left: sets of that similarity share one
-    of their n - ceil(similarity * n) + 1 rarest shingles, so no link is missed. Wordless texts are similar to
-    each other only. component_id is the smallest doc_id of a class; class_id tells classes apart.
+    A link is decided by the two exact sets of distinct shingles (64-bit hashes). Sets of that similarity share one
+    of their n - ceil(similarity * n) + 1 rarest shingles, so the lists of these shingles hold every link. SimHash
+    fingerprints of the distinct words within ``radius``, by the BK-trees of shards, and neighbours in the lists propose first;
+    then members of lists whose classes still differ propose a few others each, so that a large class needs few
+    comparisons; at last every pair of a list that is not of one class is compared, so that no link is missed. Sketches of
+    the sets (parities of their shingles by residue) rule most pairs out for certain where the lists are read.
+    Wordless texts are similar to each other only. component_id is the smallest doc_id of a class; class_id tells classes apart.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -256,25 +263,46 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in passes(batch, "text", 1 << 20):
-                prints, node, _ = _nodes_of(part.column("text"), shingle)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("carried"), pa.array(node), pa.array(prints.view(np.int64))], names=["doc_id", "carried", "node", "fp"])
+                prints, node, sets = _nodes_of(part.column("text"), shingle)
+                parities = [_parities(np.frombuffer(x, dtype=np.uint64)) for x in sets]
+                arrays = [pa.array(node), pa.array(prints.view(np.int64)), pa.array([len(x) // 8 for x in sets]), pa.array([_folded(x, SKETCH_BITS // 8).tobytes() for x in parities], type=pa.binary()), pa.array(parities, type=pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "carried", "content")), *arrays], names=["doc_id", "carried", "content", "node", "fp", "size", "sketch", "parities"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.struct(*carry) if carry else F.lit(0)).alias("carried"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.struct(*carry) if carry else F.lit(0)).alias("carried"), F.xxhash64("text").alias("content"))
     # Equal sets are one node.
-    rows = cut(source.mapInArrow(run, f"doc_id long, carried {source.schema['carried'].dataType.simpleString()}, node long, fp long"), "shingle-nodes")
-    # Sets are as large as the texts: each pass takes them from the texts again instead of writing them.
-    lists = cut(_shared_shingles(docs, shingle, similarity), "shingle-lists")
-    near = _print_pairs(rows.select("node", "fp").distinct(), radius, tree_limit).union(_list_pairs(lists, similarity))
-    early = cut(_verified(near, docs, shingle, similarity), "early-links")
-    roots = components(early, "early-links")
-    # Lists whose members are not all of one class yet: every pair of different classes.
-    rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 2 AND a <> b")
-    late = _verified(_list_pairs(rooted.join(mixed.select("shingle"), "shingle", "left_semi"), similarity), docs, shingle, similarity)
-    roots = components(early.union(late), "set-links")
-    labelled = rows.select("doc_id", "carried", "node").join(roots, "node", "left").withColumn("class_id", F.coalesce("root", "node"))
-    named = labelled.groupBy("class_id").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(named, "class_id").select("doc_id", *(["carried.*"] if carry else []), "component_id", "class_id")
+    schema = f"doc_id long, carried {source.schema['carried'].dataType.simpleString()}, content long, node long, fp long, size long, sketch binary, parities binary"
+    rows = cut(source.mapInArrow(run, schema), "shingle-nodes")
+    # Sets are as large as the texts: those that must be compared are taken from the texts again, by the texts' hashes.
+    texts = docs.select("text", F.xxhash64("text").alias("content"))
+    verified = lambda pairs: _verified(pairs, rows, texts, shingle, similarity)
+    lists = _shared_shingles(docs, shingle, similarity)
+    members = cut(lists.select("node").distinct(), "listed-nodes")
+    listed = lambda pairs: pairs.join(members.withColumnRenamed("node", "u"), "u", "left_semi").join(members.withColumnRenamed("node", "v"), "v", "left_semi")
+    prints = _print_pairs(rows.select("node", "fp").distinct(), radius, tree_limit)
+    links = [verified(listed(prints).select("u", "v").union(_list_pairs(lists, similarity)))]
+    sketches = rows.select("node", "sketch").dropDuplicates(["node"])
+    for all_pairs in (False, True):
+        roots = components(reduce(DataFrame.union, links), "set-links")
+        # Lists whose members are not all of one class yet.
+        rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rooted.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+        open_lists = cut(rooted.join(mixed.select("shingle"), "shingle", "left_semi"), "open-lists")
+        discard(lists)
+        lists = open_lists.drop("root")
+        lists._scratch_path = open_lists._scratch_path
+        sweep(spark)
+        links.append(verified(_class_pairs(open_lists.join(sketches, "node"), similarity, all_pairs)))
+    roots = components(reduce(DataFrame.union, links), "set-links")
+    discard(*links, lists, members)
+    sweep(spark)
+    # Many rows may be one node, and many nodes one class.
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(roots, "node", "left").withColumn("class_id", F.coalesce("root", "node"))
+    nodes = cut(nodes.select("node", "least", "n", "class_id"), "set-nodes")
+    named = cut(nodes.groupBy("class_id").agg(F.min("least").alias("component_id"), F.count("*").alias("times")), "set-classes")
+    labels = cut(join_hot(nodes, named, "class_id", "times").select("node", "n", "component_id", "class_id"), "set-labels")
+    discard(nodes, named)
+    labelled = join_hot(rows.select("doc_id", "carried", "node"), labels, "node", "n")
+    return labelled.select("doc_id", *(["carried.*"] if carry else []), "component_id", "class_id")
 
 
 def _nodes_of(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -285,20 +313,40 @@ def _nodes_of(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, li
     return prints, np.array([xxhash.xxh64_intdigest(s) for s in sets], dtype=np.uint64).view(np.int64), sets
 
 
-def _sets(docs: DataFrame, shingle: int, wanted=None) -> DataFrame:
-    """Rows (node, shingles) of the texts; ``wanted``: a broadcast bitmap of node numbers, by which others are left out."""
+def _parities(shingles: np.ndarray) -> bytes:
+    """One bit for each of SKETCH_BITS or more residues, at least four times as many as there are shingles: whether their number is odd."""
+    bits = max(SKETCH_BITS.bit_length() - 1, (4 * len(shingles)).bit_length())
+    odd = (np.bincount((shingles & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8)
+    return np.packbits(odd).tobytes()
+
+
+def _folded(parities: bytes, size: int) -> np.ndarray:
+    """Parities by residues of fewer bits: of 2^k residues the highest bit goes, again and again."""
+    out = np.frombuffer(parities, dtype=np.uint8)
+    while len(out) > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def _difference(a: bytes, b: bytes) -> int:
+    """A bound from below of how many shingles are in one of the two sets only: the residues of which odd numbers differ."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """Rows (node, shingles) of the texts, each node once from a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in passes(batch, "text", 1 << 20):
                 _, node, sets = _nodes_of(part.column("text"), shingle)
-                out = pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, type=pa.binary())], names=["node", "shingles"])
-                if wanted is not None:
-                    bit = (node & ((1 << _BITMAP) - 1)).view(np.uint64)
-                    out = out.filter(pa.array((wanted.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)) == 1))
-                yield out
+                at = [i for i, n in enumerate(node.tolist()) if not (n in seen or seen.add(n))]
+                if at:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array([sets[i] for i in at], type=pa.binary())], names=["node", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node long, shingles binary")
+    return texts.select("text").mapInArrow(run, "node long, shingles binary")
 
 
 def _print_pairs(nodes: DataFrame, radius: int, tree_limit: int) -> DataFrame:
@@ -327,12 +375,13 @@ def _shared_shingles(docs: DataFrame, shingle: int, similarity: float) -> DataFr
     keys, times = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], times[order]))
+    discard(counts)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, times), seen = frequent.value, set()
+        known, times = frequent.value
         for batch in batches:
             nodes, texts = batch.column("node").to_pylist(), batch.column("shingles").to_pylist()
-            taken = [i for i, n in enumerate(nodes) if not (n in seen or seen.add(n)) and texts[i]]
+            taken = [i for i, t in enumerate(texts) if t]
             if not taken:
                 continue
             sizes = np.array([len(texts[i]) // 8 for i in taken])
@@ -349,17 +398,23 @@ def _shared_shingles(docs: DataFrame, shingle: int, similarity: float) -> DataFr
             yield _table(shingle=shingles[order][keep].view(np.int64), node=own[doc[keep]], size=sizes[doc[keep]], pos=pos[keep])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, node, size, pos in _whole_lists(batches):
-            new = np.ones(len(node), dtype=bool)  # a node comes once from each task that has a copy
-            new[1:] = (node[1:] != node[:-1]) | (shingle[1:] != shingle[:-1])
+        # The last row waits for the next batch; known: whether the row before it is of its list.
+        known = False
+        for (shingle, node, size, pos), kept, last in _overlapping(batches, 1):
+            new = np.append(True, (node[1:] != node[:-1]) | (shingle[1:] != shingle[:-1]))  # a node comes once from each task that has a copy
             shingle, node, size, pos = (c[new] for c in (shingle, node, size, pos))
-            same = np.concatenate([[False], shingle[1:] == shingle[:-1], [False]])
+            same = np.concatenate([[bool(kept) and known], shingle[1:] == shingle[:-1], [False]])
             keep = same[1:] | same[:-1]
+            known = bool(same[:-1][-1])
+            if not last:
+                keep[-1] = False
             if keep.any():
                 yield _table(shingle=shingle[keep], node=node[keep], size=size[keep], pos=pos[keep])
 
     lists = "shingle long, node long, size long, pos long"
-    return _in_lists(_sets(docs, shingle).mapInArrow(rarest, lists)).mapInArrow(shared, lists)
+    found = cut(_in_lists(_sets(docs, shingle).mapInArrow(rarest, lists)).mapInArrow(shared, lists), "shingle-lists")
+    sweep(spark)
+    return found
 
 
 def _in_lists(rows: DataFrame) -> DataFrame:
@@ -370,6 +425,22 @@ def _table(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns.values()], names=list(columns))
 
 
+def _overlapping(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[list[np.ndarray], int, bool]]:
+    """The columns of each batch behind the last ``rows`` of those before; how many these are; whether it is the last batch."""
+    held, before = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            yield held, before, False
+            columns = [np.concatenate([h[-rows:], c]) for h, c in zip(held, columns, strict=True)]
+            before = min(rows, len(held[0]))
+        held, before = columns, before or 0
+    if held is not None:
+        yield held, before, True
+
+
 def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of the batches, cut only where the first column changes."""
     held: list[list[np.ndarray]] = []
@@ -386,63 +457,122 @@ def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def _list_pairs(lists: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of nodes in a list whose sizes and places allow ``similarity``.
+def _may(similarity: float, size: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sizes and places in a list allow the similarity.
 
-    With a column root: all pairs of different roots; without: neighbours in the list only. A pair's first common
-    shingle stands in both their lists, and no shingle before it is common: that bounds what they share.
+    A pair's first common shingle stands in both their lists, and no shingle before it is common: that bounds what they share.
     """
-    whole = "root" in lists.columns
+    least = similarity / (1 + similarity) * (size[i] + size[j])
+    return (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - _SLACK) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= least - _SLACK)
 
-    def may(size, pos, i, j) -> np.ndarray:  # size[i] <= size[j]
-        least = similarity / (1 + similarity) * (size[i] + size[j])
-        return (size[i] >= similarity * size[j] - _SLACK) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= least - _SLACK)
+
+def _list_pairs(lists: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of neighbours in a list whose sizes and places allow ``similarity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, node, size, pos, *root in _whole_lists(batches):
-            if not whole:
-                i = np.flatnonzero(shingle[1:] == shingle[:-1])
-                i = i[may(size, pos, i, i + 1)]
-                yield _table(u=node[i], v=node[i + 1])
-                continue
-            edges = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1], [True]])).tolist()
-            for begin, end in zip(edges, edges[1:], strict=False):
-                for a in range(begin, end, LIST_BLOCK):
-                    i = np.arange(a, min(a + LIST_BLOCK, end))[:, None]
-                    for b in range(a, end, LIST_BLOCK):
-                        if size[i[-1, 0]] < similarity * size[b] - _SLACK:
-                            break
-                        j = np.arange(b, min(b + LIST_BLOCK, end))[None, :]
-                        x, y = np.nonzero((i < j) & (root[0][i] != root[0][j]) & may(size, pos, i, j))
-                        if len(x):
-                            yield _table(u=node[i[x, 0]], v=node[j[0, y]])
-
-    columns = ["shingle", "node", "size", "pos", *(["root"] if whole else [])]
-    return _in_lists(lists.select(*columns)).mapInArrow(run, "u long, v long")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The distinct pairs (u, v) whose shingle sets have a Jaccard similarity of at least ``similarity``."""
-    pairs = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "proposed")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    places = wanted.select(F.pmod("node", F.lit(1 << _BITMAP)).alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("m")).toArrow()
-    bitmap = np.zeros(1 << (_BITMAP - 6), dtype=np.uint64)
-    bitmap[places.column("w").to_numpy()] = places.column("m").to_numpy().view(np.uint64)
-    sets = _sets(docs, shingle, docs.sparkSession.sparkContext.broadcast(bitmap))
-    some = cut(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "proposed-sets")
-    for end in ("u", "v"):
-        pairs = pairs.join(some.withColumnsRenamed({"node": end, "shingles": f"set_{end}"}), end)
+        for (shingle, node, size, pos), _, _ in _overlapping(batches, 1):
+            i = np.flatnonzero(shingle[1:] == shingle[:-1])
+            i = i[_may(similarity, size, pos, i, i + 1)]
+            yield _table(u=node[i], v=node[i + 1])
+
+    return _in_lists(lists.select("shingle", "node", "size", "pos")).mapInArrow(run, "u long, v long")
+
+
+def _class_pairs(lists: DataFrame, similarity: float, all_pairs: bool) -> DataFrame:
+    """Pairs (u, v) of different roots in a list whose sizes, places and sketches allow ``similarity``.
+
+    All of them, or PROPOSALS for each node, drawn by hash from members at most REACH places on. Members of a list's largest
+    class are compared with the others only, so a list of one large class costs no more than its other members are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = np.zeros(batch.num_rows, dtype=bool)
-            for row, (a, b) in enumerate(zip(batch.column("set_u").to_pylist(), batch.column("set_v").to_pylist(), strict=True)):
-                both = np.sort(np.concatenate([np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                kept[row] = common >= similarity * (len(both) - common) - _SLACK
-            yield _table(u=batch.column("u").to_numpy()[kept], v=batch.column("v").to_numpy()[kept])
-
-    return pairs.select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
+        parts = ((columns, 0) for columns in _whole_lists(batches)) if all_pairs else ((columns, kept) for columns, kept, _ in _overlapping(batches, REACH))
+        for (shingle, node, size, pos, root, sketch), kept in parts:
+            bits = np.frombuffer(b"".join(sketch.tolist()), dtype=np.uint64).reshape(len(node), -1)
+
+            def good(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+                keep = (root[i] != root[j]) & _may(similarity, size, pos, i, j)  # noqa: B023
+                i, j = i[keep], j[keep]
+                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)  # noqa: B023
+                common = (size[i] + size[j] - apart) // 2  # noqa: B023
+                keep = common >= similarity * (size[i] + size[j] - common) - _SLACK  # noqa: B023
+                return _table(u=node[i[keep]], v=node[j[keep]])  # noqa: B023
+
+            if not all_pairs:
+                for step in range(1, REACH + 1):
+                    i = np.flatnonzero(shingle[step:] == shingle[:-step])
+                    i = i[i + step >= kept]
+                    if len(i):
+                        yield good(i, i + step)
+                continue
+            first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+            for begin, end in zip(first.tolist(), [*first[1:].tolist(), len(shingle)], strict=True):
+                own, times = np.unique(root[begin:end], return_counts=True)
+                most = begin + np.flatnonzero(root[begin:end] == own[times.argmax()])
+                others = begin + np.flatnonzero(root[begin:end] != own[times.argmax()])
+                for at in range(0, len(others), LIST_BLOCK):
+                    i = others[at : at + LIST_BLOCK]
+                    # Members are in order of size: those that may be similar to one of the block.
+                    for rest in (others[at:], most):
+                        low, high = np.searchsorted(size[rest], [similarity * size[i[0]] - _SLACK, size[i[-1]] / similarity + _SLACK])
+                        for b in range(int(low), int(high), LIST_BLOCK):
+                            j = rest[b : min(b + LIST_BLOCK, int(high))]
+                            x, y = np.repeat(i, len(j)), np.tile(j, len(i))
+                            if rest is not most:
+                                x, y = x[x < y], y[x < y]
+                            yield good(x, y)
+
+    pairs = _in_lists(lists.select("shingle", "node", "size", "pos", "root", "sketch")).mapInArrow(run, "u long, v long")
+    if all_pairs:
+        return pairs
+    both = pairs.union(pairs.select("v", "u"))
+    drawn = both.groupBy("u").agg(*(F.min(F.struct(F.xxhash64("u", "v", F.lit(i)), "v"))["v"].alias(f"v{i}") for i in range(PROPOSALS)))
+    return drawn.select("u", F.explode(F.array(*(f"v{i}" for i in range(PROPOSALS)))).alias("v"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The distinct pairs (u, v) whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    Parities of the sets, a fraction of their size, rule most others out for certain; the sets decide the rest.
+    rows: nodes with size, parities and the hash of their text; texts: text and its hash.
+    """
+
+    def wanted(pairs: DataFrame) -> DataFrame:
+        return rows.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
+
+    def joined(pairs: DataFrame, few: DataFrame) -> DataFrame:
+        for end in ("u", "v"):
+            pairs = pairs.join(few.withColumnsRenamed({c: end if c == "node" else f"{c}_{end}" for c in few.columns}), end)
+        return pairs
+
+    def decide(keep):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = [batch.column(c).to_pylist() for c in batch.schema.names[2:]]
+                kept = np.array([keep(*row) for row in zip(*columns, strict=True)], dtype=bool)
+                yield _table(u=batch.column("u").to_numpy()[kept], v=batch.column("v").to_numpy()[kept])
+
+        return run
+
+    def possible(m: int, n: int, a: bytes, b: bytes) -> bool:
+        common = (m + n - _difference(a, b)) // 2
+        return common >= similarity * (m + n - common) - _SLACK
+
+    def similar(a: bytes, b: bytes) -> bool:
+        both = np.sort(np.concatenate([np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)]), kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return common >= similarity * (len(both) - common) - _SLACK
+
+    proposed = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "proposed")
+    known = wanted(proposed).select("node", "size", "parities").dropDuplicates(["node"])
+    likely = cut(joined(proposed, known).select("u", "v", "size_u", "size_v", "parities_u", "parities_v").mapInArrow(decide(possible), "u long, v long"), "likely")
+    # One text of each node, and its set.
+    chosen = cut(wanted(likely).groupBy("node").agg(F.min("content").alias("content")).select("content"), "chosen-texts")
+    sets = _sets(texts.join(chosen, "content", "left_semi"), shingle).dropDuplicates(["node"])
+    kept = cut(joined(likely, sets).select("u", "v", "shingles_u", "shingles_v").mapInArrow(decide(similar), "u long, v long"), "similar")
+    discard(proposed, likely, chosen)
+    sweep(rows.sparkSession)
+    return kept
 
 
 def hex_fingerprint(fp):

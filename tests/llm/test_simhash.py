@@ -1,5 +1,7 @@
+import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
@@ -46,8 +48,6 @@ def test_fingerprints_match_the_definition():
 
 
 def test_bk_tree_finds_exactly_the_values_in_range():
-    import random
-
     rng = random.Random(5)
     values = [rng.getrandbits(16) for _ in range(300)]
     tree = simhash.BKTree()
@@ -185,3 +185,53 @@ def test_shingle_sets_do_not_tell_how_often_a_line_repeats():
     prints, hashes, offsets = simhash.shingle_sets_of(pa.array([words + line * 3, None, words + line * 30]), 5)
     a, none, b = (hashes[x:y].tolist() for x, y in zip(offsets, offsets[1:], strict=False))
     assert a == b and len(a) == 96 + 10 + 4 and none == [] and prints[0] == prints[2]
+
+
+def test_parities_bound_the_difference_from_below():
+    rng = np.random.default_rng(4)
+    for n, m, common in [(0, 5, 0), (30, 40, 20), (900, 850, 700), (5000, 4300, 4000), (3, 4000, 3)]:
+        pool = rng.integers(0, 1 << 63, n + m).astype(np.uint64)
+        a, b = pool[:n], np.append(pool[:common], pool[n : n + m - common])
+        bound = simhash._difference(simhash._parities(a), simhash._parities(b))
+        apart = n + m - 2 * common
+        assert bound <= apart and (bound - apart) % 2 == 0
+        if n > 100:
+            assert bound > 0.6 * apart
+        size = simhash.SKETCH_BITS // 8
+        x, y = (simhash._folded(simhash._parities(v), size) for v in (a, b))
+        assert len(x) == size and int(np.bitwise_count(x ^ y).sum()) <= apart
+
+
+def test_lists_come_in_any_batches():
+    rng = np.random.default_rng(5)
+    shingle = np.sort(rng.integers(0, 90, 300))
+    node = rng.integers(0, 6, 300)
+    order = np.lexsort((node, shingle))
+    columns = [shingle[order], node[order]]
+    whole = None
+    for step in (300, 41, 2, 1):
+        batches = [simhash._table(a=columns[0][i : i + step], b=columns[1][i : i + step]) for i in range(0, 300, step)]
+        pairs = []
+        for (a, b), kept, _ in simhash._overlapping(iter(batches), 3):
+            pairs += [(int(a[j]), int(b[i]), int(b[j])) for j in range(kept, len(a)) for i in range(max(0, j - 3), j) if a[i] == a[j]]
+        whole = whole or sorted(pairs)
+        assert sorted(pairs) == whole
+
+
+def test_planted_near_copies_at_the_threshold_are_found(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, planted, similar = [], [], lambda a, b: len(a & b) / len(a | b)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    while len(planted) < 60:
+        base = [word() for _ in range(rng.choice([60, 150, 400]))]
+        copy = list(base)
+        while similar(grams(base), grams(copy)) > 0.85:
+            copy[rng.randrange(len(copy))] = word()
+        if similar(grams(base), grams(copy)) >= 0.8:
+            planted.append((2 * len(planted), 2 * len(planted) + 1))
+            rows += [(planted[-1][0], " ".join(base)), (planted[-1][1], " ".join(copy))]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[a] == got[b] for a, b in planted)
+    assert found == len(planted) and len(set(got.values())) == len(planted)
