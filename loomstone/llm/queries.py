@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from loomstone.llm import chat, fmindex, langid, mixing, secrets, simhash, substring, tokens, toxicity, vectors
 from loomstone.llm.scratch import cut
 
@@ -122,11 +121,6 @@ def op10_fmindex_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages of corpus_pipeline over documents."""
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_substring_dedup": op2_substring_dedup,
@@ -137,10 +131,51 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_fmindex_decontamination": op10_fmindex_decontamination,
-    "pipeline": pipeline,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op9_chat_format": OP9_SQL}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+#: DuckDB: every window of 20 words with the least place where it starts; words of windows that start earlier go.
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, w, min(r) AS id FROM d GROUP BY doc_id, w),
+g AS (SELECT t.*, row_number() OVER (ORDER BY doc_id NULLS FIRST, id) AS k FROM t),
+windows AS (SELECT k, doc_id, p, array_to_string(list_slice(w, p, p + 19), ' ') AS x FROM (SELECT k, doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM g WHERE len(w) >= 20)),
+first_of AS (SELECT x, min(struct_pack(k := k, p := p)) AS f FROM windows GROUP BY x),
+covered AS (SELECT DISTINCT k, unnest(range(p, p + 20)) AS i FROM windows JOIN first_of USING (x) WHERE f <> struct_pack(k := k, p := p)),
+words AS (SELECT k, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM g),
+kept AS (SELECT k, count(c.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (c.i IS NULL), '') AS text FROM words LEFT JOIN covered c USING (k, i) GROUP BY k)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND d.w = g.w LEFT JOIN kept ON kept.k = g.k
+"""
+
+#: DuckDB: all pairs in double precision; classes by spreading the least vec_id along links.
+OP4_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM e
+  WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+classes AS (SELECT x, min(y) AS least FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least AS component_id, e.vec_id = least AS kept
+FROM e JOIN classes ON classes.x = e.vec_id LEFT JOIN degree ON degree.x = e.vec_id
+"""
+
+#: DuckDB: occurrences of every window of the benchmark by the windows of the same length that documents have.
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+phrases AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(list_slice(w, p, p + least(13, len(w)) - 1), ' ') AS x FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM phrases),
+windows AS (SELECT k, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS x FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d JOIN lengths ON len(w) >= n)),
+found AS (SELECT k, p, windows.n, item_id FROM windows JOIN phrases ON phrases.n = windows.n AND phrases.x = windows.x),
+hits AS (SELECT k, count(DISTINCT i) AS n_hit FROM (SELECT k, unnest(range(p, p + n)) AS i FROM found) GROUP BY k),
+items AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (k) LEFT JOIN items USING (k)
+"""
+
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op4_vector_near_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_fmindex_decontamination": OP10_SQL}
