@@ -33,7 +33,7 @@ END_ID = 2
 #: Slots of the table of pieces, ids of pieces that a Python worker remembers before it starts anew, and bytes of
 #: pieces that are encoded in one text. Results do not depend on them.
 SLOTS = 1 << 20
-POOL_IDS = 4 << 20
+POOL_IDS = 8 << 20
 JOINED_BYTES = 20_000
 _U = np.uint64
 
@@ -139,7 +139,7 @@ class Encoder:
         check = first_bytes(buf, starts, lens)
         long = np.flatnonzero(lens > 8)
         check[long] = word_hashes(_pieces(~buf, starts[long], ends[long]))
-        if 2 * self.used > POOL_IDS:  # a pass has far fewer ids than the other half; a longer text's pool grows
+        if 4 * self.used > 3 * POOL_IDS:  # a pass has far fewer ids than the rest; a longer text's pool grows
             self._forget()
         slot = (key & _U(SLOTS - 1)).astype(np.int64)
         known = (self.keys.take(slot) == key) & (self.checks.take(slot) == check) & (self.bytes.take(slot) == lens)
