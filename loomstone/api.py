@@ -37,6 +37,11 @@ class Catalog:
     def languages(self) -> DataFrame:
         return facts.language_registry(self.spark)
 
+    def file_list(self, language: str | None = None, most: int = 100) -> DataFrame:
+        """Files by path, of one language or all: a list of at most ``most``."""
+        rows = self.files if language is None else self.files.where(F.col("language") == language)
+        return rows.select("path", "language", "category", "address", "line_count").orderBy("path").limit(most)
+
     def stats(self) -> DataFrame:
         return catalog.table_counts({"files": self.files, "facts": self.facts, "imports": self.imports, "databases": self.databases, "queries": self.queries, "endpoints": self.endpoints})
 
@@ -215,15 +220,147 @@ def scan_folder(spark: SparkSession, path: str) -> Catalog:
     return scan(spark, facts.read_tree(spark, path))
 
 
+class Workspace:
+    """Projects over one file table: lookups, lists, membership and what may be written.
+
+    projects(project_id, name, root), files(file_id, abs_path, project_id or null). Tables go in and come out; nothing is stored.
+    """
+
+    def __init__(self, projects: DataFrame, files: DataFrame) -> None:
+        self.spark, self.projects, self.files = projects.sparkSession, projects, files
+
+    def project_for(self, paths: DataFrame) -> DataFrame:
+        """paths(path) with the project of the file itself, else the one of the longest root above it."""
+        exact = catalog.exact_project(paths.select("path").distinct(), self.files).withColumnRenamed("project_id", "own")
+        above = catalog.longest_root(paths.select("path").distinct(), self.projects.select("project_id", "root"))
+        found = exact.join(above, "path").select("path", F.coalesce("own", "project_id").alias("project_id"))
+        return paths.select("path").join(found, "path", "left")
+
+    def project_list(self, modules: DataFrame | None = None) -> DataFrame:
+        """Every project with its files and declarations, and files without a project as ``unknown``."""
+        none = self.files.where("false").select("file_id")
+        return catalog.project_counts(self.projects, self.files, none if modules is None else modules)
+
+    def target(self, what: str) -> DataFrame:
+        """What a name or path means: a project by name or root, a file, a folder of known files, or nothing known (an unscanned path).
+
+        Rows (kind, project_id, path); of several meanings the first in this order.
+        """
+        path = F.lit(what.rstrip("/") or "/")
+        named = self.projects.where((F.col("name") == what) | (F.col("root") == path)).select(F.lit(0).alias("rank"), F.lit("project").alias("kind"), "project_id", F.col("root").alias("path"))
+        file = self.files.where(F.col("abs_path") == path).select(F.lit(1), F.lit("file"), "project_id", "abs_path")
+        inside = self.files.where(F.col("abs_path").startswith(F.concat(path, F.lit("/")))).select(F.lit(2), F.lit("folder"), "project_id", path).distinct()
+        unknown = self.spark.range(1).select(F.lit(3), F.lit("unscanned"), F.lit(None).cast("long"), path)
+        every = named.union(file).union(inside).union(unknown)
+        return every.withColumn("first", F.min("rank").over(Window.partitionBy(F.lit(1)))).where("rank = first").select("kind", "project_id", "path")
+
+    def membership(self, links: DataFrame) -> DataFrame:
+        """How each file belongs to a project (existing, root_match, linked, unknown): links(file_id, project_id) of its neighbours."""
+        return graph.place_files(self.files.withColumnRenamed("abs_path", "path"), self.projects.select("project_id", "root"), links)
+
+    def associate(self, paths: DataFrame, project_id: int) -> DataFrame:
+        """The file table with paths(path) in a project: known files move to it, others are added under new ids."""
+        known = self.files.join(paths.select(F.col("path").alias("abs_path"), F.lit(True).alias("asked")).distinct(), "abs_path", "left")
+        moved = known.select("file_id", "abs_path", F.when(F.col("asked"), F.lit(project_id)).otherwise(F.col("project_id")).cast("long").alias("project_id"))
+        new = paths.select(F.col("path").alias("abs_path")).distinct().join(self.files.select("abs_path"), "abs_path", "left_anti")
+        return moved.union(new.select(F.xxhash64("abs_path"), "abs_path", F.lit(project_id).cast("long")))
+
+    def write_refusals(self, requests: DataFrame) -> DataFrame:
+        """requests(path, project_id) of new files, with the reason against them, if any."""
+        return catalog.creatable(requests, self.files, self.projects)
+
+    @staticmethod
+    def update_endpoints(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+        """The endpoint inventory after a scan: one row for each (kind, locator), the richer one."""
+        return catalog.upsert_endpoints(stored, fresh)
+
+
+class Editor:
+    """Edits of segmented files as a log: files(path, segments array<struct<id, text>>), edits(path, edit_id, payload JSON).
+
+    A call with a token and an action is an edit; the token holds as long as its file's hash does.
+    """
+
+    def __init__(self, files: DataFrame, edits: DataFrame) -> None:
+        self.files, self.edits = files, edits
+
+    def _content(self) -> DataFrame:
+        text_ = F.array_join(F.transform("segments", lambda x: x["text"]), "\n")
+        return self.files.select("path", text_.alias("content"), F.sha2(text_.cast("binary"), 256).alias("hash"))
+
+    def tokens(self, locations: DataFrame) -> DataFrame:
+        """The first call of an edit: locations(path, location) with the token that its second call must bring."""
+        return locations.join(self._content(), "path").select("path", "location", changes.edit_token(F.col("location"), F.col("hash")).alias("token"))
+
+    def stale(self, tokens: DataFrame) -> DataFrame:
+        """tokens(token, path, location) whose file has another content by now."""
+        return changes.stale_tokens(tokens, self.apply().select("path", F.sha2(F.col("content").cast("binary"), 256).alias("hash")))
+
+    def apply(self) -> DataFrame:
+        """Contents after the log, edits applied and refused, and whether undoing them all gives the start back."""
+        return changes.replay_edits(self.files, self.edits)
+
+    def undo(self, last: int = 1) -> Editor:
+        """The editor without the last edits of each file."""
+        nth = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("edit_id")))
+        return Editor(self.files, self.edits.withColumn("nth", nth).where(F.col("nth") > last).drop("nth"))
+
+    def diff(self) -> DataFrame:
+        """Files that the log changes: path, lines before and after."""
+        lines = lambda c: F.size(F.split(c, "\n", -1))
+        both = self._content().withColumnRenamed("content", "before").join(self.apply().select("path", F.col("content").alias("after")), "path")
+        return both.where("before <> after").select("path", lines("before").alias("lines_before"), lines("after").alias("lines_after"))
+
+    def status(self) -> DataFrame:
+        """committed or edited, and how many edits wait, of every file."""
+        waiting = self.edits.groupBy("path").agg(F.count("*").alias("n_edits"))
+        rows = self.files.select("path").join(waiting, "path", "left").fillna(0, ["n_edits"])
+        return rows.select("path", F.when(F.col("n_edits") > 0, "edited").otherwise("committed").alias("status"), "n_edits")
+
+    def commit(self) -> Editor:
+        """The editor over the edited contents, one segment each, with an empty log."""
+        whole = F.array(F.struct(F.lit("all").alias("id"), F.col("content").alias("text")))
+        return Editor(self.apply().select("path", whole.alias("segments")), self.edits.where("false"))
+
+    def discard(self) -> Editor:
+        return Editor(self.files, self.edits.where("false"))
+
+    @staticmethod
+    def project_undo(changes_: DataFrame, most: int = 10) -> DataFrame:
+        """Of a project's newest changes, those that can be taken back: up to the first whose file differs by now."""
+        return changes.undo_until_conflict(changes_, most)
+
+
+def router_status(served: DataFrame, at: int) -> DataFrame:
+    """Requests and tokens that each backend holds at a time: served(served, tokens, seconds) of ``accounting.route_requests``."""
+    parts = F.split("served", "@")
+    rows = served.where("served <> '413'").select(parts[0].alias("backend"), parts[1].cast("long").alias("begun"), "tokens", "seconds")
+    live = (F.col("begun") <= at) & (F.col("begun") + F.col("seconds") > at)
+    return rows.groupBy("backend").agg(F.count_if(live).alias("active"), F.coalesce(F.sum(F.when(live, F.col("tokens"))), F.lit(0)).alias("tokens"))
+
+
 class Pages:
-    """Saved pages: elements, search, sections, skeletons and outlines; ``titles`` may name untitled elements."""
+    """Saved pages: elements, search, sections, skeletons and outlines; ``titles`` may name untitled elements.
 
-    def __init__(self, pages: DataFrame, titles: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    ``embed`` maps rows with a column text to the same rows with a column vector (a model's work, not done here).
+    """
+
+    def __init__(self, pages: DataFrame, titles: Callable[[DataFrame], DataFrame] | None = None, embed: Callable[[DataFrame], DataFrame] | None = None) -> None:
         found = html.page_elements(pages.where(F.coalesce(net.url_allowed(F.col("url")), F.lit(False))))
         self.elements = cut(retrieval.with_structure(titles(found) if titles else found), "elements")
 
+        self.embed = embed
+
     def search(self, query: str) -> DataFrame:
-        return retrieval.search_ladder(self.elements, self.elements.sparkSession.createDataFrame([(1, query)], "query_id int, query string"))
+        """Matches by the ladder of words; with an embedding also by meaning, on the rung between word and any word."""
+        asked = self.elements.sparkSession.createDataFrame([(1, query)], "query_id int, query string")
+        return retrieval.search_ladder(self.elements, asked, self._meaning(asked) if self.embed else None)
+
+    def _meaning(self, asked: DataFrame) -> DataFrame:
+        """Elements of each page whose vectors stand out for the query; long texts count by their best piece."""
+        found = cut(self.embed(retrieval.embed_pieces(self.elements).select("page_id", "element_id", F.col("piece").alias("text"))), "vectors")
+        wanted = self.embed(asked.select("query_id", F.col("query").alias("text"))).select("query_id", "vector")
+        return retrieval.meaning_matches(found.select("page_id", "element_id", "vector"), wanted)
 
     def read(self, element_id: str) -> DataFrame:
         return self.elements.where(F.col("element_id") == element_id).select("page_id", text.fold_blank_lines(F.col("text")).alias("text"))

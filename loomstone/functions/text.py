@@ -121,3 +121,13 @@ def prefixes(parts: Column) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def grouped_number(number: Column) -> Column:
+    """A whole number with commas between groups of three digits."""
+    return F.format_number(number, 0)
+
+
+def padded(text: Column, width: int, fill: str = " ") -> Column:
+    """``text`` with ``fill`` in front up to ``width``; longer texts stay whole."""
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, fill))

@@ -177,6 +177,31 @@ def embed_jobs(elements: DataFrame) -> DataFrame:
     return elements.groupBy(F.coalesce("heading", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("body")).agg(F.count("*").alias("n_elements"))
 
 
+#: Tokens of a text that one vector stands for.
+PIECE_TOKENS = 1800
+
+
+def embed_pieces(elements: DataFrame, tokens: int = PIECE_TOKENS) -> DataFrame:
+    """Texts to embed: (page_id, element_id, piece_no, title, piece), long ones in pieces of at most ``tokens`` (four characters each)."""
+    size, body = tokens * 4, F.coalesce("text", F.lit(""))
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length(body) - 1, F.lit(0)) / size).cast("int"))
+    rows = elements.select("page_id", "element_id", F.coalesce("heading", F.lit("")).alias("title"), body.alias("body"), F.explode(starts).alias("piece_no"))
+    return rows.select("page_id", "element_id", "piece_no", "title", F.expr(f"substring(body, piece_no * {size} + 1, {size})").alias("piece"))
+
+
+def vector_text(vector):
+    """Base64 of a packed vector's signed bytes."""
+    return F.base64(F.unhex(F.array_join(F.transform(vector, lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")), "")))
+
+
+def text_vector(text):
+    """The packed vector of its base64 text."""
+    h = F.hex(F.unbase64(text))
+    byte = lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    signed = lambda v: F.when(v > 127, v - 256).otherwise(v).cast("tinyint")
+    return F.when(F.length(h) == 0, F.array().cast("array<tinyint>")).otherwise(F.transform(F.sequence(F.lit(0), (F.length(h) / 2 - 1).cast("int")), lambda i: signed(byte(i))))
+
+
 # Greedy budgets.
 def greedy_fit(rows: DataFrame, keys: list[str], order: str, size: str, budget: int) -> DataFrame:
     """Rows in order that still fit the group's budget; one that does not fit is passed over, later ones may fit."""

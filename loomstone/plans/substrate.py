@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomstone.functions.text import grouped_number, padded
 from loomstone.operators.relational import as_of_join, interval_join, round_trip, salted_join
 from loomstone.registry import query
 from loomstone.sources.tables import table, views
@@ -91,3 +92,11 @@ def file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return table(spark, sf_dir, "orders").withColumn("nth", F.row_number().over(w)).where("nth <= 3").select("o_custkey", "o_orderkey")
+
+
+@query("formatted_numbers", """
+SELECT o_orderkey, format('{:,}', CAST(o_totalprice * 1000 AS BIGINT)) AS grouped, lpad(CAST(o_orderkey AS VARCHAR), 12, '.') AS padded FROM orders""")
+def formatted_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with separators, and padded texts."""
+    rows = table(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", grouped_number((F.col("o_totalprice") * 1000).cast("decimal(38,0)").cast("long")).alias("grouped"), padded(F.col("o_orderkey").cast("string"), 12, ".").alias("padded"))

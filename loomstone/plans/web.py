@@ -146,6 +146,24 @@ def packed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(packed, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_min(packed).cast("long").alias("least"))
 
 
+@query("vector_texts", """
+SELECT vec_id, true AS same FROM embeddings""")
+def vector_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed vectors come back from their base64 texts."""
+    packed = retrieval.pack_vector(F.col("embedding"), 32)
+    return table(spark, sf_dir, "embeddings").select("vec_id", (retrieval.text_vector(retrieval.vector_text(packed)) == packed).alias("same"))
+
+
+@query("embed_pieces", """
+WITH p AS (SELECT doc_id, length(text) AS n, text FROM documents)
+SELECT doc_id, CAST(i AS INT) AS piece_no, length(text[i * 7200 + 1:(i + 1) * 7200]) AS n_chars, md5(text[i * 7200 + 1:(i + 1) * 7200]) AS digest FROM p, unnest(range(0, greatest(n - 1, 0) // 7200 + 1)) t(i)""")
+def embed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of 1,800 tokens of every text."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit("e1").alias("element_id"), F.lit(None).cast("string").alias("heading"), "text")
+    pieces = retrieval.embed_pieces(docs)
+    return pieces.select(F.col("page_id").alias("doc_id"), "piece_no", F.length("piece").cast("long").alias("n_chars"), F.md5("piece").alias("digest"))
+
+
 @query("outline_budget", """
 WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS size FROM conversations),
 w AS (SELECT conv_id, turn, CASE WHEN size <= 600 THEN true ELSE false END AS kept, 600 - CASE WHEN size <= 600 THEN size ELSE 0 END AS budget FROM r WHERE turn = 0

@@ -80,3 +80,51 @@ def test_pages(spark):
     assert {r.page_id for r in pages.elements.collect()} == {1}
     assert [r.element_id for r in pages.search("some words").collect()] == ["e2"]
     assert pages.read("e1").first().text == "Hi" and "Hi" in pages.skeleton().first().skeleton
+
+
+@pytest.fixture(scope="module")
+def workspace(spark):
+    projects = spark.createDataFrame([(1, "shop", "/srv/shop"), (2, "lib", "/srv/shop/lib")], "project_id long, name string, root string")
+    files = spark.createDataFrame([(10, "/srv/shop/a.py", 1), (11, "/srv/shop/lib/b.py", None), (12, "/tmp/x.py", None)], "file_id long, abs_path string, project_id long")
+    return api.Workspace(projects, files)
+
+
+def test_projects_and_targets(spark, workspace):
+    paths = spark.createDataFrame([("/srv/shop/a.py",), ("/srv/shop/lib/b.py",), ("/srv/shop/lib/new.py",), ("/else",)], "path string")
+    assert {r.path: r.project_id for r in workspace.project_for(paths).collect()} == {"/srv/shop/a.py": 1, "/srv/shop/lib/b.py": 2, "/srv/shop/lib/new.py": 2, "/else": None}
+    assert {(r.name, r.n_files) for r in workspace.project_list().collect()} == {("shop", 1), ("lib", 0), ("unknown", 2)}
+    meant = lambda what: sorted((r.kind, r.project_id) for r in workspace.target(what).collect())
+    assert meant("lib") == meant("/srv/shop/lib/") == [("project", 2)] and meant("/tmp/x.py") == [("file", None)]
+    assert meant("/tmp") == [("folder", None)] and meant("/nowhere") == [("unscanned", None)]
+    links = spark.createDataFrame([(12, 1)], "file_id long, project_id long")
+    assert {r.file_id: (r.placement, r.project_id) for r in workspace.membership(links).collect()} == {10: ("existing", 1), 11: ("root_match", 2), 12: ("linked", 1)}
+    added = workspace.associate(spark.createDataFrame([("/tmp/x.py",), ("/tmp/y.py",)], "path string"), 1)
+    assert {r.abs_path: r.project_id for r in added.collect()} == {"/srv/shop/a.py": 1, "/srv/shop/lib/b.py": None, "/tmp/x.py": 1, "/tmp/y.py": 1}
+    asked = spark.createDataFrame([("/srv/shop/a.py", 1), ("/srv/n.py", 9), ("/srv/n.py", None), ("/srv/ok.py", 2)], "path string, project_id long")
+    assert sorted(str(r.refused) for r in workspace.write_refusals(asked).collect()) == ["None", "file exists", "project missing", "project unknown"]
+
+
+def test_edits_by_log(spark):
+    files = spark.createDataFrame([("a", [("1", "one"), ("2", "two")]), ("b", [("1", "x")])], "path string, segments array<struct<id:string,text:string>>")
+    log = [("a", 1, '{"op": "replace", "seg": "1", "text": "uno"}'), ("a", 2, '{"op": "delete", "seg": "2"}'), ("a", 3, '{"op": "delete", "seg": "gone"}')]
+    editor = api.Editor(files, spark.createDataFrame(log, "path string, edit_id long, payload string"))
+    contents = lambda e: {r.path: r.content for r in e.apply().collect()}
+    assert contents(editor) == {"a": "uno", "b": "x"} and contents(editor.undo(2)) == {"a": "uno\ntwo", "b": "x"} and contents(editor.discard()) == {"a": "one\ntwo", "b": "x"}
+    assert {(r.path, r.status, r.n_edits) for r in editor.status().collect()} == {("a", "edited", 3), ("b", "committed", 0)}
+    assert [(r.path, r.lines_before, r.lines_after) for r in editor.diff().collect()] == [("a", 2, 1)]
+    tokens = editor.tokens(spark.createDataFrame([("a", "1"), ("b", "1")], "path string, location string")).cache()
+    assert {r.stale for r in editor.stale(tokens.where("path = 'a'")).collect()} == {True} and {r.stale for r in editor.stale(tokens.where("path = 'b'")).collect()} == {False}
+    assert contents(editor.commit()) == {"a": "uno", "b": "x"} and editor.commit().status().where("n_edits > 0").count() == 0
+
+
+def test_router_status(spark):
+    rows = spark.createDataFrame([("big@10", 5, 100), ("big@50", 7, 100), ("small@0", 3, 20), ("413", 9, 1)], "served string, tokens long, seconds long")
+    assert {(r.backend, r.active, r.tokens) for r in api.router_status(rows, 60).collect()} == {("big", 2, 12), ("small", 0, 0)}
+
+
+def test_search_by_meaning_comes_between_word_and_any_word(spark):
+    pages = spark.createDataFrame([(1, "https://x.org/", "<body><p>the feline sat</p>" + "".join(f"<p>item number {i} here</p>" for i in range(12)))], "page_id long, url string, html string")
+    vector = lambda rows: rows.select("*", F.when(F.col("text").contains("feline") | F.col("text").contains("cat"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("vector"))
+    assert [(r.element_id, r.rung) for r in api.Pages(pages, embed=vector).search("cat nowhere").collect()] == [("e1", "meaning")]
+    assert api.Pages(pages).search("cat nowhere").collect() == []
+    assert {r.rung for r in api.Pages(pages, embed=vector).search("feline").collect()} == {"word"}
