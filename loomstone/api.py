@@ -113,6 +113,10 @@ class Catalog:
     def ping(self, file_id: int, max_hops: int = 25) -> DataFrame:
         return graph.trace(self.files, self.imports, self._starts(file_id), max_hops)
 
+    def routes(self, file_id: int, max_hops: int = 25) -> DataFrame:
+        """Where the routes from a file end, fewest hops first."""
+        return graph.routes(self.ping(file_id, max_hops))
+
     def discover(self, file_id: int, max_depth: int = 5) -> DataFrame:
         return graph.discover(self.imports, self._starts(file_id), max_depth)
 

@@ -57,16 +57,17 @@ def fold_blank_lines(text: Column) -> Column:
 
 
 def letters(index: Column) -> Column:
-    """0 -> a, 25 -> z, 26 -> aa: bijective base 26, for indexes up to four letters."""
-    one = lambda n: F.element_at(F.lit(_ALPHABET), (n + 1).cast("int"))
-    n = index.cast("long")
-    two, three = n - 26, n - 26 - 26**2
-    four = three - 26**3
-    digits = lambda m, k: F.concat(*(one(F.floor(m / 26**i) % 26) for i in range(k - 1, -1, -1)))
-    return F.when(n < 26, one(n)).when(two < 26**2, digits(two, 2)).when(three < 26**3, digits(three, 3)).otherwise(digits(four, 4))
+    """0 -> a, 25 -> z, 26 -> aa: bijective base 26, for every index of a long (14 letters at most)."""
+    n = index.cast("long") + 1
+    # Digits from the last one: each takes (n - 1) mod 26 and leaves (n - 1) div 26.
+    start = F.struct(n.alias("n"), F.lit("").alias("out"))
 
+    def step(state: Column, _: Column) -> Column:
+        left = state["n"] - 1
+        more = F.struct(F.floor(left / 26).cast("long").alias("n"), F.concat(F.char((left % 26 + 97).cast("int")), state["out"]).alias("out"))
+        return F.when(state["n"] > 0, more).otherwise(state)
 
-_ALPHABET = list("abcdefghijklmnopqrstuvwxyz")
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda s: s["out"]))
 
 
 def letter_index(text: Column) -> Column:
@@ -131,3 +132,29 @@ def grouped_number(number: Column) -> Column:
 def padded(text: Column, width: int, fill: str = " ") -> Column:
     """``text`` with ``fill`` in front up to ``width``; longer texts stay whole."""
     return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, fill))
+
+
+def glob_match(path: Column, pattern: str) -> Column:
+    """Whether a path matches a GLOB pattern: * and ? stand for any characters, [...] for one of a set ([^...] for one outside it)."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        end = pattern.find("]", i + 2) if c == "[" else -1
+        if c in "*?":
+            out += ".*" if c == "*" else "."
+        elif end > 0:
+            inside = pattern[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[")
+            out, i = f"{out}[{inside}]", end
+        else:
+            out += "\\" + c if not c.isalnum() else c
+        i += 1
+    return path.rlike(f"(?s)^{out}$")
+
+
+def relative_path(path: Column, folder: Column) -> Column:
+    """``path`` seen from ``folder`` (both absolute and without dots): up to the common folder, then down."""
+    a, b = F.split(path, "/"), F.split(folder, "/")
+    pairs = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    shared = F.aggregate(pairs, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, same: F.struct((s["n"] + (s["on"] & same).cast("int")).alias("n"), (s["on"] & same).alias("on")), lambda s: s["n"])
+    down = F.slice(a, shared + 1, F.greatest(F.size(a) - shared, F.lit(0)))
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(b) - shared), down), "/")

@@ -51,6 +51,11 @@ def wait_estimates(releases: DataFrame, hour: int = 3600, least: int = 3) -> Dat
     return releases.select("key", "t", F.when(n >= least, span / (n - 1)).alias("gap"))
 
 
+def estimated_wait(gap, position):
+    """Whole seconds until the job at a queue position is served, at the mean gap between releases; null without one."""
+    return F.ceil(gap * position).cast("long")
+
+
 def scan_locks(starts: DataFrame, stale: int = LOCK_SECONDS) -> DataFrame:
     """STARTED or BLOCKED of scan starts(user_id, t, ended): blocked while an earlier start of the user is live.
 

@@ -121,6 +121,12 @@ def trace(files: DataFrame, imports: DataFrame, starts: DataFrame, max_hops: int
     return found.select("start_id", "hop", "from_id", "to_id", "import_path", "line", "terminus", F.transform(F.filter("next", lambda x, i: i % 2 == 1), lambda x: x).alias("edge_path"))
 
 
+def routes(found: DataFrame) -> DataFrame:
+    """The ends of a trace's routes, fewest hops first: start_id, hops, terminus, to_id, import_path, edge_path."""
+    ends = found.where("terminus <> 'follow'").withColumnRenamed("hop", "hops")
+    return ends.select("start_id", "hops", "terminus", "to_id", "import_path", "edge_path").orderBy("start_id", "hops", "edge_path")
+
+
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     """start_id, node, depth of every node within ``max_depth`` links (edges: src, dst); its least depth."""
     frontier = starts.select("start_id", F.col("start_id").alias("node"), F.lit(0).alias("depth"))

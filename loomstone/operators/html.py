@@ -11,7 +11,9 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from loomstone.functions.net import redirect_target
 from loomstone.sources.tables import spread
 
 # Element kinds, tags that are not walked, tags that only hold others in full texts.
@@ -230,3 +232,51 @@ def page_elements(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return spread(pages.selectExpr("cast(page_id as long) as page_id", "html")).mapInArrow(run, ELEMENTS)
+
+
+RESULTS = "page_id long, place int, title string, url string, display_url string, snippet string"
+
+
+def results_of(html: str | None) -> list[tuple[str, str, str, str]]:
+    """(title, href, display URL, snippet) of the results of a saved search page, those without a title left out.
+
+    Fixed values: the classes result, result__a, result__url and result__snippet.
+    """
+
+    def has(node: Node, name: str) -> bool:
+        return name in node.attrs.get("class", "").split()
+
+    def first(node: Node, name: str) -> Node | None:
+        stack = list(reversed(node.children))
+        while stack:
+            n = stack.pop()
+            if isinstance(n, Node):
+                if has(n, name):
+                    return n
+                stack += reversed(n.children)
+        return None
+
+    out, stack = [], [parse(html or "")]
+    while stack:
+        node = stack.pop()
+        if has(node, "result") and (link := first(node, "result__a")):
+            shown, snippet = first(node, "result__url"), first(node, "result__snippet")
+            title = _clean(link.text())
+            if title:
+                out.append((title, link.attrs.get("href", ""), _clean(shown.text()) if shown else "", _clean(snippet.text()) if snippet else ""))
+        stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return out
+
+
+def search_page_results(pages: DataFrame) -> DataFrame:
+    """The result list of saved search pages(page_id, html), redirects decoded."""
+    names = [c.split()[0] for c in RESULTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(page, place, *found) for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True) for place, found in enumerate(results_of(html), 1)]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.string()] * 4), strict=True)], names=names)
+
+    rows = pages.selectExpr("cast(page_id as long) as page_id", "html").mapInArrow(run, RESULTS)
+    return rows.withColumn("url", redirect_target(F.col("url"))).select(*names)

@@ -196,12 +196,13 @@ def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("wait_estimates", f"""
-SELECT event_id, CASE WHEN count(*) OVER w >= 3 THEN (max({_SECONDS}) OVER w - min({_SECONDS}) OVER w) / (count(*) OVER w - 1) END AS gap
-FROM events WINDOW w AS (PARTITION BY event_type ORDER BY {_SECONDS} RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)""")
+WITH g AS (SELECT event_id, CASE WHEN count(*) OVER w >= 3 THEN (max({_SECONDS}) OVER w - min({_SECONDS}) OVER w) / (count(*) OVER w - 1) END AS gap
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY {_SECONDS} RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW))
+SELECT event_id, gap, CAST(ceil(gap * (event_id % 5 + 1)) AS BIGINT) AS wait FROM g""")
 def wait_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select(F.col("event_type").alias("key"), "t", "event_id")
     gaps = acc.wait_estimates(e.select("key", "t")).distinct()
-    return e.join(gaps, ["key", "t"]).select("event_id", "gap")
+    return e.join(gaps, ["key", "t"]).select("event_id", "gap", acc.estimated_wait(F.col("gap"), F.col("event_id") % 5 + 1).alias("wait"))
 
 
 #: Folds as recursive SQL: the i-th event of every key follows the state behind the one before.

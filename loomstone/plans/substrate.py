@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstone.functions.text import grouped_number, padded
+from loomstone.functions.text import glob_match, grouped_number, padded
 from loomstone.operators.relational import as_of_join, interval_join, round_trip, salted_join
 from loomstone.registry import query
 from loomstone.sources.tables import table, views
@@ -35,6 +36,38 @@ _sql("decimal_sums", ("lineitem",), "SELECT l_returnflag, CAST(sum(CAST(l_extend
 _sql("like_escape", ("part",), r"SELECT p_partkey FROM part WHERE p_name LIKE '%e%' ESCAPE '!' AND p_type NOT LIKE 'a!_%' ESCAPE '!'")
 
 
+_sql("cross_join", ("nation", "region"), "SELECT n_nationkey, r_regionkey FROM nation CROSS JOIN region")
+_sql("interval_shift", ("orders",), "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 MONTH AS VARCHAR(10)) AS later FROM orders", "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + INTERVAL 3 MONTH, '%Y-%m-%d') AS later FROM orders")
+_sql(
+    "map_values", ("orders",), "SELECT o_custkey, m['F'] AS f, m['O'] AS o, cardinality(m) AS kinds FROM (SELECT o_custkey, map_from_entries(collect_list(struct(o_orderstatus, n))) AS m FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1)",
+    "SELECT o_custkey, max(n) FILTER (o_orderstatus = 'F') AS f, max(n) FILTER (o_orderstatus = 'O') AS o, count(*) AS kinds FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1",
+)
+
+
+@query("glob_names", "SELECT p_partkey FROM part WHERE p_name GLOB '?*[a-m]'")
+def glob_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where(glob_match(F.col("p_name"), "?*[a-m]")).select("p_partkey")
+
+
+@query("join_hints", "SELECT n_name, count(*) AS n_lines FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+def join_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join strategy by choice: a small table by broadcast, a middle one by hashing."""
+    line, supplier, nation = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
+    hashed = line.select("l_suppkey").join(supplier.hint("shuffle_hash"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return hashed.join(nation.hint("broadcast"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n_lines"))
+
+
+@query("grouped_udf", "SELECT c_nationkey, round(quantile_cont(c_acctbal, 0.9) - quantile_cont(c_acctbal, 0.1), 6) AS spread FROM customer GROUP BY 1")
+def grouped_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grouped aggregate of one's own (pandas, Arrow batches): the spread of the middle four fifths."""
+
+    @F.pandas_udf("double")
+    def spread(values: pd.Series) -> float:
+        return float(values.quantile(0.9) - values.quantile(0.1))
+
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(spread("c_acctbal"), 6).alias("spread"))
+
+
 @query("approximate_distinct", "SELECT event_type, true AS close FROM events GROUP BY 1")
 def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketched distinct users by type within a tenth of the exact number."""

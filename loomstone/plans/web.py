@@ -182,8 +182,12 @@ def prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.prefix_fit(rows, ["conv_id"], "turn", "size", 900)
 
 
-@query("search_results", "SELECT page_id, url FROM pages")
+@query("search_results", """
+SELECT page_id, CAST(1 AS INT) AS place, 'About ' || page_id AS title, url, 'page ' || page_id AS display_url, 'first & only' AS snippet FROM pages
+UNION ALL SELECT page_id, 2, 'Second', '/plain?x=1', '', '' FROM pages WHERE page_id % 2 = 0""")
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result lists of saved search pages, redirects decoded (here: built around the pages' URLs)."""
-    link = F.concat(F.lit("//example.net/l/?uddg="), F.url_encode("url"), F.lit("&rut=x"))
-    return table(spark, sf_dir, "pages").select("page_id", net.redirect_target(link).alias("url"))
+    """Result lists of saved search pages, here written around the pages' URLs: redirects are decoded, results without a title left out."""
+    link = F.concat(F.lit("//example.net/l/?uddg="), F.url_encode("url"), F.lit("&amp;rut=x"))
+    one = F.concat(F.lit('<div class="result web"><h2><a class="result__a" href="'), link, F.lit('">About <b>'), "page_id", F.lit('</b></a></h2><span class="result__url"> page\n'), "page_id", F.lit('</span><p class="result__snippet">first &amp; only</p></div>'))
+    two = F.when(F.col("page_id") % 2 == 0, '<div class="result"><a class="result__a" href="/plain?x=1">Second</a></div>').otherwise('<div class="result"><a class="result__a" href="/y"> </a></div><div class="result">none</div>')
+    return html.search_page_results(table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<body>"), one, two).alias("html")))

@@ -51,6 +51,8 @@ def test_questions(catalog):
     assert {r.from_file_id for r in catalog.connections(by["web/x.js"])["incoming"].collect()} == {by["web/index.js"]}
     ends = {(r.hop, r.terminus) for r in catalog.ping(by["web/index.js"]).collect()}
     assert (1, "follow") in ends and (2, "cycle") in ends and (1, "unresolved") in ends and (2, "leaf") in ends
+    ends = [r.hops for r in catalog.routes(by["web/index.js"]).collect()]
+    assert ends == sorted(ends) and len(ends) >= 3
     found, root = catalog.register(by["web/index.js"])
     assert {r.path for r in found.collect()} == {"web/index.js", "web/x.js", "web/plugins/p.js"} and root.first()[0] == "web"
     assert catalog.crawl(by["web/x.js"]).count() == 3

@@ -264,3 +264,16 @@ def test_deeply_nested_pages_and_open_paragraphs():
     many = "<body>" + "<section>" * 40 + "<p>too low</p>"
     assert {e[3] for e in html.elements_of(many)[1]} == set(range(html.MAX_DEPTH + 1))
     assert [(e[2], e[3]) for e in html.elements_of("<body><p><b>one<br><p>two</p><p><i>three<ul><li>four")[1]] == [("text", 0)] * 3 + [("list", 0), ("item", 1)]
+
+
+def test_letters_globs_and_relative_paths(spark):
+    numbers = [0, 25, 26, 701, 702, 475253, 475254, 12356629, 12356630, 10**12]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", text.letters(F.col("n")).alias("t"))
+    rows = rows.select("n", "t", text.letter_index(F.col("t")).alias("back")).collect()
+    assert [r.back for r in rows] == numbers and [r.t for r in rows][:8] == ["a", "z", "aa", "zz", "aaa", "zzzz", "aaaaa", "zzzzz"]
+    names = ["a.py", "b.txt", "dir/a.py", "[x].py", "ab"]
+    paths = spark.createDataFrame([(n,) for n in names], "p string")
+    hit = lambda g: [r.p for r in paths.where(text.glob_match(F.col("p"), g)).collect()]
+    assert hit("*.py") == ["a.py", "dir/a.py", "[x].py"] and hit("?b") == ["ab"] and hit("[ab]*") == ["a.py", "b.txt", "ab"] and hit("[^ab]*") == ["dir/a.py", "[x].py"] and hit("[[]x].py") == ["[x].py"]
+    pairs = spark.createDataFrame([("/a/b/c", "/a/b"), ("/a/x", "/a/b/c"), ("/a", "/a"), ("/q/r", "/a")], "p string, f string")
+    assert [r[0] for r in pairs.select(text.relative_path(F.col("p"), F.col("f"))).collect()] == ["c", "../../x", "", "../q/r"]
