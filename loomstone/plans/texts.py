@@ -297,7 +297,27 @@ def language_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.language_registry(spark)
 
 
-@query("config_segments")
+#: Segments of the small files below, by their offsets: (ord, depth, parent's ord, address, kind, name, head, from, to, first line, last line).
+_UNIT = """
+WITH f AS (SELECT s_suppkey AS k, '/etc/systemd/' || s_suppkey || '.service' AS path, '# unit ' || s_suppkey AS note, 'Name=' || s_name AS one, 'Exec=/bin/x ' || s_nationkey AS two FROM supplier),
+o AS (SELECT *, length(note) + 1 + 7 AS n0, length(note) + 1 + 7 + length(one) AS n1 FROM f),
+p AS (SELECT *, n1 + 2 AS s0, n1 + 2 + 10 AS e0, n1 + 2 + 10 + length(two) AS e1 FROM o),
+r AS (
+  SELECT k, path, 0 AS ord, 0 AS depth, NULL AS up, '1' AS address, 'section' AS kind, '[Unit]' AS name, note AS head, 0 AS a, n1 AS b, 1 AS first, 3 AS last FROM p
+  UNION ALL SELECT k, path, 1, 1, 0, NULL, 'gap', '(gap)', note, 0, n0, 1, 2 FROM p
+  UNION ALL SELECT k, path, 2, 1, 0, '1.1', 'entry', 'Name', one, n0, n1, 3, 3 FROM p
+  UNION ALL SELECT k, path, 3, 0, NULL, NULL, 'whitespace', '(blank)', '', n1, s0, 3, 4 FROM p
+  UNION ALL SELECT k, path, 4, 0, NULL, '2', 'section', '[Service]', '[Service]', s0, e1, 5, 6 FROM p
+  UNION ALL SELECT k, path, 5, 1, 4, NULL, 'gap', '(gap)', '[Service]', s0, e0, 5, 5 FROM p
+  UNION ALL SELECT k, path, 6, 1, 4, '2.1', 'entry', 'Exec', two, e0, e1, 6, 6 FROM p
+  UNION ALL SELECT k, path, 7, 0, NULL, NULL, 'whitespace', '(blank)', '', e1, e1 + 1, 6, 6 FROM p
+),
+t AS (SELECT *, sha1(path || chr(0) || chr(0) || kind || chr(0) || name || chr(0) || head || chr(0) || CASE ord WHEN 7 THEN '2' ELSE '1' END)[:12] AS own FROM r WHERE up IS NULL),
+u AS (SELECT t.k, t.ord, t.own, NULL AS parent FROM t UNION ALL SELECT r.k, r.ord, sha1(r.path || chr(0) || t.own || chr(0) || r.kind || chr(0) || r.name || chr(0) || r.head || chr(0) || '1')[:12], t.own FROM r JOIN t ON r.k = t.k AND r.up = t.ord)
+SELECT k AS doc_id, own AS seg_id, parent AS parent_id, ord, depth, address, kind, name, a AS start_char, b AS end_char, first AS start_line, last AS end_line FROM r JOIN u USING (k, ord)"""
+
+
+@query("config_segments", _UNIT)
 def config_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of small configuration files built from supplier keys."""
     ini = "'# unit ' || s_suppkey || chr(10) || '[Unit]' || chr(10) || 'Name=' || s_name || chr(10) || chr(10) || '[Service]' || chr(10) || 'Exec=/bin/x ' || s_nationkey || chr(10)"
