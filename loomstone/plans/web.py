@@ -21,7 +21,36 @@ def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(retrieval.with_structure(elements(spark, sf_dir)), "structure")
 
 
-@query("page_elements")
+#: Tags of these pages that are elements, with their kinds and depths.
+_TAGS = (("nav", "navigation", 0), ("ul", "list", 1), ("li", "item", 2), ("a", "link", 3), ("article", "section", 0), ("h1", "heading", 1), ("p", "text", 1), ("footer", "footer", 0))
+
+
+_KINDS_SQL = " ".join(f"WHEN '{t}' THEN '{k}'" for t, k, _ in _TAGS)
+_DEPTHS_SQL = " ".join(f"WHEN '{t}' THEN {d}" for t, _, d in _TAGS)
+
+
+def _plain_sql(text: str) -> str:
+    """Entities decoded, white space as single spaces."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&"), ("&amp", "&")):
+        text = f"replace({text}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+def _short_sql(text: str, limit: int) -> str:
+    return f"CASE WHEN length({text}) > {limit} THEN {text}[:{limit - 1}] || '…' ELSE {text} END"
+
+
+@query("page_elements", f"""
+WITH h AS (SELECT page_id, {_plain_sql("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title, regexp_replace(html, '<script.*?</script>|<style.*?</style>|<head.*?</head>|<!--.*?-->|<b>|</b>|<br>', '', 'gs') AS body FROM pages),
+t AS (SELECT page_id, title, unnest(regexp_extract_all(body, '<(?:{"|".join(t for t, _, _ in _TAGS)})(?: [^>]*)?>[^<]*')) AS whole, generate_subscripts(regexp_extract_all(body, '<(?:{"|".join(t for t, _, _ in _TAGS)})(?: [^>]*)?>[^<]*'), 1) AS n FROM h),
+e AS (SELECT page_id, title, n, regexp_extract(whole, '^<([a-z0-9]+)', 1) AS tag, regexp_extract(whole, 'href="([^"]*)"', 1) AS href, {_plain_sql("regexp_extract(whole, '>([^<]*)$', 1)")} AS own,
+  {_plain_sql("split_part(regexp_replace(regexp_extract(whole, '>([^<]*)$', 1), '^\\s+', ''), chr(10), 1)")} AS first_line FROM t),
+w AS (SELECT *, lead(own) OVER (PARTITION BY page_id ORDER BY n) AS next_own, lead(href) OVER (PARTITION BY page_id ORDER BY n) AS next_href, lead(own, 2) OVER (PARTITION BY page_id ORDER BY n) AS third_own,
+  string_agg(CASE WHEN tag = 'a' THEN own ELSE '' END, '') OVER (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS menu FROM e),
+s AS (SELECT *, CASE tag WHEN 'nav' THEN menu WHEN 'ul' THEN '- ' || third_own WHEN 'li' THEN '[' || next_own || '](' || next_href || ')' WHEN 'article' THEN '## ' || next_own ELSE first_line END AS line,
+  CASE WHEN tag IN ('a', 'h1') THEN own WHEN tag = 'li' THEN next_own ELSE '' END AS named FROM w)
+SELECT page_id, title, n - 1 AS ord, 'e' || n AS element_id, CASE tag {_KINDS_SQL} END AS kind, CASE tag {_DEPTHS_SQL} END AS depth, {_short_sql("named", 80)} AS label, {_short_sql("line", 120)} AS summary,
+  tag = 'a' AS clickable, CASE WHEN tag = 'a' THEN href END AS dest FROM s""")
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All elements of all pages."""
     return html.page_elements(table(spark, sf_dir, "pages")).drop("text")
@@ -57,10 +86,6 @@ def page_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", saved["percent"].alias("saved_percent"), saved["ratio"].alias("ratio"))
 
 
-#: Tags of these pages that are elements, with their kinds and depths.
-_TAGS = (("nav", "navigation", 0), ("ul", "list", 1), ("li", "item", 2), ("a", "link", 3), ("article", "section", 0), ("h1", "heading", 1), ("p", "text", 1), ("footer", "footer", 0))
-
-
 @query("element_structure", f"""
 WITH h AS (SELECT page_id, regexp_replace(html, '<script.*?</script>|<style.*?</style>|<head.*?</head>|<!--.*?-->', '', 'gs') AS body FROM pages),
 t AS (SELECT page_id, body, unnest(tags) AS tag, generate_subscripts(tags, 1) AS n FROM (SELECT page_id, body, regexp_extract_all(body, '<({"|".join(t for t, _, _ in _TAGS)})[ >]', 1) AS tags FROM h)),
