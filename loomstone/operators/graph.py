@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import verb_class
+from loomstone.operators.relational import running
 from loomstone.sources.scratch import cut
 
 
@@ -170,6 +171,20 @@ def place_files(files: DataFrame, roots: DataFrame, links: DataFrame) -> DataFra
     return joined.select("file_id", how.alias("placement"), F.coalesce("project_id", "root_project", "linked_project").alias("project_id"))
 
 
+def name_unknown(placed: DataFrame, files: DataFrame, first: int = 1) -> DataFrame:
+    """``placed`` with ``unknown_name``: unknown_N of each file without a project, numbered by path from ``first``."""
+    lost = running(placed.where("placement = 'unknown'").select("file_id").join(files.select("file_id", "path"), "file_id"), ["path", "file_id"])
+    names = lost.select("file_id", F.concat(F.lit("unknown_"), F.col("place") + (first - 1)).alias("unknown_name"))
+    return placed.join(names, "file_id", "left")
+
+
+def absorb_unknown(reached: DataFrame, placed: DataFrame) -> DataFrame:
+    """Files of no project that a crawl from a project's file reaches, with the least such project: reached(start_id, node), placed(file_id, project_id)."""
+    owners = placed.where("project_id IS NOT NULL").select(F.col("file_id").alias("start_id"), "project_id")
+    lost = placed.where("project_id IS NULL").select(F.col("file_id").alias("node"))
+    return reached.join(owners, "start_id").join(lost, "node").groupBy(F.col("node").alias("file_id")).agg(F.min("project_id").alias("project_id"))
+
+
 def merge_project(files: DataFrame, projects: DataFrame, absorbed: int, into: int) -> tuple[DataFrame, DataFrame]:
     """Files re-pointed from one project to another, and the projects that still have files."""
     moved = files.withColumn("project_id", F.when(F.col("project_id") == absorbed, into).otherwise(F.col("project_id")))

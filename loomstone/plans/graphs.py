@@ -156,9 +156,10 @@ roots AS (SELECT CAST(n_nationkey AS BIGINT) AS project_id, '/r' || (n_nationkey
 links AS (SELECT DISTINCT o_custkey AS file_id, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS project_id FROM orders),
 m AS (SELECT file_id, arg_max(roots.project_id, length(root)) AS p FROM f JOIN roots ON starts_with(path, root || '/') GROUP BY 1),
 l AS (SELECT file_id, min(project_id) AS p FROM links GROUP BY 1 HAVING count(DISTINCT project_id) = 1)
-SELECT file_id, CASE WHEN project_id IS NOT NULL THEN 'existing' WHEN m.p IS NOT NULL THEN 'root_match' WHEN l.p IS NOT NULL THEN 'linked' ELSE 'unknown' END AS placement,
+, d AS (SELECT file_id, path, CASE WHEN project_id IS NOT NULL THEN 'existing' WHEN m.p IS NOT NULL THEN 'root_match' WHEN l.p IS NOT NULL THEN 'linked' ELSE 'unknown' END AS placement,
   coalesce(project_id, m.p, l.p) AS project_id
-FROM f LEFT JOIN m USING (file_id) LEFT JOIN l USING (file_id)""")
+FROM f LEFT JOIN m USING (file_id) LEFT JOIN l USING (file_id))
+SELECT file_id, placement, project_id, CASE WHEN placement = 'unknown' THEN 'unknown_' || row_number() OVER (PARTITION BY placement ORDER BY path, file_id) END AS unknown_name FROM d""")
 def file_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = F.col("c_custkey"), F.col("c_nationkey")
     files = table(spark, sf_dir, "customer").select(c.alias("file_id"), F.concat(F.lit("/r"), n % 7, F.lit("/n"), n, F.lit("/"), c).alias("path"), F.when(c % 10 == 0, c % 3).alias("project_id"))
@@ -166,7 +167,21 @@ def file_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(k.cast("long").alias("project_id"), F.concat(F.lit("/r"), k % 7, F.lit("/n"), k).alias("root"))
     roots = roots.union(table(spark, sf_dir, "region").where("r_regionkey < 2").select((r + 100).cast("long"), F.concat(F.lit("/r"), r)))
     links = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_id"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).cast("long").alias("project_id")).distinct()
-    return g.place_files(files, roots, links)
+    return g.name_unknown(g.place_files(files, roots, links), files)
+
+
+@query("absorbed_files", f"""{_BFS}
+both_ways AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge),
+walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files
+  UNION SELECT start_id, dst, depth + 1 FROM walk JOIN both_ways ON src = node WHERE depth < 6),
+owned AS (SELECT file_id, CASE WHEN file_id % 4 = 0 THEN project_id END AS project_id FROM files)
+SELECT walk.node AS file_id, min(a.project_id) AS project_id FROM walk JOIN owned a ON a.file_id = walk.start_id AND a.project_id IS NOT NULL JOIN owned b ON b.file_id = walk.node AND b.project_id IS NULL GROUP BY 1""")
+def absorbed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without a project that a crawl from a project's files takes in."""
+    t = graph(spark, sf_dir)
+    owned = t["files"].select("file_id", F.when(F.col("file_id") % 4 == 0, F.col("project_id")).alias("project_id"))
+    starts = owned.where("project_id IS NOT NULL").select(F.col("file_id").alias("start_id"))
+    return g.absorb_unknown(g.crawl(t["imports"], starts), owned)
 
 
 @query("project_merge", """
