@@ -35,20 +35,24 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         moved = with_minimum(both.where("v > u"), low, hubs)
         return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def state(e: DataFrame) -> tuple[int, int, int]:
+        """Nodes that are not yet an end of one link or a root, links' ends, and the most that a node has."""
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+        nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        open_ = F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))
+        return tuple(x or 0 for x in nodes.agg(open_, F.sum(F.col("up") + F.col("down")), F.max(F.col("up") + F.col("down"))).first())
 
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), label)
-    before = state(e)
-    while before[0]:
+    while True:
+        # The links form stars around the smallest nodes when every node is an end of one link or a root.
+        left, ends, most = state(e)
+        if not left:
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        often = both.groupBy("u").count().where(F.col("count") * HOT_KEYS > 2 * before[0])
-        hubs = [r.u for r in often.collect()]  # fewer than HOT_KEYS
+        hubs = []
+        if most * HOT_KEYS > ends:
+            hubs = [r.u for r in both.groupBy("u").count().where(F.col("count") * HOT_KEYS > ends).collect()]  # fewer than HOT_KEYS
         near = cut(small(large(both, hubs), hubs), label)
         discard(e)
-        e, after = near, state(near)
-        # The links form stars around the roots when a round changes nothing.
-        if after == before:
-            break
-        before = after
+        e = near
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

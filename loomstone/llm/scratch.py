@@ -61,5 +61,9 @@ def renamed(rows: DataFrame, names: dict[str, str], columns: list[str]) -> DataF
 
 
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Keep Arrow batches small: rows hold whole texts, and JVM and Python both hold whole batches."""
+    """Keep Arrow batches small: rows hold whole texts, and JVM and Python both hold whole batches.
+
+    Descriptions of plans are kept short, too: the driver remembers those of the last thousand jobs.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.maxPlanStringLength", "4000")

@@ -32,7 +32,7 @@ from loomstone.llm.textcore import Words, first_bytes, passes, release, string_b
 END_ID = 2
 #: Slots of the table of pieces, ids of pieces that a Python worker remembers before it starts anew, and bytes of
 #: pieces that are encoded in one text. Results do not depend on them.
-SLOTS = 1 << 20
+SLOTS = 1 << 21
 POOL_IDS = 8 << 20
 JOINED_BYTES = 20_000
 _U = np.uint64
@@ -70,7 +70,7 @@ def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Token ids of texts; remembers pieces in a table of one slot each, by hash.
 
-    A piece of up to eight bytes is told by these bytes and its length, a longer one by 128 bits of hashes and its length. A
+    A piece is told by 64 bits of hash of its bytes and length, and by its bytes (up to eight) or 64 bits of hash more. A
     piece whose slot another one has taken, or that a worker meets first, is encoded (again).
     """
 
@@ -85,7 +85,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys, self.checks = np.zeros(SLOTS, dtype=np.uint64), np.zeros(SLOTS, dtype=np.uint64)
-        self.bytes, self.start, self.size = (np.zeros(SLOTS, dtype=np.int32) for _ in range(3))  # no piece has 0 bytes
+        self.start, self.size = np.zeros(SLOTS, dtype=np.int32), np.zeros(SLOTS, dtype=np.uint16)  # size 0: no piece
         self.pool, self.used = np.zeros(POOL_IDS, dtype=np.int32), 0
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -142,8 +142,8 @@ class Encoder:
         if 4 * self.used > 3 * POOL_IDS:  # a pass has far fewer ids than the rest; a longer text's pool grows
             self._forget()
         slot = (key & _U(SLOTS - 1)).astype(np.int64)
-        known = (self.keys.take(slot) == key) & (self.checks.take(slot) == check) & (self.bytes.take(slot) == lens)
         start, size = self.start.take(slot).astype(np.int64), self.size.take(slot).astype(np.int64)
+        known = (self.keys.take(slot) == key) & (self.checks.take(slot) == check) & (size > 0)
         missed = np.flatnonzero(~known)
         if len(missed):
             # Equal pieces are encoded once; of several pieces of a slot, it keeps one.
@@ -154,9 +154,10 @@ class Encoder:
             at, n = self._learn(buf, starts[first], ends[first])
             which = np.cumsum(new) - 1
             start[order], size[order] = at[which], n[which]
+            first = first[size[first] < 1 << 16]
             _, one = np.unique(slot[first], return_index=True)
             spot, first = slot[first[one]], first[one]
-            self.keys[spot], self.checks[spot], self.bytes[spot] = key[first], check[first], lens[first]
+            self.keys[spot], self.checks[spot] = key[first], check[first]
             self.start[spot], self.size[spot] = start[first], size[first]
         edges = np.append(0, np.cumsum(size))[np.searchsorted(starts, offsets)]
         counts = np.diff(edges) + 1
