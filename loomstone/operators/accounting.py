@@ -56,6 +56,11 @@ def estimated_wait(gap, position):
     return F.ceil(gap * position).cast("long")
 
 
+def scan_progress(done, total):
+    """Whole per cent of a scan's files that are done; 100 where there are none."""
+    return F.when(total > 0, F.floor(100 * done / total)).otherwise(100).cast("int")
+
+
 def scan_locks(starts: DataFrame, stale: int = LOCK_SECONDS) -> DataFrame:
     """STARTED or BLOCKED of scan starts(user_id, t, ended): blocked while an earlier start of the user is live.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.operators import accounting as acc
@@ -247,6 +247,15 @@ def scan_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acc.scan_locks(e.select("user_id", "t", (F.col("t") + 5000 * (F.col("event_id") % 3)).alias("ended"), "event_id"))
 
 
+@query("scan_progress", f"""
+SELECT user_id, event_id, CAST(floor(100 * row_number() OVER (PARTITION BY user_id ORDER BY {_SECONDS}, event_id) / count(*) OVER (PARTITION BY user_id)) AS INT) AS percent FROM events""")
+def scan_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of each user's events, seen as the files of a scan."""
+    w = Window.partitionBy("user_id")
+    done, total = F.row_number().over(w.orderBy("t", "event_id")), F.count("*").over(w)
+    return _events(spark, sf_dir).select("user_id", "event_id", acc.scan_progress(done, total).alias("percent"))
+
+
 @query("rate_limited", f"{_RATES} SELECT key, t, event_id, outcome FROM w")
 def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acc.rate_limit(_events(spark, sf_dir).select(F.col("user_id").alias("key"), "t", "event_id"), 3, 50_000)

@@ -221,6 +221,72 @@ def python_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_facts(files).select("file_id", "fact", "name", "kind", "line_start")
 
 
+#: Small sources by language ({k}: the file's key, {p}: a port), and the facts that they hold: fact, name, kind, first and last line.
+_SOURCES = {
+    "javascript": (
+        "import x from './m{k}.js';\nexport class C{k} {\n  run{k}() {\n  }\n}\nfunction f{k}() {}\nconst db = new Database('d{k}.db');\ndb.exec('DELETE FROM t{k}');\napp.listen({p});\n",
+        [("module", "C{k}", "class", 2, 5), ("method", "run{k}", "method", 3, 4), ("module", "f{k}", "function", 6, 6), ("import", "./m{k}.js", "import", 1, 1), ("listener", "{p}", "port", 9, 9), ("database", "d{k}.db", "sqlite", 7, 7), ("query", "exec", "sql", 8, 8)],
+    ),
+    "typescript": (
+        'import y from "./n{k}";\ninterface I{k} {\n}\nconst g{k} = (a) => {\n};\n',
+        [("module", "I{k}", "interface", 2, 3), ("module", "g{k}", "arrow_function", 4, 5), ("import", "./n{k}", "import", 1, 1)],
+    ),
+    "go": (
+        'package main\nimport "fmt{k}"\ntype T{k} struct {\n}\nfunc (t *T{k}) Run() {\n}\nfunc F{k}() {\n}\n',
+        [("module", "T{k}", "struct", 3, 4), ("module", "(*T{k}).Run", "method", 5, 6), ("module", "F{k}", "function", 7, 8), ("import", "fmt{k}", "import", 2, 2)],
+    ),
+    "java": (
+        'import java.util.L{k};\npublic class A{k} {\n  public void run{k}() {\n  }\n}\n',
+        [("module", "A{k}", "class", 2, 5), ("module", "A{k}.run{k}", "method", 3, 4), ("import", "java.util.L{k}", "import", 1, 1)],
+    ),
+    "rust": (
+        'use std::m{k};\npub struct S{k} {\n}\nimpl S{k} {\n    pub fn go{k}(&self) {\n    }\n}\nfn main{k}() {\n}\n',
+        [("module", "S{k}", "struct", 2, 3), ("module", "impl S{k}", "impl", 4, 7), ("module", "S{k}::go{k}", "method", 5, 6), ("module", "main{k}", "function", 8, 9), ("import", "std::m{k}", "import", 1, 1)],
+    ),
+    "c": (
+        '#include <h{k}.h>\nstruct s{k} {\n  int a;\n};\nint f{k}(int a) {\n  return a;\n}\n',
+        [("module", "s{k}", "struct", 2, 4), ("module", "f{k}", "function", 5, 7), ("import", "h{k}.h", "import", 1, 1)],
+    ),
+    "cpp": (
+        '#include <h{k}>\nnamespace n{k} {\nclass A{k} {\npublic:\n  int m{k}();\n};\n}\n',
+        [("module", "n{k}", "namespace", 2, 7), ("module", "n{k}::A{k}", "class", 3, 6), ("module", "n{k}::A{k}::m{k}", "method", 5, 5), ("import", "h{k}", "import", 1, 1)],
+    ),
+    "csharp": (
+        'using System.X{k};\npublic class A{k} {\n  public int M{k}(int a) {\n    return a;\n  }\n}\n',
+        [("module", "A{k}", "class", 2, 6), ("module", "A{k}.M{k}", "method", 3, 5), ("import", "System.X{k}", "import", 1, 1)],
+    ),
+    "kotlin": (
+        'import a.b{k}\nclass A{k} {\n  fun m{k}() {\n  }\n}\nfun top{k}() {\n}\n',
+        [("module", "A{k}", "class", 2, 5), ("module", "A{k}.m{k}", "method", 3, 4), ("module", "top{k}", "function", 6, 7), ("import", "a.b{k}", "import", 1, 1)],
+    ),
+    "swift": (
+        'import F{k}\nclass A{k} {\n  func m{k}() {\n  }\n}\n',
+        [("module", "A{k}", "class", 2, 5), ("module", "A{k}.m{k}", "method", 3, 4), ("import", "F{k}", "import", 1, 1)],
+    ),
+    "php": (
+        '<?php\nuse A\\B{k};\nclass C{k} {\n  public function m{k}() {\n  }\n}\n',
+        [("module", "C{k}", "class", 3, 6), ("module", "C{k}::m{k}", "method", 4, 5), ('import', 'A\\B{k}', 'import', 2, 2)],
+    ),
+    "nginx": (
+        'upstream u{k} {\n  server 10.0.0.1:{p};\n}\nserver {\n  listen {p};\n  location /a{k} {\n    proxy_pass http://u{k};\n  }\n}\n',
+        [("module", "u{k}", "upstream", 1, 3), ("endpoint", "10.0.0.1:{p}", "server", 2, 2), ("module", "server", "server", 4, 9), ("endpoint", "0.0.0.0:{p}", "port", 5, 5), ("endpoint", "u{k}", "server", 7, 7)],
+    ),
+}
+
+
+@query("code_facts", f"""
+WITH e AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{fact}', '{name}', '{kind}', {a}, {b})" for i, (_, found) in enumerate(_SOURCES.values()) for fact, name, kind, a, b in found)}) t(i, fact, name, kind, a, b))
+SELECT c_custkey AS file_id, fact, replace(replace(name, '{{k}}', CAST(c_custkey AS VARCHAR)), '{{p}}', CAST(3000 + c_custkey % 1000 AS VARCHAR)) AS name, kind, a AS line_start, b AS line_end FROM customer JOIN e ON c_custkey % {len(_SOURCES)} = i""")
+def code_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of small sources in every language that scanners read."""
+    k = F.col("c_custkey")
+    nth = (k % len(_SOURCES) + 1).cast("int")
+    texts = F.element_at(F.array(*(F.lit(t) for t, _ in _SOURCES.values())), nth)
+    content = F.replace(F.replace(texts, F.lit("{k}"), k.cast("string")), F.lit("{p}"), (3000 + k % 1000).cast("string"))
+    files = table(spark, sf_dir, "customer").select(k.alias("file_id"), F.element_at(F.array(*map(F.lit, _SOURCES)), nth).alias("language"), content.alias("content"))
+    return extract.extract_facts(files).select("file_id", "fact", "name", "kind", "line_start", "line_end")
+
+
 @query("sql_objects", """
 SELECT n_nationkey AS doc_id, 0 AS ord, 'table' AS kind, 't' || n_nationkey AS name FROM nation UNION ALL SELECT n_nationkey, 1, 'view', 'v_' || n_regionkey FROM nation""")
 def sql_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
