@@ -64,12 +64,20 @@ class Catalog:
 
     # One file.
     def bones(self, suffix: str) -> DataFrame:
-        """Imports and declarations of the file whose path ends with ``suffix``."""
+        """Imports and declarations of the file whose path ends with ``suffix``; LookupError where several do equally."""
         wanted = self.spark.createDataFrame([(suffix,)], "suffix string")
-        hit = catalog.suffix_match(wanted, self.files.withColumnRenamed("path", "abs_path")).where("status = 'found'").select("file_id")
-        rows = self.facts.join(hit, "file_id", "left_semi").where("fact IN ('import', 'module', 'method')")
+        hit = catalog.suffix_match(wanted, self.files.withColumnRenamed("path", "abs_path")).first()
+        if hit.status == "ambiguous":
+            raise LookupError(f"several files end with {suffix!r}")
+        rows = self.facts.where((F.col("file_id") == F.lit(hit.file_id)) & F.col("fact").isin("import", "module", "method"))
         return rows.select("file_id", "fact", "name", "kind", "parent", "line_start", "line_end")
 
+    def full_skeleton(self) -> DataFrame:
+        """Every file's declarations below its address and path, in order of path and line."""
+        declared = self.facts.where("fact IN ('module', 'method')").select("file_id", "kind", F.col("name").alias("declared"), "line_start", "line_end")
+        rows = self.files.select("file_id", "path", "address", "language", "line_count").join(declared, "file_id", "left")
+        return rows.select("path", "address", "language", "line_count", "kind", "declared", "line_start", "line_end").orderBy("path", "line_start")
+
     def connections(self, file_id: int) -> dict[str, DataFrame]:
         """Outgoing and incoming imports, databases with direction, endpoints of a file."""
         named = self.files.select("file_id", "address", "name")
@@ -82,9 +90,16 @@ class Catalog:
             "endpoints": self.endpoints.where(F.col("doc_id") == file_id),
         }
 
-    def navigate(self, coordinate: str) -> DataFrame:
-        """The file or segment that a dotted coordinate names, with its source where it fits a response."""
-        asked = self.spark.createDataFrame([(coordinate,)], "coordinate string")
+    def navigate(self, *coordinates: str) -> DataFrame:
+        """The files or segments that dotted coordinates name, with their source where it fits a response.
+
+        A coordinate that only leads to a folder is refused: IsADirectoryError names the files below it.
+        """
+        asked = self.spark.createDataFrame([(c,) for c in coordinates], "coordinate string")
+        for c in coordinates:
+            below = self.files.where(F.col("address").startswith(f"{c}."))
+            if not self.files.where(F.col("address") == c).limit(1).count() and (inside := below.orderBy("path").limit(5).collect()):
+                raise IsADirectoryError(f"{c} is a folder; files below it: " + ", ".join(f"{r.address} {r.path}" for r in inside))
         found = catalog.resolve_coordinate(asked, self.files).where("kind = 'file'")
         parts = self.segments().select(F.col("doc_id").alias("file_id"), F.col("address").alias("segment"), "start_char", "end_char", F.col("kind").alias("segment_kind"), F.col("name").alias("segment_name"))
         joined = found.join(parts, ["file_id", "segment"], "left").join(self.files.select("file_id", "path", "content"), "file_id")
@@ -138,8 +153,10 @@ class Catalog:
         edges = graph.topology_edges(named, self.imports, self.databases.select("file_id", "database_id", "line"), databases, file_refs, refs)
         return (nodes.orderBy("kind", "id").limit(MAX_NODES), edges.orderBy("from_id", "to_id", "kind").limit(MAX_EDGES)) if trim else (nodes, edges)
 
-    def data_flow(self) -> DataFrame:
-        """Entry files from which an import, a database or an endpoint leads out."""
+    def data_flow(self, file_id: int | None = None) -> DataFrame:
+        """Entry files from which an import, a database or an endpoint leads out; of one file, the edges and ends of its trace."""
+        if file_id is not None:
+            return self.ping(file_id)
         named = self.files.select("file_id", "address", "name", F.lit(True).alias("is_readable_text"))
         entry = graph.entry_files(named, self.imports)
         out = self.imports.select("file_id").union(self.databases.select("file_id")).union(self.endpoints.select(F.col("doc_id"))).distinct()

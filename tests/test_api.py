@@ -60,6 +60,10 @@ def test_questions(catalog):
     assert ("external", "port:3000") in {(r.kind, r.id) for r in nodes.collect()} and edges.where("kind = 'db_connection'").count() == 2
     assert {r.name for r in catalog.data_flow().collect()} >= {"app.py", "site.conf"}
     assert [r.name for r in catalog.bones("util.py").where("fact = 'method'").collect()] == ["go"]
+    assert {r.declared for r in catalog.full_skeleton().where("path = 'lib/util.py'").collect()} == {"U", "go"}
+    with pytest.raises(IsADirectoryError):
+        catalog.navigate("b")
+    assert catalog.data_flow(by["web/index.js"]).count() >= 3 and catalog.navigate("d", "d.4").count() == 2
     assert [r.source for r in catalog.navigate("d.4").collect()] and "def main" in catalog.navigate("d.4").first().source
     assert {r.line for r in catalog.search("LISTEN").collect()} == {2, 5}
     assert [r.path for r in catalog.structure("plugins").collect()] == ["web", "web/plugins", "web/plugins/p.js"]
