@@ -322,7 +322,11 @@ def _tag_flavor(t: Text) -> list[Seg]:
             (stack[-1].children if stack else out).append(done)
         else:
             (stack[-1].children if stack else out).append(Seg("directive", s.split()[0], t.start[t.lead(i)] if not stack else t.start[i], t.end(i)))
-    return out + stack
+    while stack:  # blocks that nothing closes end with what they hold
+        done = stack.pop()
+        done.end = max([done.end, *(c.end for c in done.children)])
+        (stack[-1].children if stack else out).append(done)
+    return out
 
 
 FLAVORS: dict[str, Callable[[Text], list[Seg]]] = {
