@@ -29,11 +29,16 @@ _KINDS_SQL = " ".join(f"WHEN '{t}' THEN '{k}'" for t, k, _ in _TAGS)
 _DEPTHS_SQL = " ".join(f"WHEN '{t}' THEN {d}" for t, _, d in _TAGS)
 
 
-def _plain_sql(text: str) -> str:
-    """Entities decoded, white space as single spaces."""
+def _decoded_sql(text: str) -> str:
+    """Entities decoded."""
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&"), ("&amp", "&")):
         text = f"replace({text}, '{entity}', '{char}')"
-    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+    return text
+
+
+def _plain_sql(text: str) -> str:
+    """Entities decoded, white space as single spaces."""
+    return f"trim(regexp_replace({_decoded_sql(text)}, '\\s+', ' ', 'g'))"
 
 
 def _short_sql(text: str, limit: int) -> str:
@@ -105,26 +110,70 @@ def _queries(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES (1, 'the thing'), (2, 'Home'), (3, 'nothing matches zzz'), (4, 'hating or things'), (5, 'contact about') AS t(query_id, query)")
 
 
-@query("search_ladder")
+#: The queries, with their words of three letters or more and the roots of these of four letters or more.
+_ASKED = """(VALUES (1, 'the thing', ['the', 'thing'], CAST([] AS VARCHAR[])), (2, 'home', ['home'], ['home']), (3, 'nothing matches zzz', ['nothing', 'matches', 'zzz'], ['noth', 'match']),
+  (4, 'hating or things', ['hating', 'things'], CAST([] AS VARCHAR[])), (5, 'contact about', ['contact', 'about'], ['contact', 'about'])) q(query_id, q, words, roots)"""
+_STRIPPED = f"""regexp_replace({_decoded_sql("regexp_extract(whole, '>([^<]*)$', 1)")}, '^\\s+|\\s+$', '', 'g')"""
+#: Every element of these pages with its place, last element below, label, first line and whole text.
+_ELEMENTS = f"""
+WITH h AS (SELECT page_id, regexp_replace(html, '<script.*?</script>|<style.*?</style>|<head.*?</head>|<!--.*?-->|<b>|</b>|<br>', '', 'gs') AS body FROM pages),
+l AS (SELECT page_id, regexp_extract_all(body, '<(?:{"|".join(t for t, _, _ in _TAGS)})(?: [^>]*)?>[^<]*') AS found FROM h),
+t AS (SELECT page_id, unnest(found) AS whole, generate_subscripts(found, 1) AS n FROM l),
+e AS (SELECT page_id, n, regexp_extract(whole, '^<([a-z0-9]+)', 1) AS tag, regexp_extract(whole, 'href="([^"]*)"', 1) AS href, {_STRIPPED} AS raw FROM t),
+w AS (SELECT *, CASE tag {_DEPTHS_SQL} END AS depth, lead(raw) OVER p AS next_raw, lead(href) OVER p AS next_href, lead(raw, 2) OVER p AS third_raw FROM e WINDOW p AS (PARTITION BY page_id ORDER BY n)),
+g AS (SELECT page_id, max(n) AS total, string_agg(raw, '' ORDER BY n) FILTER (tag = 'a') AS menu, string_agg('- ' || raw, chr(10) ORDER BY n) FILTER (tag = 'a') AS items, string_agg(raw, chr(10) ORDER BY n) FILTER (tag = 'p' AND raw <> '') AS body FROM e GROUP BY 1),
+d AS (SELECT a.page_id, a.n, min(b.n) AS next_n FROM w a JOIN w b ON a.page_id = b.page_id AND b.n > a.n AND b.depth <= a.depth GROUP BY 1, 2),
+x AS (SELECT w.*, coalesce(d.next_n - 1, total) AS last_n, CASE WHEN tag IN ('a', 'h1') THEN raw WHEN tag = 'li' THEN next_raw ELSE '' END AS named,
+  CASE tag WHEN 'nav' THEN menu WHEN 'ul' THEN items WHEN 'li' THEN '[' || next_raw || '](' || next_href || ')' WHEN 'article' THEN concat_ws(chr(10), '## ' || next_raw, body) ELSE raw END AS text
+  FROM w JOIN g USING (page_id) LEFT JOIN d ON d.page_id = w.page_id AND d.n = w.n),
+y AS (SELECT *, trim(regexp_replace(named, '\\s+', ' ', 'g')) AS clean, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) AS line FROM x),
+v AS (SELECT *, {_short_sql("clean", 80)} AS label, {_short_sql("line", 120)} AS summary, CASE tag {_KINDS_SQL} END AS kind FROM y)"""
+_LADDER = f"""{_ELEMENTS},
+z AS (SELECT page_id, n, last_n, lower(label || ' ' || summary) AS head, text FROM v),
+f AS (SELECT page_id, n, last_n, head || ' ' || lower(text) AS whole, CASE WHEN last_n > n THEN head ELSE head || ' ' || lower(text) END AS own FROM z),
+o AS (SELECT query_id, page_id, n, last_n,
+  [contains(q, ' ') AND contains(whole, q), len(words) > 1 AND len(list_filter(words, lambda v: contains(own, v))) = len(words), NOT contains(q, ' ') AND contains(whole, q), false,
+   len(words) > 1 AND len(list_filter(words, lambda v: contains(whole, v))) > 0, len(list_filter(roots, lambda v: contains(whole, v))) > 0] AS hits FROM f CROSS JOIN {{asked}}),
+r AS (SELECT *, list_position(hits, true) - 1 AS rung FROM o),
+m AS (SELECT *, min(rung) OVER (PARTITION BY query_id, page_id) AS first FROM r WHERE rung >= 0),
+k AS (SELECT *, lead(n) OVER (PARTITION BY query_id, page_id ORDER BY n) AS inner_n FROM m WHERE hits[first + 1]),
+matches AS (SELECT query_id, page_id, n - 1 AS ord, 'e' || n AS element_id, ['exact phrase', 'all words', 'word', 'meaning', 'any word', 'word root'][first + 1] AS rung FROM k WHERE inner_n IS NULL OR inner_n > last_n)"""
+
+
+@query("search_ladder", f"{_LADDER.format(asked=_ASKED)} SELECT * FROM matches")
 def search_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rung that finds something on each page, for several queries."""
     return retrieval.search_ladder(structured(spark, sf_dir), _queries(spark))
 
 
-@query("search_context")
+@query("search_context", f"""{_LADDER.format(asked=_ASKED)}
+SELECT DISTINCT query_id, matches.page_id, f.n - 1 AS ord FROM matches JOIN f ON f.page_id = matches.page_id AND matches.ord + 1 > f.n AND matches.ord + 1 <= f.last_n""")
 def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements above the matches of a search."""
     e = structured(spark, sf_dir)
     return retrieval.match_ancestors(retrieval.search_ladder(e, _queries(spark)), e)
 
 
-@query("page_skeletons")
+@query("page_skeletons", f"""{_ELEMENTS},
+b AS (SELECT *, tag = 'nav' AND last_n - n >= 3 AS fold, length(summary) > 5 AS useful, CASE WHEN tag = 'a' THEN ' → ' || href ELSE '' END AS target FROM v),
+c AS (SELECT *, coalesce(max(CASE WHEN fold THEN last_n END) OVER (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= n, false) AS hidden FROM b),
+s AS (SELECT page_id, n, CASE WHEN fold THEN last_n - n ELSE 0 END AS below, CASE
+    WHEN fold THEN '○ [e' || n || '] nav "navigation" (' || (SELECT count(*) FROM v a WHERE a.page_id = c.page_id AND a.tag = 'a' AND a.n > c.n AND a.n <= c.last_n) || ' links)'
+    ELSE repeat('  ', depth) || CASE WHEN tag = 'a' THEN '● ' ELSE '○ ' END || '[e' || n || '] ' || kind || CASE WHEN label <> '' THEN ' "' || label || '"' ELSE '' END || target
+      || CASE WHEN last_n = n AND useful AND summary <> label THEN chr(10) || repeat('  ', depth) || '  └ ' || summary ELSE '' END END AS line
+  FROM c WHERE NOT hidden AND NOT (last_n = n AND tag <> 'a' AND label = '' AND NOT useful)),
+k AS (SELECT page_id, string_agg(line, chr(10) ORDER BY n) AS skeleton, count(*) AS n_lines, CAST(sum(below) AS BIGINT) AS collapsed FROM s GROUP BY 1)
+SELECT *, CAST(floor(length(skeleton) / 4.0 + 0.5) AS BIGINT) AS tokens FROM k""")
 def page_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered skeleton of every page, with its tokens."""
     return retrieval.skeletons(retrieval.skeleton_lines(structured(spark, sf_dir)))
 
 
-@query("page_outlines")
+@query("page_outlines", f"""{_ELEMENTS},
+m AS (SELECT page_id, n - 1 AS ord, repeat('  ', depth) || '[e' || n || '] ' || kind || CASE WHEN label <> '' THEN ' "' || label || '"' ELSE '' END AS line, 0 AS part FROM v WHERE kind IN ('heading', 'navigation', 'section', 'footer')
+  UNION ALL SELECT page_id, n - 1 + 1048576, '  [e' || n || '] link "' || label || '" → ' || href, 1 FROM v WHERE tag = 'a' AND label <> ''),
+b AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY page_id, part ORDER BY ord) AS used, count(*) OVER (PARTITION BY page_id, part) AS marks FROM m)
+SELECT page_id, ord, line FROM b WHERE used <= 400""")
 def page_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.outline(elements(spark, sf_dir), 400)
 
