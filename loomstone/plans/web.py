@@ -178,11 +178,20 @@ def page_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.outline(elements(spark, sf_dir), 400)
 
 
-@query("embed_jobs")
+@query("embed_jobs", _ELEMENTS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+o AS (SELECT page_id, min(n) FILTER (tag = 'h1') AS h1, any_value(label) FILTER (tag = 'h1') AS heading FROM v GROUP BY 1),
+j AS (SELECT CASE WHEN n > h1 THEN heading ELSE '' END AS title, text AS body, count(*) AS n_elements FROM v JOIN o USING (page_id) GROUP BY 1, 2),
+k AS (SELECT n_elements, length(title) + length(body) AS size, md5(title || '|' || body) AS key FROM j),
+c AS (SELECT *, CAST(('0x' || key[1]) AS INT) % 8 AS shard FROM k),
+i AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY key) AS nth FROM c),
+u AS (SELECT n_elements, size, shard, key, nth, size AS used, 0 AS batch FROM i WHERE nth = 1
+  UNION ALL SELECT i.n_elements, i.size, i.shard, i.key, i.nth, CASE WHEN used + i.size > 24000 THEN i.size ELSE used + i.size END, CASE WHEN used > 0 AND used + i.size > 24000 THEN batch + 1 ELSE batch END
+  FROM u JOIN i ON i.shard = u.shard AND i.nth = u.nth + 1)
+SELECT n_elements, size, shard, key, batch FROM u""")
 def embed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct texts to embed, batched by size."""
-    jobs = retrieval.embed_jobs(structured(spark, sf_dir)).withColumn("size", F.length("title") + F.length("body")).withColumn("shard", F.pmod(F.xxhash64("title", "body"), F.lit(8)))
-    return retrieval.greedy_batches(jobs.withColumn("key", F.md5(F.concat_ws("|", "title", "body"))), ["shard"], "key", "size", 24_000).drop("body", "title")
+    jobs = retrieval.embed_jobs(structured(spark, sf_dir)).select("n_elements", (F.length("title") + F.length("body")).alias("size"), F.md5(F.concat_ws("|", "title", "body")).alias("key"))
+    return retrieval.greedy_batches(jobs.withColumn("shard", F.conv(F.substring("key", 1, 1), 16, 10).cast("int") % 8), ["shard"], "key", "size", 24_000)
 
 
 _COS = "list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))) / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))))"
