@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import net, text
 from loomstone.operators import catalog, changes, extract, facts, graph, html, retrieval, segments
+from loomstone.operators.relational import running
 from loomstone.sources.scratch import cut
 
 EXTRACTOR_VERSION = "1"
@@ -211,7 +212,7 @@ def _assemble(spark: SparkSession, files: DataFrame, found: DataFrame) -> Catalo
     load = facts.load_edges(loads, files.select("file_id", "path")).select(F.xxhash64("from_file_id", "to_file_id").alias("import_id"), F.col("from_file_id").alias("file_id"), F.lit("(load)").alias("import_path"), F.col("to_file_id").alias("resolved_file_id"), F.lit(False).alias("is_external"), F.lit(0).alias("line"))
     imports = cut(raw.join(resolved.select("import_id", "resolved_file_id", "is_external"), "import_id").select("import_id", "file_id", "import_path", "resolved_file_id", "is_external", "line").union(load), "imports")
     db = found.where("fact = 'database'").select(F.xxhash64("kind", "name").alias("database_id"), "file_id", "name", F.col("kind").alias("type"), F.col("receiver").alias("handle"), F.col("line_start").alias("line"))
-    numbers = db.groupBy("database_id").agg(F.min("name").alias("n")).select("database_id", F.concat(F.lit("99."), F.row_number().over(Window.orderBy("n", "database_id"))).alias("address"))
+    numbers = running(db.groupBy("database_id").agg(F.min("name").alias("n")), ["n", "database_id"]).select("database_id", F.concat(F.lit("99."), "place").alias("address"))
     databases = cut(db.join(numbers, "database_id"), "databases")
     asked = found.where("fact = 'query'").withColumn("query_id", F.xxhash64("file_id", "line_start", "detail", "name"))
     linked = facts.attribute_queries(asked.select("query_id", "file_id", "receiver"), databases)

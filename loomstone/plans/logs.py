@@ -266,7 +266,25 @@ def slot_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acc.slot_queue(_events(spark, sf_dir).select(F.col("event_type").alias("pool"), "t", (F.col("event_id") % 900 + 600).alias("seconds"), "event_id"), 2)
 
 
-@query("routed_requests")
+_USED = "coalesce(list_sum(list_transform(list_filter(live, lambda j: j.b = {b} AND j.until > {at}), lambda j: j.n)), 0)"
+_BIG, _SMALL = _USED.format(b="'big'", at="x"), _USED.format(b="'small'", at="x")
+
+
+@query("routed_requests", f"""
+WITH RECURSIVE s AS (SELECT user_id % 4 AS router, t, event_id % 1200 AS tokens, event_id % 3000 + 100 AS seconds, event_id FROM (SELECT *, {_SECONDS} AS t FROM events)),
+e AS (SELECT *, row_number() OVER (PARTITION BY router ORDER BY t, tokens, seconds, event_id) AS i FROM s),
+w AS (
+  SELECT router, t, tokens, seconds, event_id, i, CASE WHEN tokens > 1000 THEN '413' ELSE 'big@' || t END AS served, CASE WHEN tokens > 1000 THEN 0 ELSE t END AS clock,
+    CASE WHEN tokens > 1000 THEN [] ELSE [{{'b': 'big', 'until': t + seconds, 'n': tokens}}] END AS live FROM e WHERE i = 1
+  UNION ALL SELECT router, t, tokens, seconds, event_id, i, CASE WHEN tokens > 1000 THEN '413' ELSE b || '@' || c END, CASE WHEN tokens > 1000 THEN clock ELSE c END,
+    CASE WHEN tokens > 1000 THEN live ELSE list_append(list_filter(live, lambda j: j.until > c), {{'b': b, 'until': c + seconds, 'n': tokens}}) END
+  FROM (
+    SELECT *, CASE WHEN big + tokens <= 1000 AND (small + tokens > 500 OR big / 2 <= small) THEN 'big' ELSE 'small' END AS b
+    FROM (SELECT *, {_USED.format(b="'big'", at="c")} AS big, {_USED.format(b="'small'", at="c")} AS small FROM (
+      SELECT e.router, e.t, e.tokens, e.seconds, e.event_id, e.i, w.clock, w.live,
+        list_filter(list_sort(list_concat([greatest(w.clock, e.t)], list_filter(list_transform(w.live, lambda j: j.until), lambda u: u > greatest(w.clock, e.t)))), lambda x: {_BIG.replace("live", "w.live")} + e.tokens <= 1000 OR {_SMALL.replace("live", "w.live")} + e.tokens <= 500)[1] AS c
+      FROM w JOIN e ON e.router = w.router AND e.i = w.i + 1))))
+SELECT router, t, tokens, seconds, event_id, served FROM w""")
 def routed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select((F.col("user_id") % 4).alias("router"), "t", (F.col("event_id") % 1200).alias("tokens"), (F.col("event_id") % 3000 + 100).alias("seconds"), "event_id")
     return acc.route_requests(rows, [("big", 2, 1000), ("small", 1, 500)])
