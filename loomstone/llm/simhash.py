@@ -567,10 +567,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int,
     known = wanted(proposed).select("node", "size", "parities").dropDuplicates(["node"])
     likely = cut(joined(proposed, known).select("u", "v", "size_u", "size_v", "parities_u", "parities_v").mapInArrow(decide(possible), "u long, v long"), "likely")
     # One text of each node, and its set.
-    chosen = wanted(likely).groupBy("node").agg(F.min("content").alias("content")).select("content")
+    # Written, so that its size is known when it is joined to the texts.
+    chosen = cut(wanted(likely).groupBy("node").agg(F.min("content").alias("content")).select("content"), "chosen-texts")
     sets = _sets(texts.join(chosen, "content", "left_semi"), shingle).dropDuplicates(["node"])
     kept = cut(joined(likely, sets).select("u", "v", "shingles_u", "shingles_v").mapInArrow(decide(similar), "u long, v long"), "similar")
-    discard(proposed, likely)
+    discard(proposed, likely, chosen)
     sweep(rows.sparkSession)
     return kept
 

@@ -13,7 +13,7 @@ one anchor (a strand, ``window`` words and a few more) needs to be compared with
 3. Each shard builds a generalised suffix automaton in order of position, so each state knows the earliest
    place where its words end. Strands are streamed through it; where the match is ``window`` words or
    longer and the earliest place is not the strand's own, the window is removed. An anchor's strands also visit the
-   shards before their own, as tasks of their own: there the later of two equal windows is removed, whichever side it is on.
+   shards before their own, a few shards' strands in a task: there the later of two equal windows is removed, whichever side it is on.
 4. Spans are merged for each document.
 
 Order of positions: doc_id (null first), then the text's hash, then the place in the text. Rows equal in
@@ -37,8 +37,12 @@ from loomstone.llm.textcore import SPACE_WORDS, Words, combine, passes, run_hash
 
 WINDOW = 20
 ANCHOR = 8
-#: Words of one automaton: bounds the memory of a task.
+#: Words of one automaton of several anchors: bounds the memory of a task.
 SHARD_WORDS = 60_000
+#: Words of a shard of one anchor, and of how many shards the strands visit a shard in one task.
+ANCHOR_WORDS, RUN_SHARDS = 8_000, 4
+#: Anchors of several shards that are broadcast with their number of shards; more are joined by a shuffle.
+LARGE_ANCHORS = 100_000
 #: Strands that a task gathers before it sends its distinct ones.
 TASK_STRANDS = 1 << 20
 
@@ -330,7 +334,7 @@ class Shard:
 
 
 def _match_shards(batches: Iterator[pa.RecordBatch], window: int, shard_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, target, visitor): strands with words. Gives covered spans.
+    """Rows sorted by (anchor, target, run, visitor): strands with words. Gives covered spans.
 
     Shards without visitors are matched together, up to ``shard_words`` words; visitors are streamed.
     """
@@ -346,9 +350,9 @@ def _match_shards(batches: Iterator[pa.RecordBatch], window: int, shard_words: i
             found(position, starts)
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("anchor", "target", "visitor", "words", "doc", "k", "start")]
-        for anchor, target, visitor, words, *position in zip(*columns, strict=True):
-            if (anchor, target) != key:
+        columns = [batch.column(c).to_pylist() for c in ("anchor", "target", "run", "visitor", "words", "doc", "k", "start")]
+        for anchor, target, run, visitor, words, *position in zip(*columns, strict=True):
+            if (anchor, target, run) != key:
                 if shard is not None:
                     settle(shard)
                     shard = None
@@ -357,7 +361,7 @@ def _match_shards(batches: Iterator[pa.RecordBatch], window: int, shard_words: i
                 if size >= shard_words:
                     settle(Shard(small, window))
                     small, size = [], 0
-                key, own = (anchor, target), []
+                key, own = (anchor, target, run), []
             string = (tuple(position), np.frombuffer(words, dtype=np.uint64).tolist())
             if not visitor:
                 own.append(string)
@@ -377,18 +381,24 @@ def _match_shards(batches: Iterator[pa.RecordBatch], window: int, shard_words: i
         yield _rows(doc=doc, k=k, start=start, size=n)
 
 
-def covered_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS) -> DataFrame:
+def covered_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_words: int = SHARD_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """``docs`` keyed by (doc, k), with its text and spans: list of (start, size), the words to remove."""
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("doc_id", "text").alias("k"))
     shipped = keyed.select("text", "doc", "k").mapInArrow(lambda b: _cut_documents(b, window, anchor), STRANDS)
     dealt = shipped.repartition("route").sortWithinPartitions("copy", "route", "strand", "doc", "k", "start")
-    repeated = cut(dealt.mapInArrow(lambda b: _repeated_anchors(b, shard_words), SHARDED), "substring")
+    repeated = cut(dealt.mapInArrow(lambda b: _repeated_anchors(b, anchor_words), SHARDED), "substring")
     asked = repeated.where("not copy").groupBy("doc", "k").agg(F.collect_list(F.struct("anchor", "shard", "start", "size")).alias("asked"))
     fetched = keyed.select("doc", "k", "text").join(asked, ["doc", "k"]).select("text", "doc", "k", "asked").mapInArrow(_fetch_words, WORDS)
-    # A strand goes to its own shard, and visits the anchor's shards before it.
-    going = fetched.withColumn("target", F.explode(F.sequence(F.lit(0), "shard"))).select("anchor", "target", (F.col("target") < F.col("shard")).alias("visitor"), "words", "doc", "k", "start")
-    matched = going.repartition("anchor", "target").sortWithinPartitions("anchor", "target", "visitor").mapInArrow(lambda b: _match_shards(b, window, shard_words), SPANS)
+    # A strand visits the anchor's shards before its own, in runs of RUN_SHARDS shards; its own shard has it in every run.
+    large = cut(repeated.where("not copy AND shard > 0").groupBy("anchor").agg(F.max("shard").alias("top")), "large-anchors")
+    few = large.limit(LARGE_ANCHORS + 1).count() <= LARGE_ANCHORS
+    known = fetched.join(F.broadcast(large) if few else large, "anchor", "left").withColumn("top", F.coalesce("top", "shard"))
+    run = lambda shard: F.floor(shard / RUN_SHARDS).cast("int")
+    here = F.transform(F.sequence(run(F.col("shard")), run(F.col("top"))), lambda r: F.struct(F.col("shard").alias("target"), r.alias("run"), F.lit(False).alias("visitor")))
+    before = F.transform(F.filter(F.sequence(F.lit(0), F.col("shard")), lambda t: t < F.col("shard")), lambda t: F.struct(t.alias("target"), run(F.col("shard")).alias("run"), F.lit(True).alias("visitor")))
+    going = known.withColumn("at", F.explode(F.concat(here, before))).select("anchor", "at.*", "words", "doc", "k", "start")
+    matched = going.repartition("anchor", "target", "run").sortWithinPartitions("anchor", "target", "run", "visitor").mapInArrow(lambda b: _match_shards(b, window, shard_words), SPANS)
     covered = matched.union(repeated.where("copy").select("doc", "k", "start", "size"))
     spans = covered.groupBy("doc", "k").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     return keyed.join(spans, ["doc", "k"], "left").select("doc_id", "doc", "k", "text", "spans")
@@ -424,8 +434,8 @@ def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True, shard_words: int = SHARD_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True, shard_words: int = SHARD_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (``with_text``) kept_text of every row of ``docs``."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    marked = covered_spans(docs, window, anchor, shard_words).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
+    marked = covered_spans(docs, window, anchor, shard_words, anchor_words).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
     return marked.mapInArrow(lambda b: _kept(b, with_text), schema)

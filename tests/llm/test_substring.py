@@ -53,8 +53,8 @@ def corpus(seed, n=120, vocabulary=400):
 def test_removed_words_match_brute_force(spark, seed, vocabulary):
     docs = corpus(seed, vocabulary=vocabulary)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("k", F.lit("clash")).withColumn("spans", F.lit(1)).repartition(5)
-    for shard_words in (substring.SHARD_WORDS, 100):
-        got = sorted(map(tuple, substring.remove_repeats(df, shard_words=shard_words).collect()), key=str)
+    for shard_words, anchor_words in ((substring.SHARD_WORDS, substring.ANCHOR_WORDS), (100, 30)):
+        got = sorted(map(tuple, substring.remove_repeats(df, shard_words=shard_words, anchor_words=anchor_words).collect()), key=str)
         assert got == sorted(brute(docs), key=str)
 
 
