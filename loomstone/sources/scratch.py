@@ -29,6 +29,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that ``cut`` wrote, in order.
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages and loops survive lost executors."""
     spark = df.sparkSession
@@ -36,9 +40,23 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
+    _WRITTEN.append(path)
     return table
 
 
+def written() -> int:
+    """How many tables ``cut`` wrote so far: a mark for ``discard_since``."""
+    return len(_WRITTEN)
+
+
+def discard_since(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
+    """Delete all tables that ``cut`` wrote since a mark, except ``kept``, which must not read any of the others."""
+    paths = {t._scratch_path for t in kept}
+    for path in [p for p in _WRITTEN[mark:] if p not in paths]:
+        files, where = _files(spark, path)
+        files.delete(where, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``cut`` that no plan will read again."""
     for table in tables:
