@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.scratch import HOT_KEYS, cut, discard
+from loomstone.llm.scratch import HOT_KEYS, cut, discard, sweep
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -55,4 +55,5 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         near = cut(small(large(both, hubs), hubs), label)
         discard(e)
         e = near
+        sweep(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.scratch import cut, discard, join_hot
+from loomstone.llm.scratch import cut, discard_since, join_hot, sweep, written
 from loomstone.operators.relational import running
 
 WEIGHTS = (5, 2, 1)
@@ -88,7 +88,7 @@ def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 
 def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, block: int = BLOCK_WORDS) -> DataFrame:
     """``carry`` columns (doc_id), size, source_size, target and taken of every document."""
-    carry = carry or ["doc_id"]
+    carry, mark = carry or ["doc_id"], written()
     key = F.when(F.col("source").isNotNull(), F.concat(F.lit("="), "source")).otherwise("").alias("key")
     sized = docs.select(F.struct(*carry).alias("carried"), "source", key, word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h"), F.monotonically_increasing_id().alias("row"))
     sized = cut(sized, "mixing")  # row stays: it tells equal documents apart, whose order does not matter
@@ -107,5 +107,6 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple = WEIGHT
     covered = F.least(F.col("b"), (F.col("rank") + 1) * block) - F.greatest(F.col("a"), F.col("rank") * block)
     words = met.withColumn("covered", covered).join(schedule(known, block), ["s", "rank"]).groupBy("row").agg(F.sum("covered").alias("taken"))
     out = cut(at.select("row", "carried", "size", "source_size", "target").join(words, "row", "left"), "mixing-taken")
-    discard(sized, sources, known, named)
+    discard_since(docs.sparkSession, mark, out)
+    sweep(docs.sparkSession)
     return out.select("carried.*", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

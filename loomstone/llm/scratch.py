@@ -7,9 +7,9 @@ import gc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.sources.scratch import cut, discard, scratch_dir
+from loomstone.sources.scratch import cut, discard, discard_since, scratch_dir, written
 
-__all__ = ["cut", "discard", "fresh", "join_hot", "numbered", "renamed", "scratch_dir", "small_batches", "sweep"]
+__all__ = ["cut", "discard", "discard_since", "fresh", "join_hot", "numbered", "renamed", "scratch_dir", "small_batches", "sweep", "written"]
 
 
 def sweep(spark: SparkSession) -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.components import components
-from loomstone.llm.scratch import cut, discard, join_hot, small_batches, sweep
+from loomstone.llm.scratch import cut, discard, discard_since, join_hot, small_batches, sweep, written
 from loomstone.llm.textcore import SPACE_WORDS, passes, run_hashes, scan, word_hashes
 
 SHINGLE_WORDS = 4
@@ -257,7 +257,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     the sets (parities of their shingles by residue) rule most pairs out for certain where the lists are read.
     Wordless texts are similar to each other only. component_id is the smallest doc_id of a class; class_id tells classes apart.
     """
-    spark = docs.sparkSession
+    spark, mark = docs.sparkSession, written()
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +301,9 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     named = cut(nodes.groupBy("class_id").agg(F.min("least").alias("component_id"), F.count("*").alias("times")), "set-classes")
     labels = cut(join_hot(nodes, named, "class_id", "times").select("node", "n", "component_id", "class_id"), "set-labels")
     discard(nodes, named)
-    labelled = join_hot(rows.select("doc_id", "carried", "node"), labels, "node", "n")
+    labelled = cut(join_hot(rows.select("doc_id", "carried", "node"), labels, "node", "n").drop("node"), "set-rows")
+    discard_since(spark, mark, labelled)
+    sweep(spark)
     return labelled.select("doc_id", *(["carried.*"] if carry else []), "component_id", "class_id")
 
 
