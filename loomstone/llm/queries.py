@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import chat, fmindex, langid, mixing, secrets, simhash, substring, tokens, toxicity, vectors
+from loomstone.llm import chat, collocations, fmindex, langid, lattice, linefreq, mixing, secrets, simhash, substring, tokens, toxicity, vectors
 from loomstone.llm.scratch import cut
 
 
@@ -121,6 +121,21 @@ def op10_fmindex_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of every order of five filters, by language."""
+    return lattice.audit(lattice.corpus_masks(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "labels"))
+
+
+def op12_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of every document's words and lines, and whether it stays without the lines that its source repeats."""
+    return linefreq.line_quality(_read(spark, sf_dir, "documents"), with_text=False)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two to five words of every language."""
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_substring_dedup": op2_substring_dedup,
@@ -132,6 +147,9 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_fmindex_decontamination": op10_fmindex_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_line_quality": op12_line_quality,
+    "op13_collocations": op13_collocations,
 }
 
 #: DuckDB: every window of 20 words with the least place where it starts; words of windows that start earlier go.
@@ -178,4 +196,92 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hits USING (k) LEFT JOIN items USING (k)
 """
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op4_vector_near_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_fmindex_decontamination": OP10_SQL}
+#: DuckDB: every order by recursion; the documents of a mask that each step meets.
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS failing
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id
+),
+m AS (SELECT part, failing, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failing),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (SELECT '' AS o UNION ALL SELECT o || c FROM orders, letters WHERE NOT contains(o, c)),
+steps AS (SELECT o AS filter_order, s AS step, substr(o, 1, s - 1) AS done, substr(o, s, 1) AS c FROM orders, range(1, 6) t(s) WHERE len(o) = 5),
+met AS (
+  SELECT part, filter_order, step, c, n, good, toxic, failing, contains(failing, c) AS fails,
+    len(list_intersect(string_split(failing, ''), string_split(done, ''))) > 0 AND done <> '' AND failing <> '' AS gone FROM steps, m
+),
+told AS (
+  SELECT part, filter_order, step, c, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS removed,
+    coalesce(sum(n) FILTER (gone AND fails), 0) AS redundant, coalesce(sum(n) FILTER (failing = c), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND fails), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails), 0) AS toxic_lost
+  FROM met GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley
+FROM told
+"""
+
+#: DuckDB: runs of words and lines as strings, counted by grouping.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+),
+runs AS (SELECT r, p, array_to_string(list_slice(w, p, p + 7), ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) >= 8)),
+twice AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, x) AS n FROM runs) WHERE n > 1),
+repeats AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(p, p + 8)) AS i FROM twice) GROUP BY r),
+lined AS (
+  SELECT r, source, t, regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g') AS x FROM (SELECT r, source, t, unnest(lines) AS line FROM d)
+),
+hosts AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
+counted AS (SELECT source, x, count(DISTINCT t) AS n FROM lined GROUP BY source, x),
+common AS (SELECT counted.source, x FROM counted JOIN hosts ON counted.source IS NOT DISTINCT FROM hosts.source WHERE n > 20 AND 100 * n > texts),
+lost AS (SELECT r, sum(len(string_split(lined.x, ' '))) AS n FROM lined JOIN common ON lined.source IS NOT DISTINCT FROM common.source AND lined.x = common.x GROUP BY r),
+told AS (
+  SELECT doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_common_words
+  FROM d LEFT JOIN repeats USING (r) LEFT JOIN lost USING (r)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+  AND NOT (n_common_words > 0 AND (n_words - n_common_words < 20 OR 100 * (n_words - n_common_words) < 50 * n_words)) AS kept
+FROM told
+"""
+
+#: DuckDB: all runs of up to five words counted; cuts and containment by joins of the frequent ones.
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(p) AS x FROM d)),
+totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+runs AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS a FROM runs GROUP BY lang, k, phrase HAVING count(*) >= 100),
+cuts AS (SELECT lang, k, phrase, a, c, array_to_string(list_slice(w, 1, c), ' ') AS x, array_to_string(list_slice(w, c + 1, k), ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1)),
+cut_scores AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, c, l.a AS l, r.a AS r, CAST(t.n AS BIGINT) AS n,
+    CAST(CAST(1000 AS HUGEINT) * cuts.a * t.n // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y JOIN totals t ON t.lang = cuts.lang
+),
+best AS (SELECT * FROM cut_scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (SELECT lang, array_to_string(list_slice(w, i, i + j - 1), ' ') AS phrase, max(a) AS a FROM (SELECT lang, w, a, j, unnest(range(1, k - j + 2)) AS i FROM f, range(2, 5) t(j) WHERE j < k) GROUP BY ALL)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, best.a DESC, best.phrase) AS rank, best.phrase, best.a, l, r, n, score
+FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.phrase = best.phrase WHERE inside.a IS NULL OR 100 * inside.a < 100 * best.a
+QUALIFY row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, best.a DESC, best.phrase) <= 2000
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
+    "op4_vector_near_dedup": OP4_SQL,
+    "op9_chat_format": OP9_SQL,
+    "op10_fmindex_decontamination": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_line_quality": OP12_SQL,
+    "op13_collocations": OP13_SQL,
+}
