@@ -12,7 +12,7 @@
    longer one occurs often enough, so does the one between.
 
 Tasks sum equal phrases of a pass (told by hash, length and first eight bytes) before they give rows, Spark sums again
-before its shuffle, so a frequent phrase is a few rows of each task. The best ``top`` of a language are taken in every task first.
+before its shuffle, so a frequent phrase is a few rows of each task. Phrases are ranked by ranges of their order, so no task ranks all of a language.
 
 Defined results: a null text has no words; a null language is ``und`` (so is the language of that name); repeated rows count
 repeatedly; a language without frequent phrases gives no rows, as does an empty table. Only text and lang are read.
@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.scratch import cut, small_batches
 from loomstone.llm.textcore import class_table, combine, first_bytes, passes, run_hashes, scan, word_hashes
+from loomstone.operators.relational import running
 
 LONGEST, FREQUENT, SCALE, TOP, CONTAINED_PERCENT = 5, 100, 1000, 2000, 100
 BREAKS = ".,;:!?\n\x0b\x0c\r"
@@ -152,6 +153,11 @@ def levels(docs: DataFrame, longest: int = LONGEST, frequent: int = FREQUENT) ->
     return out
 
 
+def _few(by_language: DataFrame) -> bool:
+    """Whether a table with one row for each language may be broadcast."""
+    return by_language.count() <= BROADCAST_LANGUAGES
+
+
 def scored(tables: list[DataFrame], scale: int = SCALE) -> DataFrame:
     """Rows (lang, phrase, k, a, l, r, n, score): every phrase of two words or more at its lowest cut."""
     wide = lambda c: F.col(c).cast("decimal(19,0)")
@@ -166,7 +172,7 @@ def scored(tables: list[DataFrame], scale: int = SCALE) -> DataFrame:
     cuts = cuts.select("lang", "phrase", "k", "a", "cut", piece(F.lit(1), F.col("cut")).alias("left"), piece(F.col("cut") + 1, F.col("k") - F.col("cut")).alias("right"))
     found = cuts.join(every.select("lang", F.col("phrase").alias("left"), F.col("n").alias("l")), ["lang", "left"])
     found = found.join(every.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r")), ["lang", "right"])
-    found = found.join(F.broadcast(totals) if totals.count() <= BROADCAST_LANGUAGES else totals, "lang")
+    found = found.join(F.broadcast(totals) if _few(totals) else totals, "lang")
     found = found.withColumn("above", (wide("a") * scale * wide("total")).cast("decimal(38,0)")).withColumn("under", (wide("l") * wide("r")).cast("decimal(38,0)"))
     found = found.withColumn("score", F.expr("above div under"))
     best = F.min(F.struct("score", "cut", "l", "r")).alias("best")
@@ -185,6 +191,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, frequent: int = FREQUE
     inner = F.explode(F.array(F.array_join(F.slice("words", F.lit(1), F.col("k") - 1), " "), F.array_join(F.slice("words", F.lit(2), F.col("k") - 1), " ")))
     within = longer.select("lang", "a", inner.alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("outer"))
     kept = found.join(within, ["lang", "phrase"], "left").where((F.col("outer").isNull()) | (100 * F.col("outer") < contained * F.col("a")))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    placed = cut(running(kept.drop("k", "outer"), ["lang", F.desc("score"), F.desc("a"), F.asc("phrase")]), "phrases-placed")
+    starts = placed.groupBy("lang").agg(F.min("place").alias("start"))
+    ranked = placed.join(F.broadcast(starts) if _few(starts) else starts, "lang").withColumn("rank", F.col("place") - F.col("start") + 1).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
