@@ -51,8 +51,8 @@ def tables(spark, tmp_path_factory):
     bad = lambda df: df.withColumns({c: F.lit(c) for c in CLASHES if c not in df.columns})
     vectors = [(i, [float(np.float32(x)) for x in np.random.default_rng(i // 4).normal(size=4) + 0.01 * (i % 4)]) for i in range(60)] + [(60, None), (61, [0.0] * 4), (61, [1.0, None, 0.0, 0.0]), (None, [1.0, 2.0, 3.0, 4.0]), (3, [1.0, 2.0, 3.0, 4.0])]
     items = [(i, " ".join(f"pass{j}" for j in range(i, i + 14))) for i in range(3)] + [(7, "vile"), (8, None), (9, "?!"), (None, "the ing"), (7, "ung keit")]
-    labels = [(i, int(i % 7 == 0)) for i in range(0, 160) if i % 3] + [(None, 1), (14, 1), (5, None)]
-    schema = {"documents": "doc_id long, text string, lang string, source string", "embeddings": "vec_id long, embedding array<float>", "benchmark": "item_id long, text string", "labels": "doc_id long, toxic int"}
+    labels = [(i, i % 2, int(i % 7 == 0)) for i in range(0, 160) if i % 3] + [(None, 1, 1), (14, 0, 1), (5, 1, None)]
+    schema = {"documents": "doc_id long, text string, lang string, source string", "embeddings": "vec_id long, embedding array<float>", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int"}
     rows = {"documents": docs, "embeddings": vectors, "benchmark": items, "labels": labels}
     for name, data in rows.items():
         df = spark.createDataFrame(data, schema[name])
@@ -175,11 +175,11 @@ def test_op10(spark, tables):
     assert got == sorted(want, key=str) and any(r[5] for r in got)
 
 
-@pytest.mark.parametrize("name", ["op2_substring_dedup", "op4_vector_near_dedup", "op10_fmindex_decontamination"])
+@pytest.mark.parametrize("name", ["op2_substring_dedup", "op4_vector_near_dedup", "op10_fmindex_decontamination", "op11_filter_audit", "op12_line_quality", "op13_collocations"])
 def test_sql_of_the_queries(spark, tables, name):
     where, _ = tables
     db = duckdb.connect()
-    for table in ("documents", "embeddings", "benchmark"):
+    for table in ("documents", "embeddings", "benchmark", "labels"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{where}/{table}.parquet/*.parquet')")
     if name == "op4_vector_near_dedup":  # equal ids have no single answer to join back by
         db.execute("CREATE TABLE unique_rows AS SELECT DISTINCT ON (vec_id) * FROM embeddings WHERE vec_id IS NOT NULL ORDER BY vec_id, CAST(embedding AS VARCHAR)")
@@ -196,7 +196,7 @@ def test_sql_of_the_queries(spark, tables, name):
 
 
 def test_empty_tables(spark, tables, tmp_path):
-    schema = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "embeddings": "vec_id long, embedding array<float>", "benchmark": "item_id long, text string", "labels": "doc_id long, toxic int", "conversations": "conv_id long, turn long, role string, text string"}
+    schema = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "embeddings": "vec_id long, embedding array<float>", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int", "conversations": "conv_id long, turn long, role string, text string"}
     for name, columns in schema.items():
         spark.createDataFrame([], columns).write.parquet(f"file://{tmp_path}/{name}.parquet")
     for name, query in queries.QUERIES.items():
