@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import configparser
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,23 +75,64 @@ def verification_states(events: DataFrame) -> DataFrame:
     return last.select("file_id", F.when(F.col("event") == "verify", "verified").when(F.col("event") == "check", "not_verifiable").otherwise("unverified").alias("status"))
 
 
+def in_order(ranks: list[int]) -> list[bool]:
+    """Which of distinct numbers belong to their longest increasing subsequence (of several the one that stands farthest back)."""
+    length, tails = [], []
+    for x in ranks:
+        at = bisect.bisect_left(tails, x)
+        tails[at : at + 1] = [x]
+        length.append(at + 1)
+    kept, want, bound = [False] * len(ranks), len(tails), math.inf
+    # Numbers that end equally long subsequences fall from left to right: the last one before the bound's place fits if any does.
+    for i in range(len(ranks) - 1, -1, -1):
+        if length[i] == want and ranks[i] < bound:
+            kept[i], bound, want = True, ranks[i], want - 1
+    return kept
+
+
+def moved_segments(shared: DataFrame) -> DataFrame:
+    """(doc_id, seg_id) of the fewest segments whose moves explain a new order: all but a longest increasing subsequence.
+
+    shared(doc_id, seg_id, old_ord, new_ord): segments on both sides. Only documents with a segment before one that it
+    followed are looked into; a task holds the segments of one such document at a time.
+    """
+    by_doc = Window.partitionBy("doc_id").orderBy("new_ord", "old_ord", "seg_id")
+    falls = shared.withColumn("falls", F.lag("old_ord").over(by_doc) > F.col("old_ord"))
+    lists = falls.groupBy("doc_id").agg(F.max("falls").alias("falls"), F.collect_list(F.struct("new_ord", "old_ord", "seg_id")).alias("segments")).where("falls")
+    lists = lists.select("doc_id", F.array_sort("segments").alias("segments"))
+    schema = shared.select("doc_id", F.array("seg_id").alias("moved")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            moved = []
+            for segments in batch.column("segments").to_pylist():
+                # Equal old places: by segment, so that none counts as moved for a tie.
+                rank = {i: r for r, i in enumerate(sorted(range(len(segments)), key=lambda i: (segments[i]["old_ord"], i)))}
+                kept = in_order([rank[i] for i in range(len(segments))])
+                moved.append([s["seg_id"] for s, k in zip(segments, kept, strict=True) if not k])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(moved, type=pa.list_(batch.schema.field("segments").type.value_type.field("seg_id").type))], names=["doc_id", "moved"])
+
+    return lists.mapInArrow(run, schema).select("doc_id", F.explode("moved").alias("seg_id"))
+
+
 def segment_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """NEW, INSERTED, CHANGED, MOVED or DELETED of each segment: (doc_id, seg_id, ord, hash) before and after.
+    """Changes between two states of documents: (doc_id, seg_id, ord, text) before and after, an id once in each.
 
-    A new segment behind all known ones is NEW, one between them INSERTED; MOVED is a changed rank among the
-    segments that both have.
+    Rows (doc_id, seg_id, change, from_ord, to_ord): NEW (no such segment before), INSERTED (it was empty and is not any more),
+    CHANGED (another text), DELETED (gone, and was not empty), and beside these MOVED for the fewest segments
+    whose moves give the new order. A null text is an empty one; null orders come first.
     """
-    ids = before.select("doc_id", "seg_id", F.col("ord").alias("old_ord"), F.col("hash").alias("old_hash"))
-    both = ids.join(after.select("doc_id", "seg_id", F.col("ord").alias("new_ord"), F.col("hash").alias("new_hash")), ["doc_id", "seg_id"], "full_outer")
-    shared = F.col("old_ord").isNotNull() & F.col("new_ord").isNotNull()
-    rank = lambda c: F.sum(F.when(shared, 1)).over(Window.partitionBy("doc_id").orderBy(F.col(c).asc_nulls_first()))
-    last = F.max(F.when(shared, F.col("new_ord"))).over(Window.partitionBy("doc_id"))
-    marked = both.withColumn("old_rank", rank("old_ord")).withColumn("new_rank", rank("new_ord")).withColumn("last", last)
-    kind = (
-        F.when(F.col("new_ord").isNull(), "DELETED").when(F.col("old_ord").isNull() & (F.col("new_ord") < F.col("last")), "INSERTED").when(F.col("old_ord").isNull(), "NEW")
-        .when(F.col("old_hash") != F.col("new_hash"), "CHANGED").when(F.col("old_rank") != F.col("new_rank"), "MOVED")
+    side = lambda df, o, t: df.select("doc_id", "seg_id", F.coalesce("ord", F.lit(-1)).cast("long").alias(o), F.coalesce("text", F.lit("")).alias(t))
+    old, new = side(before, "from_ord", "old"), side(after, "to_ord", "new")
+    both = old.join(new, ["doc_id", "seg_id"], "full_outer")
+    text = (
+        F.when(F.col("from_ord").isNull(), "NEW").when(F.col("to_ord").isNull(), F.when(F.col("old") != "", "DELETED"))
+        .when(F.col("old") == F.col("new"), None).when(F.col("old") == "", "INSERTED").otherwise("CHANGED")
     )
-    return marked.select("doc_id", "seg_id", kind.alias("change")).where("change IS NOT NULL")
+    changed = both.select("doc_id", "seg_id", text.alias("change"), "from_ord", "to_ord").where("change IS NOT NULL")
+    shared = old.join(new, ["doc_id", "seg_id"]).select("doc_id", "seg_id", F.col("from_ord").alias("old_ord"), F.col("to_ord").alias("new_ord"))
+    places = shared.select("doc_id", "seg_id", F.lit("MOVED").alias("change"), F.col("old_ord").alias("from_ord"), F.col("new_ord").alias("to_ord"))
+    return changed.union(places.join(moved_segments(shared), ["doc_id", "seg_id"]))
 
 
 def deleted_segments(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -82,14 +82,27 @@ def verification_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("segment_diff", """
-WITH s AS (SELECT o_custkey AS doc_id, o_orderkey AS seg_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders)
-SELECT doc_id, seg_id, CASE WHEN seg_id % 7 = 0 THEN 'DELETED' WHEN seg_id % 11 = 0 AND EXISTS (SELECT 1 FROM s t WHERE t.doc_id = s.doc_id AND t.n > s.n AND t.seg_id % 7 <> 0 AND t.seg_id % 11 <> 0) THEN 'INSERTED' WHEN seg_id % 11 = 0 THEN 'NEW' ELSE 'CHANGED' END AS change
-FROM s WHERE (seg_id % 7 = 0 AND seg_id % 11 <> 0) OR (seg_id % 11 = 0 AND seg_id % 7 <> 0) OR (seg_id % 5 = 0 AND seg_id % 7 <> 0 AND seg_id % 11 <> 0)""")
+WITH RECURSIVE o AS (SELECT o_custkey AS doc_id, o_orderkey AS seg_id, o_orderkey AS ord, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE 'a' END AS text FROM orders),
+old AS (SELECT * FROM o WHERE seg_id % 11 <> 0),
+new AS (SELECT doc_id, seg_id, CASE WHEN seg_id % 3 = 0 THEN seg_id * 7919 % 50000 ELSE seg_id END AS ord, CASE WHEN seg_id % 5 = 0 THEN 'b' ELSE text END AS text FROM o WHERE seg_id % 7 <> 0),
+s AS (SELECT doc_id, seg_id, old.ord AS a, new.ord AS b, row_number() OVER (PARTITION BY doc_id ORDER BY new.ord, old.ord) AS i FROM old JOIN new USING (doc_id, seg_id)),
+chain AS (SELECT doc_id, i, a, 1 AS n FROM s UNION SELECT s.doc_id, s.i, s.a, n + 1 FROM chain c JOIN s ON s.doc_id = c.doc_id AND s.i > c.i AND s.a > c.a),
+longest AS (SELECT doc_id, i, a, max(n) AS n FROM chain GROUP BY 1, 2, 3),
+pre AS (SELECT x.doc_id, x.i, max(y.i) AS j FROM longest x JOIN longest y ON y.doc_id = x.doc_id AND y.n = x.n - 1 AND y.i < x.i AND y.a < x.a GROUP BY 1, 2),
+kept AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i DESC) AS r FROM longest) WHERE r = 1
+  UNION SELECT kept.doc_id, j FROM kept JOIN pre ON pre.doc_id = kept.doc_id AND pre.i = kept.i),
+d AS (SELECT doc_id, seg_id, old.ord AS from_ord, new.ord AS to_ord, old.text AS x, new.text AS y FROM old FULL JOIN new USING (doc_id, seg_id))
+SELECT doc_id, seg_id, 'MOVED' AS change, a AS from_ord, b AS to_ord FROM s ANTI JOIN kept ON kept.doc_id = s.doc_id AND kept.i = s.i
+UNION ALL SELECT doc_id, seg_id, CASE WHEN from_ord IS NULL THEN 'NEW' WHEN to_ord IS NULL THEN 'DELETED' WHEN x = '' THEN 'INSERTED' ELSE 'CHANGED' END, from_ord, to_ord
+FROM d WHERE from_ord IS NULL OR (to_ord IS NULL AND x <> '') OR (from_ord IS NOT NULL AND to_ord IS NOT NULL AND x <> y)""")
 def segment_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("seg_id"), k.alias("ord"), F.when(k % 5 == 0, "b").otherwise("a").alias("new"))
-    before = rows.where("seg_id % 11 <> 0").select("doc_id", "seg_id", "ord", F.lit("a").alias("hash"))
-    return ch.segment_diff(before, rows.where("seg_id % 7 <> 0").select("doc_id", "seg_id", "ord", F.col("new").alias("hash")))
+    """Orders as segments of their customers: some gone, some new, some changed, every third dealt to another place."""
+    k = F.col("seg_id")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seg_id"))
+    rows = rows.select("doc_id", "seg_id", k.alias("ord"), F.when(k % 9 == 0, "").otherwise("a").alias("text"))
+    dealt = rows.withColumn("ord", F.when(k % 3 == 0, k * 7919 % 50000).otherwise(k)).withColumn("text", F.when(k % 5 == 0, "b").otherwise(F.col("text")))
+    return ch.segment_diff(rows.where("seg_id % 11 <> 0"), dealt.where("seg_id % 7 <> 0"))
 
 
 @query("deleted_segments", "SELECT o_custkey AS doc_id, o_orderkey AS seg_id FROM orders WHERE o_orderkey % 7 = 0")
