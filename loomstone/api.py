@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import net, text
 from loomstone.operators import catalog, changes, extract, facts, graph, html, retrieval, segments
 from loomstone.operators.relational import running
+from loomstone.operators.textindex import LineIndex
 from loomstone.sources.scratch import cut
 
 EXTRACTOR_VERSION = "1"
@@ -33,6 +34,7 @@ class Catalog:
     databases: DataFrame  # database_id, file_id, name, type, address, handle, line
     queries: DataFrame  # query_id, file_id, database_id, sql, is_dynamic, line
     endpoints: DataFrame  # doc_id (file), kind, locator, line
+    lines: LineIndex | None = None  # of ``index``
 
     # Structure.
     def languages(self) -> DataFrame:
@@ -112,10 +114,16 @@ class Catalog:
         rows = self.files.select(F.col("file_id").alias("doc_id"), "path", "language", "content")
         return segments.file_segments(rows)
 
+    def index(self, path: str | None = None) -> LineIndex:
+        """Index the files' lines: later searches read only what can match. ``path``: a folder to keep the index in."""
+        self.lines = LineIndex.build(self.files.select(F.col("file_id").alias("doc_id"), F.col("content").alias("text")), path)
+        return self.lines
+
     def search(self, what: str, most: int = 25) -> DataFrame:
-        """Lines that contain ``what`` with the innermost segment that holds each."""
+        """Lines that contain ``what`` with the innermost segment that holds each; by the index if there is one."""
         docs = self.files.select(F.col("file_id").alias("doc_id"), F.col("content").alias("text"))
-        hits = segments.limited(segments.matching_lines(docs, what), ["doc_id"], ["line"], most)
+        lines = segments.matching_lines(docs, what) if self.lines is None else self.lines.matching_lines(what)
+        hits = segments.limited(lines, ["doc_id"], ["line"], most)
         spans = self.segments().where("kind NOT IN ('whitespace', 'gap')").select("doc_id", F.col("address").alias("seg"), "depth", "start_line", "end_line")
         return hits.join(segments.deepest_segments(hits.select("doc_id", "line"), spans), ["doc_id", "line"], "left")
 

@@ -158,3 +158,8 @@ def relative_path(path: Column, folder: Column) -> Column:
     shared = F.aggregate(pairs, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, same: F.struct((s["n"] + (s["on"] & same).cast("int")).alias("n"), (s["on"] & same).alias("on")), lambda s: s["n"])
     down = F.slice(a, shared + 1, F.greatest(F.size(a) - shared, F.lit(0)))
     return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(b) - shared), down), "/")
+
+
+def let(value, body):
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions import net, text
-from loomstone.operators import extract, facts, segments
+from loomstone.operators import extract, facts, segments, textindex
 from loomstone.registry import query
 from loomstone.sources.tables import table
 
@@ -105,6 +105,41 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.search_names(rows, "E").select("p_partkey", F.col("name").alias("p_name"), F.col("kind").alias("p_type"))
 
 
+#: Searches: a frequent one, a rare one, one across words, one in other letters, one that no text has, and one of too few bytes for a gram.
+_TERMS = ("THE ", "password", "of the", "É", "qzqzq", "x=")
+
+
+@query("indexed_content_search", f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+h AS (SELECT term, doc_id, CAST(n AS BIGINT) AS line, count(*) OVER w AS total, row_number() OVER (w ORDER BY n) AS nth
+  FROM l JOIN (SELECT unnest({list(_TERMS)}) AS term) ON contains(lower(line), lower(term)) WINDOW w AS (PARTITION BY term, doc_id))
+SELECT term, doc_id, line, total, nth FROM h WHERE nth <= 25""")
+def indexed_content_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that hold each of several texts, by one written index."""
+    index = textindex.LineIndex.build(_docs(spark, sf_dir).select("doc_id", "text"))
+    found = None
+    for term in _TERMS:
+        hits = segments.limited(index.matching_lines(term), ["doc_id"], ["line"]).select(F.lit(term).alias("term"), "doc_id", "line", "total", F.col("nth").cast("long").alias("nth"))
+        found = hits if found is None else found.union(hits)
+    return found
+
+
+_NAMES = ("E", "STEEL", "an", "#1")
+
+
+@query("indexed_name_search", f"""
+SELECT term, p_partkey FROM part JOIN (SELECT unnest({list(_NAMES)}) AS term) ON contains(lower(p_name), lower(term)) OR contains(lower(p_type), lower(term))""")
+def indexed_name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments whose name or kind holds each of several texts, by one written index."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("kind"))
+    index = textindex.TextIndex.build(rows, F.concat_ws("\n", "name", "kind"))
+    found = None
+    for term in _NAMES:
+        hits = segments.search_names(index.search(term), term).select(F.lit(term).alias("term"), "p_partkey")
+        found = hits if found is None else found.union(hits)
+    return found
+
+
 @query("source_spans", """
 SELECT doc_id, 2 AS line_start, 4 AS line_end, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS source FROM documents""")
 def source_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
