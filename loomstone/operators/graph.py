@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions.text import verb_class
 from loomstone.operators.relational import running
-from loomstone.sources.scratch import cut
+from loomstone.sources.scratch import cut, discard
 
 
 def outgoing_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -88,38 +88,38 @@ def topology_nodes(files: DataFrame, imports: DataFrame, databases: DataFrame, r
 def trace(files: DataFrame, imports: DataFrame, starts: DataFrame, max_hops: int = 25) -> DataFrame:
     """Breadth-first trace from each start: one row for every edge that it meets, and for every leaf.
 
-    Rows: start_id, hop, from_id, to, terminus (follow, cycle, external, unresolved, leaf). A file is followed
-    once for each start, by the first of its edges in queue order; any other edge to a known file is a ``cycle``. The
-    queue order inside a hop is the order of paths (arrays of line and edge number), so no hop needs a
-    global sort: the first edge to a file is the one of the least path. Files at ``max_hops`` are reached
-    but not read.
+    Rows: start_id, hop, from_id, to_id, import_path, line, terminus (follow, cycle, external, unresolved, leaf), edge_path. A
+    file is followed once for each start, by the first of its edges in queue order; any other edge to a known file is a
+    ``cycle``. The queue order inside a hop is the order of paths (arrays of line and edge number), so no hop needs a
+    global sort: the first edge to a file is the one of the least path. Files at ``max_hops`` are reached but not read.
+
+    How far each file lies from each start is found for all starts together (``reach``); only edges one hop farther then
+    compete for the least path, and all edges are judged at once at the end.
     """
     edges = imports.select(F.col("file_id").alias("from_id"), "import_id", "import_path", "line", "is_external", "resolved_file_id")
-    frontier = starts.select("start_id", F.col("start_id").alias("file_id"), F.array().cast("array<long>").alias("path"))
-    known = frontier.select("start_id", "file_id")
-    found = None
-    for hop in range(max_hops):
-        met = frontier.join(edges, frontier["file_id"] == edges["from_id"], "left").drop("from_id")
-        step = F.concat("path", F.array(F.col("line").cast("long"), F.col("import_id").cast("long")))
-        met = met.withColumn("next", F.when(F.col("import_id").isNotNull(), step))
-        inner = F.col("resolved_file_id").isNotNull() & ~F.col("is_external")
-        seen = known.select("start_id", F.col("file_id").alias("resolved_file_id"), F.lit(True).alias("seen"))
-        met = met.join(seen, ["start_id", "resolved_file_id"], "left")
-        # Edges that lead to no file are partitions of their own.
-        first = F.min("next").over(Window.partitionBy("start_id", "resolved_file_id", F.when(~inner, F.col("import_id"))))
-        met = met.withColumn("first", F.when(inner, first))
-        terminus = (
-            F.when(F.col("import_id").isNull(), "leaf").when(F.col("is_external"), "external").when(F.col("resolved_file_id").isNull(), "unresolved")
-            .when(F.col("seen") | (F.col("next") != F.col("first")), "cycle").otherwise("follow")
-        )
-        rows = met.select("start_id", F.lit(hop + 1).alias("hop"), F.col("file_id").alias("from_id"), F.col("resolved_file_id").alias("to_id"), "import_path", "line", terminus.alias("terminus"), "next")
-        rows = cut(rows, "trace")
-        found = rows if found is None else found.union(rows)
-        frontier = rows.where("terminus = 'follow'").select("start_id", F.col("to_id").alias("file_id"), F.col("next").alias("path"))
-        if frontier.isEmpty():
-            break
-        known = known.union(frontier.select("start_id", "file_id"))
-    return found.select("start_id", "hop", "from_id", "to_id", "import_path", "line", "terminus", F.transform(F.filter("next", lambda x, i: i % 2 == 1), lambda x: x).alias("edge_path"))
+    inner = edges.where("NOT is_external AND resolved_file_id IS NOT NULL")
+    far = cut(reach(inner.select(F.col("from_id").alias("src"), F.col("resolved_file_id").alias("dst")).distinct(), starts, max_hops), "trace-far")
+    step = lambda path: F.concat(path, F.array(F.col("line").cast("long"), F.col("import_id").cast("long")))
+    level = cut(far.where("depth = 0").select("start_id", "node", "depth", F.array().cast("array<long>").alias("path")), "trace")
+    written, paths = [level], level
+    for depth in range(1, (far.agg(F.max("depth")).first()[0] or 0) + 1):
+        wanted = far.where(F.col("depth") == depth).select("start_id", F.col("node").alias("resolved_file_id"), "depth")
+        tried = level.select("start_id", F.col("node").alias("from_id"), "path").join(inner, "from_id").select("start_id", "resolved_file_id", step(F.col("path")).alias("path"))
+        level = tried.join(wanted, ["start_id", "resolved_file_id"]).groupBy("start_id", F.col("resolved_file_id").alias("node"), "depth").agg(F.min("path").alias("path"))
+        level = cut(level, "trace")
+        written.append(level)
+        paths = paths.union(level)
+    read = paths.where(F.col("depth") < max_hops).select("start_id", (F.col("depth") + 1).alias("hop"), F.col("node").alias("from_id"), "path")
+    first = paths.select("start_id", F.col("node").alias("resolved_file_id"), F.col("path").alias("first"))
+    met = read.join(edges, "from_id", "left").withColumn("next", F.when(F.col("import_id").isNotNull(), step(F.col("path")))).join(first, ["start_id", "resolved_file_id"], "left")
+    terminus = (
+        F.when(F.col("import_id").isNull(), "leaf").when(F.col("is_external"), "external").when(F.col("resolved_file_id").isNull(), "unresolved")
+        .when(F.col("next") == F.col("first"), "follow").otherwise("cycle")
+    )
+    found = met.select("start_id", "hop", "from_id", F.col("resolved_file_id").alias("to_id"), "import_path", "line", terminus.alias("terminus"), F.filter("next", lambda x, i: i % 2 == 1).alias("edge_path"))
+    out = cut(found, "trace-edges")
+    discard(far, *written)
+    return out
 
 
 def routes(found: DataFrame) -> DataFrame:
@@ -128,17 +128,44 @@ def routes(found: DataFrame) -> DataFrame:
     return ends.select("start_id", "hops", "terminus", "to_id", "import_path", "edge_path").orderBy("start_id", "hops", "edge_path")
 
 
+#: Starts whose steps are taken together: the bits of a number.
+TOGETHER = 64
+
+
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """start_id, node, depth of every node within ``max_depth`` links (edges: src, dst); its least depth."""
-    frontier = starts.select("start_id", F.col("start_id").alias("node"), F.lit(0).alias("depth"))
-    known = frontier
+    """start_id, node, depth of every node within ``max_depth`` links (edges: src, dst); its least depth.
+
+    starts: start_id, and node where a start is not its own node or has several. Starts are numbered and dealt into sets of
+    TOGETHER, one bit each. A row is a node and a set, with the bits that reached it at each depth, so starts that
+    meet take their further steps as one row; the bits of a node's edges are joined (``bit_or``) before they are
+    shuffled, which also holds for the edges into a hub. Each hop rewrites the one table of rows.
+    """
+    starts = starts.where("start_id IS NOT NULL")
+    edges = cut(edges.select("src", "dst"), "reach-edges")
+    seeds = starts.select("start_id", F.col("node") if "node" in starts.columns else F.col("start_id").alias("node"))
+    numbered = cut(running(seeds.select("start_id").distinct(), ["start_id"]).select("start_id", (F.col("place") - 1).alias("n")), "reach-starts")
+    bit = F.expr(f"shiftleft(1L, CAST(n % {TOGETHER} AS INT))")
+    group = F.floor(F.col("n") / TOGETHER).alias("group")
+    none = F.lit(0).cast("long")
+    at = lambda depth, bits: F.array(F.struct(F.lit(depth).alias("depth"), bits.alias("bits")))
+    first = seeds.join(numbered, "start_id").groupBy("node", group).agg(F.bit_or(bit).alias("known"))
+    state = cut(first.select("node", "group", "known", F.col("known").alias("fresh"), at(0, F.col("known")).alias("levels")), "reach")
     for depth in range(1, max_depth + 1):
-        nearby = frontier.join(edges, frontier["node"] == edges["src"]).select("start_id", F.col("dst").alias("node")).distinct()
-        frontier = cut(nearby.join(known, ["start_id", "node"], "left_anti").select("start_id", "node", F.lit(depth).alias("depth")), "reach")
-        if frontier.isEmpty():
+        ahead = state.where("fresh <> 0").select(F.col("node").alias("src"), "group", "fresh").join(edges, "src").select(F.col("dst").alias("node"), "group", none.alias("known"), F.lit(None).alias("levels"), F.col("fresh").alias("bits"))
+        # One shuffle: what is known of a node and what comes to it are summed together.
+        both = state.select("node", "group", "known", "levels", none.alias("bits")).union(ahead)
+        joined = both.groupBy("node", "group").agg(F.bit_or("known").alias("known"), F.coalesce(F.max("levels"), F.filter(at(0, none), lambda x: F.lit(False))).alias("levels"), F.bit_or("bits").alias("bits"))
+        joined = joined.withColumn("fresh", F.col("bits").bitwiseAND(F.bitwise_not("known")))
+        grown = F.when(F.col("fresh") != 0, F.concat("levels", at(depth, F.col("fresh")))).otherwise(F.col("levels"))
+        after = cut(joined.select("node", "group", F.col("known").bitwiseOR(F.col("fresh")).alias("known"), "fresh", grown.alias("levels")), "reach")
+        discard(state)
+        state = after
+        if state.where("fresh <> 0").isEmpty():
             break
-        known = known.union(frontier)
-    return known
+    names = numbered.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("n", "start_id"))).alias("names"))  # TOGETHER at most
+    rows = state.join(names, "group").select("node", "names", F.inline("levels"))
+    members = F.filter("names", lambda x, i: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+    return rows.select("node", "depth", F.explode(members).alias("member")).select(F.col("member.start_id").alias("start_id"), "node", "depth")
 
 
 def discover(imports: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
@@ -148,7 +175,7 @@ def discover(imports: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataF
 
 
 def crawl(imports: DataFrame, starts: DataFrame, max_depth: int = 6) -> DataFrame:
-    """Files linked to a file in either direction."""
+    """Files linked to a file in either direction; starts: start_id, and node for the files of a start that is no file."""
     one = imports.where("resolved_file_id IS NOT NULL").select(F.col("file_id").alias("src"), F.col("resolved_file_id").alias("dst"))
     return reach(one.union(one.select("dst", "src")).distinct(), starts, max_depth)
 
@@ -178,11 +205,14 @@ def name_unknown(placed: DataFrame, files: DataFrame, first: int = 1) -> DataFra
     return placed.join(names, "file_id", "left")
 
 
-def absorb_unknown(reached: DataFrame, placed: DataFrame) -> DataFrame:
-    """Files of no project that a crawl from a project's file reaches, with the least such project: reached(start_id, node), placed(file_id, project_id)."""
-    owners = placed.where("project_id IS NOT NULL").select(F.col("file_id").alias("start_id"), "project_id")
+def absorb_unknown(imports: DataFrame, placed: DataFrame, max_depth: int = 6) -> DataFrame:
+    """Files of no project that a crawl from a project's files reaches, with the least such project: placed(file_id, project_id).
+
+    The crawl starts from projects, each at all of its files at once.
+    """
+    owners = placed.where("project_id IS NOT NULL").select(F.col("project_id").alias("start_id"), F.col("file_id").alias("node"))
     lost = placed.where("project_id IS NULL").select(F.col("file_id").alias("node"))
-    return reached.join(owners, "start_id").join(lost, "node").groupBy(F.col("node").alias("file_id")).agg(F.min("project_id").alias("project_id"))
+    return crawl(imports, owners, max_depth).join(lost, "node").groupBy(F.col("node").alias("file_id")).agg(F.min("start_id").alias("project_id"))
 
 
 def merge_project(files: DataFrame, projects: DataFrame, absorbed: int, into: int) -> tuple[DataFrame, DataFrame]:

@@ -111,8 +111,13 @@ edge AS (SELECT DISTINCT file_id AS src, resolved_file_id AS dst FROM imports WH
 """
 
 
+def _starts(t: dict[str, DataFrame]) -> DataFrame:
+    """The stated starts: every fiftieth file."""
+    return t["files"].where("file_id % 50 = 0").select(F.col("file_id").alias("start_id"))
+
+
 @query("trace_hops", f"""{_BFS}
-walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files
+walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files WHERE file_id % 50 = 0
   UNION SELECT start_id, dst, depth + 1 FROM walk JOIN edge ON src = node WHERE depth < 25)
 , best AS (SELECT start_id, node, min(depth) AS depth FROM walk GROUP BY 1, 2)
 , e AS (SELECT start_id, depth + 1 AS hop, i.* FROM best JOIN imports i ON i.file_id = node WHERE depth < 25)
@@ -125,29 +130,28 @@ UNION ALL SELECT start_id, hop, 'follow', n FROM f
 UNION ALL SELECT e.start_id, e.hop, 'cycle', count(*) - coalesce(any_value(f.n), 0) FROM e LEFT JOIN f USING (start_id, hop)
   WHERE NOT is_external AND resolved_file_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > coalesce(any_value(f.n), 0)""")
 def trace_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges by hop and terminus of the traces from every file."""
+    """Edges by hop and terminus of the traces from every fiftieth file through the whole graph."""
     t = graph(spark, sf_dir)
-    starts = t["files"].select(F.col("file_id").alias("start_id"))
-    return g.trace(t["files"], t["imports"], starts).groupBy("start_id", "hop", "terminus").agg(F.count("*").alias("n"))
+    return g.trace(t["files"], t["imports"], _starts(t)).groupBy("start_id", "hop", "terminus").agg(F.count("*").alias("n"))
 
 
 @query("discover_files", f"""{_BFS}
-walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files
+walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files WHERE file_id % 50 = 0
   UNION SELECT start_id, dst, depth + 1 FROM walk JOIN edge ON src = node WHERE depth < 5)
 SELECT start_id, node, min(depth) AS depth FROM walk GROUP BY 1, 2""")
 def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = graph(spark, sf_dir)
-    return g.discover(t["imports"], t["files"].select(F.col("file_id").alias("start_id")))
+    return g.discover(t["imports"], _starts(t))
 
 
 @query("crawl_neighbours", f"""{_BFS}
 both_ways AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge),
-walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files
+walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files WHERE file_id % 50 = 0
   UNION SELECT start_id, dst, depth + 1 FROM walk JOIN both_ways ON src = node WHERE depth < 6)
 SELECT start_id, node, min(depth) AS depth FROM walk GROUP BY 1, 2""")
 def crawl_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = graph(spark, sf_dir)
-    return g.crawl(t["imports"], t["files"].select(F.col("file_id").alias("start_id")))
+    return g.crawl(t["imports"], _starts(t))
 
 
 @query("file_placement", """
@@ -172,16 +176,15 @@ def file_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("absorbed_files", f"""{_BFS}
 both_ways AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge),
-walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files
-  UNION SELECT start_id, dst, depth + 1 FROM walk JOIN both_ways ON src = node WHERE depth < 6),
-owned AS (SELECT file_id, CASE WHEN file_id % 4 = 0 THEN project_id END AS project_id FROM files)
-SELECT walk.node AS file_id, min(a.project_id) AS project_id FROM walk JOIN owned a ON a.file_id = walk.start_id AND a.project_id IS NOT NULL JOIN owned b ON b.file_id = walk.node AND b.project_id IS NULL GROUP BY 1""")
+owned AS (SELECT file_id, CASE WHEN file_id % 4 = 0 THEN project_id END AS project_id FROM files),
+walk AS (SELECT project_id, file_id AS node, 0 AS depth FROM owned WHERE project_id IS NOT NULL
+  UNION SELECT project_id, dst, depth + 1 FROM walk JOIN both_ways ON src = node WHERE depth < 6)
+SELECT walk.node AS file_id, min(walk.project_id) AS project_id FROM walk JOIN owned b ON b.file_id = walk.node AND b.project_id IS NULL GROUP BY 1""")
 def absorbed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files without a project that a crawl from a project's files takes in."""
     t = graph(spark, sf_dir)
     owned = t["files"].select("file_id", F.when(F.col("file_id") % 4 == 0, F.col("project_id")).alias("project_id"))
-    starts = owned.where("project_id IS NOT NULL").select(F.col("file_id").alias("start_id"))
-    return g.absorb_unknown(g.crawl(t["imports"], starts), owned)
+    return g.absorb_unknown(t["imports"], owned)
 
 
 @query("project_merge", """
