@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import net, text
-from loomstone.operators import catalog, changes, extract, facts, graph, html, retrieval, segments
+from loomstone.operators import catalog, changes, extract, facts, graph, html, meaning, retrieval, segments
 from loomstone.operators.relational import running
 from loomstone.operators.textindex import LineIndex
 from loomstone.sources.scratch import cut
@@ -390,7 +390,7 @@ class Pages:
         """Elements of each page whose vectors stand out for the query; long texts count by their best piece."""
         found = cut(self.embed(retrieval.embed_pieces(self.elements).select("page_id", "element_id", F.col("piece").alias("text"))), "vectors")
         wanted = self.embed(asked.select("query_id", F.col("query").alias("text"))).select("query_id", "vector")
-        return retrieval.meaning_matches(found.select("page_id", "element_id", "vector"), wanted)
+        return meaning.meaning_matches(found.select("page_id", "element_id", "vector"), wanted)
 
     def read(self, element_id: str) -> DataFrame:
         return self.elements.where(F.col("element_id") == element_id).select("page_id", text.fold_blank_lines(F.col("text")).alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import page_tokens, word_root
+from loomstone.operators.relational import running
+from loomstone.sources.scratch import cut
 
 #: Fixed values of meaning search: least z-score, spread below the best, most results, rerank candidates.
 MEANING_Z, MEANING_SPREAD, MEANING_MAX, RERANK = 2.5, 0.1, 10, 20
@@ -83,9 +86,14 @@ def with_structure(elements: DataFrame) -> DataFrame:
 STATED_ROWS = 10_000
 
 
-def stated(queries: DataFrame) -> DataFrame:
-    """A stated query set, that is compared with all rows: broadcast up to STATED_ROWS, otherwise met block by block."""
-    return F.broadcast(queries) if queries.limit(STATED_ROWS + 1).count() <= STATED_ROWS else queries
+def against(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """All ``rows`` with every row of a stated query set, STATED_ROWS of them broadcast at a time, each in a pass of its own."""
+    n = queries.count()
+    if n <= STATED_ROWS:
+        return rows.join(F.broadcast(queries))
+    placed = cut(running(queries.withColumn("_own", F.monotonically_increasing_id()), ["_own"], place="_place").drop("_own"), "stated")
+    passes = [placed.where((F.col("_place") > at) & (F.col("_place") <= at + STATED_ROWS)).drop("_place") for at in range(0, n, STATED_ROWS)]
+    return functools.reduce(DataFrame.union, [rows.join(F.broadcast(p)) for p in passes])
 
 
 # Words.
@@ -104,7 +112,7 @@ def search_ladder(elements: DataFrame, queries: DataFrame, meaning: DataFrame |
     own = F.when(F.col("has_children"), F.lower(F.concat_ws(" ", blank("label"), blank("summary")))).otherwise(full)
     rows = elements.select("page_id", "ord", "element_id", "depth", "end_ord", full.alias("full"), own.alias("own"))
     # The stated queries against all elements: the queries are the small side.
-    pairs = rows.join(stated(asked))
+    pairs = against(rows, asked)
     several, phrase = F.size("words") >= 2, F.col("q").contains(" ")
     hits = [
         phrase & F.col("full").contains(F.col("q")),
@@ -156,7 +164,7 @@ def meaning_matches(vectors: DataFrame, queries: DataFrame, z: float = MEANING_Z
     ``skip_equal``: an element is not compared with the query of its own id.
     """
     asked = queries.select("query_id", F.col("vector").alias("wanted"))
-    pairs = vectors.join(stated(asked))
+    pairs = against(vectors, asked)
     scored = (pairs.where("query_id <> element_id") if skip_equal else pairs).select("query_id", "page_id", "element_id", cosine(F.col("wanted"), F.col("vector")).alias("s"))
     best = scored.groupBy("query_id", "page_id", "element_id").agg(F.max("s").alias("score"))
     page = Window.partitionBy("query_id", "page_id")

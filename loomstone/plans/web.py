@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions import net
-from loomstone.operators import html, retrieval
+from loomstone.operators import html, meaning, retrieval
 from loomstone.registry import query
 from loomstone.sources.scratch import cut
 from loomstone.sources.tables import table
@@ -215,10 +215,39 @@ def meaning_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT a.vec_id AS query_id, b.label AS page_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)
 SELECT query_id, page_id, round(avg(score), 6) AS mean, round(CASE WHEN stddev_pop(score) = 0 THEN 1 ELSE stddev_pop(score) END, 6) AS sd FROM s GROUP BY 1, 2""")
 def page_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, asked = _meant(spark, sf_dir)
+    return meaning.similarity(pages, asked, 32).select("query_id", "page_id", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+def _meant(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, labels as pages, and every fiftieth as a query."""
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("wanted"))
-    scores = v.join(retrieval.stated(asked)).select("query_id", F.col("label").alias("page_id"), retrieval.cosine(F.col("wanted"), F.col("embedding")).alias("score"))
-    return retrieval.page_similarity(scores).select("query_id", "page_id", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+    pages = v.select(F.col("label").alias("page_id"), F.col("vec_id").alias("element_id"), F.col("embedding").alias("vector"))
+    return pages, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query("meaning_blocks", f"""
+WITH s AS (SELECT a.vec_id AS query_id, b.label AS page_id, b.vec_id AS element_id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0),
+z AS (SELECT *, (score - avg(score) OVER w) / CASE WHEN stddev_pop(score) OVER w = 0 THEN 1 ELSE stddev_pop(score) OVER w END AS z, max(score) OVER w AS top FROM s WINDOW w AS (PARTITION BY query_id, page_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, page_id ORDER BY score DESC, element_id) AS rank FROM z WHERE z >= 1.5 AND score >= top - 0.9)
+SELECT query_id, page_id, element_id, round(score, 6) AS score, round(z, 5) AS z, rank FROM k WHERE rank <= 10""")
+def meaning_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that stand out for every fiftieth one, by products of blocks of 32 and pages' moments."""
+    out = meaning.meaning_matches(*_meant(spark, sf_dir), 1.5, 0.9, block=32)
+    return out.select("query_id", "page_id", "element_id", F.round("score", 6).alias("score"), F.round("z", 5).alias("z"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("rerank_candidates", f"""
+WITH s AS (SELECT a.vec_id AS query_id, b.label * 2 + b.vec_id % 2 AS page_id, b.vec_id // 3 AS element_id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0),
+e AS (SELECT query_id, page_id, element_id, max(score) AS score FROM s GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, page_id ORDER BY score DESC, element_id) AS rank FROM e)
+SELECT query_id, page_id, element_id, round(score, 6) AS score, rank FROM k WHERE rank <= 20""")
+def rerank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best twenty elements of every page, of up to three vectors each, for every fiftieth vector."""
+    pages, asked = _meant(spark, sf_dir)
+    n = F.col("element_id")
+    pages = pages.select((F.col("page_id") * 2 + n % 2).alias("page_id"), F.floor(n / 3).alias("element_id"), "vector")
+    return meaning.rerank_candidates(pages, asked, block=16).select("query_id", "page_id", "element_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("packed_vectors", """
