@@ -10,6 +10,7 @@ from loomstone.operators import changes as ch
 from loomstone.operators import validate
 from loomstone.registry import query
 from loomstone.sources.tables import table
+from loomstone.streaming import stateful, streams
 
 _SECONDS = "CAST(floor(epoch(ts)) AS BIGINT)"
 
@@ -341,3 +342,49 @@ def syntax_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when(k % 4 == 0, "def f(): pass").when(k % 4 == 1, "def f(: pass").when(k % 4 == 2, F.concat(F.lit('{"a": '), k, F.lit("}"))).otherwise("[a]\nb = 1\n")
     language = F.when((k % 4) < 2, "python").when(k % 4 == 2, "json").otherwise("ini")
     return ch.syntax_levels(table(spark, sf_dir, "customer").select(k.alias("file_id"), F.lit("x").alias("path"), language.alias("language"), content.alias("content"))).select("file_id", "level")
+
+
+# Streams over all available events: what the watermark has passed at the end is there.
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.read_events(spark, f"{sf_dir}/events.parquet*", 1000)  # a pattern may name one file, which a stream's path may not
+
+
+_MARK = "mark AS (SELECT max(epoch_us(ts) // 1000) - 3600000 AS at FROM events)"
+
+
+@query("streamed_sessions", f"""
+WITH {_MARK}, e AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS x, epoch_us(ts) // 1000 + CASE WHEN event_type = 'purchase' THEN event_id % 9000 ELSE 0 END * 1000 AS y FROM events),
+g AS (SELECT *, CASE WHEN max(y) OVER w IS NULL OR x - max(y) OVER w >= 20000000 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY key ORDER BY x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY x, y ROWS UNBOUNDED PRECEDING) AS k FROM g),
+d AS (SELECT key, k, min(x) AS started, max(y) + 20000000 AS ended, count(*) AS n_events FROM s GROUP BY key, k)
+SELECT key, started, ended, n_events FROM d, mark WHERE ended <= mark.at""")
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users by event-time timers; purchases keep a session busy for a while."""
+    busy = F.when(F.col("event_type") == "purchase", F.col("event_id") % 9000).otherwise(0) * 1000
+    activity = _stream(spark, sf_dir).select(F.col("user_id").alias("key"), "ts", F.unix_millis("ts").alias("t"), busy.alias("busy")).withWatermark("ts", "1 hour")
+    return stateful.all_available(stateful.sessions(activity, 20_000), "sessions")
+
+
+@query("streamed_admissions", f"""{_RATES} SELECT w.key, event_id AS call_id, w.t, outcome FROM w WHERE w.t * 1000 <= (SELECT max(epoch_us(ts) // 1000) - 3600000 FROM events)""")
+def streamed_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls admitted or refused as a stream, each once the watermark passed it."""
+    calls = _stream(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), F.unix_seconds("ts").alias("t"), "ts").withWatermark("ts", "1 hour")
+    return stateful.all_available(stateful.admissions(calls, 3, 50_000), "admissions")
+
+
+@query("streamed_pairs", """
+SELECT a.user_id, a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR
+WHERE a.event_type = 'view' AND b.event_type = 'purchase'""")
+def streamed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases within six hours of a view: a stream joined to a stream."""
+    of = lambda kind: _stream(spark, sf_dir).where(F.col("event_type") == kind)
+    return stateful.all_available(streams.joined_streams(of("view"), of("purchase"), "6 hours").select("user_id", "left_id", "right_id"), "pairs")
+
+
+@query("streamed_windows", f"""
+WITH {_MARK}, e AS (SELECT event_type, CAST(floor(epoch(ts) / 21600) AS BIGINT) * 21600 - 21600 * j AS started FROM events, range(4) t(j))
+SELECT started, event_type, count(*) AS n FROM e, mark WHERE (started + 86400) * 1000 <= mark.at GROUP BY 1, 2""")
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type in sliding windows of a day, closed by the watermark."""
+    counted = streams.tumbling(_stream(spark, sf_dir), "1 day", "6 hours").select(F.unix_seconds("w.start").alias("started"), "event_type", "n")
+    return stateful.all_available(counted, "windows")
