@@ -34,6 +34,12 @@ def failing_pairs(failures: DataFrame, *keys: str) -> DataFrame:
     return failures.groupBy(*keys).agg(F.count("*").alias("occurrences"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
+def add_pairs(stored: DataFrame, fresh: DataFrame, *keys: str) -> DataFrame:
+    """Stored failing pairs with fresh ones added: occurrences summed, the first and the last time."""
+    both = stored.unionByName(fresh)
+    return both.groupBy(*keys).agg(F.sum("occurrences").cast("long").alias("occurrences"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
 def pair_statistics(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("adapter", "status").agg(F.count("*").alias("n_pairs"), F.sum("occurrences").cast("long").alias("occurrences"))
 

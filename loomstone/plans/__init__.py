@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("pages", "graphs", "catalogs", "web", "texts", "logs", "substrate")
+FAMILIES = ("pages", "graphs", "catalogs", "stored", "web", "texts", "logs", "substrate")
 
 
 def load() -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_SCRATCH = "file:///tmp/checkpoints/loomstone"
 
 
-def _files(spark: SparkSession, path: str) -> tuple:
+def file_system(spark: SparkSession, path: str) -> tuple:
     """The Hadoop file system of a path, and the path."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
@@ -24,7 +24,7 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = LOCAL_SCRATCH
     root = f"{base.rstrip('/')}/loomstone-{spark.sparkContext.applicationId}"
-    files, path = _files(spark, root)
+    files, path = file_system(spark, root)
     files.deleteOnExit(path)
     return f"{root}/{label}-{uuid.uuid4().hex}"
 
@@ -53,12 +53,12 @@ def discard_since(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
     """Delete all tables that ``cut`` wrote since a mark, except ``kept``, which must not read any of the others."""
     paths = {t._scratch_path for t in kept}
     for path in [p for p in _WRITTEN[mark:] if p not in paths]:
-        files, where = _files(spark, path)
+        files, where = file_system(spark, path)
         files.delete(where, True)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``cut`` that no plan will read again."""
     for table in tables:
-        files, path = _files(table.sparkSession, table._scratch_path)
+        files, path = file_system(table.sparkSession, table._scratch_path)
         files.delete(path, True)
