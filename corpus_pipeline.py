@@ -8,7 +8,7 @@ and come through; an empty table gives empty results. This file belongs to ``loo
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import fmindex, langid, mixing, simhash, tokens
@@ -42,17 +42,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar texts: five-word shingles, similarity 0.8 or more, decided by the exact sets.
 
-    A class keeps the document that names it, the one with the smallest doc_id (of its rows with equal doc_id,
-    the one with the smallest hash of its content). Rows without doc_id are kept: they cannot be told apart by id.
+    A class keeps the document with the smallest doc_id, rows without one last (of rows with equal doc_id the one with the
+    smallest hash of its content). The least row is taken before rows are shuffled.
     """
     sweep(spark)
     named, place = with_place(docs)
     content = fresh("content", named)
     rows = named.select(*place, "doc_id", "text", F.xxhash64("text", "source", "lang", "n_chars").alias(content))
     classes = simhash.similar_documents(rows, similarity=0.8, shingle=5, carry=(*place, content))
-    first = Window.partitionBy("class_id").orderBy(content, *place)
-    leaders = classes.where("doc_id = component_id").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    kept = leaders.select(*place).union(classes.where("doc_id is null").select(*place))
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", content, *place)
+    kept = classes.groupBy("class_id").agg(F.min_by(F.struct(*place), order).alias("kept")).select("kept.*")
     return named.join(kept, place, "left_semi").select(*docs.columns)
 
 
