@@ -92,6 +92,15 @@ def test_near_dedup_keeps_one_row_of_each_class_where_texts_share_a_doc_id(spark
     assert sorted((r.doc_id, r.text) for r in kept) == [(2, one), (2, two)]
 
 
+def test_near_dedup_removes_copies_without_a_doc_id(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
+    schema = spark.read.parquet(f"{DIR}/documents.parquet").schema
+    rows = [{"doc_id": i, "text": t, "lang": "en", "source": "s", "n_chars": len(t or "")} for i, t in ((None, one), (5, one + " more"), (None, one), (None, two), (None, two), (None, None), (8, ""))]
+    docs = spark.createDataFrame([tuple(r[f.name] for f in schema) for r in rows], schema)
+    kept = corpus_pipeline.near_dedup(spark, docs, DIR).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == [(5, one + " more"), (8, ""), (None, two)]
+
+
 def test_columns_of_any_name_pass_every_stage(spark):
     names = ["rejected", "n_words", "size", "time", "score", "spans", "taken", "item_ids", "lang_pred", "class_id", "component_id", "file_key", "row", "h", "place", "column0", "key", "carried"]
     real = spark.read.parquet(f"{DIR}/documents.parquet").limit(60)
