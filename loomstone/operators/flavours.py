@@ -186,9 +186,8 @@ def _assigned(line: str) -> str:
     """The name of an assignment, a mount point with its device, or the line."""
     if m := re.match(r"(?:export\s+)?([A-Za-z_][\w.\-]*)\s*[=:]", line):
         return m[1]
-    device, _, rest = line.partition(" ") if "\t" not in line else line.partition("\t")
-    place = rest.split()[:1]
-    return f"{place[0]} ({device.split()[0]})" if place and place[0].startswith("/") else line[:60]
+    words = line.split()
+    return f"{words[1]} ({words[0]})" if len(words) > 1 and words[1].startswith("/") else line[:60]
 
 
 def _key(line: str) -> str:
