@@ -7,11 +7,32 @@ import gc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.sources.scratch import cut, discard, discard_since, scratch_dir, written
+from loomstone.sources import scratch
+from loomstone.sources.scratch import discard, discard_since, file_system, scratch_dir, written
 
 __all__ = ["cut", "discard", "discard_since", "fresh", "join_hot", "numbered", "renamed", "scratch_dir", "small_batches", "sweep", "written"]
 
 
+#: Tables of more than MANY_FILES files with less than SMALL_FILE bytes each are written again in files of WHOLE_FILE bytes.
+MANY_FILES, SMALL_FILE, WHOLE_FILE = 8, 64 << 10, 1 << 20
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written and read back; where its partitions gave many small files, in few.
+
+    A small table of many partitions would take more disk and tasks for its files than for its rows, in each later step.
+    """
+    table = scratch.cut(df, label)
+    files, path = file_system(df.sparkSession, table._scratch_path)
+    summary = files.getContentSummary(path)
+    n, size = summary.getFileCount(), summary.getLength()
+    if n <= MANY_FILES or size >= n * SMALL_FILE:
+        return table
+    whole = scratch.cut(table.coalesce(max(1, size // WHOLE_FILE)), label)
+    discard(table)
+    return whole
+
+
 def sweep(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished jobs, which it does once their plans are collected."""
     gc.collect()
