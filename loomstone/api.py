@@ -35,6 +35,7 @@ class Catalog:
     queries: DataFrame  # query_id, file_id, database_id, sql, is_dynamic, line
     endpoints: DataFrame  # doc_id (file), kind, locator, line
     lines: LineIndex | None = None  # of ``index``
+    candidates: DataFrame | None = None  # import_id, root, priority, path: what imports may mean, for ``refresh``
 
     # Structure.
     def languages(self) -> DataFrame:
@@ -173,13 +174,13 @@ class Catalog:
 
     # Change.
     def refresh(self, tree: DataFrame) -> Catalog:
-        """The catalog of a later tree: unchanged files keep their facts, only the others are parsed again."""
+        """The catalog of a later tree, equal to a scan of it: only changed files are parsed, only imports that they may concern resolved."""
         stored = self.files.join(self.facts.where("fact = 'module'").groupBy("file_id").agg(F.count("*").alias("n_modules")), "file_id", "left").select("file_id", "hash", F.lit(EXTRACTOR_VERSION).alias("extractor_version"), F.coalesce("n_modules", F.lit(0)).alias("n_modules"))
         files = _file_rows(tree)
         gate = changes.parse_gate(files.select("file_id", "hash"), stored, EXTRACTOR_VERSION)
         fresh = extract.extract_facts(files.join(gate.where("NOT skip"), "file_id", "left_semi").select("file_id", "language", "content"))
         kept = self.facts.join(gate.where("skip"), "file_id", "left_semi")
-        return _assemble(self.spark, files, kept.unionByName(fresh))
+        return _assemble(self.spark, files, kept.unionByName(fresh), self)
 
     def what_if(self, candidate: DataFrame) -> Catalog:
         """The catalog with unsaved contents: candidate(path, content) over the stored files; nothing is stored."""
@@ -208,12 +209,12 @@ def _file_rows(tree: DataFrame) -> DataFrame:
     )
 
 
-def _assemble(spark: SparkSession, files: DataFrame, found: DataFrame) -> Catalog:
+def _assemble(spark: SparkSession, files: DataFrame, found: DataFrame, before: Catalog | None = None) -> Catalog:
     files, found = cut(files, "files"), cut(found, "facts")
     where = files.select("file_id", F.concat(F.lit("./"), "path").alias("file_path"), "root", "language")
     raw = found.where("fact = 'import'").select("file_id", F.col("name").alias("import_path"), F.col("line_start").alias("line")).withColumn("import_id", F.xxhash64("file_id", "import_path", "line")).dropDuplicates(["import_id"])
     asked = raw.join(where, "file_id")
-    resolved = _resolve(asked, files)
+    resolved, candidates = _resolve(asked, files, before)
     loads = found.where("fact = 'load'").join(files.select("file_id", text.dirname(F.col("path")).alias("here")), "file_id")
     folder = F.regexp_replace(F.regexp_replace("name", r"^.*?[\"'`]\.?/?", ""), r"[\"'`].*$", "")
     loads = loads.select("file_id", F.when(F.col("name").rlike(r"[\"'`]"), F.trim(F.concat_ws("/", F.when(F.col("here") != "", F.col("here")), F.when(folder != "", folder)))).otherwise(F.col("here")).alias("folder"), F.col("kind").alias("suffix"))
@@ -229,14 +230,26 @@ def _assemble(spark: SparkSession, files: DataFrame, found: DataFrame) -> Catalo
     listeners = found.where("fact = 'listener'").select(F.col("file_id").alias("doc_id"), F.lit("port").alias("kind"), F.col("name").alias("locator"), F.col("line_start").cast("long").alias("line"))
     detected = facts.detect_endpoints(files.select(F.col("file_id").alias("doc_id"), F.col("content").alias("text"))).select("doc_id", "kind", "locator", "line")
     endpoints = cut(facts.merge_endpoints(parsed, listeners, detected), "endpoints")
-    return Catalog(spark, files, found, imports, databases, queries, endpoints)
+    return Catalog(spark, files, found, imports, databases, queries, endpoints, candidates=candidates)
 
 
-def _resolve(asked: DataFrame, files: DataFrame) -> DataFrame:
-    """Imports of relative trees: paths are rooted at ``/`` for resolution."""
-    rooted = lambda c: F.concat(F.lit("/r/"), c)
+def _resolve(asked: DataFrame, files: DataFrame, before: Catalog | None = None) -> tuple[DataFrame, DataFrame]:
+    """Imports of relative trees, resolved, with their stored candidates; paths are rooted at ``/`` for resolution.
+
+    After an earlier catalog only new imports' candidates are found, and only imports that changed files may concern are resolved.
+    """
+    rooted = lambda rows: rows.select("file_id", F.concat(F.lit("/r/"), "path").alias("path"), F.lit("/r").alias("root"))
     imports = asked.select("import_id", F.concat(F.lit("/r/"), F.expr("substr(file_path, 3)")).alias("file_path"), F.lit("/r").alias("root"), "language", "import_path")
-    return facts.resolve_imports(imports, files.select("file_id", rooted(F.col("path")).alias("path"), F.lit("/r").alias("root")))
+    if before is None or before.candidates is None:
+        candidates = cut(facts.import_candidates(imports), "candidates")
+        return facts.resolve_imports(imports, rooted(files), candidates), candidates
+    # Languages of headers may change with their content, and with them the candidates: such imports count as new.
+    same = before.files.select("file_id", "language").join(files.select("file_id", "language"), ["file_id", "language"]).select("file_id")
+    known = before.imports.where("import_path <> '(load)'").join(same, "file_id", "left_semi").select("import_id", "import_path", "resolved_file_id", "is_external")
+    old = before.candidates.join(imports.join(known, "import_id", "left_semi").select("import_id"), "import_id", "left_semi")
+    new = facts.import_candidates(imports.join(known, "import_id", "left_anti"))
+    candidates = cut(old.unionAll(new), "candidates")
+    return facts.relink_imports(imports, known, candidates, rooted(before.files), rooted(files)), candidates
 
 
 def scan(spark: SparkSession, tree: DataFrame) -> Catalog:
@@ -246,8 +259,8 @@ def scan(spark: SparkSession, tree: DataFrame) -> Catalog:
 
 
 def scan_folder(spark: SparkSession, path: str) -> Catalog:
-    """``scan`` of a folder that Spark can read."""
-    return scan(spark, facts.read_tree(spark, path))
+    """``scan`` of a folder that tasks can open."""
+    return scan(spark, facts.scan_tree(spark, path))
 
 
 class Workspace:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from operator import or_
 
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import basename, dirname
+from loomstone.sources.tree import list_tree, with_content
 
 #: Suffixes of model files, and binaries that are told by name.
 MODEL_SUFFIXES = ("gguf", "safetensors", "onnx", "ggml", "pt", "pth")
@@ -109,21 +109,55 @@ def import_candidates(imports: DataFrame) -> DataFrame:
     return imports.select("import_id", "root", F.posexplode(options).alias("priority", "path"))
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_imports(imports: DataFrame, files: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """``resolved_file_id`` of each import by its first candidate that is a file, and whether it is external.
 
     files(file_id, path, root). Only relative imports, and Python imports whose first part is a file or folder
-    of the root, can be internal.
+    of the root, can be internal. ``candidates``: those of the imports, where they are known already.
     """
-    hits = import_candidates(imports).join(files.select("path", "root", F.col("file_id").alias("hit")), ["path", "root"])
+    candidates = import_candidates(imports) if candidates is None else candidates
+    hits = candidates.join(files.select("path", "root", F.col("file_id").alias("hit")), ["path", "root"])
     best = hits.groupBy("import_id").agg(F.min_by("hit", "priority").alias("resolved_file_id"))
-    tops = files.select("root", F.regexp_replace(F.split_part(F.expr("substr(path, length(root) + 2)"), F.lit("/"), F.lit(1)), r"\.py$", "").alias("top")).distinct().withColumn("own", F.lit(True))
-    top = F.split_part(F.regexp_replace("import_path", r"^src\.", ""), F.lit("."), F.lit(1))
-    joined = imports.withColumn("top", F.when(F.col("language") == "python", top)).join(best, "import_id", "left").join(tops, ["root", "top"], "left")
+    tops = _tops(files).withColumn("own", F.lit(True))
+    joined = imports.withColumn("top", F.when(F.col("language") == "python", _top_of_import())).join(best, "import_id", "left").join(tops, ["root", "top"], "left")
     local = F.col("resolved_file_id").isNotNull() | F.col("import_path").rlike(r"^[./]") | ((F.col("language") == "python") & F.coalesce("own", F.lit(False)))
     return joined.select("import_id", "import_path", "resolved_file_id", (~local).alias("is_external"))
 
 
+def _tops(files: DataFrame) -> DataFrame:
+    """(root, top): first parts below each root, files without ``.py``."""
+    return files.select("root", F.regexp_replace(F.split_part(F.expr("substr(path, length(root) + 2)"), F.lit("/"), F.lit(1)), r"\.py$", "").alias("top")).distinct()
+
+
+def _top_of_import() -> Column:
+    return F.split_part(F.regexp_replace("import_path", r"^src\.", ""), F.lit("."), F.lit(1))
+
+
+def _differing(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """Keys that only one of two tables has."""
+    both = before.select(*keys, F.lit(True).alias("_old")).unionAll(after.select(*keys, F.lit(False).alias("_old")))
+    return both.groupBy(*keys).agg(F.min("_old").alias("a"), F.max("_old").alias("b")).where("a = b").select(*keys)
+
+
+def relink_imports(imports: DataFrame, resolved: DataFrame, candidates: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``resolve_imports`` of ``imports`` over the files ``after``, of which only what may have changed is resolved.
+
+    resolved(import_id, import_path, resolved_file_id, is_external): outcomes over the files ``before``, of some of the imports; those
+    of imports that are no more go. ``candidates``: of ``import_candidates`` for all of ``imports``, stored. An import is resolved again
+    that has no outcome, that has a candidate among new or lost files, or whose first part came to a root or went from it.
+    A file is new that has another file_id.
+    """
+    moved, tops = _differing(before, after, "path", "root", "file_id"), _differing(_tops(before), _tops(after), "root", "top")
+    met = candidates.join(moved.select("path", "root").distinct(), ["path", "root"], "left_semi").select("import_id")
+    python = imports.where("language = 'python'").select("import_id", "root", _top_of_import().alias("top"))
+    met = met.unionAll(python.join(tops, ["root", "top"], "left_semi").select("import_id")).unionAll(imports.select("import_id").join(resolved, "import_id", "left_anti"))
+    met = met.distinct()
+    again = imports.join(met, "import_id", "left_semi")
+    fresh = resolve_imports(again, after, candidates.join(met, "import_id", "left_semi"))
+    kept = resolved.join(met, "import_id", "left_anti").join(imports.select("import_id"), "import_id", "left_semi")
+    return kept.select("import_id", "import_path", "resolved_file_id", "is_external").unionAll(fresh)
+
+
 def load_edges(loads: DataFrame, files: DataFrame) -> DataFrame:
     """Edges from a file that loads a folder's plugins to every file there with the suffix, itself excepted."""
     targets = files.select(F.col("file_id").alias("to_file_id"), dirname(F.col("path")).alias("folder"), F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("suffix"))
@@ -252,37 +286,21 @@ def language_registry(spark) -> DataFrame:
     return spark.createDataFrame(rows, "language string, category string, suffixes string")
 
 
-def _empty_files(spark, path: str) -> tuple[str, list[str]]:
-    """The path of a folder, and the URIs of the empty files below it: one listing a folder, taken as text."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(path)
-    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    open_, empty = [top], []
-    while open_:
-        listed = jvm.org.apache.commons.lang3.ArrayUtils.toString(system.listStatus(open_.pop()))
-        for uri, folder, length in re.findall(r"path=(.*?); isDirectory=(true|false)(?:; length=(\d+))?", listed):
-            if folder == "true":
-                open_.append(jvm.org.apache.hadoop.fs.Path(uri))
-            elif length == "0":
-                empty.append(uri)
-    return system.makeQualified(top).toUri().getPath().rstrip("/"), empty
+def entered(folder: Column) -> Column:
+    """Whether a scan lists a folder, by its own name: what ``scanned_paths`` would leave out whole need not be listed."""
+    return ~(basename(folder).isin(*IGNORED_FOLDERS) | basename(folder).rlike("|".join(IGNORED_PATTERNS)))
 
 
 def read_tree(spark, path: str, text_only: bool = True) -> DataFrame:
-    """(path, size, modified, content) of all files below a folder; paths relative to it.
+    """(path, size, modified, content) of all files below a folder, empty and hidden ones included; paths relative to it."""
+    return with_content(list_tree(spark, path), path, text_only)
 
-    Spark lists and reads the files. Its reader leaves empty ones out; these are added from a listing of the folders.
-    """
-    root, empty = _empty_files(spark, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    # URIs without scheme and host, relative to the root; the reader's are encoded.
-    relative = lambda c: F.substring(F.expr(f"regexp_replace({c}, '^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?', '')"), len(root) + 2, 1 << 20)
-    decoded = files.withColumn("path", F.expr("url_decode(replace(path, '+', '%2B'))"))
-    rows = decoded.select(relative("path").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
-    if empty:
-        blank = spark.createDataFrame([(x,) for x in empty], "path string").select(relative("path"), F.lit(0).cast("long"), F.lit(None).cast("timestamp"), F.lit("").cast("binary"))
-        rows = rows.union(blank)
-    return rows.withColumn("content", F.try_validate_utf8(F.col("content").cast("string"))) if text_only else rows
+
+def scan_tree(spark, path: str) -> DataFrame:
+    """(path, size, modified, content) of the files below a folder that a scan reads: no others are opened, no ignored folder is listed."""
+    listed = list_tree(spark, path, entered)
+    known = classify_files(scanned_paths(listed).withColumn("content", F.lit(None).cast("string"))).where("category <> 'unrecognized'")
+    return with_content(known.select(*listed.columns), path)
 
 
 #: Commands that read files, commands that edit files, and other ways of either, by pattern.

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions import net, text
+from loomstone.functions.text import basename, dirname
 from loomstone.operators import extract, facts, segments, textindex
 from loomstone.registry import query
+from loomstone.sources.scratch import cut, scratch_dir
 from loomstone.sources.tables import table
+from loomstone.sources.tree import list_tree, with_content
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +214,10 @@ SELECT import_id, CASE m WHEN 0 THEN './f' || (k // 2) WHEN 1 THEN '../d1/f' ||
   m IN (2, 5) AS is_external FROM i, n""")
 def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files /p/d<k mod 3>/f<k>.js (or .py where k mod 6 is over 3), each with one import."""
+    return facts.resolve_imports(*_importing_files(spark, sf_dir))
+
+
+def _importing_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("p_partkey")
     m, half, quarter = k % 6, F.floor(k / 2), F.floor(k / 4)
     python = m > 3
@@ -222,7 +229,32 @@ def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(m == 3, F.concat(F.lit("./f"), k, F.lit(".js"))).when(m == 4, F.concat(F.lit("d0.f"), quarter)).otherwise("os")
     )
     imports = rows.select(k.alias("import_id"), path.alias("file_path"), F.lit("/p").alias("root"), F.when(python, "python").otherwise("javascript").alias("language"), text_.alias("import_path"))
-    return facts.resolve_imports(imports, files)
+    return imports, files
+
+
+@query("relinked_imports", """
+WITH i AS (SELECT p_partkey AS import_id, p_partkey % 6 AS m, p_partkey AS k FROM part WHERE p_partkey % 11 <> 0)
+SELECT import_id, CASE m WHEN 0 THEN './f' || (k // 2) WHEN 1 THEN '../d1/f' || (k + 100000) WHEN 2 THEN 'react' WHEN 3 THEN './f' || k || '.js' WHEN 4 THEN 'd0.f' || (k // 4) ELSE 'os' END AS import_path,
+  CASE WHEN m = 0 AND (k // 2) % 3 = k % 3 AND (k // 2) % 6 <= 3 AND (k // 2) % 4 <> 1 THEN k // 2 WHEN m = 3 AND k % 4 <> 1 THEN k WHEN m = 4 AND (k // 4) % 3 = 0 AND (k // 4) % 6 > 3 AND (k // 4) % 4 <> 1 THEN k // 4 END AS resolved_file_id,
+  m IN (2, 5) AS is_external FROM i""")
+def relinked_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The import graph after files came and went, and imports: only what these may concern is resolved again."""
+    imports, files = _importing_files(spark, sf_dir)
+    before, after = files.where("file_id % 5 <> 0"), files.where("file_id % 4 <> 1")
+    known = cut(facts.resolve_imports(imports.where("import_id % 7 <> 0"), before), "resolved")
+    asked = imports.where("import_id % 11 <> 0")
+    return facts.relink_imports(asked, known, cut(facts.import_candidates(asked), "candidates"), before, after)
+
+
+@query("listed_tree", """
+SELECT 'a=' || (p_size % 7) || '/b=' || (p_partkey % 5) AS folder, count(*) AS n_lines, CAST(sum(strlen(p_name) + 1) AS BIGINT) AS size FROM part GROUP BY 1""")
+def listed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts written as text in folders of folders; the tree is listed in tasks, and only files of text are read."""
+    root = scratch_dir(spark, "names")
+    table(spark, sf_dir, "part").select(F.col("p_name").alias("value"), (F.col("p_size") % 7).alias("a"), (F.col("p_partkey") % 5).alias("b")).write.partitionBy("a", "b").text(root)
+    files = list_tree(spark, root).where(basename(F.col("path")).rlike(r"^part-.*\.txt$"))
+    lines = F.size(F.split("content", "\n", -1)) - 1
+    return with_content(files, root).groupBy(dirname(F.col("path")).alias("folder")).agg(F.sum(lines).alias("n_lines"), F.sum("size").alias("size"))
 
 
 @query("load_edges", """
