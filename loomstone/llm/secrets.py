@@ -39,8 +39,9 @@ MIN_BITS = 12.0
 ALPHA = 0.05
 CAPITALS_BITS = 3.0
 GRAMMAR = "grammar"
-#: Runs' classes whose credentials a task remembers; results do not depend on it.
-REMEMBERED = 200_000
+#: Runs' classes whose credentials a task remembers, and their greatest length, so 26 MB of classes at most; results depend on neither.
+REMEMBERED = 100_000
+REMEMBERED_LENGTH = 256
 
 # Fixed patterns: the base kinds, in this order.
 KINDS = ("assign", "access", "hex")
@@ -249,11 +250,14 @@ class Scan:
         symbols, spans = buf.tobytes(), []
         for a, b in zip(self.begin[first].tolist(), self.end[first].tolist(), strict=True):
             own = symbols[a:b]
-            if own not in known:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                known[own] = model.credentials(own.decode())
-            spans.append(known[own])
+            spans_own = known.get(own)
+            if spans_own is None:
+                spans_own = model.credentials(own.decode())
+                if len(own) <= REMEMBERED_LENGTH:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[own] = spans_own
+            spans.append(spans_own)
         some = np.array([bool(x) for x in spans])
         for i in np.flatnonzero(some[same]).tolist():
             s = int(self.start[i])

@@ -111,6 +111,17 @@ def test_every_candidate_is_scored(spark):
     assert added[0] == [(3, 23)] and added[1] == [(4, 24)]
 
 
+def test_memory_of_runs_is_bounded(spark, monkeypatch):
+    model = secrets.fit(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    texts = ["id=ASIA7Q2ZK9X4WB31HTR5", "ASIA7Q2ZK9X4WB31HTR5" * 5_000, *(f"{'ab' * n}/9{n}" for n in range(4, 60))]
+    found, known = secrets.spans_of(pa.array(texts)), {}
+    every = found.added(model, known)
+    assert len(known) > 10 and max(map(len, known)) <= secrets.REMEMBERED_LENGTH
+    monkeypatch.setattr(secrets, "REMEMBERED", 3)
+    few: dict = {}
+    assert found.added(model, few) == every and found.added(model, few) == every and len(few) <= 3
+
+
 def test_sample_by_row_and_whole_values(spark):
     rows = [(7, f"password={'ab12' * 4}{i:04d}") for i in range(400)] + [(7, "password=" + "x1" * 400)] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string")
