@@ -9,8 +9,9 @@ from loomstone.operators import accounting as acc
 from loomstone.operators import catalog as c
 from loomstone.registry import query
 from loomstone.sources.scratch import scratch_dir
+from loomstone.sources.sqlite import read_sqlite, write_sqlite
 from loomstone.sources.stored import StoredTable
-from loomstone.sources.tables import table
+from loomstone.sources.tables import spread, table
 
 
 def _new(rows: DataFrame, label: str, *keys: str) -> StoredTable:
@@ -80,3 +81,13 @@ def stored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _new(pairs(0), "pairs", "event_type", "user_id")
     out.update(pairs(1), lambda old, new: acc.add_pairs(old, new, "event_type", "user_id"))
     return out.read()
+
+
+@query("sqlite_orders", """
+SELECT o_orderkey, o_custkey, o_orderpriority, CAST(o_totalprice AS DOUBLE) AS price, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS status FROM orders""")
+def sqlite_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as SQLite files by tasks, read again by ranges of row ids, with the columns that the files declare."""
+    folder = scratch_dir(spark, "sqlite")
+    rows = spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_orderpriority", F.col("o_totalprice").cast("double").alias("price"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("status"))
+    files = spark.createDataFrame(write_sqlite(rows, folder, "orders").collect())  # a row for each file
+    return read_sqlite(files, "orders").drop("path")
