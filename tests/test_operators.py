@@ -88,6 +88,13 @@ def test_traces_match_the_queue(spark):
         assert sorted(((r.hop, r.from_id, r.to_id, r.terminus) for r in got.collect()), key=str) == brute_trace(rows, 1, most), name
 
 
+@pytest.mark.parametrize("name", ["discover_files"])
+def test_traces_and_discoveries_start_from_every_file(spark, name):
+    found = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    files = fixture_graph(spark, "/root/testdata/sf0.001")["files"]
+    assert found.select("start_id").distinct().count() == files.count()
+
+
 def test_self_imports_and_other_projects_disqualify_entries(spark):
     files = spark.createDataFrame([(1, 1, True), (2, 1, True), (3, 2, True), (4, 1, False)], "file_id long, project_id long, is_readable_text boolean")
     imports = spark.createDataFrame(edges([(1, 1, 1, False), (2, 3, 2, False)]), SCHEMA)
