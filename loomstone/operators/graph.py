@@ -7,6 +7,10 @@ file_refs(file_id, ref_id, line), refs(ref_id, kind, name, locator), queries(fil
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,8 +136,8 @@ def routes(found: DataFrame) -> DataFrame:
 TOGETHER = 64
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """start_id, node, depth of every node within ``max_depth`` links (edges: src, dst); its least depth.
+def _levels(edges: DataFrame, starts: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes within ``max_depth`` links (edges: src, dst) of sets of starts: (node, group, levels), and the starts' numbers (start_id, n).
 
     starts: start_id, and node where a start is not its own node or has several. Starts are numbered and dealt into sets of
     TOGETHER, one bit each. A row is a node and a set, with the bits that reached it at each depth, so starts that
@@ -162,12 +166,68 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
         state = after
         if state.where("fresh <> 0").isEmpty():
             break
-    names = numbered.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("n", "start_id"))).alias("names"))  # TOGETHER at most
+    return state.select("node", "group", "levels"), numbered
+
+
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+    """start_id, node, depth of every node within ``max_depth`` links (edges: src, dst); its least depth.
+
+    starts: start_id, and node where a start is not its own node or has several; see ``_levels``.
+    """
+    state, numbered = _levels(edges, starts, max_depth)
+    names = numbered.groupBy(F.floor(F.col("n") / TOGETHER).alias("group")).agg(F.array_sort(F.collect_list(F.struct("n", "start_id"))).alias("names"))  # TOGETHER at most
     rows = state.join(names, "group").select("node", "names", F.inline("levels"))
     members = F.filter("names", lambda x, i: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
     return rows.select("node", "depth", F.explode(members).alias("member")).select(F.col("member.start_id").alias("start_id"), "node", "depth")
 
 
+#: What ``trace_counts`` sums over the nodes at a depth.
+_SUMMED = ("external", "unresolved", "leaf", "resolved", "nodes")
+
+
+def _sums_of_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, depth, sums) of the starts whose bits are set, for rows (group, depth, bits, values to be summed) by group and depth."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        group, depth = at("group"), at("depth")
+        new = np.concatenate([[0], np.flatnonzero((np.diff(group) != 0) | (np.diff(depth) != 0)) + 1])
+        bits = np.unpackbits(np.ascontiguousarray(at("bits")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
+        sums = [np.add.reduceat(bits * at(c)[:, None], new, axis=0).ravel() for c in _SUMMED]
+        n, hop = (group[new][:, None] * TOGETHER + np.arange(TOGETHER)).ravel(), np.repeat(depth[new], TOGETHER)
+        met = sums[-1] > 0
+        yield pa.record_batch([pa.array(x[met]) for x in (n, hop, *sums)], names=["n", "depth", *_SUMMED])
+
+
+def trace_counts(imports: DataFrame, starts: DataFrame, max_hops: int = 25) -> DataFrame:
+    """start_id, hop, terminus, n: how many edges (and leaves) of each kind ``trace`` meets at each hop, without its paths.
+
+    Which of the edges to a file is the one followed depends on paths, how many are does not: one for each file reached. So the depths
+    of ``_levels`` tell all counts: each set of starts is summed bit by bit, and no row is made for a start and a file.
+    """
+    resolved = F.col("resolved_file_id").isNotNull()
+    inner = imports.where(~F.col("is_external") & resolved).select(F.col("file_id").alias("src"), F.col("resolved_file_id").alias("dst")).distinct()
+    state, numbered = _levels(inner, starts, max_hops)
+    kinds = F.when(F.col("is_external"), "external").when(resolved, "resolved").otherwise("unresolved")
+    count = lambda k: F.count_if(kinds == k).alias(k)
+    known = imports.groupBy(F.col("file_id").alias("node")).agg(count("external"), count("unresolved"), count("resolved"))
+    # Files at the last hop are reached but not read.
+    read = (F.col("depth") < max_hops).cast("long")
+    of = lambda c: (F.coalesce(F.col(c), F.lit(0)) * read).alias(c)
+    leaf = (F.col("resolved").isNull().cast("long") * read).alias("leaf")
+    rows = state.join(known, "node", "left").select("group", F.inline("levels"), "external", "unresolved", "resolved")
+    rows = rows.select("group", "depth", "bits", of("external"), of("unresolved"), leaf, of("resolved"), F.lit(1).cast("long").alias("nodes"))
+    dealt = rows.repartition("group").sortWithinPartitions("group", "depth")
+    summed = dealt.mapInArrow(_sums_of_bits, f"n long, depth int, {', '.join(f'{c} long' for c in _SUMMED)}")
+    kind = lambda hop, name, n: F.struct(hop.alias("hop"), F.lit(name).alias("terminus"), n.alias("n"))
+    own, after = F.col("depth"), F.col("depth") + 1
+    # A resolved edge is followed or a cycle.
+    met = [kind(after, k, F.col(k)) for k in ("external", "unresolved", "leaf")] + [kind(own, "follow", F.when(own > 0, F.col("nodes"))), kind(after, "cycle", F.col("resolved")), kind(own, "cycle", F.when(own > 0, -F.col("nodes")))]
+    counts = summed.select("n", F.inline(F.filter(F.array(*met), lambda x: x["n"] != 0)).alias("hop", "terminus", "edges")).groupBy("n", "hop", "terminus").agg(F.sum("edges").alias("edges"))
+    return counts.where("edges > 0").join(numbered, "n").select("start_id", "hop", "terminus", F.col("edges").alias("n"))
+
+
 def discover(imports: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataFrame:
     """Files that a file's resolved imports lead to."""
     edges = imports.where("NOT is_external AND resolved_file_id IS NOT NULL").select(F.col("file_id").alias("src"), F.col("resolved_file_id").alias("dst")).distinct()

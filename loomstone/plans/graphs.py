@@ -117,7 +117,7 @@ def _starts(t: dict[str, DataFrame]) -> DataFrame:
 
 
 @query("trace_hops", f"""{_BFS}
-walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files WHERE file_id % 50 = 0
+walk AS (SELECT file_id AS start_id, file_id AS node, 0 AS depth FROM files
   UNION SELECT start_id, dst, depth + 1 FROM walk JOIN edge ON src = node WHERE depth < 25)
 , best AS (SELECT start_id, node, min(depth) AS depth FROM walk GROUP BY 1, 2)
 , e AS (SELECT start_id, depth + 1 AS hop, i.* FROM best JOIN imports i ON i.file_id = node WHERE depth < 25)
@@ -130,9 +130,9 @@ UNION ALL SELECT start_id, hop, 'follow', n FROM f
 UNION ALL SELECT e.start_id, e.hop, 'cycle', count(*) - coalesce(any_value(f.n), 0) FROM e LEFT JOIN f USING (start_id, hop)
   WHERE NOT is_external AND resolved_file_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > coalesce(any_value(f.n), 0)""")
 def trace_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges by hop and terminus of the traces from every fiftieth file through the whole graph."""
+    """Edges by hop and terminus of the traces from every file through the whole graph."""
     t = graph(spark, sf_dir)
-    return g.trace(t["files"], t["imports"], _starts(t)).groupBy("start_id", "hop", "terminus").agg(F.count("*").alias("n"))
+    return g.trace_counts(t["imports"], t["files"].select(F.col("file_id").alias("start_id")))
 
 
 @query("discover_files", f"""{_BFS}

@@ -1,6 +1,7 @@
 """Rules and replays that SQL oracles do not cover, and every query on the smallest tables."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,7 +89,16 @@ def test_traces_match_the_queue(spark):
         assert sorted(((r.hop, r.from_id, r.to_id, r.terminus) for r in got.collect()), key=str) == brute_trace(rows, 1, most), name
 
 
-@pytest.mark.parametrize("name", ["discover_files"])
+def test_counts_of_traces_match_the_queue_for_more_starts_than_a_set(spark):
+    linked = [(i, i, i % 75 + 1 if i % 7 else None, i % 14 == 0) for i in range(1, 75)] + [(200 + i, i, i // 2, False) for i in range(2, 75, 3)]
+    rows = edges(linked)
+    starts = [*range(1, 76), 99]
+    want = Counter((s, hop, end) for s in starts for hop, _, _, end in brute_trace(rows, s, 4))
+    got = graph.trace_counts(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(s,) for s in starts], "start_id long"), 4)
+    assert {(r.start_id, r.hop, r.terminus): r.n for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["trace_hops", "discover_files"])
 def test_traces_and_discoveries_start_from_every_file(spark, name):
     found = registry.queries()[name](spark, "/root/testdata/sf0.001")
     files = fixture_graph(spark, "/root/testdata/sf0.001")["files"]
