@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import basename, dirname
+from loomstone.sources.scratch import cut
 from loomstone.sources.tree import list_tree, with_content
 
 #: Suffixes of model files, and binaries that are told by name.
@@ -164,10 +165,31 @@ def load_edges(loads: DataFrame, files: DataFrame) -> DataFrame:
     return loads.join(targets, ["folder", "suffix"]).where("file_id <> to_file_id").select(F.col("file_id").alias("from_file_id"), "to_file_id", F.lit("load").alias("edge_kind")).distinct()
 
 
+#: Pairs of a locator that one key of the join makes, some.
+PAIRS_A_KEY = 1 << 20
+
+
 def shared_endpoints(listeners: DataFrame, upstreams: DataFrame) -> DataFrame:
-    """Files that listen where others connect to: (locator, listener_file, client_file)."""
-    a = listeners.select("kind", "locator", F.col("file_id").alias("listener_file"))
-    return a.join(upstreams.select("kind", "locator", F.col("file_id").alias("client_file")), ["kind", "locator"]).where("listener_file <> client_file").select("locator", "listener_file", "client_file").distinct()
+    """Files that listen where others connect to: (locator, listener_file, client_file), each once.
+
+    Each side is made distinct before the join, so the pairs are not shuffled; a pair that shares several kinds of a locator is made by the
+    least of them. The clients of a locator with many pairs are dealt into parts, and its listeners are repeated for each.
+    """
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        files = rows.where("kind IS NOT NULL").groupBy("locator", F.col("file_id").alias(f"{name}_file")).agg(F.array_sort(F.collect_set("kind")).alias(f"{name}_kinds"))
+        return files.select("locator", f"{name}_file", f"{name}_kinds", F.explode(f"{name}_kinds").alias("kind"))
+
+    a, b = cut(side(listeners, "listener"), "listeners"), cut(side(upstreams, "client"), "clients")
+    count = lambda rows, n: rows.groupBy("kind", "locator").agg(F.count("*").alias(n))
+    sizes = count(a, "n_listeners").join(count(b, "n_clients"), ["kind", "locator"])
+    parts = F.ceil(F.least(F.col("n_clients"), F.col("n_listeners") * F.col("n_clients") / PAIRS_A_KEY))
+    sizes = cut(sizes.select("kind", "locator", parts.alias("parts")), "endpoint-parts")
+    dealt = b.join(sizes, ["kind", "locator"]).withColumn("part", F.pmod(F.xxhash64("client_file"), "parts")).drop("parts")
+    repeated = a.join(sizes, ["kind", "locator"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    least = F.array_min(F.array_intersect("listener_kinds", "client_kinds"))
+    first = (F.size("listener_kinds") == 1) | (F.size("client_kinds") == 1) | (F.col("kind") == least)
+    return repeated.join(dealt, ["kind", "locator", "part"]).where((F.col("listener_file") != F.col("client_file")) & first).select("locator", "listener_file", "client_file")
 
 
 #: Names of folders that are not scanned, with patterns, files that mark one, and files that are not scanned.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomstone import registry
 from loomstone.functions import net, text
-from loomstone.operators import accounting, changes, graph, html, retrieval, validate
+from loomstone.operators import accounting, changes, facts, graph, html, retrieval, validate
 from loomstone.plans.fixtures import graph as fixture_graph
 
 PASS = "https://example.com https://claude.ai/chat http://localhost:3000 http://127.0.0.1:8080 http://[::1]:5000 http://0.0.0.0:4000 http://192.168.1.100:3000 http://10.0.0.5:8080 http://172.16.0.1:9090 http://172.31.255.255 http://169.254.1.1".split()
@@ -319,3 +319,17 @@ def test_letters_globs_and_relative_paths(spark):
     assert hit("*.py") == ["a.py", "dir/a.py", "[x].py"] and hit("?b") == ["ab"] and hit("[ab]*") == ["a.py", "b.txt", "ab"] and hit("[^ab]*") == ["dir/a.py", "[x].py"] and hit("[[]x].py") == ["[x].py"]
     pairs = spark.createDataFrame([("/a/b/c", "/a/b"), ("/a/x", "/a/b/c"), ("/a", "/a"), ("/q/r", "/a")], "p string, f string")
     assert [r[0] for r in pairs.select(text.relative_path(F.col("p"), F.col("f"))).collect()] == ["c", "../../x", "", "../q/r"]
+
+
+@pytest.mark.parametrize("pairs", [facts.PAIRS_A_KEY, 6])
+def test_shared_endpoints_are_made_once_without_a_shuffle_of_the_pairs(spark, monkeypatch, pairs):
+    monkeypatch.setattr(facts, "PAIRS_A_KEY", pairs)
+    rng = random.Random(5)
+    side = lambda n: [(rng.choice(["port", "host", None]), rng.choice([":1", ":2", None]), rng.choice([*range(12), None])) for _ in range(n)]
+    a, b = side(40), side(60)
+    frame = lambda rows: spark.createDataFrame(rows, "kind string, locator string, file_id long")
+    found = facts.shared_endpoints(frame(a), frame(b))
+    want = {(x[1], x[2], y[2]) for x in a for y in b if None not in (*x, *y) and x[:2] == y[:2] and x[2] != y[2]}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Distinct" not in plan
