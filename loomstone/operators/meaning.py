@@ -21,15 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomstone.operators.relational import running
-from loomstone.operators.retrieval import MEANING_MAX, MEANING_SPREAD, MEANING_Z, RERANK, STATED_ROWS
-from loomstone.sources.scratch import cut
+from loomstone.operators.retrieval import MEANING_MAX, MEANING_SPREAD, MEANING_Z, RERANK, STATED_ROWS, cosine
+from loomstone.sources.scratch import cut, discard
 
 BLOCK = 1024
+#: Vectors of a block of which a search for the best keeps one.
+LEFT_OUT = 50
 #: Variance below which it is rounding of equal scores; margin of the bound for rounding.
 EQUAL, MARGIN = 1e-14, 1e-9
 #: Pages of several blocks that are broadcast at most.
@@ -43,8 +46,8 @@ def _usable(rows: DataFrame, dims: int, *keys: str) -> DataFrame:
     return rows.where((F.size("vector") == dims) & F.forall("vector", lambda x: x.isNotNull()))
 
 
-def page_blocks(vectors: DataFrame, dims: int, block: int = BLOCK) -> DataFrame:
-    """Rows (page_id, salt, parts, single, elements, vectors, moments): the pages in blocks, larger ones with their moments."""
+def page_blocks(vectors: DataFrame, dims: int, block: int = BLOCK, with_moments: bool = True) -> DataFrame:
+    """Rows (page_id, salt, parts, single, elements, vectors, moments): the pages in blocks, larger ones with their moments, if wanted."""
     rows = _usable(vectors, dims, "page_id", "element_id")
     sizes = rows.groupBy("page_id").agg(F.count("*").alias("n"), F.count_distinct("element_id").alias("distinct"))
     large = cut(sizes.where(F.col("n") > block).select("page_id", F.ceil(F.col("n") / block).alias("parts"), (F.col("n") == F.col("distinct")).alias("single")), "pages-large")
@@ -54,12 +57,16 @@ def page_blocks(vectors: DataFrame, dims: int, block: int = BLOCK) -> DataFrame:
     listed = dealt.groupBy("page_id", "salt", "parts", "single").agg(F.collect_list(F.struct("element_id", "vector")).alias("rows"))
     packed = listed.select("page_id", "salt", "parts", F.coalesce("single", F.lit(False)).alias("single"), F.col("rows.element_id").alias("elements"), F.flatten("rows.vector").alias("vectors"))
     packed = cut(packed, "page-blocks")
+    if not with_moments:
+        return packed.withColumn("moments", F.lit(None).cast("array<double>"))
     summed = packed.where("parts > 1 AND single").mapInArrow(lambda it: _moments(it, dims), packed.select("page_id", F.lit(0).alias("k"), F.lit(0.0).alias("value")).schema)
     summed = summed.groupBy("page_id", "k").agg(F.sum("value").alias("value"))
     # As many entries as a vector and its outer product have.
     moments = summed.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("moments"))
     moments = cut(moments, "page-moments")
-    return cut(packed.join(F.broadcast(moments) if moments.count() * dims * dims <= BROADCAST_PAGES * 8 else moments, "page_id", "left"), "page-blocks")
+    whole = cut(packed.join(F.broadcast(moments) if moments.count() * dims * dims <= BROADCAST_PAGES * 8 else moments, "page_id", "left"), "page-blocks")
+    discard(packed, moments)
+    return whole
 
 
 def _units(values: pa.Array, dims: int) -> np.ndarray:
@@ -91,6 +98,21 @@ class _Pair:
         moments = at("moments")
         self.moments = None if moments is None or not moments.is_valid else moments.values.to_numpy(zero_copy_only=False)
         self.dims = dims
+        # The element of each query's own id, which takes no part: its place in the block, and its score where it lies in another one.
+        self.own_place, self.own_score = None, None
+        if "own" in batch.schema.names:
+            at_id = {e: i for i, e in enumerate(self.names.to_pylist())}
+            self.own_place = np.array([at_id.get(q, -1) for q in self.query_ids.to_pylist()])
+            page, own = self.page.as_py(), at("own").as_py()
+            self.own_score = np.array([next((x["score"] for x in of or () if x["page_id"] == page), np.nan) for of in own])
+
+    def without_own(self, s: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Scores with nan for the elements of the queries' own ids."""
+        if self.own_place is not None:
+            place = self.own_place[rows]
+            has = np.flatnonzero(place >= 0)
+            s[has, place[has]] = np.nan
+        return s
 
     def scores(self, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
         """Best cosine of each element (columns) for queries."""
@@ -104,8 +126,13 @@ class _Pair:
         """Mean and deviation of the page for each query, from its moments."""
         n, total = self.moments[0], self.moments[1 : self.dims + 1]
         second = self.moments[self.dims + 1 :].reshape(self.dims, self.dims)
-        mean = self.queries @ total / n
-        variance = ((self.queries @ second) * self.queries).sum(axis=1) / n - mean * mean
+        sums, squares = self.queries @ total, ((self.queries @ second) * self.queries).sum(axis=1)
+        if self.own_score is not None:
+            has = ~np.isnan(self.own_score)
+            own = np.where(has, self.own_score, 0)
+            n, sums, squares = np.maximum(n - has, 1), sums - own, squares - own * own
+        mean = sums / n
+        variance = squares / n - mean * mean
         return mean, np.where(variance < EQUAL, 1, np.sqrt(np.maximum(variance, EQUAL)))
 
     def rows(self, query: np.ndarray, element: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
@@ -115,31 +142,37 @@ class _Pair:
     def standing_out(self, z: float) -> list[pa.Array]:
         """(query, page, element, score, z) of what reaches z; all scores without z where the page's statistics are not known."""
         if self.parts > 1 and not self.single:
-            s = self.scores()
-            q, e = np.divmod(np.arange(s.size), s.shape[1])
-            return self.rows(q, e, s.ravel(), np.full(s.size, np.nan))
+            s = self.without_own(self.scores())
+            q, e = np.nonzero(~np.isnan(s))
+            return self.rows(q, e, s[q, e], np.full(len(q), np.nan))
         if self.parts == 1:
-            live, s = np.arange(len(self.queries)), self.scores()
-            mean, sd = s.mean(axis=1), s.std(axis=1)
+            live, s = np.arange(len(self.queries)), self.without_own(self.scores())
+            here = ~np.isnan(s)
+            n = np.maximum(here.sum(axis=1), 1)
+            mean = np.where(here, s, 0).sum(axis=1) / n
+            sd = np.sqrt((np.where(here, s - mean[:, None], 0) ** 2).sum(axis=1) / n)
             sd = np.where(sd * sd < EQUAL, 1, sd)
         else:
             mean, sd = self.page_statistics()
             centre = self.vectors.mean(axis=0)
             radius = np.sqrt(((self.vectors - centre) ** 2).sum(axis=1).max())
             live = np.flatnonzero(self.queries @ centre + radius * np.sqrt((self.queries**2).sum(axis=1)) >= mean + z * sd - MARGIN)
-            mean, sd, s = mean[live], sd[live], self.scores(live)
+            mean, sd, s = mean[live], sd[live], self.without_own(self.scores(live), live)
         over = (s - mean[:, None]) / sd[:, None]
         q, e = np.nonzero(over >= z)
         return self.rows(live[q], e, s[q, e], over[q, e])
 
     def best(self, most: int) -> list[pa.Array]:
-        """(query, page, element, score, null) of each query's best scores in the block; of equal ones all."""
+        """(query, page, element, score, null) of each query's best ``most`` scores in the block; of equal ones those of the least ids."""
         s = self.scores()
+        order = pc.sort_indices(self.names).to_numpy()
         if s.shape[1] > most:
-            least = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most]
-            q, e = np.nonzero(s >= least[:, None])
-        else:
-            q, e = np.divmod(np.arange(s.size), s.shape[1])
+            s = s[:, order]
+            least = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most][:, None]
+            equal, more = s == least, s > least
+            q, e = np.nonzero(more | (equal & (np.cumsum(equal, axis=1) <= most - more.sum(axis=1)[:, None])))
+            return self.rows(q, order[e], s[q, e], np.full(len(q), np.nan))
+        q, e = np.divmod(np.arange(s.size), s.shape[1])
         return self.rows(q, e, s[q, e], np.full(len(q), np.nan))
 
     def sums(self) -> list[pa.Array]:
@@ -157,16 +190,27 @@ class _Pair:
         return [self.query_ids.slice(0, nq), pa.array([self.page] * nq, type=self.page.type), pa.array(n), pa.array(a), pa.array(b)]
 
 
-def _paired(vectors: DataFrame, queries: DataFrame, block: int, kernel: str, args: tuple, names: list[str]) -> DataFrame:
+def _own_scores(asked: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``asked`` with ``own``: the pages and scores of the elements of the query's own id, as many as there are such pages."""
+    own = vectors.join(asked.select(F.col("query_id").alias("element_id"), "nth_row", F.col("vector").alias("wanted")), "element_id")
+    best = own.groupBy("nth_row", "page_id").agg(F.max(cosine(F.col("wanted"), F.col("vector"))).alias("score"))
+    return asked.join(best.groupBy("nth_row").agg(F.collect_list(F.struct("page_id", "score")).alias("own")), "nth_row", "left")
+
+
+def _paired(vectors: DataFrame, queries: DataFrame, block: int, kernel: str, args: tuple, names: list[str], skip_equal: bool = False) -> DataFrame:
     """The rows of ``kernel`` for every page block and query block; the queries in passes of at most STATED_ROWS."""
     first = queries.select(F.size("vector")).where(F.col("size(vector)") > 0).first()
     dims = first[0] if first else 1
     asked = _usable(queries, dims, "query_id")
-    placed = running(asked.withColumn("own", F.monotonically_increasing_id()), ["query_id", "own"])
-    grouped = placed.groupBy(F.floor((F.col("place") - 1) / block).alias("nth")).agg(F.collect_list(F.struct("query_id", "vector")).alias("rows"))
-    wanted = cut(grouped.select("nth", F.col("rows.query_id").alias("query_ids"), F.flatten("rows.vector").alias("wanted")), "query-blocks")
+    placed = running(asked.withColumn("nth_row", F.monotonically_increasing_id()), ["query_id", "nth_row"])
+    held = ["query_id", "vector"]
+    if skip_equal:
+        placed, held = _own_scores(cut(placed, "query-rows"), _usable(vectors, dims, "page_id", "element_id")), [*held, "own"]
+    grouped = placed.groupBy(F.floor((F.col("place") - 1) / block).alias("nth")).agg(F.collect_list(F.struct(*held)).alias("rows"))
+    columns = [F.col("rows.query_id").alias("query_ids"), F.flatten("rows.vector").alias("wanted"), *([F.col("rows.own").alias("own")] if skip_equal else [])]
+    wanted = cut(grouped.select("nth", *columns), "query-blocks")
     n_blocks, a_pass = wanted.count(), max(1, STATED_ROWS // block)
-    pages = page_blocks(vectors, dims, block)
+    pages = page_blocks(vectors, dims, block, kernel != "best")
     known = {f.name: f for f in [*queries.schema, *vectors.schema]}
     schema = StructType([known[c] if c in known else StructField(c, DoubleType()) for c in names])
 
@@ -185,12 +229,12 @@ def _paired(vectors: DataFrame, queries: DataFrame, block: int, kernel: str, arg
     return found
 
 
-def meaning_matches(vectors: DataFrame, queries: DataFrame, z: float = MEANING_Z, spread: float = MEANING_SPREAD, most: int = MEANING_MAX, block: int = BLOCK) -> DataFrame:
+def meaning_matches(vectors: DataFrame, queries: DataFrame, z: float = MEANING_Z, spread: float = MEANING_SPREAD, most: int = MEANING_MAX, block: int = BLOCK, skip_equal: bool = False) -> DataFrame:
     """query_id, page_id, element_id, score, z, rank: for each query and page the elements that stand out and are near the best.
 
-    vectors(page_id, element_id, vector), queries(query_id, vector).
+    vectors(page_id, element_id, vector), queries(query_id, vector). ``skip_equal``: an element takes no part for the query of its own id.
     """
-    found = cut(_paired(vectors, queries, block, "standing_out", (z,), ["query_id", "page_id", "element_id", "score", "z"]), "meaning")
+    found = cut(_paired(vectors, queries, block, "standing_out", (z,), ["query_id", "page_id", "element_id", "score", "z"], skip_equal), "meaning")
     page = Window.partitionBy("query_id", "page_id")
     sd = F.stddev_pop("score").over(page)
     rated = found.where(F.isnan("z")).withColumn("z", (F.col("score") - F.avg("score").over(page)) / F.when(sd * sd < EQUAL, 1.0).otherwise(sd))
@@ -199,7 +243,11 @@ def meaning_matches(vectors: DataFrame, queries: DataFrame, z: float = MEANING_Z
 
 
 def rerank_candidates(vectors: DataFrame, queries: DataFrame, most: int = RERANK, block: int = BLOCK) -> DataFrame:
-    """query_id, page_id, element_id, score, rank: for each query and page the best ``most`` elements, for a check of their texts."""
+    """query_id, page_id, element_id, score, rank: for each query and page the best ``most`` elements, for a check of their texts.
+
+    A block gives ``most`` scores for each query, so blocks hold LEFT_OUT times as many vectors at least; of smaller ones nearly all pairs would be rows.
+    """
+    block = max(block, LEFT_OUT * most)
     found = _paired(vectors, queries, block, "best", (most,), ["query_id", "page_id", "element_id", "score", "z"]).drop("z")
     best = Window.partitionBy("query_id", "page_id").orderBy(F.desc("score"), "element_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)

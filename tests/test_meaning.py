@@ -66,3 +66,15 @@ def test_nothing_to_search(spark):
     assert meaning.meaning_matches(none, asked).count() == 0 and meaning.similarity(none, asked).count() == 0
     some = spark.createDataFrame([(1, "a", [1.0, 2.0])], none.schema)
     assert meaning.rerank_candidates(some, asked.limit(0)).count() == 0 and meaning.rerank_candidates(some, asked).count() == 1
+
+
+def test_blocks_give_no_more_candidates_than_are_asked_for(spark, monkeypatch):
+    made, paired = [], meaning._paired
+    monkeypatch.setattr(meaning, "_paired", lambda *a, **k: made.append(paired(*a, **k)) or made[-1])
+    vectors = [(1, i, [1.0, 0.0]) for i in range(200)] + [(2, i, [float(i), 1.0]) for i in range(200)]
+    table = spark.createDataFrame(vectors, "page_id long, element_id long, vector array<double>")
+    asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "query_id long, vector array<double>")
+    found = meaning.rerank_candidates(table, asked, 7, block=4)
+    assert found.where("page_id = 1").selectExpr("max(element_id)", "count(*)").first()[:] == (6, 40 * 7)
+    # Two pages of one block each.
+    assert made[0].count() == found.count() == 40 * 2 * 7
