@@ -204,10 +204,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id, page_id ORDER BY score
 SELECT query_id, page_id, element_id, round(score, 6) AS score, round(z, 5) AS z, rank FROM k WHERE rank <= 10""")
 def meaning_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth vector as a query against all others, labels as pages."""
-    v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    pages = v.select(F.col("label").alias("page_id"), F.col("vec_id").alias("element_id"), F.col("embedding").alias("vector"))
-    out = retrieval.meaning_matches(pages, asked, 2.0, 0.3, skip_equal=True)
+    out = meaning.meaning_matches(*_meant(spark, sf_dir), 2.0, 0.3, skip_equal=True)
     return out.select("query_id", "page_id", "element_id", F.round("score", 6).alias("score"), F.round("z", 5).alias("z"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -68,6 +68,19 @@ def test_nothing_to_search(spark):
     assert meaning.rerank_candidates(some, asked.limit(0)).count() == 0 and meaning.rerank_candidates(some, asked).count() == 1
 
 
+@pytest.mark.parametrize("block", [8, 1024])
+def test_elements_of_the_queries_own_ids_take_no_part_in_blocks(spark, block):
+    rng = np.random.default_rng(3)
+    vectors = [(1, i, rng.normal(size=6).tolist()) for i in range(60)] + [(2, i // 3, rng.normal(size=6).tolist()) for i in range(90)]
+    vectors += [(3, i, rng.normal(size=6).tolist()) for i in range(6)] + [(4, 5, [1.0] * 6)]
+    queries = [(i, rng.normal(size=6).tolist()) for i in (0, 5, 17, 29, 59, 200)]
+    table = spark.createDataFrame(vectors, "page_id long, element_id long, vector array<double>").repartition(3)
+    asked = spark.createDataFrame(queries, "query_id long, vector array<double>")
+    want = sorted(m for q in queries for m in brute([v for v in vectors if v[1] != q[0]], [q], 1.2, 0.8, 4, 7)[0])
+    got = meaning.meaning_matches(table, asked, 1.2, 0.8, 4, block=block, skip_equal=True)
+    assert sorted((r.query_id, r.page_id, r.element_id, round(r.score, 6), r["rank"]) for r in got.collect()) == want
+
+
 def test_blocks_give_no_more_candidates_than_are_asked_for(spark, monkeypatch):
     made, paired = [], meaning._paired
     monkeypatch.setattr(meaning, "_paired", lambda *a, **k: made.append(paired(*a, **k)) or made[-1])
