@@ -29,8 +29,11 @@ from loomstone.llm.scratch import cut, fresh, small_batches
 from loomstone.llm.textcore import ALNUM_WORDS, passes, release, scan, word_hashes
 
 WINDOW = 13
-#: Symbols of one FM-index: bounds the memory of a task (one longer document is a shard of its own).
-SHARD_SYMBOLS = 1 << 20
+#: Symbols of one FM-index: bounds the memory of a task (one longer document is a shard of its own). A large benchmark is
+#: searched in larger shards, which are fewer: SYMBOLS_A_PATTERN for each of its windows, SHARD_SYMBOLS at most.
+SHARD_SYMBOLS, LEAST_SYMBOLS, SYMBOLS_A_PATTERN = 1 << 20, 1 << 18, 4
+#: Bytes of the documents of a shard: words that the benchmark does not have are hardly symbols, but are held, too.
+SHARD_BYTES, PASS = 4 << 20, 1 << 20
 SAMPLE = 16
 #: Windows of items in one broadcast part: at most 13 * 4 bytes each, some 30 MB.
 PHRASES_PER_PART = 1 << 19
@@ -205,6 +208,12 @@ class Shard:
 
     def __init__(self, phrases: Phrases) -> None:
         self.phrases, self.symbols, self.size, self.word_at, self.counts, self.columns = phrases, [], 0, [], [], []
+        self.n_words = self.n_bytes = 0
+        self.most = min(SHARD_SYMBOLS, max(LEAST_SYMBOLS, SYMBOLS_A_PATTERN * sum(len(p) for _, p, _, _ in phrases.by_length)))
+
+    def full(self, part: pa.RecordBatch) -> bool:
+        """Whether ``part`` belongs in the next shard."""
+        return bool(self.columns) and (self.size + part.nbytes // 8 > self.most or self.n_bytes + part.nbytes > SHARD_BYTES)
 
     def add(self, part: pa.RecordBatch) -> None:
         words = scan(part.column("text"), ALNUM_WORDS, lower=True)
@@ -216,12 +225,14 @@ class Shard:
         slot = np.arange(len(hashes)) + words.doc_of() + 1
         symbols[slot] = np.where(known, place + 1, 0)
         number = np.full(len(symbols), -1, dtype=np.int64)
-        number[slot] = np.arange(len(hashes)) + sum(c.sum() for c in self.counts)
+        number[slot] = np.arange(len(hashes)) + self.n_words
         keep = np.ones(len(symbols), dtype=bool)
         keep[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0)
         self.symbols.append(symbols[keep])
         self.word_at.append(number[keep])
         self.size += int(keep.sum())
+        self.n_words += len(hashes)
+        self.n_bytes += part.nbytes
         self.counts.append(words.counts)
         self.columns.append(part)
 
@@ -302,8 +313,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, carry: list[str],
 
             shard = Shard(phrases.value)
             for batch in batches:
-                for part in passes(batch, "text"):
-                    if shard.size and shard.size + part.nbytes // 8 > SHARD_SYMBOLS:
+                for part in passes(batch, "text", PASS):
+                    if shard.full(part):
                         yield from finish(shard)
                         shard = Shard(phrases.value)
                         release()

@@ -6,7 +6,7 @@ Texts stay UTF-8 bytes; all work per byte or word is done by numpy on whole batc
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,8 +113,24 @@ def release() -> None:
         _TRIM(0)
 
 
-def passes(batch: pa.RecordBatch, column: str, limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with at most ``limit`` bytes of text each (or one row)."""
+#: What tasks left in this Python worker for later tasks of the same operator.
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gave an earlier task of this Python worker for ``key``, or gives now.
+
+    Workers serve the tasks of all operators: it goes when ``passes`` reads texts for another one.
+    """
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def passes(batch: pa.RecordBatch, column: str, limit: int = PASS_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with at most ``limit`` bytes of text each (or one row); unless ``keep``, what was ``kept`` goes."""
+    if not keep:
+        _KEPT.clear()
     _, offsets = string_bytes(batch.column(column))
     at = 0
     while at < batch.num_rows:

@@ -14,7 +14,6 @@ doc_id are ordered by their text's hash; an empty table gives an empty folder of
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import rangecoder
 from loomstone.llm.scratch import scratch_dir, small_batches
-from loomstone.llm.textcore import Words, first_bytes, passes, release, string_bytes, word_hashes
+from loomstone.llm.textcore import Words, first_bytes, kept, passes, release, string_bytes, word_hashes
 
 END_ID = 2
 #: Slots of the table of pieces, ids of pieces that a Python worker remembers before it starts anew, and bytes of
@@ -44,10 +43,9 @@ _MAYBE_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] =
 FILE_SCHEMA = "part int, seq int, n_tokens long, doc_ids array<long>, counts array<int>, payload binary"
 
 
-@functools.cache
 def encoder_for(path: str) -> Encoder:
-    """One encoder for each tokenizer file in a Python worker: later tasks find its pieces known."""
-    return Encoder(load_tokenizer(path))
+    """One encoder for each tokenizer file in a Python worker: later tasks find its pieces known, other operators' tasks drop it."""
+    return kept(("encoder", path), lambda: Encoder(load_tokenizer(path)))
 
 
 def load_tokenizer(path: str):
@@ -189,7 +187,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
 
         size = 0
         for batch in batches:
-            for some in passes(batch, "text", 1 << 20):
+            for some in passes(batch, "text", 1 << 20, keep=True):
                 ids, counts = encoder.encode(some.column("text"), end_id)
                 names, at, row = some.column("doc_id").to_pylist(), 0, 0
                 for to, end in enumerate(np.cumsum(counts).tolist(), 1):

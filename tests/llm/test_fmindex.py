@@ -93,3 +93,34 @@ def test_several_parts_keep_every_row_and_its_own_spans(spark, monkeypatch):
     monkeypatch.setattr(fmindex, "PHRASES_PER_PART", 100)
     got = fmindex.contaminated_spans(d, b, ["doc_id"]).select("doc_id", "n_words", fmindex.n_hit().alias("h"), "item_ids").collect()
     assert sorted((tuple(r) for r in got), key=str) == sorted(((i, *brute(t, items)) for i, t in docs), key=str)
+
+
+def test_shards_are_bounded_by_the_texts_that_they_hold(spark, monkeypatch):
+    """Words that the benchmark does not have shrink to nothing in a shard, but their texts are held with it."""
+    import pyarrow as pa
+
+    made = []
+
+    class Noted(fmindex.Shard):
+        def __init__(self, phrases):
+            super().__init__(phrases)
+            made.append(self)
+
+    docs = [(i, "other words than those " * 2000) for i in range(200)]
+    phrases = fmindex.phrases_of(pa.table({"pattern": pa.array([b"8 bytes!"]), "item_id": pa.array([1], pa.int64())}))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "text": pa.array([t for _, t in docs])})
+    shard, shards = Noted(phrases), 1
+    for i in range(len(docs)):
+        part = batch.slice(i, 1)
+        if shard.full(part):
+            shard, shards = Noted(phrases), shards + 1
+        shard.add(part)
+    assert shards > 1 and sum(len(s.columns) for s in made) == len(docs)
+    assert all(sum(p.nbytes for p in s.columns) <= fmindex.SHARD_BYTES or len(s.columns) == 1 for s in made)
+    # One text a shard gives the same spans.
+    items = corpus()[1]
+    few = spark.createDataFrame(corpus()[0], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(fmindex, "SHARD_BYTES", 1)
+    monkeypatch.setattr(fmindex, "PASS", 1)
+    got = fmindex.contaminated_spans(few, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).select("doc_id", "n_words", fmindex.n_hit().alias("h"), "item_ids").collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(((i, *brute(t, items)) for i, t in corpus()[0]), key=str)

@@ -129,3 +129,13 @@ def test_slots_that_pieces_share(monkeypatch):
     texts = [" ".join(f"word{i}" for i in range(200)), None, " word1 a-much-longer-piece  word2", ""] * 3
     ids, counts = small.encode(pa.array(texts, type=pa.string()))
     assert ids.tolist() == [i for t in texts for i in plain(t)] and counts.sum() == len(ids)
+
+
+def test_another_operators_tasks_drop_the_table_of_pieces():
+    """Python workers are shared: what op1 remembers in one must not stay beside the tasks of other operators."""
+    from loomstone.llm import textcore
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a b", "c"]})
+    first = tokens.encoder_for(PATH)
+    assert len(list(textcore.passes(batch, "text", keep=True))) == 1 and tokens.encoder_for(PATH) is first
+    assert len(list(textcore.passes(batch, "text"))) == 1 and tokens.encoder_for(PATH) is not first
