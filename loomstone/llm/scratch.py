@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.sources import scratch
-from loomstone.sources.scratch import discard, discard_since, file_system, scratch_dir, written
+from loomstone.sources.scratch import discard, discard_since, file_system, scratch_dir, sweep, written
 
 __all__ = ["cut", "discard", "discard_since", "fresh", "join_hot", "numbered", "renamed", "scratch_dir", "small_batches", "sweep", "written"]
 
@@ -33,12 +31,6 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return whole
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs, which it does once their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Keys with more than one in so many of all rows are joined by broadcast: there are fewer than so many.
 HOT_KEYS = 500
 

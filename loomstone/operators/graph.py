@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions.text import verb_class
 from loomstone.operators.relational import running
-from loomstone.sources.scratch import cut, discard
+from loomstone.sources.scratch import cut, discard, sweep
 
 
 def outgoing_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -134,15 +134,20 @@ def routes(found: DataFrame) -> DataFrame:
 
 #: Starts whose steps are taken together: the bits of a number.
 TOGETHER = 64
+#: Sets of starts that a crawl takes at a time (all of them need disk as the square of the files), and names of starts that are broadcast.
+SETS, FEW_STARTS = 8, 1 << 18
 
 
-def _levels(edges: DataFrame, starts: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+def _levels(edges: DataFrame, starts: DataFrame, max_depth: int, sets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes within ``max_depth`` links (edges: src, dst) of sets of starts: (node, group, levels), and the starts' numbers (start_id, n).
 
     starts: start_id, and node where a start is not its own node or has several. Starts are numbered and dealt into sets of
     TOGETHER, one bit each. A row is a node and a set, with the bits that reached it at each depth, so starts that
     meet take their further steps as one row; the bits of a node's edges are joined (``bit_or``) before they are
     shuffled, which also holds for the edges into a hub. Each hop rewrites the one table of rows.
+
+    With ``sets``, so many sets go all their steps before the next ones start, so only their rows are rewritten and shuffled at a
+    time. What stays of the others is sorted by its bits: files that are as far from the same starts take hardly any room.
     """
     starts = starts.where("start_id IS NOT NULL")
     edges = cut(edges.select("src", "dst"), "reach-edges")
@@ -150,9 +155,24 @@ def _levels(edges: DataFrame, starts: DataFrame, max_depth: int) -> tuple[DataFr
     numbered = cut(running(seeds.select("start_id").distinct(), ["start_id"]).select("start_id", (F.col("place") - 1).alias("n")), "reach-starts")
     bit = F.expr(f"shiftleft(1L, CAST(n % {TOGETHER} AS INT))")
     group = F.floor(F.col("n") / TOGETHER).alias("group")
+    if sets:
+        spark, done = edges.sparkSession, []
+        for low in range(0, numbered.count(), sets * TOGETHER):
+            own = numbered.where(F.col("n").between(low, low + sets * TOGETHER - 1))
+            first = seeds.join(own, "start_id").groupBy("node", group).agg(F.bit_or(bit).alias("known"))
+            done.append(_walk(edges, first, max_depth, compact=True))
+            sweep(spark)
+        if done:
+            return spark.read.schema(done[0].schema).parquet(*(t._scratch_path for t in done)), numbered
+    first = seeds.join(numbered, "start_id").groupBy("node", group).agg(F.bit_or(bit).alias("known"))
+    return _walk(edges, first, max_depth).select("node", "group", "levels"), numbered
+
+
+def _walk(edges: DataFrame, first: DataFrame, max_depth: int, compact: bool = False) -> DataFrame:
+    """The steps of ``_levels`` from rows (node, group, known); ``compact``: at last only node, group and levels, sorted."""
     none = F.lit(0).cast("long")
     at = lambda depth, bits: F.array(F.struct(F.lit(depth).alias("depth"), bits.alias("bits")))
-    first = seeds.join(numbered, "start_id").groupBy("node", group).agg(F.bit_or(bit).alias("known"))
+    final = lambda rows: cut(rows.select("node", "group", "levels").sortWithinPartitions("group", "levels", "node"), "reached", compression="zstd")
     state = cut(first.select("node", "group", "known", F.col("known").alias("fresh"), at(0, F.col("known")).alias("levels")), "reach")
     for depth in range(1, max_depth + 1):
         ahead = state.where("fresh <> 0").select(F.col("node").alias("src"), "group", "fresh").join(edges, "src").select(F.col("dst").alias("node"), "group", none.alias("known"), F.lit(None).alias("levels"), F.col("fresh").alias("bits"))
@@ -161,21 +181,31 @@ def _levels(edges: DataFrame, starts: DataFrame, max_depth: int) -> tuple[DataFr
         joined = both.groupBy("node", "group").agg(F.bit_or("known").alias("known"), F.coalesce(F.max("levels"), F.filter(at(0, none), lambda x: F.lit(False))).alias("levels"), F.bit_or("bits").alias("bits"))
         joined = joined.withColumn("fresh", F.col("bits").bitwiseAND(F.bitwise_not("known")))
         grown = F.when(F.col("fresh") != 0, F.concat("levels", at(depth, F.col("fresh")))).otherwise(F.col("levels"))
-        after = cut(joined.select("node", "group", F.col("known").bitwiseOR(F.col("fresh")).alias("known"), "fresh", grown.alias("levels")), "reach")
+        rows = joined.select("node", "group", F.col("known").bitwiseOR(F.col("fresh")).alias("known"), "fresh", grown.alias("levels"))
+        last = compact and depth == max_depth
+        after = final(rows) if last else cut(rows, "reach")
         discard(state)
         state = after
+        if last:
+            return state
         if state.where("fresh <> 0").isEmpty():
             break
-    return state.select("node", "group", "levels"), numbered
+    if compact:
+        whole = state
+        state = final(whole)
+        discard(whole)
+    return state
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int, sets: int | None = None) -> DataFrame:
     """start_id, node, depth of every node within ``max_depth`` links (edges: src, dst); its least depth.
 
-    starts: start_id, and node where a start is not its own node or has several; see ``_levels``.
+    starts: start_id, and node where a start is not its own node or has several; ``sets``: of starts at a time; see ``_levels``.
     """
-    state, numbered = _levels(edges, starts, max_depth)
+    state, numbered = _levels(edges, starts, max_depth, sets)
     names = numbered.groupBy(F.floor(F.col("n") / TOGETHER).alias("group")).agg(F.array_sort(F.collect_list(F.struct("n", "start_id"))).alias("names"))  # TOGETHER at most
+    if sets and numbered.count() <= FEW_STARTS:
+        names = F.broadcast(names)  # else all rows are shuffled to the names of their set
     rows = state.join(names, "group").select("node", "names", F.inline("levels"))
     members = F.filter("names", lambda x, i: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
     return rows.select("node", "depth", F.explode(members).alias("member")).select(F.col("member.start_id").alias("start_id"), "node", "depth")
@@ -237,7 +267,7 @@ def discover(imports: DataFrame, starts: DataFrame, max_depth: int = 5) -> DataF
 def crawl(imports: DataFrame, starts: DataFrame, max_depth: int = 6) -> DataFrame:
     """Files linked to a file in either direction; starts: start_id, and node for the files of a start that is no file."""
     one = imports.where("resolved_file_id IS NOT NULL").select(F.col("file_id").alias("src"), F.col("resolved_file_id").alias("dst"))
-    return reach(one.union(one.select("dst", "src")).distinct(), starts, max_depth)
+    return reach(one.union(one.select("dst", "src")).distinct(), starts, max_depth, SETS)
 
 
 def place_files(files: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:

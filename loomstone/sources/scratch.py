@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +34,17 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 _WRITTEN: list[str] = []
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs, which it does once their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def cut(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages and loops survive lost executors."""
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     _WRITTEN.append(path)

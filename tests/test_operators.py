@@ -333,3 +333,37 @@ def test_shared_endpoints_are_made_once_without_a_shuffle_of_the_pairs(spark, mo
     assert sorted(map(tuple, found.collect())) == sorted(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Distinct" not in plan
+
+
+def test_a_crawl_takes_few_sets_of_starts_at_a_time(spark, monkeypatch):
+    """Rows that a hop rewrites are those of some sets only; starts are reached as by one walk, also where it ends early."""
+    n, sizes, cut = 200, [], graph.cut
+
+    def noted(rows, label, **options):
+        table = cut(rows, label, **options)
+        if label == "reach":
+            sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(graph, "cut", noted)
+    monkeypatch.setattr(graph, "SETS", 1)
+    pairs = [(i, i + 1) for i in range(n - 1) if i % 50] + [(i, 7) for i in range(0, n, 9)]
+    near = {i: set() for i in range(n)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    imports = spark.createDataFrame([*pairs, (5, None)], "file_id long, resolved_file_id long")
+    starts = spark.createDataFrame([(i,) for i in range(0, n, 2)] + [(None,)], "start_id long")
+    for depth in (2, 14):
+        want = set()
+        for s in range(0, n, 2):
+            seen, level = {s}, {s}
+            want.add((s, s, 0))
+            for d in range(1, depth + 1):
+                level = {y for x in level for y in near[x]} - seen
+                seen |= level
+                want |= {(s, x, d) for x in level}
+        got = [tuple(r) for r in graph.crawl(imports, starts, depth).select("start_id", "node", "depth").collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert max(sizes) <= n
+    assert graph.crawl(imports, starts.where("start_id < 0"), 3).count() == 0
