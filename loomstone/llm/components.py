@@ -12,7 +12,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (columns u, v, both long); root: the smallest node reachable.
 
     Self links are ignored, repeated and reversed links count once; no edges give no rows. Each round
-    is written to the shared scratch space and the round before it deleted. Group minima are partly aggregated before
+    is written to the shared scratch space and the round before it deleted. So is each half of a round: in one plan, the small star would
+    hold the large star's plan once for each time that it reads it, and the driver plans in memory. Group minima are partly aggregated before
     their shuffle. Hubs, nodes with more than one in HOT_KEYS of all links' ends, of which there are fewer than HOT_KEYS, meet
     their minimum by broadcast, so no task gets all links of a hub.
     """
@@ -29,10 +30,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         moved = with_minimum(e, low, hubs).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
-    def large(both: DataFrame, hubs: list[int]) -> DataFrame:
+    def large(e: DataFrame, both: DataFrame, hubs: list[int]) -> DataFrame:
         # For every u: its larger neighbours link to the smallest of u and its neighbours.
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        moved = with_minimum(both.where("v > u"), low, hubs)
+        moved = with_minimum(e.select(F.col("v").alias("u"), F.col("u").alias("v")), low, hubs)
         return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
     def state(e: DataFrame) -> tuple[int, int, int]:
@@ -52,8 +53,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         hubs = []
         if most * HOT_KEYS > ends:
             hubs = [r.u for r in both.groupBy("u").count().where(F.col("count") * HOT_KEYS > ends).collect()]  # fewer than HOT_KEYS
-        near = cut(small(large(both, hubs), hubs), label)
+        far = cut(large(e, both, hubs), label)
         discard(e)
-        e = near
+        e = cut(small(far, hubs), label)
+        discard(far)
         sweep(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

@@ -15,7 +15,6 @@ columns may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -279,10 +278,11 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     members = cut(lists.select("node").distinct(), "listed-nodes")
     listed = lambda pairs: pairs.join(members.withColumnRenamed("node", "u"), "u", "left_semi").join(members.withColumnRenamed("node", "v"), "v", "left_semi")
     prints = _print_pairs(rows.select("node", "fp").distinct(), radius, tree_limit)
-    links = [verified(listed(prints).select("u", "v").union(_list_pairs(lists, similarity)))]
+    links = verified(listed(prints).select("u", "v").union(_list_pairs(lists, similarity)))
+    roots = components(links, "set-links")
+    discard(links)
     sketches = rows.select("node", "sketch").dropDuplicates(["node"])
     for all_pairs in (False, True):
-        roots = components(reduce(DataFrame.union, links), "set-links")
         # Lists whose members are not all of one class yet.
         rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rooted.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
@@ -291,9 +291,11 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
         lists = open_lists.drop("root")
         lists._scratch_path = open_lists._scratch_path
         sweep(spark)
-        links.append(verified(_class_pairs(open_lists.join(sketches, "node"), similarity, all_pairs)))
-    roots = components(reduce(DataFrame.union, links), "set-links")
-    discard(*links, lists, members)
+        links = verified(_class_pairs(open_lists.join(sketches, "node"), similarity, all_pairs))
+        # A class goes on as the star that it is by now, not by its links again: few rounds are left.
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links), "set-links")
+        discard(links)
+    discard(lists, members)
     sweep(spark)
     # Many rows may be one node, and many nodes one class.
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(roots, "node", "left").withColumn("class_id", F.coalesce("root", "node"))

@@ -36,6 +36,16 @@ def test_components_of_stars_chains_and_noise(spark, monkeypatch, hot):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_plans_of_components_rounds_stay_small(spark, monkeypatch):
+    """The driver's memory grows with the tables that one plan reads, each as often as it is read."""
+    leaves, cut = [], components_module.cut
+    monkeypatch.setattr(components_module, "HOT_KEYS", 3)
+    monkeypatch.setattr(components_module, "cut", lambda df, label: leaves.append(df._jdf.queryExecution().analyzed().collectLeaves().size()) or cut(df, label))
+    edges = [(0, i) for i in range(1, 40)] + [(50 + i, 51 + i) for i in range(12)] + [(39, 50)]
+    assert {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()} == brute(edges)
+    assert len(leaves) > 2 and max(leaves) <= 8
+
+
 @pytest.mark.parametrize("hot", [500, 4])
 def test_frequent_keys_are_joined_like_any_other(spark, monkeypatch, hot):
     monkeypatch.setattr(scratch, "HOT_KEYS", hot)
