@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.components import components
 from loomstone.llm.scratch import cut, discard, discard_since, join_hot, small_batches, sweep, written
-from loomstone.llm.textcore import SPACE_WORDS, passes, run_hashes, scan, word_hashes
+from loomstone.llm.textcore import SPACE_WORDS, passes, releasing, run_hashes, scan, word_hashes
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -176,7 +176,7 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, tree_limit: int = TREE_
         ends = np.array(pairs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
 
-    return dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree").mapInArrow(run, "u long, v long").distinct()
+    return dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree").mapInArrow(releasing(run), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE_WORDS, seed: int = 42, tree_limit: int = TREE_LIMIT) -> DataFrame:
@@ -371,7 +371,7 @@ def _shared_shingles(docs: DataFrame, shingle: int, similarity: float) -> DataFr
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), dtype=np.int64))], names=["shingle"])
 
-    counts = _sets(docs.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0), shingle).select("shingles").mapInArrow(spread, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    counts = _sets(docs.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0), shingle).select("shingles").mapInArrow(releasing(spread), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
     counts = cut(counts.where("n > 1"), "shingle-counts")
     # At most about a million frequent shingles go out.
     least = max(4, (counts.agg(F.sum("n")).first()[0] or 0) >> 20)
@@ -416,7 +416,7 @@ def _shared_shingles(docs: DataFrame, shingle: int, similarity: float) -> DataFr
                 yield _table(shingle=shingle[keep], node=node[keep], size=size[keep], pos=pos[keep])
 
     lists = "shingle long, node long, size long, pos long"
-    found = cut(_in_lists(_sets(docs, shingle).mapInArrow(rarest, lists)).mapInArrow(shared, lists), "shingle-lists")
+    found = cut(_in_lists(_sets(docs, shingle).mapInArrow(releasing(rarest), lists)).mapInArrow(releasing(shared), lists), "shingle-lists")
     sweep(spark)
     return found
 
@@ -479,7 +479,7 @@ def _list_pairs(lists: DataFrame, similarity: float) -> DataFrame:
             i = i[_may(similarity, size, pos, i, i + 1)]
             yield _table(u=node[i], v=node[i + 1])
 
-    return _in_lists(lists.select("shingle", "node", "size", "pos")).mapInArrow(run, "u long, v long")
+    return _in_lists(lists.select("shingle", "node", "size", "pos")).mapInArrow(releasing(run), "u long, v long")
 
 
 def _class_pairs(lists: DataFrame, similarity: float, all_pairs: bool) -> DataFrame:
@@ -526,7 +526,7 @@ def _class_pairs(lists: DataFrame, similarity: float, all_pairs: bool) -> DataFr
                                 x, y = x[x < y], y[x < y]
                             yield good(x, y)
 
-    pairs = _in_lists(lists.select("shingle", "node", "size", "pos", "root", "sketch")).mapInArrow(run, "u long, v long")
+    pairs = _in_lists(lists.select("shingle", "node", "size", "pos", "root", "sketch")).mapInArrow(releasing(run), "u long, v long")
     if all_pairs:
         return pairs
     both = pairs.union(pairs.select("v", "u"))
@@ -569,12 +569,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int,
 
     proposed = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "proposed")
     known = wanted(proposed).select("node", "size", "parities").dropDuplicates(["node"])
-    likely = cut(joined(proposed, known).select("u", "v", "size_u", "size_v", "parities_u", "parities_v").mapInArrow(decide(possible), "u long, v long"), "likely")
+    likely = cut(joined(proposed, known).select("u", "v", "size_u", "size_v", "parities_u", "parities_v").mapInArrow(releasing(decide(possible)), "u long, v long"), "likely")
     # One text of each node, and its set.
     # Written, so that its size is known when it is joined to the texts.
     chosen = cut(wanted(likely).groupBy("node").agg(F.min("content").alias("content")).select("content"), "chosen-texts")
     sets = _sets(texts.join(chosen, "content", "left_semi"), shingle).dropDuplicates(["node"])
-    kept = cut(joined(likely, sets).select("u", "v", "shingles_u", "shingles_v").mapInArrow(decide(similar), "u long, v long"), "similar")
+    kept = cut(joined(likely, sets).select("u", "v", "shingles_u", "shingles_v").mapInArrow(releasing(decide(similar)), "u long, v long"), "similar")
     discard(proposed, likely, chosen)
     sweep(rows.sparkSession)
     return kept

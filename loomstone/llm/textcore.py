@@ -113,6 +113,17 @@ def release() -> None:
         _TRIM(0)
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of ``mapInArrow`` for tasks without ``passes``: drops what was ``kept`` and, when it ends, gives freed memory back."""
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _KEPT.clear()
+        yield from run(batches)
+        release()
+
+    return call
+
+
 #: What tasks left in this Python worker for later tasks of the same operator.
 _KEPT: dict[object, object] = {}
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import rangecoder
 from loomstone.llm.scratch import scratch_dir, small_batches
-from loomstone.llm.textcore import Words, first_bytes, kept, passes, release, string_bytes, word_hashes
+from loomstone.llm.textcore import Words, first_bytes, kept, passes, release, releasing, string_bytes, word_hashes
 
 END_ID = 2
 #: Slots of the table of pieces, ids of pieces that a Python worker remembers before it starts anew, and bytes of
@@ -202,6 +202,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
                             release()
         if held:
             yield flush()
+            held = []
+        release()
 
     # Equal doc_ids are dealt by their texts' hashes, equal rows by their place in the input: no key is hot.
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
@@ -234,6 +236,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                 if with_ids:
                     arrays.append(pa.ListArray.from_arrays(pa.array(np.append(begins, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(arrays, names=["part", "seq", "at", "doc_id", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
+                release()
 
     # Ids before a group: groups of a part in order, parts in order (one row for each task that wrote).
     groups = files.select("part", "seq", "n_tokens")
@@ -241,7 +244,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     parts = groups.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     bases = groups.withColumn("own", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(before, "part").select("part", "seq", (F.col("own") + F.col("before")).alias("base"))
-    documents = files.select("part", "seq", "doc_ids", "counts", "payload").mapInArrow(run, schema)
+    documents = files.select("part", "seq", "doc_ids", "counts", "payload").mapInArrow(releasing(run), schema)
     out = documents.join(bases, ["part", "seq"])
     return out.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 

@@ -139,3 +139,13 @@ def test_another_operators_tasks_drop_the_table_of_pieces():
     first = tokens.encoder_for(PATH)
     assert len(list(textcore.passes(batch, "text", keep=True))) == 1 and tokens.encoder_for(PATH) is first
     assert len(list(textcore.passes(batch, "text"))) == 1 and tokens.encoder_for(PATH) is not first
+
+
+def test_a_task_that_only_decodes_drops_the_encoder_and_gives_memory_back(monkeypatch):
+    from loomstone.llm import textcore
+
+    freed = []
+    monkeypatch.setattr(textcore, "release", lambda: freed.append(True))
+    monkeypatch.setattr(textcore, "_KEPT", {"encoder": object()})
+    assert list(textcore.releasing(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4]
+    assert not textcore._KEPT and freed == [True]
