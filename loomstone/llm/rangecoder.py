@@ -5,324 +5,390 @@ its own ids alone and can be decoded alone (``decode_block``): the group's head
 checksums. For each id, predictions of three orders are mixed into one code interval:
 
 * order 2 and order 1: the id that last followed the same two ids, or the same id, in this block, each with
-  a confidence that rises with hits and falls with misses. The weight that an order gets in the mix is
-  learned in the block, too: how often it was right so far at this pair of confidences;
-* order 0: what the two leave is shared by how often ids came that the two did not predict, in this block so far: by
-  the low 10 bits of the id, and in them by the next 8 bits, of which those seen last have nearly all. The
-  cumulative frequencies are summed anew at steps 8, 16, 32 and so on. Bits above the 18th are coded with
-  equal shares.
-
-An id of a higher order is one step of a 64-bit range coder; one of order 0 takes a second step.
-Blocks are coded side by side: one numpy step handles the i-th id of every block.
+  a confidence that rises with hits and falls back with a miss;
+* order 0: the ids of this block so far, each by how often it came. It is summed anew at steps 8, 16, 32 and so on,
+  when it takes in all ids before;
+* what none of these knows: all ids with equal shares.
+
+The weights that share the interval among the four are learned in the block, too: how often each was right so far at this
+pair of confidences. What was counted before the last of these steps counts half.
+
+Blocks are coded side by side: one numpy step handles the i-th id of every block. All totals are powers of two, so
+coding does without divisions and decoding takes two. Carries are added to the words at the end.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"LRC3"
+MAGIC = b"LRC4"
 BLOCK = 1024
 #: Ids of one group at most: bounds memory, and gives one and a half thousand blocks side by side.
 GROUP = 3 << 19
 #: Ids are below 2^MAX_BITS.
 MAX_BITS = 28
-_SLOTS1, _SLOTS2 = 1 << 10, 1 << 11
-_TOP = np.uint64(1 << 32)
-_LOW32 = np.uint64((1 << 32) - 1)
+#: Order 0 knows at most the first 2^15 ids of a block.
+_HISTORY_BITS = 15
+#: Lines of a block's table, and entries of a line: one of order 1, the others of order 2.
+_LINES, _ENTRIES = 1 << 9, 1 << 3
 _U = np.uint64
-_32 = _U(32)
 
-#: Shares of the interval are in 4096ths, learned weights in 65536ths; a weight moves by a 16th of what it missed.
-_SHARE_BITS, _WEIGHT_BITS, _WEIGHT_RATE = 12, 16, 4
-_SHARES, _WEIGHTS = 1 << _SHARE_BITS, 1 << _WEIGHT_BITS
 
-#: Order 0: ids share slots by their low bits; what an id adds to its slot's frequency, which starts at 1.
-_LOW_BITS, _COUNT = 10, 28
-_LOWS = 1 << _LOW_BITS
-#: Bits of the id above the slot's that order 0 knows, and shares of a slot for each of their values.
-_MID_BITS, _MID_SHARES = 8, 8
+def _constants(kind: type, *values: int) -> list[np.ndarray]:
+    """Arrays without dimensions: numpy takes these faster than numbers."""
+    return [np.array(v, dtype=kind) for v in values]
 
 
-class CorruptBlock(ValueError):
-    """A block or head whose checksum does not match."""
+#: Shares of the interval are in 4096ths. Outcomes of an id: order 2, order 1, order 0, none of them.
+_SHARE_BITS, _SHARES = 12, 1 << 12
+#: Bits of an id that are coded at once where no order knows it; those above take a step of their own.
+_LOW_BITS = 16
+_L1, _L3, _L16, _L32, _LFIELD = _constants(np.int64, 1, 3, 16, 32, 0xFFFF)
+_I1, _I2, _I3 = _constants(np.int32, 1, 2, 3)
+_NO, _U4, _U5, _U12, _U16, _U32, _FIELD, _TOP = _constants(np.uint64, 0, 4, 5, _SHARE_BITS, 16, 32, 0xFFFF, 1 << 32)
+#: A number in each of three 16-bit fields; the top bits of these; the largest share.
+_THREE, _TOPS, _LAST_SHARE, _THREE_FIELDS = _constants(np.uint64, 0x0001_0001_0001, 0x8000_8000_8000, _SHARES - 1, (1 << 48) - 1)
+_LINE, _SUB = _constants(np.int64, (_LINES - 1) * _ENTRIES, _ENTRIES - 1)
+_TWO_OUTCOMES, _NONE = _constants(np.uint8, 2, 3)
+_ONE = np.array(1, dtype=np.int64)
 
 
-def _slot1(p1: np.ndarray) -> np.ndarray:
-    return (p1 * 40503 >> 3) & (_SLOTS1 - 1)
+class CorruptBlock(ValueError):
+    """A block or head whose checksum does not match."""
 
 
-def _slot2(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
-    return ((p1 * 40503 ^ p2 * 60493) >> 4) & (_SLOTS2 - 1)
+def _first_counts() -> np.ndarray:
+    """Outcomes that a block starts with, by key (confidence of order 2 * 8 + of order 1 * 2 + same)."""
+    q2, q1, same = (x.ravel() for x in np.meshgrid(np.arange(4), np.arange(4), np.arange(2), indexing="ij"))
+    rate2, rate1 = np.array([0.0, 0.4, 0.7, 0.9])[q2], np.array([0.0, 0.25, 0.5, 0.8])[q1]
+    two = np.where(same, 1 - (1 - rate2) * (1 - rate1), rate2)
+    one = np.where(same, 0.0, (1 - two) * rate1)
+    rest = 1 - two - one
+    return np.rint(np.stack([two, one, rest / 2, rest / 2], axis=1) * 64).astype(np.int32)
 
 
-_STEP_UP = np.array([1] * 7 + [0], dtype=np.int32)
+#: An outcome counts 16.
+_COUNT, _FIRST = 16, _first_counts()
+_KEYS = len(_FIRST)
 
 
-def _first_weights() -> tuple[np.ndarray, np.ndarray]:
-    """Weights of a block's start by key (confidence of order 2 * 16 + of order 1 * 2 + same): q / (q + 1) of
-    what is there to share, nothing without a prediction; two orders that agree are trusted more."""
-    q2, q1, same = (x.ravel() for x in np.meshgrid(np.arange(8), np.arange(8), np.arange(2), indexing="ij"))
-    rate = lambda q: q / (q + 1.0)
-    two = np.where(same, 1 - (1 - rate(q2)) * (1 - rate(q1)), rate(q2))
-    one = np.where(same, 0.0, rate(q1) / 2)
-    return tuple((np.clip(w, 0.0, 0.97) * _WEIGHTS).astype(np.int32) for w in (two, one))
+class _Orders:
+    """Predictions of order 1 and order 2 of all blocks by hashed context, and the weights of the orders by confidences.
+
+    An entry of the table is id * 4 + confidence. The last id's line has order 1's entry, then those of order 2, dealt by the id before.
+    """
+
+    def __init__(self, lanes: int, steps: int) -> None:
+        self.base, self.at = np.arange(lanes, dtype=np.int64) * (_LINES * _ENTRIES), np.arange(lanes, dtype=np.int32) * np.int32(_KEYS)
+        self.table = np.zeros(lanes * _LINES * _ENTRIES, dtype=np.int32)
+        self.counts = np.tile(_FIRST.T, lanes)
+        # Of every step: key and outcome. A shorter last block leaves its own first cell.
+        self.keys, self.outcomes = np.full((steps, lanes), (lanes - 1) * _KEYS, dtype=np.int32), np.zeros((steps, lanes), dtype=np.uint8)
+        self.slots, self.sub = np.append(self.base, self.base + 1), np.ones(lanes, dtype=np.int64)
+        self._weigh()
+
+    def shrink(self, m: int) -> None:
+        """Go on with the first m blocks."""
+        self.slots = self.slots.reshape(2, -1)[:, :m].ravel()
+        self.base, self.at, self.sub = self.base[:m], self.at[:m], self.sub[:m]
+
+    def refresh(self, begin: int, end: int) -> None:
+        """Learn the weights from the steps since the last time."""
+        cells = self.outcomes[begin:end] * np.int32(self.counts.shape[1])
+        cells += self.keys[begin:end]
+        self.counts >>= 1
+        self.counts += np.bincount(cells.ravel(), minlength=self.counts.size).reshape(4, -1).astype(np.int32) * np.int32(_COUNT)
+        self._weigh()
+
+    def _weigh(self) -> None:
+        """Ends of the intervals of each key as 16 bits each, at least one share for each."""
+        share = (_SHARES - 4.0) / np.maximum(self.counts.sum(axis=0), 1)
+        ends, end = np.full(len(share), _SHARES << 48, dtype=np.uint64), np.zeros(len(share), dtype=np.uint64)
+        for outcome in range(3):
+            end += (self.counts[outcome] * share).astype(np.uint64) + _U(1)
+            ends |= end << _U(16 * outcome)
+        self.ends = ends
+
+    def look(self) -> np.ndarray:
+        """Predicted ids (rows: order 1, order 2) and confidences; ends of the intervals."""
+        entries = self.table.take(self.slots, mode="clip").reshape(2, -1)
+        self.ids, self.sure = entries >> _I2, entries & _I3
+        key = self.sure[1] << _I2
+        key += self.sure[0]
+        key <<= _I1
+        key += self.ids[0] == self.ids[1]
+        key += self.at
+        self.key = key
+        return self.ends.take(key, mode="clip")
+
+    def learn(self, step: int, x: np.ndarray, narrow: np.ndarray, hit: np.ndarray, outcome: np.ndarray) -> None:
+        """The id (``narrow``: in 32 bits) takes the place of what was predicted; the confidence rises with hits, up to 3, and is 1
+        after a miss."""
+        m = len(x)
+        self.keys[step, :m], self.outcomes[step, :m] = self.key, outcome
+        sure = np.minimum(self.sure, _I2)
+        sure *= hit
+        narrow = narrow << _I2
+        narrow += _I1
+        sure += narrow
+        self.table[self.slots] = sure.ravel()
+        line = x << _L3
+        line &= _LINE
+        np.add(line, self.base, out=self.slots[:m])
+        np.add(self.slots[:m], self.sub, out=self.slots[m:])
+        self.sub = np.maximum(x & _SUB, _L1)
+
+
+def _phases(steps: int) -> Iterator[tuple[int, int, int]]:
+    """Steps from and to which order 0 knows the first 2^k ids (k = 0: none), and k."""
+    begin, k = 0, 0
+    while begin < steps:
+        end = min(8 if not begin else 2 * begin, steps) if k < _HISTORY_BITS else steps
+        yield begin, end, k
+        begin, k = end, end.bit_length() - 1
 
 
-_TWO0, _ONE0 = _first_weights()
+def _lengths(n: int, block: int) -> np.ndarray:
+    """Ids of each block: all full but the last."""
+    return np.minimum(np.arange(n, 0, -block), block) if n else np.zeros(0, dtype=np.int64)
 
 
-class _Orders:
-    """Predictions of order 2 and order 1 of all blocks by hashed context; an entry is id * 8 + confidence."""
-
-    def __init__(self, lanes: int) -> None:
-        self.at1 = np.arange(lanes, dtype=np.int64) * _SLOTS1
-        self.at2 = np.arange(lanes, dtype=np.int64) * _SLOTS2
-        self.at = np.arange(lanes, dtype=np.int64) * len(_TWO0)
-        self.table1 = np.zeros(lanes * _SLOTS1, dtype=np.int32)
-        self.table2 = np.zeros(lanes * _SLOTS2, dtype=np.int32)
-        self.two, self.one = np.tile(_TWO0, lanes), np.tile(_ONE0, lanes)
-
-    def look(self, p1: np.ndarray, p2: np.ndarray) -> None:
-        """Predicted ids c2 and c1, and the ends of their intervals, of 4096."""
-        m = len(p1)
-        self.i1, self.i2 = _slot1(p1) + self.at1[:m], _slot2(p1, p2) + self.at2[:m]
-        self.e1, self.e2 = self.table1.take(self.i1), self.table2.take(self.i2)
-        self.c1, self.c2 = self.e1 >> 3, self.e2 >> 3
-        self.q1, self.q2 = self.e1 & 7, self.e2 & 7
-        self.same = self.c1 == self.c2
-        self.key = self.at[:m] + ((self.q2 << 4) + (self.q1 << 1) + self.same)
-        self.w2, self.w1 = self.two.take(self.key), self.one.take(self.key)
-        # Each order and what is left have at least one of the 4096 shares.
-        self.end2 = (self.w2 * (_SHARES - 3) >> _WEIGHT_BITS) + 1
-        self.end1 = self.end2 + (self.w1 * (_SHARES - 2 - self.end2) >> _WEIGHT_BITS) + 1
-
-    def learn(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        """A hit raises the confidence; a miss lowers it, and replaces an entry of confidence 1 or none.
-
-        Weights move towards what would have been right: order 1's only where order 2 missed.
-        """
-        entry = (x << 3) + 1
-        self.table1[self.i1] = np.where(hit1, self.e1 + _STEP_UP.take(self.q1), np.where(self.q1 > 1, self.e1 - 1, entry))
-        self.table2[self.i2] = np.where(hit2, self.e2 + _STEP_UP.take(self.q2), np.where(self.q2 > 1, self.e2 - 1, entry))
-        self.two[self.key] = self.w2 + ((hit2 * np.int32(_WEIGHTS - 1) - self.w2) >> _WEIGHT_RATE)
-        self.one[self.key] = np.where(hit2, self.w1, self.w1 + ((hit1 * np.int32(_WEIGHTS - 1) - self.w1) >> _WEIGHT_RATE))
-
-
-class _Order0:
-    """Adaptive frequencies of ids of each block, with the id that each slot saw last."""
-
-    def __init__(self, lanes: int, block: int, mid_bits: int) -> None:
-        kind = np.int16 if _LOWS + _COUNT * block < 1 << 15 else np.int32
-        self.counts = np.ones((lanes, _LOWS), dtype=kind)
-        # Ends of the slots' intervals, and of runs of 32 slots.
-        self.ends = np.tile(np.arange(1, _LOWS + 1, dtype=kind), (lanes, 1))
-        self.runs = np.ascontiguousarray(self.ends[:, 31::32])
-        self.last = np.full(lanes * _LOWS, -1, dtype=np.int16)
-        self.flat_counts, self.flat, self.by_run = self.counts.reshape(-1), self.ends.reshape(-1), self.ends.reshape(-1, 32)
-        # Shares of a slot: one for each value of the middle bits, the rest for the last one seen.
-        self.shares = _MID_SHARES << mid_bits
-        self.extra = self.shares - (1 << mid_bits)
-
-    def refresh(self, step: int) -> None:
-        """Sum up at steps 8, 16, 32 and so on."""
-        if step >= 8 and step & (step - 1) == 0:
-            np.cumsum(self.counts, axis=1, dtype=self.counts.dtype, out=self.ends)
-            self.runs = np.ascontiguousarray(self.ends[:, 31::32])
-
-    def totals(self, lane: np.ndarray) -> np.ndarray:
-        return self.runs[lane, -1].astype(np.int64) * self.shares
-
-    def _slot(self, lane: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Place, begin and size of slots, and the middle bits seen last."""
-        at = lane * _LOWS + low
-        begin = np.where(low, self.flat.take(at - 1), 0).astype(np.int64)
-        return at, begin, self.flat.take(at) - begin, self.last.take(at).astype(np.int64)
-
-    def _share(self, at: np.ndarray, begin: np.ndarray, size: np.ndarray, last: np.ndarray, mid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and size of the ids with these middle bits; learns them."""
-        inside = np.where(last < 0, mid * _MID_SHARES, mid + self.extra * (mid > last))
-        wide = np.where(last < 0, _MID_SHARES, 1 + self.extra * (mid == last))
-        self.flat_counts[at] += _COUNT
-        self.last[at] = mid
-        return begin * self.shares + size * inside, size * wide
-
-    def interval(self, lane: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and size of ids (their low and middle bits), of ``totals``; learns them."""
-        return self._share(*self._slot(lane, x & (_LOWS - 1)), x >> _LOW_BITS)
-
-    def find(self, lane: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids in whose intervals ``v`` lies, with begin and size; learns them."""
-        v0 = (v // self.shares).astype(self.ends.dtype)[:, None]
-        run = (self.runs.take(lane, axis=0) > v0).argmax(axis=1)
-        low = (run << 5) + (self.by_run.take(lane * (_LOWS >> 5) + run, axis=0) > v0).argmax(axis=1)
-        at, begin, size, last = self._slot(lane, low)
-        u = (v - begin * self.shares) // size
-        mid = np.where(last < 0, u // _MID_SHARES, np.where(u < last, u, np.where(u <= last + self.extra, last, u - self.extra)))
-        return low | mid << _LOW_BITS, *self._share(at, begin, size, last, mid)
-
-
-class _Coder:
-    """Low ends and ranges of all blocks; words leave or enter where a range falls below 2^32."""
-
-    def __init__(self, lanes: int) -> None:
+class _Known:
+    """What order 0 knows of all ids of blocks (rows of ``padded``), which the writer has from the start."""
+
+    def __init__(self, padded: np.ndarray, bits: int) -> None:
+        lanes, steps = padded.shape
+        at_bits = max(steps - 1, 1).bit_length()
+        kind = np.int32 if bits + at_bits < 32 else np.int64
+        key = np.sort(padded.astype(kind) << at_bits | np.arange(steps, dtype=kind), axis=1)
+        place = (key & ((1 << at_bits) - 1)).astype(np.int64) * lanes
+        place += np.arange(lanes)[:, None]
+        key >>= at_bits
+        rank = np.zeros(key.shape, dtype=np.int32)
+        np.cumsum(key[:, 1:] != key[:, :-1], axis=1, dtype=np.int32, out=rank[:, 1:])
+        self.wide = int(rank[:, -1].max()) + 1
+        rank += np.arange(lanes, dtype=np.int32)[:, None] * np.int32(self.wide)
+        # Of each step: the id's number among its block's, in the order of ids.
+        self.cells = np.empty((steps, lanes), dtype=np.int32)
+        self.cells.reshape(-1)[place.ravel()] = rank.ravel()
+        self.counts = np.zeros((lanes, self.wide), dtype=np.uint32)
+        self.entries = self.counts.ravel()
+
+    def refresh(self, begin: int, end: int) -> None:
+        """Take in the steps since the last time: ids before each id << 16 | how often it came."""
+        self.counts += np.bincount(self.cells[begin:end].ravel(), minlength=self.counts.size).reshape(self.counts.shape).astype(np.uint32)
+        entries = np.cumsum(self.counts, axis=1, dtype=np.uint32)
+        entries -= self.counts
+        entries <<= np.uint32(16)
+        entries |= self.counts
+        self.entries = entries.ravel()
+
+
+class _Writer:
+    """Low ends and ranges of all blocks; a word leaves where a range falls below 2^32."""
+
+    def __init__(self, lanes: int, rows: int) -> None:
         self.low, self.range = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-
-    def settle(self, lane: np.ndarray) -> np.ndarray:
-        """Shift the lanes out: cut at a carry, if one could come. Their low ends before."""
-        low, rng = self.low[lane], self.range[lane]
-        carry = (low ^ (low + rng)) >= _TOP
-        if carry.any():
-            rng = np.where(carry, (~low + _U(1)) & _LOW32, rng)
-        self.low[lane] = low << _32
-        self.range[lane] = rng << _32
-        return low
-
-
-class _Writer(_Coder):
-    def __init__(self, lanes: int, block: int) -> None:
-        super().__init__(lanes)
-        self.width = 2 * block + 8
-        self.out, self.at = np.zeros(lanes * self.width, dtype=np.uint32), np.arange(lanes, dtype=np.int64) * self.width
-
-    def _send(self, lane: np.ndarray) -> None:
-        if len(lane):
-            settled = self.settle(lane)
-            spot = self.at[lane]
-            self.out[spot] = settled >> _32
-            self.at[lane] = spot + 1
-
-    def all(self, m: int, begin: np.ndarray, size: np.ndarray) -> None:
-        """Narrow the first m lanes to shares of 4096."""
-        low, r = self.low[:m], self.range[:m]
-        r >>= _U(_SHARE_BITS)
-        low += r * begin.view(np.uint64)
-        r *= size.view(np.uint64)
-        self._send(np.flatnonzero(r < _TOP))
-
-    def some(self, lane: np.ndarray, begin: np.ndarray, size: np.ndarray, total) -> None:
-        r = self.range[lane] // total.view(np.uint64)
-        self.low[lane] += r * begin.view(np.uint64)
-        r *= size.view(np.uint64)
-        self.range[lane] = r
-        self._send(lane[r < _TOP])
+        self.out, self.sent, self.carry = np.zeros((rows, lanes), dtype=np.uint32), np.zeros((rows, lanes), dtype=bool), np.zeros((rows, lanes), dtype=bool)
+        self.row = 0
+
+    def move(self, by: np.ndarray, size: np.ndarray) -> None:
+        """Move the low ends; the ranges become ``size``."""
+        low, row, m = self.low, self.row, len(by)
+        low += by
+        np.less(low, by, out=self.carry[row, :m])
+        self.out[row, :m] = low >> _U32
+        gone = np.less(size, _TOP, out=self.sent[row, :m])
+        shift = gone.astype(np.uint64)
+        shift <<= _U5
+        low <<= shift
+        size <<= shift
+        self.range = size
+        self.row += 1
+
+    def finish(self, m: int) -> None:
+        """End all blocks but the first m: one word more tells a block's interval, since the reader sees zeros behind it."""
+        ended, rest = slice(m, len(self.low)), self.low[m:] + _U((1 << 32) - 1)
+        self.carry[self.row, ended], self.out[self.row, ended], self.sent[self.row, ended] = rest < self.low[m:], rest >> _U32, True
+        self.low, self.range = self.low[:m], self.range[:m]
 
     def words(self) -> list[bytes]:
-        for _ in range(2):
-            self.out[self.at] = self.low >> _32
-            self.at += 1
-            self.low <<= _32
-        return [self.out[i * self.width : to].tobytes() for i, to in enumerate(self.at.tolist())]
+        sent, carry = self.sent.T.ravel(), self.carry.T.ravel()
+        words = self.out.T.ravel()[sent]
+        count = np.cumsum(sent, dtype=np.int32)
+        at = np.flatnonzero(carry)
+        add_carries(words, count[at] - sent[at] - 1)
+        ends = count[len(self.sent) - 1 :: len(self.sent)].tolist()
+        return [words[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
 
 
-class _Reader(_Coder):
-    def __init__(self, words: np.ndarray) -> None:
-        super().__init__(len(words))
-        self.code = words[:, 0] << _32 | words[:, 1]
-        self.flat, self.last = words.reshape(-1), words.shape[1] - 1
-        self.base, self.at = np.arange(len(words), dtype=np.int64) * words.shape[1], np.full(len(words), 2, dtype=np.int64)
-
-    def _receive(self, lane: np.ndarray) -> None:
-        if len(lane):
-            self.settle(lane)
-            spot = self.at[lane]
-            self.code[lane] = self.code[lane] << _32 | self.flat.take(self.base[lane] + np.minimum(spot, self.last))
-            self.at[lane] = spot + 1
-
-    def see_all(self, m: int) -> np.ndarray:
-        r = self.range[:m]
-        r >>= _U(_SHARE_BITS)
-        return np.minimum((self.code[:m] - self.low[:m]) // r, _U(_SHARES - 1)).view(np.int64)
-
-    def all(self, m: int, begin: np.ndarray, size: np.ndarray) -> None:
-        low, r = self.low[:m], self.range[:m]
-        low += r * begin.view(np.uint64)
-        r *= size.view(np.uint64)
-        self._receive(np.flatnonzero(r < _TOP))
-
-    def see(self, lane: np.ndarray, total: np.ndarray) -> np.ndarray:
-        total = total.view(np.uint64)
-        self.r = self.range[lane] // total
-        return np.minimum((self.code[lane] - self.low[lane]) // self.r, total - _U(1)).view(np.int64)
-
-    def some(self, lane: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        r = self.r
-        self.low[lane] += r * begin.view(np.uint64)
-        r *= size.view(np.uint64)
-        self.range[lane] = r
-        self._receive(lane[r < _TOP])
-
-
-def _parts(bits: int) -> tuple[int, int]:
-    """Of ids of so many bits: middle and high bits."""
-    mid = min(max(bits - _LOW_BITS, 0), _MID_BITS)
-    return mid, max(bits - _LOW_BITS - mid, 0)
+def add_carries(words: np.ndarray, at: np.ndarray) -> None:
+    """Add 1 to each of the words at ``at``; one that overflows carries into the word before it."""
+    while len(at):
+        words[at] += np.uint32(1)
+        at = at[words[at] == 0] - 1
 
 
-def _lengths(n: int, block: int) -> np.ndarray:
-    """Ids of each block: all full but the last."""
-    return np.minimum(np.arange(n, 0, -block), block) if n else np.zeros(0, dtype=np.int64)
+class _Reader:
+    """Distances of the code from the low ends, and ranges, of all blocks, whose words are the rows of ``words``."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        lanes, width = words.shape
+        self.code, self.range = words[:, 0].astype(np.uint64) << _U32 | words[:, 1], np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
+        self.flat, self.at = words.reshape(-1), np.arange(lanes, dtype=np.int64) * width + 2
+
+    def move(self, size: np.ndarray) -> None:
+        """The ranges become ``size``; a word enters where one falls below 2^32."""
+        lane = (size < _TOP).nonzero()[0]
+        spot = self.at[lane]
+        self.code[lane] = self.code[lane] << _U32 | self.flat[spot]
+        size[lane] <<= _U32
+        self.at[lane] = spot + _L1
+        self.range = size
+
+    def shrink(self, m: int) -> None:
+        self.code, self.range, self.at = self.code[:m], self.range[:m], self.at[:m]
+
+
+def _narrow(ends: np.ndarray, outcome: np.ndarray, r: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Begin of the outcomes' intervals; ``r``, one share, becomes their size by their total."""
+    shift = outcome.astype(np.uint64)
+    shift <<= _U4
+    begin = ends << _U16
+    begin >>= shift
+    begin &= _FIELD
+    ends >>= shift
+    ends &= _FIELD
+    ends -= begin
+    begin *= r
+    r *= ends
+    r >>= (totals >> shift) & _FIELD
+    return begin
+
+
+def _totals(k: int, bits: int) -> np.ndarray:
+    """Bits of the total of each outcome's ids, as 16 bits each."""
+    return np.array(k << 32 | min(bits, _LOW_BITS) << 48, dtype=np.uint64)
 
 
 def _encode_blocks(ids: np.ndarray, block: int, bits: int) -> list[bytes]:
     lengths = _lengths(len(ids), block)
-    lanes, tail = len(lengths), int(lengths[-1])
-    padded = np.zeros(lanes * block, dtype=np.int32)
-    padded[: len(ids)] = ids
-    columns = np.ascontiguousarray(padded.reshape(lanes, block).T)
+    lanes, steps, tail = len(lengths), int(lengths[0]), int(lengths[-1])
+    padded = np.zeros((lanes, steps), dtype=np.int32)
+    padded.reshape(-1)[: len(ids)] = ids
+    columns = np.ascontiguousarray(padded.T)
+    order0 = _Known(padded, bits)
     del padded
-    (mid_bits, high_bits), zero = _parts(bits), np.zeros(lanes, dtype=np.int32)
-    orders, order0, coder = _Orders(lanes), _Order0(lanes, block, mid_bits), _Writer(lanes, block)
-    known, one = _LOW_BITS + mid_bits, np.ones(lanes, dtype=np.int64)
-    for step in range(min(block, int(lengths[0]))):
-        m = lanes if step < tail else lanes - 1
-        x = columns[step, :m]
-        orders.look(columns[step - 1, :m] if step else zero[:m], columns[step - 2, :m] if step > 1 else zero[:m])
-        hit1, hit2 = orders.c1 == x, orders.c2 == x
-        end2, end1 = orders.end2, orders.end1
-        begin = np.where(hit2, 0, np.where(hit1, end2, end1)).astype(np.int64)
-        coder.all(m, begin, np.where(hit2, end2, np.where(hit1, end1, _SHARES)) - begin)
-        orders.learn(x, hit1, hit2)
-        order0.refresh(step)
-        lane = np.flatnonzero(~(hit1 | hit2))
-        if len(lane):
-            rest, total = x[lane].astype(np.int64), order0.totals(lane)
-            coder.some(lane, *order0.interval(lane, rest & ((1 << known) - 1)), total)
-            if high_bits:
-                coder.some(lane, rest >> known, one[: len(lane)], one[: len(lane)] << high_bits)
+    high, m = max(bits - _LOW_BITS, 0), lanes
+    orders, coder = _Orders(lanes, steps), _Writer(lanes, steps * (2 if high else 1) + 1)
+    for begin, end, k in _phases(steps):
+        totals = _totals(k, bits)
+        if begin:
+            orders.refresh(last, begin)
+            order0.refresh(last, begin)
+        last = begin
+        for step in range(begin, end):
+            if step == tail:
+                m -= 1
+                coder.finish(m)
+                orders.shrink(m)
+            narrow = columns[step, :m]
+            x = narrow.astype(np.int64)
+            ends = orders.look()
+            hit = orders.ids == narrow
+            known = hit[0] | hit[1]
+            own = order0.entries.take(order0.cells[step, :m], mode="clip").astype(np.uint64)
+            wide = own & _FIELD
+            own >>= _U16
+            outcome = (wide == _NO) + _TWO_OUTCOMES
+            outcome *= ~known
+            outcome += hit[0] > hit[1]
+            r = coder.range >> _U12
+            at = _narrow(ends, outcome, r, totals)
+            lane = known.nonzero()[0]
+            own[lane], wide[lane] = 0, 1
+            lane = (outcome == _NONE).nonzero()[0]
+            own[lane], wide[lane] = x[lane] & 0xFFFF, 1
+            own *= r
+            at += own
+            r *= wide
+            coder.move(at, r)
+            if high:
+                new = outcome == _NONE
+                r = coder.range >> new * _U(high)
+                coder.move(r * (new * (x >> _LOW_BITS)).view(np.uint64), r)
+            orders.learn(step, x, narrow, hit, outcome)
+    coder.finish(0)
     return coder.words()
 
 
+def _history(columns: np.ndarray) -> np.ndarray:
+    """Of every block, its ids so far (rows of ``columns``) in order, as id << 32 | ids before it << 16 | how often it came."""
+    ids = np.sort(columns.T, axis=1)
+    n = ids.shape[1]
+    first = np.ones(ids.shape, dtype=bool)
+    np.not_equal(ids[:, 1:], ids[:, :-1], out=first[:, 1:])
+    starts = np.flatnonzero(first)
+    size = np.diff(starts, append=ids.size)
+    entry = ids.reshape(-1)[starts].astype(np.int64) << 32 | (starts & (n - 1)) << 16 | size
+    return np.repeat(entry, size)
+
+
 def _decode_blocks(words: np.ndarray, lengths: np.ndarray, block: int, bits: int) -> np.ndarray:
     """Ids of blocks, whose words are the rows of ``words``, one column each."""
     lanes, steps, tail = len(lengths), int(lengths[0]), int(lengths[-1])
-    (mid_bits, high_bits), columns = _parts(bits), np.zeros((steps, lanes), dtype=np.int32)
-    orders, order0, coder = _Orders(lanes), _Order0(lanes, block, mid_bits), _Reader(words)
-    known, one = _LOW_BITS + mid_bits, np.ones(lanes, dtype=np.int64)
-    p1 = p2 = np.zeros(lanes, dtype=np.int32)
-    for step in range(steps):
-        m = lanes if step < tail else lanes - 1
-        orders.look(p1[:m], p2[:m])
-        v, end2, end1 = coder.see_all(m), orders.end2, orders.end1
-        in2, in1 = v < end2, v < end1
-        begin = np.where(in2, 0, np.where(in1, end2, end1)).astype(np.int64)
-        coder.all(m, begin, np.where(in2, end2, np.where(in1, end1, _SHARES)) - begin)
-        x = np.where(in2, orders.c2, orders.c1)
-        order0.refresh(step)
-        lane = np.flatnonzero(~in1)
-        if len(lane):
-            low, begin, size = order0.find(lane, coder.see(lane, order0.totals(lane)))
-            coder.some(lane, begin, size)
-            if high_bits:
-                high = coder.see(lane, one[: len(lane)] << high_bits)
-                coder.some(lane, high, one[: len(lane)])
-                low = low | high << known
-            x[lane] = low
-        orders.learn(x, orders.c1 == x, orders.c2 == x)
-        columns[step, :m] = x
-        p1, p2 = x, p1
+    columns, high = np.zeros((steps, lanes), dtype=np.int32), max(bits - _LOW_BITS, 0)
+    history = np.zeros(0, dtype=np.int64)
+    orders, coder, m, ones = _Orders(lanes, steps), _Reader(words), lanes, np.ones(lanes, dtype=np.uint64)
+    for begin, end, k in _phases(steps):
+        totals = _totals(k, bits)
+        if begin:
+            orders.refresh(last, begin)
+            history = _history(columns[: 1 << k])
+        last = begin
+        for step in range(begin, end):
+            if step == tail:
+                m -= 1
+                orders.shrink(m)
+                coder.shrink(m)
+            ends = orders.look()
+            code, r = coder.code, coder.range >> _U12
+            # How many of the three ends are not above the share that the code lies in.
+            share = np.minimum(code // r, _LAST_SHARE)
+            share *= _THREE
+            share |= _TOPS
+            share -= ends & _THREE_FIELDS
+            share &= _TOPS
+            outcome = np.bitwise_count(share)
+            code -= _narrow(ends, outcome, r, totals)
+            v = code // r
+            x, wide = v.astype(np.int64), ones[:m].copy()
+            lane = (outcome < _TWO_OUTCOMES).nonzero()[0]
+            x[lane] = orders.ids.ravel()[lane + (outcome[lane] ^ _ONE) * m]
+            lane = (outcome == _TWO_OUTCOMES).nonzero()[0]
+            if len(lane):
+                entry = history[(lane << k) + x[lane]]
+                x[lane], wide[lane] = entry >> _L32, entry & _LFIELD
+                entry >>= _L16
+                entry &= _LFIELD
+                v[lane] = entry
+            code -= r * v
+            r *= wide
+            coder.move(r)
+            if high:
+                new = outcome == _NONE
+                r = coder.range >> new * _U(high)
+                top = code // r
+                code -= top * r
+                x |= (top << _U(_LOW_BITS)).view(np.int64)
+                coder.move(r)
+            columns[step, :m] = x
+            narrow = columns[step, :m]
+            orders.learn(step, x, narrow, orders.ids == narrow, outcome)
     return columns
 
 
@@ -352,7 +418,7 @@ def _head(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _words(data: bytes, checks: np.ndarray, places: np.ndarray) -> np.ndarray:
-    words = np.zeros((len(places), int((places[:, 1] - places[:, 0]).max()) // 4 + 2), dtype=np.uint64)
+    words = np.zeros((len(places), int((places[:, 1] - places[:, 0]).max()) // 4 + 2), dtype=np.uint32)
     for i, ((a, b), check) in enumerate(zip(places.tolist(), checks.tolist(), strict=True)):
         own = data[a:b]
         if len(own) != b - a or zlib.crc32(own) != check:

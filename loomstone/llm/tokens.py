@@ -5,8 +5,9 @@ ids and token counts, and one payload of ``rangecoder`` blocks, each block indep
 decodable and checksummed. Files are written by Spark, so a lost executor's task is simply repeated.
 
 The tokenizers library encodes every distinct piece of a worker once: a text may be cut before each space
-that a non-space follows, because the byte-level pattern always starts a new token there; a test holds
-this against whole texts. Pieces met for the first time are encoded together and told apart by their length in bytes.
+that a non-space follows, between ASCII letters or digits and punctuation, and round a single line feed, because the byte-level pattern
+always starts a new token there; a test holds this against whole texts. Pieces met for the first time are encoded together and told
+apart by their length in bytes.
 
 Defined results: a null or empty text is its end id alone; null doc_ids come first; rows with equal
 doc_id are ordered by their text's hash; an empty table gives an empty folder of files. Only doc_id and text are read.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from loomstone.llm.textcore import Words, first_bytes, kept, passes, release, re
 END_ID = 2
 #: Slots of the table of pieces, ids of pieces that a Python worker remembers before it starts anew, and bytes of
 #: pieces that are encoded in one text. Results do not depend on them.
-SLOTS = 1 << 21
-POOL_IDS = 8 << 20
+SLOTS = 1 << 22
+POOL_IDS = 12 << 20
 JOINED_BYTES = 20_000
 _U = np.uint64
 
@@ -56,11 +57,32 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the pieces of all texts: each text, cut before every space that surely precedes a non-space."""
+#: Kinds of bytes: letters and digits, punctuation, both, and punctuation that no letter joins (as in ``'s``).
+_ALNUM, _PUNCTUATION, _GRAPH, _APART = 1, 2, 3, 4
+
+
+def byte_kinds(added: Iterable[str] = ()) -> np.ndarray:
+    """Kinds of all bytes; those of ``added`` tokens, which are found before all others, have none."""
+    kinds = np.zeros(256, dtype=np.uint8)
+    for i in range(0x21, 0x7F):
+        kinds[i] = _ALNUM if chr(i).isalnum() else _PUNCTUATION | _APART if chr(i) != "'" else _PUNCTUATION
+    kinds[list({i for token in added for i in token.encode()} - set(np.flatnonzero(kinds == _ALNUM).tolist()))] = 0
+    return kinds
+
+
+def piece_starts(raw: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of all texts: each text, cut where a token surely starts."""
     cut = np.zeros(len(raw), dtype=bool)
     cut[:-1] = (raw[:-1] == 32) & ~_MAYBE_SPACE[raw[1:]]
     cut[offsets[1:-1][offsets[1:-1] < len(raw)] - 1] = False  # what follows is another text
+    kind = kinds[raw]
+    before, here = kind[:-1], kind[1:]
+    # Punctuation behind a letter or digit; one of these behind punctuation.
+    cut[1:] |= (before & here >> 1 | before >> 2 & here) & _ALNUM > 0
+    line = np.flatnonzero(raw == 10)
+    line = line[(line > 0) & (line < len(raw) - 1)]
+    line = line[(kind[line - 1] & _GRAPH > 0) & (kind[line + 1] & _GRAPH > 0)]
+    cut[line] = cut[line + 1] = True
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     return np.flatnonzero(cut)
 
@@ -79,6 +101,9 @@ class Encoder:
         self.token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.token_bytes[i] = len(token)
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        # A line feed is no place to cut where an added token has one.
+        self.kinds = byte_kinds(added) if not any("\n" in t for t in added) else np.zeros(256, dtype=np.uint8)
         self._forget()
 
     def _forget(self) -> None:
@@ -98,36 +123,43 @@ class Encoder:
     def _learn(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Encode pieces; begin and end are their places in ``buf``. Start and size of their ids in the pool."""
         lens = end - begin
-        # A piece that starts with a space starts a token behind any other piece. Such pieces are encoded in
-        # one text of some thousand bytes and told apart by the bytes of their tokens; the others alone.
         flat = buf[np.arange(lens.sum()) + np.repeat(begin - np.cumsum(lens) + lens, lens)]
         ends = np.cumsum(lens)
         special = np.add.reduceat(flat == ord("<"), ends - lens) > 0
-        alone = (buf[begin] != 32) | (lens < 2) | _MAYBE_SPACE[buf[np.minimum(begin + 1, len(buf) - 1)]] | _MAYBE_SPACE[buf[end - 1]] | special
+        odd = special | _MAYBE_SPACE[buf[end - 1]]
+        # A piece that starts with a space starts a token behind any other piece; so does one that starts with a
+        # letter or such behind a line feed, which is a token of its own there. Both are encoded in
+        # texts of some thousand bytes and told apart by the bytes of their tokens; the others alone.
+        spaced = (buf[begin] == 32) & (lens > 1) & ~_MAYBE_SPACE[buf[np.minimum(begin + 1, len(buf) - 1)]] & ~odd
+        bare = (self.kinds[buf[begin]] & _GRAPH > 0) & ~odd
         sizes, start = np.zeros(len(begin), dtype=np.int64), np.zeros(len(begin), dtype=np.int64)
-        lonely = np.flatnonzero(alone)
+        lonely = np.flatnonzero(~(spaced | bare))
         for i, ids in zip(lonely.tolist(), self._encode([buf[begin[i] : end[i]].tobytes().decode() for i in lonely.tolist()]), strict=True):
             start[i], sizes[i] = self.used, len(ids)
             self._keep(ids)
-        safe = np.flatnonzero(~alone)
-        if len(safe):
-            total = np.cumsum(lens[safe])
-            groups = np.flatnonzero(np.diff(total // JOINED_BYTES, prepend=-1))
-            edges = np.append(groups, len(safe))
-            joined = flat[np.repeat(~alone, lens)].tobytes()
-            at = np.append(0, total)[edges]
-            texts = [joined[a:b].decode() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
-            ids = np.concatenate(self._encode(texts))
-            cuts = np.searchsorted(np.cumsum(self.token_bytes[ids]), total, side="left") + 1
-            sizes[safe] = np.diff(cuts, prepend=0)
-            start[safe] = self.used + cuts - sizes[safe]
-            self._keep(ids)
+        for some, gap in ((spaced, 0), (bare, 1)):
+            if some.any():
+                start[some], sizes[some] = self._together(flat[np.repeat(some, lens)], lens[some], gap)
+        return start, sizes
+
+    def _together(self, flat: np.ndarray, lens: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+        """Encode pieces, whose bytes are ``flat``, with ``gap`` line feeds behind each. Start and size of their ids in the pool."""
+        total = np.cumsum(lens + gap)
+        joined = np.full(total[-1], 10, dtype=np.uint8)
+        joined[np.arange(len(flat)) + np.repeat(np.arange(len(lens)) * gap, lens)] = flat
+        edges = np.append(np.flatnonzero(np.diff(total // JOINED_BYTES, prepend=-1)), len(lens))
+        at, joined = np.append(0, total)[edges].tolist(), joined.tobytes()
+        ids = np.concatenate(self._encode([joined[a:b].decode() for a, b in zip(at, at[1:], strict=False)]))
+        reached = np.cumsum(self.token_bytes[ids])
+        first = np.searchsorted(reached, total - lens - gap, side="right")
+        start, sizes = self.used + first, np.searchsorted(reached, total - gap, side="left") + 1 - first
+        self._keep(ids)
         return start, sizes
 
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty), each followed by ``end_id``, and their counts."""
         raw, offsets = string_bytes(texts)
-        starts = piece_starts(raw, offsets) if len(raw) else np.zeros(0, dtype=np.int64)
+        starts = piece_starts(raw, offsets, self.kinds) if len(raw) else np.zeros(0, dtype=np.int64)
         buf = np.zeros(len(raw) + 8, dtype=np.uint8)
         buf[: len(raw)] = raw
         ends = np.append(starts[1:], len(raw))[: len(starts)]
@@ -163,7 +195,9 @@ class Encoder:
         body = np.ones(len(out), dtype=bool)
         body[np.cumsum(counts) - 1] = False
         total = int(size.sum())
-        out[body] = self.pool.take(np.arange(total) + np.repeat(start - np.cumsum(size) + size, size))
+        place = np.repeat((start - np.cumsum(size) + size).astype(np.int32), size)
+        place += np.arange(total, dtype=np.int32)
+        out[body] = self.pool.take(place, mode="clip")
         return out, counts
 
 
@@ -187,7 +221,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
 
         size = 0
         for batch in batches:
-            for some in passes(batch, "text", 1 << 20, keep=True):
+            for some in passes(batch, "text", 1 << 19, keep=True):
                 ids, counts = encoder.encode(some.column("text"), end_id)
                 names, at, row = some.column("doc_id").to_pylist(), 0, 0
                 for to, end in enumerate(np.cumsum(counts).tolist(), 1):

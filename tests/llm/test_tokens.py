@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -149,3 +150,63 @@ def test_a_task_that_only_decodes_drops_the_encoder_and_gives_memory_back(monkey
     monkeypatch.setattr(textcore, "_KEPT", {"encoder": object()})
     assert list(textcore.releasing(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4]
     assert not textcore._KEPT and freed == [True]
+
+
+def test_coding_and_decoding_cost_few_operations():
+    """CPU seconds of the coder on a full group, in those of 200 plain additions a step: 8.4 to 8.6 with the coder before, 2.7 to 3.2 now."""
+    rng = np.random.default_rng(11)
+    ids = (rng.zipf(1.2, rangecoder.GROUP) % 50_000).astype(np.int32)
+    row = np.arange(rangecoder.GROUP // rangecoder.BLOCK)
+
+    def seconds(run):
+        begin = time.process_time()
+        run()
+        return time.process_time() - begin
+
+    def both():
+        assert (rangecoder.decode(rangecoder.encode(ids)) == ids).all()
+
+    def plain():
+        for _ in range(200 * rangecoder.BLOCK):
+            row + row
+
+    assert min(seconds(both) / seconds(plain) for _ in range(3)) < 5.5
+
+
+def test_punctuation_and_line_feeds_make_no_new_pieces():
+    encoder, learned = tokens.Encoder(TOKENIZER), []
+    learn = encoder._learn
+    encoder._learn = lambda buf, begin, end: (learned.append(len(begin)), learn(buf, begin, end))[1]
+    encoder.encode(pa.array([" alpha beta gamma , . ! \n", "alpha", "beta"]))
+    learned.clear()
+    ids, _ = encoder.encode(pa.array([" alpha, beta.\nalpha! gamma,\nbeta, gamma. beta! alpha."]))
+    assert ids.tolist() == plain(" alpha, beta.\nalpha! gamma,\nbeta, gamma. beta! alpha.") and sum(learned) <= 4
+
+
+EDGES = ["a", "Z9", "7", ",", "'", "'s", "'re", "s", "##", "<|endoftext|>", "|", ">", "\n", "\n\n", " ", ".\n", "\r\n", "\t", "\xa0", "\u2028", "ü", "²", "½", "…", "_", "\x1c"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(EDGES), max_size=16).map("".join), max_size=5))
+def test_pieces_cut_at_punctuation_and_line_feeds_give_the_ids_of_whole_texts(texts):
+    ENCODER._forget()
+    ids, counts = ENCODER.encode(pa.array(texts, type=pa.string()))
+    want = [plain(t) for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_a_carry_runs_through_full_words():
+    words = np.array([7, 0xFFFFFFFF, 0xFFFFFFFF, 3, 0xFFFFFFFE], dtype=np.uint32)
+    rangecoder.add_carries(words, np.array([2, 4]))
+    assert words.tolist() == [8, 0, 0, 3, 0xFFFFFFFF]
+
+
+def test_weights_and_order_zero_are_of_the_block_alone():
+    # The same block alone, first, last and cut short gives the same ids from its own words.
+    rng = np.random.default_rng(12)
+    for block, n in ((1, 3), (7, 50), (1000, 3300), (40_000, 90_001)):
+        ids = (rng.zipf(1.4, n) % 300).astype(np.int32)
+        data = rangecoder.encode(ids, block)
+        assert (rangecoder.decode(data) == ids).all()
+        for number in range(-(-n // block)):
+            assert (rangecoder.decode_block(data, number) == ids[block * number : block * (number + 1)]).all()
