@@ -367,3 +367,33 @@ def test_a_crawl_takes_few_sets_of_starts_at_a_time(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want
     assert max(sizes) <= n
     assert graph.crawl(imports, starts.where("start_id < 0"), 3).count() == 0
+
+
+@pytest.mark.parametrize(("links", "kinds"), [(9, 1 << 18), (9, 1), (1, 1 << 18)])
+def test_a_crawl_of_many_starts_goes_by_hubs(spark, monkeypatch, links, kinds):
+    """By hubs, by the hubs among many files that could be some, by walks where kinds are too many: the same pairs, no pair twice."""
+    n, labels, cut, few = 300, [], graph.cut, 64
+    for name, value in {"SETS": 1, "FEW_STARTS": few, "IN_ROW": 7, "HUB_LINKS": links, "FEW_KINDS": kinds}.items():
+        monkeypatch.setattr(graph, name, value)
+    monkeypatch.setattr(graph, "cut", lambda rows, label, **options: labels.append(label) or cut(rows, label, **options))
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(n - 1) if i % 40] + [(i, rng.choice((3, 90, 211))) for i in range(0, n, 5)] + [(rng.randrange(n), rng.randrange(n)) for _ in range(25)]
+    near = {i: set() for i in range(n)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    imports = spark.createDataFrame([*pairs, (5, None)], "file_id long, resolved_file_id long")
+    # Starts at one file, at two, at a hub, at a file that has no links, at none.
+    at = {s: {s} for s in range(0, n, 2)} | {1000: {4, 250}, 1001: {90}, 1002: {999}}
+    starts = spark.createDataFrame([(s, x) for s, own in at.items() for x in own] + [(None, 1)], "start_id long, node long")
+    depth, want = 5, set()
+    for s, own in at.items():
+        seen, level = set(own), set(own)
+        want |= {(s, x, 0) for x in own}
+        for d in range(1, depth + 1):
+            level = {y for x in level for y in near.get(x, ())} - seen
+            seen |= level
+            want |= {(s, x, d) for x in level}
+    got = [tuple(r) for r in graph.crawl(imports, starts, depth).select("start_id", "node", "depth").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert ("hub-apart" in labels) == (kinds > 1)
